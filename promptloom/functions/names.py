@@ -46,10 +46,10 @@ def parse_task_path(path, strip_anli_round: bool = True) -> Column:
     parts = F.split(p, "/")
     n = F.size(parts)
     basename = F.element_at(parts, -1)
-    directory = F.element_at(parts, n - 1)
+    directory = F.get(parts, n - 2)
     dir_parts = F.split(directory, "__")
-    ds = F.element_at(dir_parts, 1)
-    cfg = F.when(F.size(dir_parts) > 1, F.element_at(dir_parts, 2))
+    ds = F.get(dir_parts, 0)
+    cfg = F.get(dir_parts, 1)
     task = task_full_name(ds, cfg)
     body = F.regexp_replace(basename, SCORE_EVAL_SUFFIX + "$", "")
     template = _strip_prefix(body, task)

@@ -183,8 +183,8 @@ _AUGMENT_ROWS = f"""SELECT row_id, inputs_pretokenized, chosen_ids,
 FROM out"""
 
 _AUGMENT_STATS = f"""SELECT count(*) AS n_rows,
-       count_if(least({_TOKS}, 1024) = 1024) AS n_exceed_max_length,
-       count_if(chosen_ids = '' OR len(string_split(chosen_ids, ',')) < 3) AS n_not_enough
+       CAST(count_if(least({_TOKS}, 1024) = 1024) AS BIGINT) AS n_exceed_max_length,
+       CAST(count_if(chosen_ids = '' OR len(string_split(chosen_ids, ',')) < 3) AS BIGINT) AS n_not_enough
 FROM out"""
 
 

@@ -48,14 +48,25 @@ def compare(spark, con, name, fn, sql, sf_dir):
         return dict(name=name, ok=None, rows=len(s_rows), spark_s=round(t1 - t0, 2))
     rel = con.execute(sql)
     d_cols_raw = [d[0] for d in rel.description]
+    d_types = {d[0]: str(d[1]) for d in rel.description}
     d_data = rel.fetchall()
     t2 = time.time()
     d_cols = sorted(d_cols_raw)
     idx = [d_cols_raw.index(c) for c in d_cols]
     d_rows = sorted(tuple(_norm(r[i]) for i in idx) for r in d_data)
-    ok = s_cols == d_cols and s_rows == d_rows
+    fam = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+           "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN"}
+    type_diff = {}
+    for f in sdf.schema.fields:
+        st = fam.get(repr(f.dataType), repr(f.dataType))
+        dt = d_types.get(f.name, "?")
+        if st in fam.values() and st != dt:
+            type_diff[f.name] = (st, dt)
+    ok = s_cols == d_cols and s_rows == d_rows and not type_diff
     info = dict(name=name, ok=ok, rows=len(s_rows), oracle_rows=len(d_rows),
                 spark_s=round(t1 - t0, 2), duck_s=round(t2 - t1, 2))
+    if type_diff:
+        info["types"] = type_diff
     if not ok:
         info["cols"] = (s_cols, d_cols)
         diff_s = [r for r in s_rows if r not in set(d_rows)][:2]
