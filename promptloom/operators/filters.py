@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LINEAGE_GROUP = ("dataset_name", "template_name", "split")
 
@@ -32,7 +33,7 @@ def with_lineage(df: DataFrame, order_col: str, *, dataset_name=None, template_n
     ranged = (out.repartitionByRange(n, *g, order_col)
               .sortWithinPartitions(*g, order_col)
               .withColumn("_pid", F.spark_partition_id()))
-    schema = ranged.schema.add("_local", "long")
+    schema = T.StructType(ranged.schema.fields + [T.StructField("_local", T.LongType())])
     key_names = g
 
     def number(batches):
