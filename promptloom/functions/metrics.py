@@ -41,10 +41,16 @@ def sequence_accuracy(df, group_cols, target="target", prediction="prediction")
         F.avg((F.col(target) == F.col(prediction)).cast("double")).alias("sequence_accuracy"))
 
 
+def safe_corr(x, y) -> Column:
+    """Pearson correlation that is NULL (not an ANSI error) for fewer than two
+    rows or a constant column."""
+    x, y = F.col(x).cast("double"), F.col(y).cast("double")
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
 def pearson(df, group_cols, x="target", y="prediction") -> DataFrame:
     """E3."""
-    return df.groupBy(*_g(group_cols)).agg(
-        F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("pearson"))
+    return df.groupBy(*_g(group_cols)).agg(safe_corr(x, y).alias("pearson"))
 
 
 def average_ranks(df: DataFrame, group_cols, value: str, out: str) -> DataFrame:
@@ -62,7 +68,7 @@ def spearman(df, group_cols, x="target", y="prediction") -> DataFrame:
     g = _g(group_cols)
     r = average_ranks(df, g, x, "_rx")
     r = average_ranks(r, g, y, "_ry")
-    return r.groupBy(*g).agg(F.corr("_rx", "_ry").alias("spearman"))
+    return r.groupBy(*g).agg(safe_corr("_rx", "_ry").alias("spearman"))
 
 
 def auc(df, group_cols, label="target", score="prediction") -> DataFrame:

@@ -50,7 +50,7 @@ def strip_ws(col) -> Column:
 
 def whitespace_tokens(col) -> Column:
     """Whitespace word pieces of a whole text; empty text -> empty array."""
-    return F.filter(F.split(_c(col), WS_SPLIT), lambda t: F.length(t) > 0)
+    return F.array_remove(F.split(_c(col), WS_SPLIT), "")
 
 
 def hashed_ids(tokens, vocab_size: int = DEFAULT_VOCAB) -> Column:

@@ -9,8 +9,8 @@ Scoring (Lucene 8+ form, exact document lengths)::
 Tokens: lower-cased text split on runs of non letters/digits; an optional
 stop-word set is removed on both sides.
 
-Plan: the postings ``(doc, term, tf)`` come from ``explode`` + a partial
-aggregation per document.  When the query side is small (its term rows are
+Plan: document tokens are exploded and narrowed to the query vocabulary by
+a semi join before the ``(doc, term, tf)`` aggregation.  When the query side is small (its term rows are
 counted and checked against ``max_broadcast_rows``) it is broadcast: the
 postings are probed in place, so a term present in a third of all documents
 never lands in one task.  Otherwise the join is a shuffle join on ``term``
@@ -36,7 +36,7 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 def lexical_tokens(col, stop_words=None):
     c = F.col(col) if isinstance(col, str) else col
-    toks = F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda t: F.length(t) > 0)
+    toks = F.array_remove(F.split(F.lower(c), TOKEN_SPLIT), "")
     if stop_words:
         stops = F.array(*[F.lit(w) for w in stop_words])
         toks = F.filter(toks, lambda t: ~F.array_contains(stops, t))
@@ -60,17 +60,18 @@ def bm25_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_key: str,
                          lexical_tokens(corpus_text, stop_words).alias("toks"))
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
     n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
-    post = (docs.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
     qterms = (queries.select(F.col(query_key).cast("long").alias("query_id"),
                              F.explode(lexical_tokens(query_text, stop_words)).alias("term"))
               .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
     n_qterms = qterms.count()
     small = n_qterms <= max_broadcast_rows
     vocab = qterms.select("term").distinct()
-    # document frequency of the query terms only (semi join keeps the rest out)
-    df_terms = (post.join(F.broadcast(vocab) if small else vocab, "term", "left_semi")
-                .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    # only postings of query terms are ever aggregated: the semi join runs
+    # on the exploded tokens, before the (doc, term) aggregation
+    occ = (docs.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+           .join(F.broadcast(vocab) if small else vocab, "term", "left_semi"))
+    post = occ.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    df_terms = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     qw = (qterms.join(df_terms, "term")
           .select("query_id", "term", (F.col("qtf") * idf).alias("w")))

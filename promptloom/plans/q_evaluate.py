@@ -267,7 +267,10 @@ r AS (SELECT lang, x, y, rank() OVER (PARTITION BY lang ORDER BY x) + (count(*)
 
 
 @register("metric_correlation", _RANK_SQL + """
-SELECT lang, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY lang
+SELECT lang,
+       round(CASE WHEN count(*) < 2 OR stddev_samp(x) = 0 OR stddev_samp(y) = 0 THEN NULL ELSE corr(x, y) END, 6) AS pearson,
+       round(CASE WHEN count(*) < 2 OR stddev_samp(rx) = 0 OR stddev_samp(ry) = 0 THEN NULL ELSE corr(rx, ry) END, 6) AS spearman
+FROM r GROUP BY lang
 """)
 def metric_correlation_q(spark, sf):
     """E3 + E4: Pearson and Spearman (average-tie ranks) of length vs labels."""
@@ -283,7 +286,8 @@ def metric_correlation_q(spark, sf):
 WITH x AS (SELECT d.lang, d.n_chars::DOUBLE AS s, l.quality AS y FROM labels l JOIN documents d USING (doc_id)),
 h AS (SELECT lang, s, count_if(y = 1) AS pos, count_if(y <> 1) AS neg FROM x GROUP BY lang, s),
 c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY lang ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM h)
-SELECT lang, round(sum(pos * (nb + neg / 2.0)) / (sum(pos) * sum(neg)), 6) AS auc FROM c GROUP BY lang
+SELECT lang, round(CASE WHEN sum(pos) * sum(neg) = 0 THEN NULL ELSE sum(pos * (nb + neg / 2.0)) / (sum(pos) * sum(neg)) END, 6)::DOUBLE AS auc
+FROM c GROUP BY lang
 """)
 def metric_auc_q(spark, sf):
     """ROC AUC of document length for the quality label, per template."""

@@ -13,7 +13,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import null_config, result_name as result_name_col
+from ..functions.names import null_config, parse_task_path, result_name as result_name_col
 
 REGISTRY_SCHEMA = ("HF_name string, subset string, task_by_convention string, "
                    "do_train string, do_eval string, train_size string")
@@ -79,14 +79,15 @@ def discover(manifest: DataFrame, prefixes: DataFrame, *, exact: bool = False,
              path_col: str = "path") -> DataFrame:
     """Manifest rows whose basename starts with a task prefix (``{task}*``);
     a path matched by two prefixes comes twice, as the glob loop did.
-    ``exact`` requires the basename to equal ``{task}`` or start with ``{task}_``.
+    ``exact`` instead requires the task parsed from the path (P2) to equal
+    ``task``, so ``cos_e`` no longer picks up ``cos_e_v1.11`` directories.
 
     ``manifest``: one row per dataset directory; ``prefixes``: column ``task``.
     """
     base = F.element_at(F.split(F.col(path_col), "/"), -1)
     cond = base.startswith(F.col("task"))
     if exact:
-        cond = (base == F.col("task")) | base.startswith(F.concat(F.col("task"), F.lit("_")))
+        cond = parse_task_path(F.col(path_col))["task"] == F.col("task")
     return manifest.join(F.broadcast(prefixes.select("task")), cond).withColumn("basename", base)
 
 
