@@ -68,7 +68,13 @@ def apply_templates(df: DataFrame, templates: DataFrame, *, on=("dataset_name",)
     fields = list(fields or [c for c, t in df.dtypes if t == "string" and c not in on])
     has_choices = "answer_choices" in templates.columns
     t = templates.withColumnRenamed("answer_choices", "_choices_tpl") if has_choices else templates
-    j = df.join(F.broadcast(t), list(on))
+    # null-safe keys: a null config matches the null-config templates
+    t = t.select(*[F.col(k).alias(f"_t_{k}") for k in on], *[c for c in t.columns if c not in on])
+    cond = None
+    for k in on:
+        c = df[k].eqNullSafe(t[f"_t_{k}"])
+        cond = c if cond is None else cond & c
+    j = df.join(F.broadcast(t), cond).drop(*[f"_t_{k}" for k in on])
     inputs, targets, choices = apply_template_cols(
         "template_str", fields, "_choices_tpl" if has_choices else None)
     cols = [*keep, *on, "template_name", inputs.alias("inputs_pretokenized"),

@@ -154,24 +154,33 @@ def bm25_topk(spark, sf):
 
 
 # ------------------------------------------------------------------ augment
-def _augment_sql(K: int, dedup: bool, tail: str) -> str:
-    dedup_cte = ("kept2 AS (SELECT * FROM kept QUALIFY row_number() OVER "
-                 "(PARTITION BY query_id, c_ds, c_idx ORDER BY score, shard_ord, rank, corpus_id) = 1),"
-                 if dedup else "kept2 AS (SELECT * FROM kept),")
-    return f"""
-WITH p AS (SELECT d.doc_id AS row_id, d.source AS dataset_name, d.lang AS template_name, d.doc_id AS idx,
+_P_SQL = """p AS (SELECT d.doc_id AS row_id, d.source AS dataset_name, d.lang AS template_name, d.doc_id AS idx,
                   d.text AS inp, d.lang AS tgt, e.embedding, CAST(e.vec_id % 2 AS INTEGER) AS shard_ord
-           FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
-knn AS (SELECT *, row_number() OVER (PARTITION BY query_id, shard_ord ORDER BY score, corpus_id) AS rank
+           FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
+
+
+def _augment_block(K: int, dedup: bool, corpus: str = "p", tag: str = "") -> str:
+    """CTEs knn{tag}, kept{tag}, kept2{tag}, ranked{tag}: the first K kept
+    candidates of every row of ``p`` against the rows of ``corpus``."""
+    dedup_cte = (f"kept2{tag} AS (SELECT * FROM kept{tag} QUALIFY row_number() OVER "
+                 "(PARTITION BY query_id, c_ds, c_idx ORDER BY score, shard_ord, rank, corpus_id) = 1),"
+                 if dedup else f"kept2{tag} AS (SELECT * FROM kept{tag}),")
+    return f"""knn{tag} AS (SELECT *, row_number() OVER (PARTITION BY query_id, shard_ord ORDER BY score, corpus_id) AS rank
         FROM (SELECT q.row_id AS query_id, c.row_id AS corpus_id, c.shard_ord,
-                     {_dist('q.embedding', 'c.embedding')} AS score FROM p q JOIN p c ON TRUE)
+                     {_dist('q.embedding', 'c.embedding')} AS score FROM p q JOIN {corpus} c ON TRUE)
         QUALIFY rank <= {K_RETRIEVE}),
-kept AS (SELECT k.*, c.dataset_name AS c_ds, c.template_name AS c_tpl, c.idx AS c_idx, c.inp AS c_in, c.tgt AS c_tgt
-         FROM knn k JOIN p c ON c.row_id = k.corpus_id JOIN p q ON q.row_id = k.query_id
+kept{tag} AS (SELECT k.*, c.dataset_name AS c_ds, c.template_name AS c_tpl, c.idx AS c_idx, c.inp AS c_in, c.tgt AS c_tgt
+         FROM knn{tag} k JOIN {corpus} c ON c.row_id = k.corpus_id JOIN p q ON q.row_id = k.query_id
          WHERE NOT (c.dataset_name = q.dataset_name AND c.idx = q.idx)),
 {dedup_cte}
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, shard_ord, rank, corpus_id) AS pos
-           FROM kept2 QUALIFY pos <= {K}),
+ranked{tag} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, shard_ord, rank, corpus_id) AS pos
+           FROM kept2{tag} QUALIFY pos <= {K}),"""
+
+
+def _augment_sql(K: int, dedup: bool, tail: str) -> str:
+    return f"""
+WITH {_P_SQL},
+{_augment_block(K, dedup)}
 {tail}
 """
 
@@ -188,11 +197,11 @@ _AUGMENT_STATS = f"""SELECT count(*) AS n_rows,
 FROM out"""
 
 
-def _augment_tail(select: str = _AUGMENT_ROWS) -> str:
+def _augment_tail(select: str = _AUGMENT_ROWS, ranked: str = "ranked") -> str:
     return f"""demos AS (SELECT query_id,
                   string_agg(rtrim(c_in, chr(10)) || chr(10) || ltrim(c_tgt, chr(10)), chr(10) || chr(10) ORDER BY pos) AS demo,
                   string_agg(CAST(c_idx AS VARCHAR), ',' ORDER BY pos) AS chosen_ids
-           FROM ranked GROUP BY query_id),
+           FROM {ranked} GROUP BY query_id),
 out AS (SELECT p.row_id, coalesce(d.demo, '') || chr(10) || chr(10) || p.inp AS inputs_pretokenized,
                coalesce(d.chosen_ids, '') AS chosen_ids
         FROM p LEFT JOIN demos d ON d.query_id = p.row_id)

@@ -63,8 +63,7 @@ def _tpl_values_sql() -> str:
 _STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
-@register("apply_templates", f"""
-WITH {_PAIRS_SQL},
+_APPLY_CTES = f"""{_PAIRS_SQL},
 tp(template_name, template_str) AS (VALUES {_tpl_values_sql()}),
 r AS (SELECT p.conv_id, p.turn, tp.template_name,
              string_split(replace(replace(regexp_replace(tp.template_str, '\\{{\\{{\\s*([A-Za-z0-9_]+)\\s*\\}}\\}}', '{{{{\\1}}}}', 'g'),
@@ -75,7 +74,11 @@ o AS (SELECT conv_id, turn, template_name,
              CASE WHEN len(parts) = 2 THEN
                   CASE WHEN {_STRIP.format(x='parts[2]')} = '' THEN '<NO LABEL>' ELSE {_STRIP.format(x='parts[2]')} END
                   ELSE '' END AS targets_pretokenized
-      FROM r)
+      FROM r)"""
+
+
+@register("apply_templates", f"""
+WITH {_APPLY_CTES}
 SELECT * FROM o WHERE length(inputs_pretokenized) > 0 AND length(targets_pretokenized) > 0
 """)
 def apply_templates_q(spark, sf):
