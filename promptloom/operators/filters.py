@@ -73,14 +73,21 @@ def train_or_all(df: DataFrame, source_col: str = "path", split_col: str = "spli
             .where((F.col("_t") == 0) | (F.col(split_col) == "train")).drop("_t"))
 
 
-def keep_original(df: DataFrame, allow: DataFrame, *, task_col="task", basename_col="basename") -> DataFrame:
+def keep_original(df: DataFrame, allow: DataFrame, *, task_col="task", basename_col="basename",
+                  aliases: dict | None = None) -> DataFrame:
     """P5: keep rows whose basename is listed in the task's
     ``original_dataset_name``; a task without the key drops out.
 
-    ``allow``: (task, original_dataset_name array) -- the task metadata."""
-    pairs = allow.select(F.col("task").alias(task_col),
-                         F.explode("original_dataset_name").alias(basename_col))
-    return df.join(F.broadcast(pairs), [task_col, basename_col], "left_semi")
+    ``allow``: (task, original_dataset_name array) -- the task metadata.
+    ``aliases`` (P15): task -> metadata key, e.g. wiki_hop -> wiki_hop_original."""
+    pairs = allow.select(F.col("task").alias("_meta_task"),
+                         F.explode("original_dataset_name").alias("_base"))
+    key = F.col(task_col)
+    if aliases:
+        amap = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.lit(v))])
+        key = F.coalesce(amap[F.col(task_col)], F.col(task_col))
+    cond = (key == F.col("_meta_task")) & (F.col(basename_col) == F.col("_base"))
+    return df.join(F.broadcast(pairs), cond, "left_semi")
 
 
 def drop_omitted(df: DataFrame, omit: DataFrame, *, task_col="task", basename_col="basename") -> DataFrame:
@@ -153,6 +160,21 @@ def audit_templates(tsv: DataFrame, flags: DataFrame) -> tuple[DataFrame, DataFr
     return report, missing
 
 
+def used_templates(paths: DataFrame, templates: DataFrame, *, path_col: str = "path",
+                   ordinal_col: str = "ordinal") -> DataFrame:
+    """Training mixture paths -> (task, template) keys (P2) -> template string
+    (J8), keyed by ``task_template``; the later path wins (A7).
+
+    ``templates``: task, template (normalised, F10), template_str."""
+    from ..functions.names import normalise_template_name, parse_task_path
+    keys = paths.select(ordinal_col, parse_task_path(F.col(path_col)).alias("k")).select(
+        ordinal_col, F.col("k.task").alias("task"), normalise_template_name(F.col("k.template")).alias("template"))
+    j = keys.join(F.broadcast(templates), ["task", "template"])
+    j = j.withColumn("task_template", F.concat_ws("_", "task", "template"))
+    return j.groupBy("task_template").agg(F.max_by(F.struct("task", "template", "template_str"),
+                                                     F.col(ordinal_col)).alias("v")).select("task_template", "v.*")
+
+
 def slice_rows(df: DataFrame, start: int, stop: int, idx_col: str = "idx") -> DataFrame:
     """Positional slice ``[start, stop)`` on the lineage position (a pushed-down filter)."""
     return df.where((F.col(idx_col) >= start) & (F.col(idx_col) < stop))

@@ -65,6 +65,14 @@ def evaluate(choice_logp: DataFrame, targets: DataFrame, *,
     return accuracy(joined, group_cols)
 
 
+def compare_accuracy(before: DataFrame, after: DataFrame, group_cols) -> DataFrame:
+    """Accuracy before and after self-reference side by side."""
+    g = list(group_cols)
+    b = before.select(*g, F.col("accuracy").alias("accuracy_before"))
+    a = after.select(*g, F.col("accuracy").alias("accuracy_after"))
+    return b.join(a, g, "full").withColumn("delta", F.col("accuracy_after") - F.col("accuracy_before"))
+
+
 def log_softmax_array(logits, index) -> Column:
     """F23 on an array of logits: ``logit[index] - logsumexp(logits)`` (0-based index)."""
     a = F.col(logits) if isinstance(logits, str) else logits

@@ -173,3 +173,20 @@ def few_shot_set(rows: DataFrame, templates: DataFrame, n: int, *, key_col: str
     applied = apply_templates(picked, templates, on=on, fields=fields, keep=(key_col,))
     return (applied.withColumn("input_ids", T.truncate_right(T.tokenize("inputs_pretokenized"), max_length))
             .withColumn("labels", T.mask_labels(T.append_eos(T.tokenize("targets_pretokenized")))))
+
+
+def retrieval_log(rows: DataFrame, nested: DataFrame, *, key: str = "row_id",
+                  template_col: str = "template_name") -> DataFrame:
+    """One log record per prompt -- input, target, the retrieved
+    inputs, targets, dataset names, idx and scores as text -- keyed by template.
+    Write it partitioned by template (``partitionBy(template_col)``) instead of
+    gathering a template's records into one value."""
+    n = nested.withColumnRenamed("query_id", key)
+    r = n.select(key,
+                 F.transform("retrieved_examples", lambda x: x["inputs_pretokenized"]).alias("retrieved_input"),
+                 F.transform("retrieved_examples", lambda x: x["targets_pretokenized"]).alias("retrieved_target"),
+                 F.transform("retrieved_examples", lambda x: x["dataset_name"]).alias("retrieved_dataset_name"),
+                 F.transform("retrieved_examples", lambda x: x["idx"]).alias("retrieved_idx"),
+                 F.transform("scores", lambda s: s.cast("string")).alias("retrieval_scores"))
+    return rows.select(key, template_col, F.col("inputs_pretokenized").alias("input"),
+                       F.col("targets_pretokenized").alias("target")).join(r, key, "left")
