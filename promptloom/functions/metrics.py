@@ -55,10 +55,10 @@ def pearson(df, group_cols, x="target", y="prediction") -> DataFrame:
 
 def average_ranks(df: DataFrame, group_cols, value: str, out: str) -> DataFrame:
     """1-based ranks with ties averaged, via the (group, value) histogram."""
+    from ..operators.ordered import running_sum
     g = _g(group_cols)
     hist = df.groupBy(*g, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*g).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
+    hist = running_sum(hist, g, [value], {"_before": "_cnt"})
     hist = hist.select(*g, value, (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias(out))
     return df.join(hist, g + [value])
 
@@ -76,8 +76,8 @@ def auc(df, group_cols, label="target", score="prediction") -> DataFrame:
     g = _g(group_cols)
     hist = df.groupBy(*g, score).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg"))
-    w = Window.partitionBy(*g).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_neg_before", F.coalesce(F.sum("_neg").over(w), F.lit(0)))
+    from ..operators.ordered import running_sum
+    hist = running_sum(hist, g, [score], {"_neg_before": "_neg"})
     return hist.groupBy(*g).agg(
         (F.sum(F.col("_pos") * (F.col("_neg_before") + F.col("_neg") / 2.0))
          ).alias("_num"), (F.sum("_pos") * F.sum("_neg")).alias("_den")).select(

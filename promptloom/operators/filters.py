@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import positions
+
 LINEAGE_GROUP = ("dataset_name", "template_name", "split")
 
 
@@ -29,40 +31,7 @@ def with_lineage(df: DataFrame, order_col: str, *, dataset_name=None, template_n
     if template_name is not None:
         out = out.withColumn("template_name", F.lit(template_name))
     g = [c for c in group_cols if c in out.columns]
-    n = n_ranges or int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (out.repartitionByRange(n, *g, order_col)
-              .sortWithinPartitions(*g, order_col)
-              .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_local", T.LongType())])
-    key_names = g
-
-    def number(batches):
-        # position = row index - index of the last key change, carried across batches
-        last_key, last_pos = None, -1
-        for b in batches:
-            n = b.num_rows
-            if n == 0:
-                continue
-            cols = [b.column(k).to_numpy(zero_copy_only=False) for k in key_names]
-            change = np.zeros(n, dtype=bool)
-            for c in cols:
-                change[1:] |= c[1:] != c[:-1]
-            first = tuple(c[0] for c in cols)
-            change[0] = first != last_key
-            pos = np.arange(n)
-            start = np.maximum.accumulate(np.where(change, pos, -1))
-            local = np.where(start >= 0, pos - start, last_pos + 1 + pos)
-            last_key, last_pos = tuple(c[-1] for c in cols), int(local[-1])
-            yield pa.RecordBatch.from_arrays(b.columns + [pa.array(local, pa.int64())],
-                                             names=b.schema.names + ["_local"])
-
-    numbered = ranged.mapInArrow(number, schema)
-    sizes = numbered.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    return (numbered.join(offsets, ["_pid", *g])
-            .withColumn("idx", (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_pid", "_local", "_off"))
+    return positions(out, g, [order_col], "idx", n_ranges=n_ranges)
 
 
 def train_or_all(df: DataFrame, source_col: str = "path", split_col: str = "split") -> DataFrame:

@@ -38,9 +38,12 @@ def array_perplexity(logps) -> Column:
 
 
 def rerank(df: DataFrame, group_col: str, *, ppl_col: str = "ppl", pos_col: str) -> DataFrame:
-    """L2: ``rank`` of every prompt inside its group, ascending perplexity, then position."""
-    w = Window.partitionBy(group_col).orderBy(F.col(ppl_col), F.col(pos_col))
-    return df.withColumn("rank", F.row_number().over(w))
+    """L2: 1-based ``rank`` of every prompt inside its group, ascending
+    perplexity, then position -- a distributed running count, so a group
+    holding a third of all prompts is not sorted in one task."""
+    from .ordered import positions
+    return positions(df, [group_col], [ppl_col, pos_col], "rank", base=1).withColumn(
+        "rank", F.col("rank").cast("int"))
 
 
 def template_wins(df: DataFrame, group_col: str, template_col: str, *, ppl_col: str = "ppl",

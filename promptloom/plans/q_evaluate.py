@@ -178,11 +178,10 @@ FROM p
 """)
 def perplexity_rerank_q(spark, sf):
     """A4 + L2: perplexity of every prompt, ranked inside its group (source)."""
-    from pyspark.sql import Window
-    p = _ppl(spark, sf)
-    w = Window.partitionBy("source").orderBy(F.round("ppl", 9), F.col("doc_id"))
-    return p.select("doc_id", "source", F.round("ppl", 6).alias("ppl"),
-                    F.row_number().over(w).alias("rank"))
+    from ..operators.perplexity import rerank
+    p = _ppl(spark, sf).withColumn("ppl9", F.round("ppl", 9))
+    return rerank(p, "source", ppl_col="ppl9", pos_col="doc_id").select(
+        "doc_id", "source", F.round("ppl", 6).alias("ppl"), "rank")
 
 
 @register("template_wins", _PPL_SQL + """

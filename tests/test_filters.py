@@ -59,3 +59,23 @@ def test_discover_prefix_overmatch(spark):
     assert discover(man, pre).count() == 3          # prefixes overlap: a row comes twice
     got = sorted((r["task"], r["basename"]) for r in discover(man, pre, exact=True).collect())
     assert got == [("cos_e", "cos_e_explain"), ("cos_e_v1", "cos_e_v1_rationale")]
+
+
+def test_running_sum_multi_batch_and_null_groups(spark):
+    from promptloom.operators.ordered import running_sum
+    rows = [(i, None if i % 4 == 0 else f"g{i % 3}", float(i % 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, g string, w double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["k"]: (r["s"], r["c"]) for r in
+               running_sum(df.repartition(5), ["g"], ["k"], {"s": "w", "c": None}, n_ranges=6).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    exp = {}
+    for g in {r[1] for r in rows}:
+        acc, cnt = 0.0, 0
+        for k, gg, w in sorted(r for r in rows if r[1] == g):
+            exp[k] = (acc, float(cnt))
+            acc, cnt = acc + w, cnt + 1
+    assert got == exp
