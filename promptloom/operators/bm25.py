@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # fixed values: the English stop-word set of the Lucene/Elasticsearch
 # "_english_" analyzer
 ENGLISH_STOP_WORDS = (
@@ -54,7 +56,7 @@ def postings(corpus: DataFrame, *, key: str, text_col: str, stop_words=None) ->
 def bm25_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_key: str,
               corpus_key: str, query_text: str = "text", corpus_text: str = "text",
               k1: float = 1.2, b: float = 0.75, stop_words=None,
-              max_broadcast_rows: int = 2_000_000) -> DataFrame:
+              max_broadcast_rows: int = 2_000_000, materialize: bool = True) -> DataFrame:
     """Top-k corpus rows per query: ``query_id, rank, doc_id, score``."""
     docs = corpus.select(F.col(corpus_key).cast("long").alias("doc_id"),
                          lexical_tokens(corpus_text, stop_words).alias("toks"))
@@ -70,7 +72,11 @@ def bm25_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_key: str,
     # on the exploded tokens, before the (doc, term) aggregation
     occ = (docs.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
            .join(F.broadcast(vocab) if small else vocab, "term", "left_semi"))
-    post = occ.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    post = occ.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    if materialize:
+        # both the document frequencies and the scoring read these postings:
+        # write them once (reliable checkpoint) instead of tokenising twice
+        post = cut_lineage(post)
     df_terms = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     qw = (qterms.join(df_terms, "term")

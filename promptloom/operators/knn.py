@@ -169,10 +169,25 @@ def _prepare(queries: DataFrame, corpus: DataFrame, query_key, corpus_key,
     return q, c
 
 
-def _partial_broadcast(q: DataFrame, c: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    table = q.toArrow()
-    qids = table.column("query_id").to_numpy()
-    Q = _vectors(table.column("vec"))
+def _collect_bounded(q: DataFrame, k: int, max_bytes: int, n_shards_hint: int = 4):
+    """The query side as (ids, matrix) when it fits ``max_bytes``, else None.
+
+    One bounded pass: the first row gives the dimension, then at most N + 1
+    rows are collected (``limit``); more than N rows means "too big"."""
+    first = q.limit(1).toArrow()
+    if first.num_rows == 0:
+        return np.zeros(0, dtype=np.int64), np.zeros((0, 0))
+    dim = len(first.column("vec")[0])
+    per_row = dim * 8 + n_shards_hint * k * 16 + 64
+    n_max = max(1, max_bytes // per_row)
+    table = q.limit(n_max + 1).toArrow()
+    if table.num_rows > n_max:
+        return None
+    return table.column("query_id").to_numpy(), _vectors(table.column("vec"))
+
+
+def _partial_broadcast(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, collected) -> DataFrame:
+    qids, Q = collected
     bq = c.sparkSession.sparkContext.broadcast((qids, Q))
 
     def scan(batches):
@@ -234,22 +249,16 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *,
                     query_vector_col, shard_col)
     if strategy not in ("auto", "broadcast", "tiled"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    chosen = strategy
-    nq = None
+    collected = None
     if strategy in ("auto", "broadcast"):
-        stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-        nq, dim = int(stats["n"]), int(stats["d"] or 0)
         # query vectors + the running (score, id) state for a handful of shards
-        need = nq * (dim * 8 + 4 * k * 16)
-        if strategy == "auto":
-            chosen = "broadcast" if need <= max_broadcast_bytes else "tiled"
-        elif need > max_broadcast_bytes:
-            raise ValueError(f"query side needs {need} bytes > {max_broadcast_bytes}")
-    if chosen == "broadcast":
-        partial = _partial_broadcast(q, c, k, exclude_self)
+        collected = _collect_bounded(q, k, max_broadcast_bytes)
+        if collected is None and strategy == "broadcast":
+            raise ValueError(f"query side exceeds {max_broadcast_bytes} bytes")
+    if collected is not None:
+        partial = _partial_broadcast(q, c, k, exclude_self, collected)
     else:
-        if nq is None:
-            nq = q.count()
+        nq = q.count()
         nc = c.count()
         partial = _partial_tiled(q, c, k, exclude_self, nq, nc, tile_queries, tile_corpus)
     w = Window.partitionBy("query_id", "shard").orderBy("score", "corpus_id")

@@ -119,46 +119,46 @@ def mixtures(tasks: DataFrame, *, blacklist=(), score_eval_blacklist=(), skip_ev
              max_examples: int = MAX_EXAMPLES_PER_DATASET, names=MIXTURE_NAMES) -> DataFrame:
     """``mixture, task_name, rate`` for the eight mixtures.
 
+    One pass over the task list: every task row lists the mixtures it joins
+    (an array of structs) and is exploded -- no union of eight filtered plans.
     Training mixtures weigh a task by its cap; ``*_score_eval`` mixtures use
-    ``min(num_examples, max_examples)`` (``num_examples``: task_name,
-    num_examples; without it the cap stands in).
+    ``min(num_examples, max_examples)`` of the rank-classification twin
+    (``num_examples``: task_name, num_examples; without it the cap stands in).
     """
     n_train, n_plus, n_pp, n_eval_se, n_train_se, n_one, n_all, n_bias = names
-    live = exclude_tasks(tasks, exact=blacklist)
-    train = live.where(F.col("do_train").isNotNull())
-
-    def cap_rate(df, name):
-        return df.select(F.lit(name).alias("mixture"), "task_name", F.col("cap").cast("double").alias("rate"))
-
-    parts = [
-        cap_rate(train.where(F.col("do_train") == "BASE"), n_train),
-        cap_rate(train.where(F.col("do_train").isin("BASE", "GPT_EVAL")), n_plus),
-        cap_rate(train.where(F.col("do_train").isin(*TRAIN_STAGES)), n_pp),
-        cap_rate(train.where((F.col("do_train") == "BASE") & F.col("first_original")), n_one),
-        cap_rate(train.where((F.col("do_train") == "BASE") & F.col("original_task")), n_all),
-    ]
-    # rank-classification twins exist for templates with answer choices
-    se = live.where("has_choices").withColumn("se_name", F.concat("task_name", F.lit(SCORE_EVAL)))
-    ex = (num_examples.select(F.col("task_name").alias("se_name"), "num_examples")
-          if num_examples is not None else None)
-
-    def se_rate(df, name):
-        df = df.join(ex, "se_name", "left") if ex is not None else df.withColumn("num_examples", F.col("cap"))
-        rate = F.least(F.coalesce(F.col("num_examples"), F.lit(0)), F.lit(max_examples)).cast("double")
-        return df.select(F.lit(name).alias("mixture"), F.col("se_name").alias("task_name"), rate.alias("rate"))
-
-    eval_base = se.where((F.col("do_eval") == "BASE") & F.col("original_task"))
-    parts.append(se_rate(eval_base, n_eval_se))
-    tr = se.where((F.col("do_train") == "BASE") & F.col("original_task")
-                  & ~F.col("se_name").isin(*score_eval_blacklist) if score_eval_blacklist
-                  else (F.col("do_train") == "BASE") & F.col("original_task"))
-    tr = exclude_tasks(tr, substrings=skip_eval, col="se_name")
-    parts.append(se_rate(tr, n_train_se))
-    parts.append(se_rate(se.where(F.col("do_eval") == "BIAS_FAIRNESS"), n_bias))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    live = exclude_tasks(tasks, exact=blacklist).withColumn(
+        "se_name", F.concat("task_name", F.lit(SCORE_EVAL)))
+    if num_examples is not None:
+        ex = num_examples.select(F.col("task_name").alias("se_name"), "num_examples")
+        live = live.join(ex, "se_name", "left")
+    else:
+        live = live.withColumn("num_examples", F.col("cap"))
+    cap_rate = F.col("cap").cast("double")
+    se_rate = F.least(F.coalesce(F.col("num_examples"), F.lit(0)), F.lit(max_examples)).cast("double")
+    tr, ev, orig = F.col("do_train"), F.col("do_eval"), F.coalesce(F.col("original_task"), F.lit(False))
+    choices = F.coalesce(F.col("has_choices"), F.lit(False))
+    train_se_ok = choices & (tr == "BASE") & orig
+    if score_eval_blacklist:
+        train_se_ok = train_se_ok & ~F.col("se_name").isin(*score_eval_blacklist)
+    for sub in skip_eval:
+        train_se_ok = train_se_ok & ~F.col("se_name").contains(sub)
+
+    def member(cond, name, task, rate):
+        return F.when(cond, F.struct(F.lit(name).alias("mixture"), task.alias("task_name"), rate.alias("rate")))
+
+    tn, se = F.col("task_name"), F.col("se_name")
+    entries = F.array(
+        member(tr == "BASE", n_train, tn, cap_rate),
+        member(tr.isin("BASE", "GPT_EVAL"), n_plus, tn, cap_rate),
+        member(tr.isin(*TRAIN_STAGES), n_pp, tn, cap_rate),
+        member((tr == "BASE") & F.coalesce(F.col("first_original"), F.lit(False)), n_one, tn, cap_rate),
+        member((tr == "BASE") & orig, n_all, tn, cap_rate),
+        member(choices & (ev == "BASE") & orig, n_eval_se, se, se_rate),
+        member(train_se_ok, n_train_se, se, se_rate),
+        member(choices & (ev == "BIAS_FAIRNESS"), n_bias, se, se_rate),
+    )
+    return (live.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("m"))
+            .select("m.mixture", "m.task_name", "m.rate"))
 
 
 def mixing_rates(mix: DataFrame) -> DataFrame:

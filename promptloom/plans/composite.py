@@ -18,19 +18,26 @@ from ..operators.embed import embed_text
 from ..operators.filters import allowed_templates, check_targets, with_lineage
 from ..operators.knn import knn_join
 from ..operators.mixture import sample_n
+from ..session import cut_lineage
 from ..sources.io import save_shard, write_once
 
 TEMPLATE_MODES = ("none", "own", "nearest")
 
 
 def build_index(prompted: DataFrame, *, key_col: str = "inputs_pretokenized", order_col: str = "row_id",
-                dim: int = 64, embedder=None, add_lineage: bool = False) -> DataFrame:
+                dim: int = 64, embedder=None, add_lineage: bool = False, columns=None,
+                materialize: bool = False) -> DataFrame:
     """D3: (lineage) + one vector per row of the key column; the corpus table.
 
     ``prompted`` is the union of the prompted datasets (``unionByName``, no
-    distinct, U1).  Write it with ``save_index`` or ``save_shard``."""
+    distinct, U1).  Write it with ``save_index`` / ``save_shard``, or pass
+    ``materialize=True`` to get it back as a reliable checkpoint: the vectors
+    are computed once however many searches read them."""
     df = with_lineage(prompted, order_col) if add_lineage else prompted
-    return embed_text(df, key_col, dim=dim, embedder=embedder)
+    out = embed_text(df, key_col, dim=dim, embedder=embedder)
+    if columns is not None:
+        out = out.select(*columns, "embedding")
+    return cut_lineage(out) if materialize else out
 
 
 def save_index(index: DataFrame, root: str, shard: str, *, key_name: str = "inputs_pretokenized",

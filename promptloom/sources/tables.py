@@ -19,8 +19,25 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# text tables and their keys: spread when the scan is narrower than the cluster
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id",
+             "benchmark": "item_id"}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, *, spread: bool = True) -> DataFrame:
+    """Scan one driver table.
+
+    A text table whose file has fewer splits than the default parallelism
+    (e.g. one large row group) is hash-partitioned on its key so the
+    tokenising stages use every core; on a cluster-sized scan the number of
+    splits already exceeds the parallelism and nothing is added."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = TEXT_KEYS.get(name)
+    if spread and key:
+        par = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < par:
+            df = df.repartition(par, key)
+    return df
 
 
 def prompted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
