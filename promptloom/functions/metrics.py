@@ -146,8 +146,8 @@ def squad(df, group_cols, id_col: str, answers="answers", prediction="prediction
     base = base.select(*g, id_col, "ans_i", squad_tokens("gold").alias("gt"),
                        squad_tokens(prediction).alias("pt"))
     keys = [id_col, "ans_i"]
-    pa_ = base.select(*keys, F.explode("pt").alias("item"))
-    ga_ = base.select(*keys, F.explode("gt").alias("item"))
+    pa_ = base.select(*keys, F.explode_outer("pt").alias("item")).where(F.col("item").isNotNull())
+    ga_ = base.select(*keys, F.explode_outer("gt").alias("item")).where(F.col("item").isNotNull())
     common = _bag_overlap(pa_, ga_, keys)
     s = base.join(common, keys, "left").fillna(0, ["common"])
     np_, ng = F.size("pt"), F.size("gt")
@@ -173,7 +173,10 @@ def _ngram_rows(df: DataFrame, keys, tokens: str, ns) -> DataFrame:
     def tag(n):  # a one-argument lambda: two arguments would mean (element, index)
         return lambda g: F.struct(F.lit(n).alias("n"), g.alias("item"))
     arr = F.flatten(F.array(*[F.transform(ngram_items(tokens, n), tag(n)) for n in ns]))
-    return df.select(*keys, F.explode(arr).alias("_x")).select(*keys, "_x.n", "_x.item")
+    # explode_outer keeps Catalyst from pushing an inferred size(arr) > 0
+    # (the whole n-gram build) below joins and exchanges into the scan
+    return (df.select(*keys, F.explode_outer(arr).alias("_x")).where(F.col("_x").isNotNull())
+            .select(*keys, "_x.n", "_x.item"))
 
 
 def bleu(df, group_cols, id_col: str, target="target", prediction="prediction",

@@ -49,7 +49,8 @@ def postings(corpus: DataFrame, *, key: str, text_col: str, stop_words=None) ->
     """``doc_id, term, tf, dl`` for every (document, term)."""
     toks = corpus.select(F.col(key).cast("long").alias("doc_id"),
                          lexical_tokens(text_col, stop_words).alias("toks"))
-    return (toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    return (toks.select("doc_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+            .where(F.col("term").isNotNull())
             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
 
 
@@ -63,14 +64,18 @@ def bm25_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_key: str,
     stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
     n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
     qterms = (queries.select(F.col(query_key).cast("long").alias("query_id"),
-                             F.explode(lexical_tokens(query_text, stop_words)).alias("term"))
+                             F.explode_outer(lexical_tokens(query_text, stop_words)).alias("term"))
+              .where(F.col("term").isNotNull())
               .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
     n_qterms = qterms.count()
     small = n_qterms <= max_broadcast_rows
     vocab = qterms.select("term").distinct()
     # only postings of query terms are ever aggregated: the semi join runs
     # on the exploded tokens, before the (doc, term) aggregation
-    occ = (docs.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    # explode_outer: a plain explode lets Catalyst infer size(toks) > 0 and push
+    # that filter (the whole tokenisation) into the scan, ahead of any exchange
+    occ = (docs.select("doc_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+           .where(F.col("term").isNotNull())
            .join(F.broadcast(vocab) if small else vocab, "term", "left_semi"))
     post = occ.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     if materialize:

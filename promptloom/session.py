@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,9 +40,30 @@ def get_session(master: str | None = None, app: str = "promptloom",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: dict = {}
+
+
+def ship_package(spark: SparkSession) -> str:
+    """Zip this package once per process and ``addPyFile`` it, so executors
+    on a cluster import the same code the driver plans with."""
+    sc = spark.sparkContext
+    key = id(sc)
+    if key in _SHIPPED:
+        return _SHIPPED[key]
+    pkg = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="promptloom-pkg-")) / "promptloom.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(pkg.rglob("*.py")):
+            z.write(f, f.relative_to(pkg.parent).as_posix())
+    sc.addPyFile(str(out))
+    _SHIPPED[key] = str(out)
+    return str(out)
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
