@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast
 from .text import NO_LABEL, strip_ws
 
 SEP = r"\|\|\|"
@@ -74,7 +75,7 @@ def apply_templates(df: DataFrame, templates: DataFrame, *, on=("dataset_name",)
     for k in on:
         c = df[k].eqNullSafe(t[f"_t_{k}"])
         cond = c if cond is None else cond & c
-    j = df.join(F.broadcast(t), cond).drop(*[f"_t_{k}" for k in on])
+    j = df.join(bounded_broadcast(t), cond).drop(*[f"_t_{k}" for k in on])
     inputs, targets, choices = apply_template_cols(
         "template_str", fields, "_choices_tpl" if has_choices else None)
     cols = [*keep, *on, "template_name", inputs.alias("inputs_pretokenized"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import bounded_broadcast
 from .ordered import positions
 
 LINEAGE_GROUP = ("dataset_name", "template_name", "split")
@@ -56,7 +57,7 @@ def keep_original(df: DataFrame, allow: DataFrame, *, task_col="task", basename_
         amap = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.lit(v))])
         key = F.coalesce(amap[F.col(task_col)], F.col(task_col))
     cond = (key == F.col("_meta_task")) & (F.col(basename_col) == F.col("_base"))
-    return df.join(F.broadcast(pairs), cond, "left_semi")
+    return df.join(bounded_broadcast(pairs), cond, "left_semi")
 
 
 def drop_omitted(df: DataFrame, omit: DataFrame, *, task_col="task", basename_col="basename") -> DataFrame:
@@ -65,7 +66,7 @@ def drop_omitted(df: DataFrame, omit: DataFrame, *, task_col="task", basename_co
     Equality on the task plus a residual ``contains``: a broadcast hash join."""
     pats = omit.select(F.col("task").alias("_task"), F.explode("omit_templates").alias("_pat"))
     cond = (F.col(task_col) == F.col("_task")) & F.col(basename_col).contains(F.col("_pat"))
-    return df.join(F.broadcast(pats), cond, "left_anti")
+    return df.join(bounded_broadcast(pats), cond, "left_anti")
 
 
 def allowed_templates(df: DataFrame, allow: DataFrame, keys=("dataset", "config", "template")) -> DataFrame:
@@ -73,7 +74,7 @@ def allowed_templates(df: DataFrame, allow: DataFrame, keys=("dataset", "config"
     a, b, c = keys
     al = allow.select(F.col(a).alias("_a"), F.col(b).alias("_b"), F.col(c).alias("_c"))
     cond = ((df[a] == al["_a"]) & df[b].eqNullSafe(al["_b"]) & (df[c] == al["_c"]))
-    return df.join(F.broadcast(al), cond, "left_semi")
+    return df.join(bounded_broadcast(al), cond, "left_semi")
 
 
 def unknown_pairs(df: DataFrame, allow: DataFrame, keys=("dataset", "config")) -> DataFrame:
@@ -81,14 +82,14 @@ def unknown_pairs(df: DataFrame, allow: DataFrame, keys=("dataset", "config")) -
     a, b = keys
     al = allow.select(F.col(a).alias("_a"), F.col(b).alias("_b")).distinct()
     cond = (F.col(a) == F.col("_a")) & F.col(b).eqNullSafe(F.col("_b"))
-    return df.select(a, b).distinct().join(F.broadcast(al), cond, "left_anti")
+    return df.select(a, b).distinct().join(bounded_broadcast(al), cond, "left_anti")
 
 
 def attach_template(df: DataFrame, templates: DataFrame, keys=("task", "template")) -> tuple[DataFrame, DataFrame]:
     """Inner join to ``template_str``; returns (joined, missing keys) --
     the reference fails on a missing key, so callers assert ``missing`` is empty."""
     keys = list(keys)
-    joined = df.join(F.broadcast(templates), keys)
+    joined = df.join(bounded_broadcast(templates), keys)
     missing = df.select(*keys).distinct().join(templates.select(*keys), keys, "left_anti")
     return joined, missing
 
@@ -138,7 +139,7 @@ def used_templates(paths: DataFrame, templates: DataFrame, *, path_col: str = "p
     from ..functions.names import normalise_template_name, parse_task_path
     keys = paths.select(ordinal_col, parse_task_path(F.col(path_col)).alias("k")).select(
         ordinal_col, F.col("k.task").alias("task"), normalise_template_name(F.col("k.template")).alias("template"))
-    j = keys.join(F.broadcast(templates), ["task", "template"])
+    j = keys.join(bounded_broadcast(templates), ["task", "template"])
     j = j.withColumn("task_template", F.concat_ws("_", "task", "template"))
     return j.groupBy("task_template").agg(F.max_by(F.struct("task", "template", "template_str"),
                                                      F.col(ordinal_col)).alias("v")).select("task_template", "v.*")

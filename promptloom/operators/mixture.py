@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import task_name as task_name_col
+from ..session import bounded_broadcast
 
 # fixed values: the example cap and the names of the eight mixtures
 MAX_EXAMPLES_PER_DATASET = 500_000
@@ -183,7 +184,7 @@ def mix_sample(examples: DataFrame, caps: DataFrame, *, task_col: str = "task_na
     """
     max_cap = int(caps.agg(F.max(cap_col)).first()[0] or 0)
     w = Window.partitionBy(task_col).orderBy(hash_order(seed, F.col(key_col)), F.col(key_col))
-    j = examples.join(F.broadcast(caps.select(task_col, cap_col)), task_col)
+    j = examples.join(bounded_broadcast(caps.select(task_col, cap_col)), task_col)
     ranked = j.withColumn("_r", F.row_number().over(w))
     return (ranked.where(F.col("_r") <= F.lit(max_cap)).where(F.col("_r") <= F.col(cap_col))
             .drop("_r"))

@@ -18,7 +18,7 @@ from ..operators.embed import embed_text
 from ..operators.filters import allowed_templates, check_targets, with_lineage
 from ..operators.knn import knn_join
 from ..operators.mixture import sample_n
-from ..session import cut_lineage
+from ..session import bounded_broadcast, cut_lineage
 from ..sources.io import save_shard, write_once
 
 TEMPLATE_MODES = ("none", "own", "nearest")
@@ -129,7 +129,7 @@ def template_augmented_set(rows: DataFrame, templates: DataFrame, *, mode: str =
     if mode == "none":
         out = rows.withColumn("chosen_examples", F.lit(None).cast(chosen_t))
     else:
-        own = F.broadcast(templates.select("task", "template_name", "template_str"))
+        own = bounded_broadcast(templates.select("task", "template_name", "template_str"))
         j = rows.join(own, ["task", "template_name"])
         if mode == "own":
             pick = F.struct(F.col("task").alias("task_full_name"), F.col("template_name"),
@@ -146,7 +146,7 @@ def template_augmented_set(rows: DataFrame, templates: DataFrame, *, mode: str =
                                      F.col("template_str").alias("n_str")), "corpus_id")
             m = et.select("eid", "task", "template_name").join(
                 nt.withColumnRenamed("query_id", "eid"), "eid").drop("eid", "corpus_id")
-            j = j.join(F.broadcast(m.select("task", "template_name", "n_task", "n_template", "n_str")),
+            j = j.join(bounded_broadcast(m.select("task", "template_name", "n_task", "n_template", "n_str")),
                        ["task", "template_name"])
             out = j.withColumn("template_str", F.col("n_str")).withColumn(
                 "chosen_examples", F.struct(F.col("n_task").alias("task_full_name"),

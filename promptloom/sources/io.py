@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import null_config, parse_task_path, result_name as result_name_col
+from ..session import bounded_broadcast
 
 REGISTRY_SCHEMA = ("HF_name string, subset string, task_by_convention string, "
                    "do_train string, do_eval string, train_size string")
@@ -88,7 +89,7 @@ def discover(manifest: DataFrame, prefixes: DataFrame, *, exact: bool = False,
     cond = base.startswith(F.col("task"))
     if exact:
         cond = parse_task_path(F.col(path_col))["task"] == F.col("task")
-    return manifest.join(F.broadcast(prefixes.select("task")), cond).withColumn("basename", base)
+    return manifest.join(bounded_broadcast(prefixes.select("task")), cond).withColumn("basename", base)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
