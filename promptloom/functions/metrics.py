@@ -183,28 +183,33 @@ def bleu(df, group_cols, id_col: str, target="target", prediction="prediction",
          max_n: int = 4) -> DataFrame:
     """Corpus BLEU (whitespace tokens, no smoothing, x100).
 
-    All n-gram orders go through one explode, one count per side, one join."""
+    All n-gram orders go through one explode, one count per side and one
+    overlap join; lengths and overlaps then meet in a union + aggregate."""
     g = _g(group_cols)
-    if not g:  # one corpus: a constant group keeps every step an equi-join
+    if not g:  # one corpus: a constant group key
         df, g = df.withColumn("_corpus", F.lit(1)), ["_corpus"]
     ns = list(range(1, max_n + 1))
     base = df.select(*g, id_col, whitespace_tokens(prediction).alias("h"),
                      whitespace_tokens(target).alias("r"))
     keys = g + [id_col]
     common = _bag_overlap(_ngram_rows(base, keys, "h", ns), _ngram_rows(base, keys, "r", ns), keys + ["n"])
-    m = (common.groupBy(*g).pivot("n", ns).agg(F.sum("common")))
-    m = m.select(*g, *[F.coalesce(F.col(str(n)), F.lit(0)).alias(f"m{n}") for n in ns])
-    tot = base.groupBy(*g).agg(
-        F.sum(F.size("h")).alias("hyp_len"), F.sum(F.size("r")).alias("ref_len"),
-        *[F.sum(F.greatest(F.size("h") - n + 1, F.lit(0))).alias(f"t{n}") for n in ns])
-    out = tot.join(m, g, "left").fillna(0, [f"m{n}" for n in ns])
+    # per-pair lengths and per-order overlaps meet in one union + aggregate
+    zero = F.lit(0).cast("long")
+    lens = base.select(*g, F.size("h").cast("long").alias("hyp_len"), F.size("r").cast("long").alias("ref_len"),
+                       *[F.greatest(F.size("h") - n + 1, F.lit(0)).cast("long").alias(f"t{n}") for n in ns],
+                       *[zero.alias(f"m{n}") for n in ns])
+    hits = common.select(*g, zero.alias("hyp_len"), zero.alias("ref_len"), *[zero.alias(f"t{n}") for n in ns],
+                         *[F.when(F.col("n") == n, F.col("common")).otherwise(0).cast("long").alias(f"m{n}")
+                           for n in ns])
+    cols = ["hyp_len", "ref_len"] + [f"t{n}" for n in ns] + [f"m{n}" for n in ns]
+    out = lens.unionByName(hits).groupBy(*g).agg(*[F.sum(c).alias(c) for c in cols])
     logs = [F.log(F.col(f"m{n}") / F.col(f"t{n}")) for n in ns]
-    zero = F.lit(False)
+    none = F.lit(False)
     for n in ns:
-        zero = zero | (F.col(f"m{n}") == 0)
+        none = none | (F.col(f"m{n}") == 0)
     bp = F.when(F.col("hyp_len") >= F.col("ref_len"), F.lit(1.0)).otherwise(
         F.exp(1.0 - F.col("ref_len") / F.col("hyp_len")))
-    score = F.when(zero, F.lit(0.0)).otherwise(bp * F.exp(sum(logs) / max_n) * 100.0)
+    score = F.when(none, F.lit(0.0)).otherwise(bp * F.exp(sum(logs) / max_n) * 100.0)
     keep = [c for c in g if c != "_corpus"]
     return out.select(*keep, score.alias("bleu"), "hyp_len", "ref_len")
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast
 from .text import NO_LABEL, strip_ws
 
 SEP = r"\|\|\|"
@@ -58,24 +57,37 @@ def apply_template_cols(template, fields, choices_template=None):
 
 
 def apply_templates(df: DataFrame, templates: DataFrame, *, on=("dataset_name",), fields=None,
-                    keep=()) -> DataFrame:
+                    keep=(), max_templates: int = 100_000) -> DataFrame:
     """J10 + F2 + P9: every row under every template of its dataset.
 
     ``templates``: ``on`` keys + template_name, template_str [, answer_choices].
-    The template table is a small dimension (templates per dataset), so it
-    is broadcast and joined on the dataset key -- an equi-join, no cross join.
+    The template table is a dimension whose size is checked (at most
+    ``max_templates`` rows); it becomes a literal map (dataset key -> list of
+    templates) and every row explodes its own list -- no join, no shuffle.
+    Keys are matched null-safely (a null config is a key of its own).
     """
     df = remove_hyphens(df)
     fields = list(fields or [c for c, t in df.dtypes if t == "string" and c not in on])
     has_choices = "answer_choices" in templates.columns
-    t = templates.withColumnRenamed("answer_choices", "_choices_tpl") if has_choices else templates
-    # null-safe keys: a null config matches the null-config templates
-    t = t.select(*[F.col(k).alias(f"_t_{k}") for k in on], *[c for c in t.columns if c not in on])
-    cond = None
-    for k in on:
-        c = df[k].eqNullSafe(t[f"_t_{k}"])
-        cond = c if cond is None else cond & c
-    j = df.join(bounded_broadcast(t), cond).drop(*[f"_t_{k}" for k in on])
+    rows = templates.limit(max_templates + 1).collect()
+    if len(rows) > max_templates:
+        raise ValueError(f"more than {max_templates} templates: join them as a table instead")
+    by_key: dict = {}
+    for r in rows:
+        key = "\x1f".join("\x00" if r[k] is None else str(r[k]) for k in on)
+        by_key.setdefault(key, []).append(
+            (r["template_name"], r["template_str"], r["answer_choices"] if has_choices else None))
+    tpl_type = "array<struct<template_name:string,template_str:string,_choices_tpl:string>>"
+    entries = []
+    for key, lst in sorted(by_key.items()):
+        arr = F.array(*[F.struct(F.lit(n).alias("template_name"), F.lit(s).alias("template_str"),
+                                 F.lit(c).cast("string").alias("_choices_tpl")) for n, s, c in lst])
+        entries += [F.lit(key), arr]
+    row_key = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in on])
+    mine = (F.coalesce(F.create_map(*entries)[row_key], F.array().cast(tpl_type)) if entries
+            else F.array().cast(tpl_type))
+    j = (df.select("*", F.explode_outer(mine).alias("_tpl")).where(F.col("_tpl").isNotNull())
+         .select("*", "_tpl.*").drop("_tpl"))
     inputs, targets, choices = apply_template_cols(
         "template_str", fields, "_choices_tpl" if has_choices else None)
     cols = [*keep, *on, "template_name", inputs.alias("inputs_pretokenized"),
