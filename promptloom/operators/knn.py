@@ -132,10 +132,13 @@ def _topk_against(Q, qids, C, cids, shards, k, exclude_self, state):
             best_s[lo:hi], best_i[lo:hi] = _merge(best_s[lo:hi], best_i[lo:hi], s, i, k)
 
 
-def _emit(qids, state) -> pa.RecordBatch:
+def _emit(qids, state, thresholds=None) -> pa.RecordBatch:
     parts_q, parts_s, parts_c, parts_d = [], [], [], []
     for shard, (best_s, best_i) in state.items():
         mask = np.isfinite(best_s)
+        if thresholds is not None and shard in thresholds:
+            # exact pruning: nothing above the subset's k-th distance can be in the top k
+            mask &= best_s <= thresholds[shard][:, None]
         rows, _ = np.nonzero(mask)
         parts_q.append(qids[rows])
         parts_s.append(np.full(len(rows), shard, dtype=object))
@@ -186,12 +189,31 @@ def _collect_bounded(q: DataFrame, k: int, max_bytes: int, n_shards_hint: int =
     return table.column("query_id").to_numpy(), _vectors(table.column("vec"))
 
 
-def _partial_broadcast(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, collected) -> DataFrame:
+def _thresholds(q_collected, subset: DataFrame, k: int, exclude_self: bool):
+    """Per shard, the k-th smallest exact distance of every query within a
+    subset of the corpus (+inf when the subset has fewer than k rows of that
+    shard).  Any subset gives an upper bound of the true k-th distance."""
+    qids, _ = q_collected
+    part = _partial_broadcast(None, subset, k, exclude_self, q_collected)
+    w = Window.partitionBy("query_id", "shard").orderBy("score", "corpus_id")
+    top = part.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k)
+    rows = top.select("query_id", "shard", "score").toArrow()   # at most |Q| x shards rows
+    pos = {int(v): i for i, v in enumerate(qids)}
+    out: dict = {}
+    for qid, shard, score in zip(rows.column("query_id").to_pylist(), rows.column("shard").to_pylist(),
+                                 rows.column("score").to_pylist()):
+        arr = out.setdefault(shard, np.full(len(qids), np.inf))
+        arr[pos[int(qid)]] = score
+    return out
+
+
+def _partial_broadcast(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, collected,
+                       thresholds=None) -> DataFrame:
     qids, Q = collected
-    bq = c.sparkSession.sparkContext.broadcast((qids, Q))
+    bq = c.sparkSession.sparkContext.broadcast((qids, Q, thresholds))
 
     def scan(batches):
-        qids_, Q_ = bq.value
+        qids_, Q_, thr = bq.value
         state: dict = {}
         for batch in batches:
             if batch.num_rows == 0:
@@ -201,7 +223,7 @@ def _partial_broadcast(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, c
                 raise ValueError("query and corpus vectors differ in length")
             cids = batch.column("corpus_id").to_numpy()
             _topk_against(Q_, qids_, C, cids, _shard_values(batch), k, exclude_self, state)
-        yield _emit(qids_, state)
+        yield _emit(qids_, state, thr)
 
     return c.mapInArrow(scan, PARTIAL_SCHEMA)
 
@@ -236,12 +258,20 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *,
              query_vector_col: str | None = None, shard_col: str | None = None,
              shard_order: list | None = None, exclude_self: bool = False,
              strategy: str = "auto", max_broadcast_bytes: int = 256 << 20,
-             tile_queries: int = 2048, tile_corpus: int = 16384) -> DataFrame:
+             tile_queries: int = 2048, tile_corpus: int = 16384,
+             prune_rows: int | None = None) -> DataFrame:
     """k nearest corpus rows (per shard) for every query row; exact.
 
     ``exclude_self`` drops pairs whose query and corpus ids are equal before
     ranking.  ``shard_order`` fixes the order of shards (``shard_ord``);
     without it the shard value must be integral and is its own order.
+
+    ``prune_rows`` (broadcast strategy): first rank the queries against a
+    subset of that many corpus rows (``limit``) and keep, in the full scan,
+    only candidates within each query's subset k-th distance -- still exact,
+    and each task then ships far fewer than k rows per query when the subset
+    is much larger than one task's share.  ``None`` picks 32 x the rows of an
+    average scan partition when the corpus holds many partitions; 0 disables.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -256,7 +286,16 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *,
         if collected is None and strategy == "broadcast":
             raise ValueError(f"query side exceeds {max_broadcast_bytes} bytes")
     if collected is not None:
-        partial = _partial_broadcast(q, c, k, exclude_self, collected)
+        thresholds = None
+        m = prune_rows
+        if m is None:
+            n_parts = c.rdd.getNumPartitions()
+            m = 0
+            if n_parts >= 64:
+                m = int(32 * c.count() / n_parts)
+        if m and m > k:
+            thresholds = _thresholds(collected, c.limit(m), k, exclude_self)
+        partial = _partial_broadcast(q, c, k, exclude_self, collected, thresholds)
     else:
         nq = q.count()
         nc = c.count()

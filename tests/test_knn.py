@@ -54,3 +54,12 @@ def test_k_larger_than_shard_gives_fewer_rows(spark):
     assert r.where("query_id = 1 AND shard = '1'").count() == 1
     m = merged_order(r).where("query_id = 1").orderBy("pos").select("corpus_id").collect()
     assert [x[0] for x in m] == [1, 2, 3]
+
+
+def test_knn_threshold_pruning_is_exact(spark, vectors):
+    df, X, ids, shards = vectors
+    r = knn_join(df.repartition(6), df.repartition(6), 4, query_key="id", corpus_key="id", shard_col="shard",
+                 exclude_self=True, strategy="broadcast", prune_rows=120)
+    got = {(a, b, c, d, round(e, 9)) for a, b, c, d, e in
+           r.select("query_id", "shard", "rank", "corpus_id", "score").collect()}
+    assert got == brute(X, ids, shards, 4, True)
