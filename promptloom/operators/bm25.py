@@ -14,8 +14,10 @@ a semi join before the ``(doc, term, tf)`` aggregation.  When the query side is
 counted and checked against ``max_broadcast_rows``) it is broadcast: the
 postings are probed in place, so a term present in a third of all documents
 never lands in one task.  Otherwise the join is a shuffle join on ``term``
-with AQE's skew split.  Pair scores are summed with a map-side partial
-aggregate and ranked with ``row_number() <= k`` (partial WindowGroupLimit).
+whose hot terms (document frequency above ``hot_df``) are salted across
+tasks, with AQE's skew split as a second line.  Pair scores are summed with
+a map-side partial aggregate and ranked with ``row_number() <= k`` (partial
+WindowGroupLimit).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import bounded_broadcast, cut_lineage
 
 # fixed values: the English stop-word set of the Lucene/Elasticsearch
 # "_english_" analyzer
@@ -54,10 +56,30 @@ def postings(corpus: DataFrame, *, key: str, text_col: str, stop_words=None) ->
             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
 
 
+def _salted_term_join(post: DataFrame, qw: DataFrame, df_terms: DataFrame, hot_df: int,
+                      max_salt: int = 64) -> DataFrame:
+    """Shuffle join on term with hot terms split: a term in more than ``hot_df``
+    documents gets ``ceil(df / hot_df)`` salts (at most ``max_salt``); its
+    postings spread by ``hash(doc) % salts`` and its query rows are repeated
+    once per salt.  The hot-term list has at most postings / hot_df rows."""
+    hot = (df_terms.where(F.col("df") > hot_df)
+           .select("term", F.least(F.ceil(F.col("df") / F.lit(hot_df)), F.lit(max_salt)).cast("int").alias("n_salt")))
+    hot = bounded_broadcast(hot)
+    p = (post.join(hot, "term", "left")
+         .withColumn("salt", F.when(F.col("n_salt").isNull(), F.lit(0))
+                     .otherwise(F.pmod(F.xxhash64("doc_id"), F.col("n_salt")).cast("int")))
+         .drop("n_salt"))
+    q = (qw.join(hot, "term", "left")
+         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("n_salt"), F.lit(1)) - 1)))
+         .drop("n_salt"))
+    return p.join(q, ["term", "salt"]).drop("salt")
+
+
 def bm25_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_key: str,
               corpus_key: str, query_text: str = "text", corpus_text: str = "text",
               k1: float = 1.2, b: float = 0.75, stop_words=None,
-              max_broadcast_rows: int = 2_000_000, materialize: bool = True) -> DataFrame:
+              max_broadcast_rows: int = 2_000_000, materialize: bool = True,
+              hot_df: int | None = None, max_salt: int = 64) -> DataFrame:
     """Top-k corpus rows per query: ``query_id, rank, doc_id, score``."""
     docs = corpus.select(F.col(corpus_key).cast("long").alias("doc_id"),
                          lexical_tokens(corpus_text, stop_words).alias("toks"))
@@ -86,7 +108,10 @@ def bm25_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_key: str,
     idf = F.ln(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     qw = (qterms.join(df_terms, "term")
           .select("query_id", "term", (F.col("qtf") * idf).alias("w")))
-    pairs = post.join(F.broadcast(qw) if small else qw, "term")
+    if small:
+        pairs = post.join(F.broadcast(qw), "term")
+    else:
+        pairs = _salted_term_join(post, qw, df_terms, hot_df or max(1, n_docs // 64))
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
     part = F.col("w") * F.col("tf") / (F.col("tf") + norm)
     scored = pairs.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))

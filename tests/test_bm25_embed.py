@@ -68,3 +68,16 @@ def test_embedder_matches_numpy(spark):
         n = np.linalg.norm(v)
         v = v / n if n else v
         assert np.allclose(got[i], v, atol=1e-6)
+
+
+def test_bm25_salted_hot_terms(spark):
+    q = spark.createDataFrame(list(enumerate(QUERIES)), "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
+    r = bm25_join(q, d, 2, query_key="item_id", corpus_key="doc_id", max_broadcast_rows=0, hot_df=1, max_salt=3)
+    got = {}
+    for row in r.orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append((row["doc_id"], row["score"]))
+    exp = brute(2)
+    for qi in exp:
+        assert [x[0] for x in got[qi]] == [x[0] for x in exp[qi]]
+        assert all(math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(got[qi], exp[qi]))
