@@ -189,6 +189,24 @@ def _collect_bounded(q: DataFrame, k: int, max_bytes: int, n_shards_hint: int =
     return table.column("query_id").to_numpy(), _vectors(table.column("vec"))
 
 
+def _auto_prune_rows(c: DataFrame, dim: int) -> int:
+    """Subset size for pruning from the optimizer's size estimate (no job):
+    32 x the rows of one scan split, when the corpus spans at least 64 splits.
+    Only a corpus read straight from files qualifies: estimates of joins and
+    aggregates are not sizes, and a derived corpus would be computed twice."""
+    spark = c.sparkSession
+    plan = c._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    if any(op in text for op in ("Join", "Aggregate", "Window", "Generate", "MapInArrow", "Python")):
+        return 0
+    est = int(str(plan.stats().sizeInBytes()))
+    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
+    if est < 64 * split:
+        return 0
+    rows_per_split = max(1, split // max(1, dim * 4 + 16))
+    return 32 * rows_per_split
+
+
 def _thresholds(q_collected, subset: DataFrame, k: int, exclude_self: bool):
     """Per shard, the k-th smallest exact distance of every query within a
     subset of the corpus (+inf when the subset has fewer than k rows of that
@@ -289,10 +307,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *,
         thresholds = None
         m = prune_rows
         if m is None:
-            n_parts = c.rdd.getNumPartitions()
-            m = 0
-            if n_parts >= 64:
-                m = int(32 * c.count() / n_parts)
+            m = _auto_prune_rows(c, len(collected[0]) and collected[1].shape[1])
         if m and m > k:
             thresholds = _thresholds(collected, c.limit(m), k, exclude_self)
         partial = _partial_broadcast(q, c, k, exclude_self, collected, thresholds)

@@ -22,6 +22,7 @@ from ..session import bounded_broadcast, cut_lineage
 from ..sources.io import save_shard, write_once
 
 TEMPLATE_MODES = ("none", "own", "nearest")
+MAX_TEMPLATES = 100_000
 
 
 def build_index(prompted: DataFrame, *, key_col: str = "inputs_pretokenized", order_col: str = "row_id",
@@ -129,7 +130,9 @@ def template_augmented_set(rows: DataFrame, templates: DataFrame, *, mode: str =
     if mode == "none":
         out = rows.withColumn("chosen_examples", F.lit(None).cast(chosen_t))
     else:
-        own = bounded_broadcast(templates.select("task", "template_name", "template_str"))
+        tsel = templates.select("task", "template_name", "template_str")
+        small = tsel.limit(MAX_TEMPLATES + 1).count() <= MAX_TEMPLATES
+        own = F.broadcast(tsel) if small else tsel
         j = rows.join(own, ["task", "template_name"])
         if mode == "own":
             pick = F.struct(F.col("task").alias("task_full_name"), F.col("template_name"),
@@ -146,8 +149,9 @@ def template_augmented_set(rows: DataFrame, templates: DataFrame, *, mode: str =
                                      F.col("template_str").alias("n_str")), "corpus_id")
             m = et.select("eid", "task", "template_name").join(
                 nt.withColumnRenamed("query_id", "eid"), "eid").drop("eid", "corpus_id")
-            j = j.join(bounded_broadcast(m.select("task", "template_name", "n_task", "n_template", "n_str")),
-                       ["task", "template_name"])
+            # at most one row per evaluation template (k = 1): bounded when the templates are
+            mm = m.select("task", "template_name", "n_task", "n_template", "n_str")
+            j = j.join(F.broadcast(mm) if small else mm, ["task", "template_name"])
             out = j.withColumn("template_str", F.col("n_str")).withColumn(
                 "chosen_examples", F.struct(F.col("n_task").alias("task_full_name"),
                                             F.col("n_template").alias("template_name"),
