@@ -36,6 +36,7 @@ ENGLISH_STOP_WORDS = (
 )
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
+DOC_MARK = ""   # empty strings are removed from token arrays, so this is no term
 
 
 def lexical_tokens(col, stop_words=None):
@@ -83,8 +84,6 @@ def bm25_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_key: str,
     """Top-k corpus rows per query: ``query_id, rank, doc_id, score``."""
     docs = corpus.select(F.col(corpus_key).cast("long").alias("doc_id"),
                          lexical_tokens(corpus_text, stop_words).alias("toks"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
-    n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
     qterms = (queries.select(F.col(query_key).cast("long").alias("query_id"),
                              F.explode_outer(lexical_tokens(query_text, stop_words)).alias("term"))
               .where(F.col("term").isNotNull())
@@ -92,18 +91,32 @@ def bm25_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_key: str,
     n_qterms = qterms.count()
     small = n_qterms <= max_broadcast_rows
     vocab = qterms.select("term").distinct()
+    if small:
+        # one corpus scan: every document also emits a marker posting (the
+        # empty term, never a token) that carries its length, so N and avgdl
+        # come from the postings instead of a second tokenising pass
+        vocab = vocab.unionByName(vocab.sparkSession.createDataFrame([(DOC_MARK,)], "term string"))
+        toks = F.concat(F.array(F.lit(DOC_MARK)), F.col("toks"))
+    else:
+        stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
+        toks = F.col("toks")
     # only postings of query terms are ever aggregated: the semi join runs
-    # on the exploded tokens, before the (doc, term) aggregation
+    # on the exploded tokens, before the (doc, term) aggregation.
     # explode_outer: a plain explode lets Catalyst infer size(toks) > 0 and push
     # that filter (the whole tokenisation) into the scan, ahead of any exchange
-    occ = (docs.select("doc_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+    occ = (docs.select("doc_id", F.size("toks").alias("dl"), F.explode_outer(toks).alias("term"))
            .where(F.col("term").isNotNull())
            .join(F.broadcast(vocab) if small else vocab, "term", "left_semi"))
     post = occ.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     if materialize:
-        # both the document frequencies and the scoring read these postings:
-        # write them once (reliable checkpoint) instead of tokenising twice
+        # statistics, document frequencies and scoring all read these
+        # postings: write them once (reliable checkpoint)
         post = cut_lineage(post)
+    if small:
+        stats = (post.where(F.col("term") == DOC_MARK)
+                 .agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first())
+        post = post.where(F.col("term") != DOC_MARK)
+    n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
     df_terms = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     qw = (qterms.join(df_terms, "term")
