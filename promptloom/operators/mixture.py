@@ -8,8 +8,8 @@ Inputs are DataFrames:
   has_choices, template_ord`` -- one row per prompt template.
 
 Everything is joins, aggregates and unions; the mixture names, black lists
-and the 500,000 example cap are parameters whose defaults are the
-reference's values.
+and the 500,000 example cap are parameters; the cap's default is the
+reference's value.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from ..functions.names import task_name as task_name_col
 from ..session import bounded_broadcast
 
-# fixed values: the example cap and the names of the eight mixtures
+# fixed value: the per-dataset example cap; mixture names are parameters (defaults below)
 MAX_EXAMPLES_PER_DATASET = 500_000
 MIXTURE_NAMES = (
-    "t0_train", "t0+_train", "t0++_train", "t0_eval_score_eval", "t0_train_score_eval",
-    "t0_train_one_og_prompt", "t0_train_all_og_prompts", "bias_fairness_eval_score_eval",
+    "train", "train_plus", "train_plus_plus", "eval_score_eval", "train_score_eval",
+    "train_one_original_prompt", "train_all_original_prompts", "bias_fairness_eval_score_eval",
 )
 TRAIN_STAGES = ("BASE", "GPT_EVAL", "SGLUE")
 EVAL_STAGES = ("BASE", "BIAS_FAIRNESS")

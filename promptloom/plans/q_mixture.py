@@ -122,13 +122,13 @@ live AS (SELECT * FROM tasks WHERE task_name NOT IN ({bl})),
 se AS (SELECT *, task_name || '_score_eval' AS se_name,
               CAST(least(coalesce(cap, 0), {MAX_EXAMPLES}) AS DOUBLE) AS se_rate FROM live WHERE has_choices),
 mix AS (
-  SELECT 't0_train' AS mixture, task_name, cap::DOUBLE AS rate FROM live WHERE do_train = 'BASE'
-  UNION ALL SELECT 't0+_train', task_name, cap::DOUBLE FROM live WHERE do_train IN ('BASE', 'GPT_EVAL')
-  UNION ALL SELECT 't0++_train', task_name, cap::DOUBLE FROM live WHERE do_train IN ('BASE', 'GPT_EVAL', 'SGLUE')
-  UNION ALL SELECT 't0_train_one_og_prompt', task_name, cap::DOUBLE FROM live WHERE do_train = 'BASE' AND first_original
-  UNION ALL SELECT 't0_train_all_og_prompts', task_name, cap::DOUBLE FROM live WHERE do_train = 'BASE' AND original_task
-  UNION ALL SELECT 't0_eval_score_eval', se_name, se_rate FROM se WHERE do_eval = 'BASE' AND original_task
-  UNION ALL SELECT 't0_train_score_eval', se_name, se_rate FROM se
+  SELECT 'train' AS mixture, task_name, cap::DOUBLE AS rate FROM live WHERE do_train = 'BASE'
+  UNION ALL SELECT 'train_plus', task_name, cap::DOUBLE FROM live WHERE do_train IN ('BASE', 'GPT_EVAL')
+  UNION ALL SELECT 'train_plus_plus', task_name, cap::DOUBLE FROM live WHERE do_train IN ('BASE', 'GPT_EVAL', 'SGLUE')
+  UNION ALL SELECT 'train_one_original_prompt', task_name, cap::DOUBLE FROM live WHERE do_train = 'BASE' AND first_original
+  UNION ALL SELECT 'train_all_original_prompts', task_name, cap::DOUBLE FROM live WHERE do_train = 'BASE' AND original_task
+  UNION ALL SELECT 'eval_score_eval', se_name, se_rate FROM se WHERE do_eval = 'BASE' AND original_task
+  UNION ALL SELECT 'train_score_eval', se_name, se_rate FROM se
             WHERE do_train = 'BASE' AND original_task AND {skip}
   UNION ALL SELECT 'bias_fairness_eval_score_eval', se_name, se_rate FROM se WHERE do_eval = 'BIAS_FAIRNESS'),
 tot AS (SELECT mixture, sum(rate) AS t FROM mix GROUP BY mixture)

@@ -42,14 +42,14 @@ def test_mixtures(spark, tmp_path):
     by = {}
     for r in m.collect():
         by.setdefault(r["mixture"], set()).add(r["task_name"])
-    assert by["t0_train"] == {"big_a", "big_b"}
-    assert by["t0+_train"] == {"big_a", "big_b", "gpt_g"}
-    assert by["t0++_train"] == {"big_a", "big_b", "gpt_g", "super_glue_rte_x"}
-    assert by["t0_train_one_og_prompt"] == {"big_b"}
-    assert by["t0_eval_score_eval"] == {"ev_e1_score_eval", "anli_can_we_infer_r1_score_eval",
+    assert by["train"] == {"big_a", "big_b"}
+    assert by["train_plus"] == {"big_a", "big_b", "gpt_g"}
+    assert by["train_plus_plus"] == {"big_a", "big_b", "gpt_g", "super_glue_rte_x"}
+    assert by["train_one_original_prompt"] == {"big_b"}
+    assert by["eval_score_eval"] == {"ev_e1_score_eval", "anli_can_we_infer_r1_score_eval",
                                         "anli_can_we_infer_r2_score_eval", "anli_can_we_infer_r3_score_eval"}
     assert by["bias_fairness_eval_score_eval"] == {"bias_bf_score_eval"}
-    shares = mixing_rates(m).where("mixture = 't0_train'").collect()
+    shares = mixing_rates(m).where("mixture = 'train'").collect()
     assert abs(sum(r["share"] for r in shares) - 1.0) < 1e-12
 
 
