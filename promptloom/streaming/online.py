@@ -46,6 +46,13 @@ def augment_batch(batch: DataFrame, corpus: DataFrame, *, k: int, K: int, key: s
                    exclude_self=False, max_length=max_length)
 
 
+def write_batch(out: DataFrame, batch_id: int, output_path: str) -> None:
+    """Idempotent sink: (re)writes only the ``batch_id`` partition."""
+    (out.withColumn("batch_id", F.lit(batch_id).cast("long"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(output_path))
+
+
 def online_augment(stream: DataFrame, corpus_loader, output_path: str, checkpoint_location: str, *,
                    k: int = 1, K: int = 1, key: str = "row_id", text_col: str = "inputs_pretokenized",
                    style: str = "online", dim: int = 64, embedder=None, trigger: dict | None = None,
@@ -57,9 +64,7 @@ def online_augment(stream: DataFrame, corpus_loader, output_path: str, checkpoin
         corpus = corpus_loader(batch.sparkSession)
         out = augment_batch(batch, corpus, k=k, K=K, key=key, text_col=text_col, style=style,
                             dim=dim, embedder=embedder)
-        (out.withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(output_path))
+        write_batch(out, batch_id, output_path)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
     if query_name:

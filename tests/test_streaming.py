@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from promptloom.operators.embed import embed_text
 from promptloom.sources.tables import prompted_documents, read_table
-from promptloom.streaming.online import augment_batch, online_augment, prompt_stream
+from promptloom.streaming.online import augment_batch, online_augment, prompt_stream, write_batch
 
 
 def test_online_stream_equals_batch(spark):
@@ -28,3 +28,14 @@ def test_online_stream_equals_batch(spark):
     exp = {r["row_id"]: r["inputs_pretokenized"]
            for r in augment_batch(bench, corpus(spark), k=2, K=1).collect()}
     assert got == exp and len(got) == bench.count()
+
+
+def test_replayed_batch_is_idempotent(spark):
+    scratch = tempfile.mkdtemp(prefix="pl-replay-")
+    a = spark.range(5).withColumnRenamed("id", "row_id")
+    b = spark.range(5, 8).withColumnRenamed("id", "row_id")
+    write_batch(a, 0, f"{scratch}/out")
+    write_batch(b, 1, f"{scratch}/out")
+    write_batch(b, 1, f"{scratch}/out")          # the same micro-batch again after a failure
+    got = sorted(r["row_id"] for r in spark.read.parquet(f"{scratch}/out").collect())
+    assert got == list(range(8))
