@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.templates import append_knowledge, apply_templates
-from ..operators.augment import augment
+from ..operators.augment import augment, rank_demonstrations
 from ..operators.chosen import chosen_corpus
 from ..operators.embed import embed_text
 from ..operators.filters import allowed_templates, check_targets, with_lineage
@@ -102,11 +102,24 @@ def retrieve_task(rows: DataFrame, templates: DataFrame, allow: DataFrame, corpu
     return out
 
 
-def seen_in_training(queries: DataFrame, augmented_train: DataFrame, corpus_vectors: DataFrame, K: int, *,
+def chosen_keys(queries: DataFrame, candidates: DataFrame, corpus: DataFrame, K: int, **rules) -> DataFrame:
+    """The distinct (dataset_name, template_name, idx) an augmentation with K
+    demonstrations would choose -- from the key-only ranking, no text built."""
+    picked = rank_demonstrations(queries, candidates, corpus, K, **rules)
+    return picked.select(F.col("c_dataset").alias("dataset_name"), F.col("c_template").alias("template_name"),
+                         F.col("c_idx").alias("idx")).distinct()
+
+
+def seen_in_training(queries: DataFrame, chosen: DataFrame, corpus_vectors: DataFrame, K: int, *,
                      k: int = 20, max_length: int = 1024) -> DataFrame:
     """Augment with demonstrations drawn only from the examples chosen
-    during training (A8's corpus) -- same rules as D1; K = 0 gives []."""
-    chosen = chosen_corpus(augmented_train).select("dataset_name", "template_name", "idx")
+    during training (A8's corpus) -- same rules as D1; K = 0 gives [].
+
+    ``chosen``: the training augmentation's chosen examples -- either its
+    output (``chosen_examples`` column) or their keys (``chosen_keys``)."""
+    if "chosen_examples" in chosen.columns:
+        chosen = chosen_corpus(chosen)
+    chosen = chosen.select("dataset_name", "template_name", "idx")
     corpus = corpus_vectors.join(chosen, ["dataset_name", "template_name", "idx"], "left_semi")
     cand = knn_join(queries, corpus, k, query_key="row_id", corpus_key="row_id",
                     shard_col="shard" if "shard" in corpus.columns else None)
