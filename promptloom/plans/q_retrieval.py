@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators.augment import augment, augment_stats
 from ..operators.bm25 import bm25_join
 from ..operators.chosen import chosen_corpus

@@ -1,6 +1,5 @@
 import math
 
-from pyspark.sql import functions as F
 
 from promptloom.operators.augment import augment, augment_stats
 from promptloom.operators.filters import keep_original, used_templates

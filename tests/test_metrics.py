@@ -1,6 +1,5 @@
 import math
 
-from pyspark.sql import functions as F
 
 from promptloom.functions import metrics as M
 

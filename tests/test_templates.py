@@ -1,6 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
 
 from promptloom.functions.templates import append_knowledge, apply_templates
 
