@@ -51,7 +51,10 @@ _SHIPPED: dict = {}
 def ship_package(spark: SparkSession) -> str:
     """Zip this package once per process and ``addPyFile`` it, so executors
     on a cluster import the same code the driver plans with."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:   # a session without a classic SparkContext: nothing to ship
+        return ""
     key = id(sc)
     if key in _SHIPPED:
         return _SHIPPED[key]
