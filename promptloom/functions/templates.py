@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .text import NO_LABEL, strip_ws
 
+# fixed values: the input/target separator and the knowledge block marker
 SEP = r"\|\|\|"
 KIC = "[KiC]"
 

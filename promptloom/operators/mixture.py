@@ -26,6 +26,7 @@ MIXTURE_NAMES = (
     "train", "train_plus", "train_plus_plus", "eval_score_eval", "train_score_eval",
     "train_one_original_prompt", "train_all_original_prompts", "bias_fairness_eval_score_eval",
 )
+# fixed values: registry stage labels, ANLI rounds and the rank-classification suffix
 TRAIN_STAGES = ("BASE", "GPT_EVAL", "SGLUE")
 EVAL_STAGES = ("BASE", "BIAS_FAIRNESS")
 ANLI_ROUNDS = ("r1", "r2", "r3")
