@@ -295,9 +295,8 @@ class _Windows:
         real = own[own < len(self.keys)]
         lens = self.lens[real]
         chars = self.buckets[np.repeat(self.at[real] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())]
-        extra = len(own) - len(real)
-        return (np.append(self.ids[real], [-1] * extra), chars, np.append(lens, [0] * extra).astype(np.int64),
-                index.reshape(number.shape), m)
+        pad = np.zeros(len(own) - len(real), np.int64)
+        return np.append(self.ids[real], pad - 1), chars, np.append(lens, pad), index.reshape(number.shape), m
 
 
 def fit_network(texts: list[list[str]], y: np.ndarray, rounds: int = 5, batch: int = 192, rate: float = 0.012,
@@ -314,7 +313,7 @@ def fit_network(texts: list[list[str]], y: np.ndarray, rounds: int = 5, batch: i
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     balance = min(4.0, ((y == 0).sum() / max(1, (y == 1).sum())) ** 0.5)
     best = np.zeros(len(data.of), np.float32)
-    n_steps = 0
+    n_steps, batch = 0, min(batch, max(16, len(y) // 8))
     train = ~held[data.of]
     for turn in range(rounds):
         # each text by its highest window, and by another one picked at random if it is clean
@@ -324,7 +323,10 @@ def fit_network(texts: list[list[str]], y: np.ndarray, rounds: int = 5, batch: i
         other = some[np.unique(data.of[some], return_index=True)[1]]
         pick = np.concatenate([top, other[(y[data.of[other]] == 0) | (turn < 2)]])
         pick = pick[train[pick]]
-        for _ in range(2):
+        if not len(pick):
+            break
+        passes = max(2, -(-60 * batch // len(pick)))      # a small sample is passed more often
+        for _ in range(min(passes, 40)):
             pick = rng.permutation(pick)
             for i in range(0, len(pick), batch):
                 b = pick[i:i + batch]
