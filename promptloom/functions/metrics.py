@@ -11,7 +11,7 @@ grouped counts + an equi-join on (pair, n-gram).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -241,24 +241,41 @@ def rouge_n(df, group_cols, id_col: str, target="target", prediction="prediction
     return per.groupBy(*g).agg(*[F.avg(f"rouge{n}").alias(f"rouge{n}") for n in ns])
 
 
-@F.pandas_udf(T.LongType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest common subsequence length of two token arrays (row-wise DP in numpy)."""
-    out = np.zeros(len(a), dtype=np.int64)
-    for i, (x, y) in enumerate(zip(a, b)):
-        if x is None or y is None or len(x) == 0 or len(y) == 0:
-            continue
-        vocab = {t: j for j, t in enumerate(set(x) | set(y))}
-        xi = np.fromiter((vocab[t] for t in x), dtype=np.int64, count=len(x))
-        yi = np.fromiter((vocab[t] for t in y), dtype=np.int64, count=len(y))
-        prev = np.zeros(len(yi) + 1, dtype=np.int64)
-        for t in xi:
-            match = np.concatenate(([0], np.where(yi == t, prev[:-1] + 1, 0)))
-            cur = np.maximum(match, prev)
-            cur = np.maximum.accumulate(cur)
-            prev = cur
-        out[i] = prev[-1]
-    return pd.Series(out)
+_LCS_CELLS = 1 << 20
+
+
+def lcs_lengths(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Longest common subsequence length of two token lists, row by row of a batch.
+
+    Tokens become codes once for the batch; rows of like length are worked on together,
+    so a step of the recurrence handles one position of many rows."""
+    n = len(a)
+    both = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode()
+    codes = both.indices.to_numpy(zero_copy_only=False)
+    la, lb = (np.asarray(x.value_lengths().fill_null(0), dtype=np.int64) for x in (a, b))
+    at_a, at_b = np.cumsum(la) - la, len(codes) - lb.sum() + np.cumsum(lb) - lb
+    out = np.zeros(n, np.int64)
+    order = np.argsort(np.maximum(la, lb), kind="stable")
+    order = order[(la[order] > 0) & (lb[order] > 0)]
+    start = 0
+    while start < len(order):
+        width = np.maximum.accumulate(lb[order[start:]])
+        stop = start + max(1, int(np.searchsorted(width * np.arange(1, len(width) + 1), _LCS_CELLS)))
+        rows, start = order[start:stop], stop
+        ja, jb = np.arange(la[rows].max()), np.arange(lb[rows].max())
+        x = np.where(ja < la[rows, None], codes[np.minimum(at_a[rows, None] + ja, len(codes) - 1)], -1)
+        y = np.where(jb < lb[rows, None], codes[np.minimum(at_b[rows, None] + jb, len(codes) - 1)], -2)
+        last = np.zeros((len(rows), len(jb) + 1), np.int32)
+        for j in range(len(ja)):
+            match = np.where(y == x[:, j:j + 1], last[:, :-1] + 1, 0)
+            last[:, 1:] = np.maximum.accumulate(np.maximum(match, last[:, 1:]), axis=1)
+        out[rows] = last[np.arange(len(rows)), lb[rows]]
+    return out
+
+
+@F.arrow_udf(T.LongType())
+def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(lcs_lengths(a, b))
 
 
 def rouge_l(df, group_cols, target="target", prediction="prediction") -> DataFrame:

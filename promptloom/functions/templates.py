@@ -1,9 +1,11 @@
 """Prompt templates.
 
-Supported template language: ``{{column}}`` placeholders (spaces inside the
-braces allowed), ``|||`` between input and target, and answer choices as a
-``|||``-separated template.  General Jinja is out of scope (a per-row
-library); see the README.
+Supported template language: ``{{column}}`` placeholders (spaces inside the braces
+allowed; any scalar column), ``{{answer_choices[column]}}``, ``|||`` between input and
+target, and answer choices as a ``|||``-separated template.  A template is cut into
+literals and placeholders first and filled once, so a field that holds ``|||`` or
+``{{...}}`` is plain text; an unknown placeholder fails.  General Jinja is out of scope
+(a per-row library); see the README.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast
 from .text import NO_LABEL, strip_ws
 
 # fixed values: the input/target separator and the knowledge block marker
@@ -22,17 +25,28 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def normalise_placeholders(template) -> Column:
-    """``{{ name }}`` -> ``{{name}}``."""
-    return F.regexp_replace(_c(template), r"\{\{\s*([A-Za-z0-9_]+)\s*\}\}", "{{$1}}")
+PLACEHOLDER = r"\{\{\s*(.*?)\s*\}\}"
+CHOICE = r"^answer_choices\[\s*(\w+)\s*\]$"
 
 
-def render(template, fields) -> Column:
-    """Fill ``{{field}}`` from columns of the same name (null -> '')."""
-    out = normalise_placeholders(template)
-    for f in fields:
-        out = F.replace(out, F.lit("{{" + f + "}}"), F.coalesce(F.col(f).cast("string"), F.lit("")))
-    return out
+def render(template, fields, choices=None) -> Column:
+    """Fill each ``{{field}}`` of ``template`` once from the column of that name (null -> '').
+
+    ``choices``: the answer choices that ``{{answer_choices[field]}}`` picks from."""
+    t = _c(template)
+    values = F.create_map(*[x for f in fields for x in (F.lit(f), F.coalesce(F.col(f).cast("string"), F.lit("")))]) \
+        if fields else F.create_map().cast("map<string,string>")
+
+    def value(name):
+        found = values[name]
+        if choices is not None:
+            label = values[F.regexp_extract(name, CHOICE, 1)]
+            found = F.coalesce(found, F.get(choices, label.try_cast("int")))
+        return F.coalesce(found, F.raise_error(F.concat(F.lit("a template has an unknown placeholder: "), name)))
+
+    literals = F.split(t, PLACEHOLDER, -1)
+    filled = F.transform(F.regexp_extract_all(t, F.lit(PLACEHOLDER), F.lit(1)), value)
+    return F.array_join(F.zip_with(literals, F.concat(filled, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
 
 def remove_hyphens(df: DataFrame) -> DataFrame:
@@ -45,53 +59,44 @@ def apply_template_cols(template, fields, choices_template=None):
 
     Two parts -> stripped input and target ('' target -> '<NO LABEL>');
     any other number of parts -> both empty (dropped later by P9)."""
-    parts = F.split(render(template, fields), SEP)
-    ok = F.size(parts) == 2
-    inputs = F.when(ok, strip_ws(F.get(parts, 0))).otherwise(F.lit(""))
-    target = strip_ws(F.get(parts, 1))
-    targets = F.when(ok, F.when(target == "", F.lit(NO_LABEL)).otherwise(target)).otherwise(F.lit(""))
     choices = None
     if choices_template is not None:
         ch = _c(choices_template)
-        choices = F.when(ch.isNotNull(), F.transform(F.split(render(ch, fields), SEP), strip_ws))
+        choices = F.when(ch.isNotNull(), F.transform(F.split(ch, SEP), lambda c: strip_ws(render(c, fields))))
+    parts = F.split(_c(template), SEP, -1)
+    ok = F.size(parts) == 2
+    inputs = F.when(ok, strip_ws(render(F.get(parts, 0), fields, choices))).otherwise(F.lit(""))
+    target = strip_ws(render(F.get(parts, 1), fields, choices))
+    targets = F.when(ok, F.when(target == "", F.lit(NO_LABEL)).otherwise(target)).otherwise(F.lit(""))
     return inputs, targets, choices
 
 
+SCALARS = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp")
+
+
 def apply_templates(df: DataFrame, templates: DataFrame, *, on=("dataset_name",), fields=None,
-                    keep=(), max_templates: int = 100_000) -> DataFrame:
+                    keep=()) -> DataFrame:
     """J10 + F2 + P9: every row under every template of its dataset.
 
     ``templates``: ``on`` keys + template_name, template_str [, answer_choices].
-    The template table is a dimension whose size is checked (at most
-    ``max_templates`` rows); it becomes a literal map (dataset key -> list of
-    templates) and every row explodes its own list -- no join, no shuffle.
-    Keys are matched null-safely (a null config is a key of its own).
+    A null-safe equi-join on the keys (a null config is a key of its own): the template
+    table is broadcast when its rows and bytes are proven small, otherwise both sides
+    shuffle and AQE splits a hot dataset.  ``fields``: the columns placeholders may
+    name; all scalar columns by default.
     """
     df = remove_hyphens(df)
-    fields = list(fields or [c for c, t in df.dtypes if t == "string" and c not in on])
+    fields = list(fields or [c for c, t in df.dtypes if t in SCALARS or t.startswith("decimal")])
     has_choices = "answer_choices" in templates.columns
-    rows = templates.limit(max_templates + 1).collect()
-    if len(rows) > max_templates:
-        raise ValueError(f"more than {max_templates} templates: join them as a table instead")
-    by_key: dict = {}
-    for r in rows:
-        key = "\x1f".join("\x00" if r[k] is None else str(r[k]) for k in on)
-        by_key.setdefault(key, []).append(
-            (r["template_name"], r["template_str"], r["answer_choices"] if has_choices else None))
-    tpl_type = "array<struct<template_name:string,template_str:string,_choices_tpl:string>>"
-    entries = []
-    for key, lst in sorted(by_key.items()):
-        arr = F.array(*[F.struct(F.lit(n).alias("template_name"), F.lit(s).alias("template_str"),
-                                 F.lit(c).cast("string").alias("_choices_tpl")) for n, s, c in lst])
-        entries += [F.lit(key), arr]
-    row_key = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in on])
-    mine = (F.coalesce(F.create_map(*entries)[row_key], F.array().cast(tpl_type)) if entries
-            else F.array().cast(tpl_type))
-    j = (df.select("*", F.explode_outer(mine).alias("_tpl")).where(F.col("_tpl").isNotNull())
-         .select("*", "_tpl.*").drop("_tpl"))
-    inputs, targets, choices = apply_template_cols(
-        "template_str", fields, "_choices_tpl" if has_choices else None)
-    cols = [*keep, *on, "template_name", inputs.alias("inputs_pretokenized"),
+    right = templates.select(*[F.col(c).alias(f"_on_{c}") for c in on], F.col("template_name").alias("_tpl_name"),
+                             F.col("template_str").alias("_tpl_str"),
+                             *([F.col("answer_choices").alias("_tpl_choices")] if has_choices else []))
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & df[c].eqNullSafe(right[f"_on_{c}"])
+    j = df.drop("template_name").join(bounded_broadcast(right), cond)
+    fields = [f for f in fields if f != "template_name"]
+    inputs, targets, choices = apply_template_cols("_tpl_str", fields, "_tpl_choices" if has_choices else None)
+    cols = [*keep, *on, F.col("_tpl_name").alias("template_name"), inputs.alias("inputs_pretokenized"),
             targets.alias("targets_pretokenized")]
     if choices is not None:
         cols.append(choices.alias("answer_choices"))

@@ -14,7 +14,7 @@ a semi join before the ``(doc, term, tf)`` aggregation.  When the query side is
 counted and checked against ``max_broadcast_rows``) it is broadcast: the
 postings are probed in place, so a term present in a third of all documents
 never lands in one task.  Otherwise the join is a shuffle join on ``term``
-whose hot terms (document frequency above ``hot_df``) are salted across
+whose hot terms (more than ``task_postings`` documents) are salted across
 tasks, with AQE's skew split as a second line.  Pair scores are summed with
 a map-side partial aggregate and ranked with ``row_number() <= k`` (partial
 WindowGroupLimit).
@@ -48,23 +48,13 @@ def lexical_tokens(col, stop_words=None):
     return toks
 
 
-def postings(corpus: DataFrame, *, key: str, text_col: str, stop_words=None) -> DataFrame:
-    """``doc_id, term, tf, dl`` for every (document, term)."""
-    toks = corpus.select(F.col(key).cast("long").alias("doc_id"),
-                         lexical_tokens(text_col, stop_words).alias("toks"))
-    return (toks.select("doc_id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
-            .where(F.col("term").isNotNull())
-            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")))
-
-
-def _salted_term_join(post: DataFrame, qw: DataFrame, df_terms: DataFrame, hot_df: int,
-                      max_salt: int = 64) -> DataFrame:
-    """Shuffle join on term with hot terms split: a term in more than ``hot_df``
-    documents gets ``ceil(df / hot_df)`` salts (at most ``max_salt``); its
-    postings spread by ``hash(doc) % salts`` and its query rows are repeated
-    once per salt.  The hot-term list has at most postings / hot_df rows."""
-    hot = (df_terms.where(F.col("df") > hot_df)
-           .select("term", F.least(F.ceil(F.col("df") / F.lit(hot_df)), F.lit(max_salt)).cast("int").alias("n_salt")))
+def _salted_term_join(post: DataFrame, qw: DataFrame, df_terms: DataFrame, task_postings: int) -> DataFrame:
+    """Shuffle join on term with hot terms split: the postings of a term go to
+    ``ceil(df / task_postings)`` tasks by ``hash(doc)`` and its query rows are
+    repeated once per salt, so no task gets much more than ``task_postings`` of
+    one term however frequent it is.  Terms are the query vocabulary."""
+    hot = (df_terms.where(F.col("df") > task_postings)
+           .select("term", F.ceil(F.col("df") / F.lit(task_postings)).cast("int").alias("n_salt")))
     hot = bounded_broadcast(hot)
     p = (post.join(hot, "term", "left")
          .withColumn("salt", F.when(F.col("n_salt").isNull(), F.lit(0))
@@ -80,9 +70,12 @@ def bm25_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_key: str,
               corpus_key: str, query_text: str = "text", corpus_text: str = "text",
               k1: float = 1.2, b: float = 0.75, stop_words=None,
               max_broadcast_rows: int = 2_000_000, materialize: bool = True,
-              hot_df: int | None = None, max_salt: int = 64) -> DataFrame:
-    """Top-k corpus rows per query: ``query_id, rank, doc_id, score``."""
-    docs = corpus.select(F.col(corpus_key).cast("long").alias("doc_id"),
+              task_postings: int = 200_000) -> DataFrame:
+    """Top-k corpus rows per query: ``query_id, rank, doc_id, score``.
+
+    N and avgdl count the documents whose text is not null (an empty text is a
+    document of length 0), whichever way the join goes."""
+    docs = corpus.where(F.col(corpus_text).isNotNull()).select(F.col(corpus_key).cast("long").alias("doc_id"),
                          lexical_tokens(corpus_text, stop_words).alias("toks"))
     qterms = (queries.select(F.col(query_key).cast("long").alias("query_id"),
                              F.explode_outer(lexical_tokens(query_text, stop_words)).alias("term"))
@@ -91,15 +84,11 @@ def bm25_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_key: str,
     n_qterms = qterms.count()
     small = n_qterms <= max_broadcast_rows
     vocab = qterms.select("term").distinct()
-    if small:
-        # one corpus scan: every document also emits a marker posting (the
-        # empty term, never a token) that carries its length, so N and avgdl
-        # come from the postings instead of a second tokenising pass
-        vocab = vocab.unionByName(vocab.sparkSession.createDataFrame([(DOC_MARK,)], "term string"))
-        toks = F.concat(F.array(F.lit(DOC_MARK)), F.col("toks"))
-    else:
-        stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
-        toks = F.col("toks")
+    # one corpus scan: every document also emits a marker posting (the empty
+    # term, never a token) that carries its length, so N and avgdl come from
+    # the postings instead of a second tokenising pass
+    vocab = vocab.unionByName(vocab.sparkSession.createDataFrame([(DOC_MARK,)], "term string"))
+    toks = F.concat(F.array(F.lit(DOC_MARK)), F.col("toks"))
     # only postings of query terms are ever aggregated: the semi join runs
     # on the exploded tokens, before the (doc, term) aggregation.
     # explode_outer: a plain explode lets Catalyst infer size(toks) > 0 and push
@@ -112,10 +101,9 @@ def bm25_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_key: str,
         # statistics, document frequencies and scoring all read these
         # postings: write them once (reliable checkpoint)
         post = cut_lineage(post)
-    if small:
-        stats = (post.where(F.col("term") == DOC_MARK)
-                 .agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first())
-        post = post.where(F.col("term") != DOC_MARK)
+    stats = (post.where(F.col("term") == DOC_MARK)
+             .agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first())
+    post = post.where(F.col("term") != DOC_MARK)
     n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
     df_terms = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -124,7 +112,7 @@ def bm25_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_key: str,
     if small:
         pairs = post.join(F.broadcast(qw), "term")
     else:
-        pairs = _salted_term_join(post, qw, df_terms, hot_df or max(1, n_docs // 64))
+        pairs = _salted_term_join(post, qw, df_terms, task_postings)
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
     part = F.col("w") * F.col("tf") / (F.col("tf") + norm)
     scored = pairs.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))

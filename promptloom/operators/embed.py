@@ -1,46 +1,52 @@
 """Text embedding (V1): one vector per text, no shuffle.
 
-Default: a deterministic feature-hashing embedder.  Tokens (lower-cased runs
-of letters/digits) are hashed JVM-side with ``xxhash64`` to a signed bucket;
-an Arrow ``pandas_udf`` adds the signed counts per bucket with
-``numpy.bincount`` and L2-normalises the vector.  Any model can be plugged
-in as ``embedder``: a function ``Column -> Column`` such as an iterator
-``pandas_udf`` that loads the model once per task and embeds batches (Arrow
-batches of ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows, 512 in the
-reference's batched mode).
+Default: a deterministic feature-hashing embedder.  Every token (lower-cased run
+of letters/digits) gets the number of the first 8 hex digits of its MD5, JVM-side;
+the number modulo ``dim`` is its bucket and the top bit its sign.  An Arrow UDF adds
+the signs per bucket for a whole batch with one ``numpy.bincount`` and L2-normalises
+the vectors.  Any model can be plugged in as ``embedder``: a function
+``Column -> Column`` such as an iterator ``pandas_udf`` that loads the model once per
+task and embeds batches (Arrow batches of
+``spark.sql.execution.arrow.maxRecordsPerBatch`` rows, 512 in the reference's batched
+mode).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bm25 import lexical_tokens
 
+TOP_BIT = 1 << 31
 
-def signed_buckets(text_col, dim: int, max_tokens: int | None = None) -> Column:
-    """``bucket + 1`` with the sign of the token's hash (never 0)."""
+
+def token_numbers(text_col, max_tokens: int | None = None) -> Column:
+    """The 32-bit number of every token."""
     toks = lexical_tokens(text_col)
     if max_tokens is not None:
         toks = F.slice(toks, 1, max_tokens)
-    return F.transform(toks, lambda t: F.when(F.xxhash64(t) >= 0, F.lit(1)).otherwise(F.lit(-1))
-                       * (F.pmod(F.xxhash64(t), F.lit(dim)) + 1))
+    return F.transform(toks, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"))
+
+
+def dense_vectors(numbers: pa.Array, dim: int) -> pa.Array:
+    """Normalised signed bucket counts of every row (null or empty: zeros)."""
+    n = len(numbers)
+    flat = numbers.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(n), np.asarray(numbers.value_lengths().fill_null(0)))
+    v = np.bincount(row * dim + flat % dim, np.where(flat >= TOP_BIT, 1.0, -1.0), n * dim).reshape(n, dim)
+    norm = np.sqrt((v * v).sum(1, keepdims=True))
+    out = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype(np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(out.ravel()))
 
 
 def _dense(dim: int):
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def dense(codes: pd.Series) -> pd.Series:
-        out = []
-        for c in codes:
-            c = np.asarray(c, dtype=np.int64) if c is not None else np.zeros(0, np.int64)
-            v = (np.bincount(np.abs(c) - 1, weights=np.sign(c), minlength=dim)
-                 if len(c) else np.zeros(dim))
-            n = np.sqrt((v * v).sum())
-            out.append((v / n if n > 0 else v).astype(np.float32))
-        return pd.Series(out)
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def dense(numbers: pa.Array) -> pa.Array:
+        return dense_vectors(numbers, dim)
     return dense
 
 
@@ -52,4 +58,4 @@ def embed_text(df: DataFrame, text_col: str, *, dim: int = 64, out_col: str = "e
     embeds the whole text."""
     if embedder is not None:
         return df.withColumn(out_col, embedder(F.col(text_col)))
-    return df.withColumn(out_col, _dense(dim)(signed_buckets(text_col, dim, max_tokens)))
+    return df.withColumn(out_col, _dense(dim)(token_numbers(text_col, max_tokens)))

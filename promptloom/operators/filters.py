@@ -43,7 +43,8 @@ def train_or_all(df: DataFrame, source_col: str = "path", split_col: str = "spli
 def keep_original(df: DataFrame, allow: DataFrame, *, task_col="task", basename_col="basename",
                   aliases: dict | None = None) -> DataFrame:
     """P5: keep rows whose basename is listed in the task's
-    ``original_dataset_name``; a task without the key drops out.
+    ``original_dataset_name``; a task that the metadata does not list fails, one listed
+    without originals keeps nothing.
 
     ``allow``: (task, original_dataset_name array) -- the task metadata.
     ``aliases`` (P15): task -> metadata key, e.g. wiki_hop -> wiki_hop_original."""
@@ -53,8 +54,11 @@ def keep_original(df: DataFrame, allow: DataFrame, *, task_col="task", basename_
     if aliases:
         amap = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.lit(v))])
         key = F.coalesce(amap[F.col(task_col)], F.col(task_col))
+    known = allow.select(F.col("task").alias("_known")).distinct()
+    checked = df.join(bounded_broadcast(known), key == F.col("_known"), "left").where(
+        F.col("_known").isNotNull() | F.raise_error(F.concat(F.lit("unknown task: "), key)).cast("boolean")).drop("_known")
     cond = (key == F.col("_meta_task")) & (F.col(basename_col) == F.col("_base"))
-    return df.join(bounded_broadcast(pairs), cond, "left_semi")
+    return checked.join(bounded_broadcast(pairs), cond, "left_semi")
 
 
 def drop_omitted(df: DataFrame, omit: DataFrame, *, task_col="task", basename_col="basename") -> DataFrame:
@@ -82,10 +86,15 @@ def unknown_pairs(df: DataFrame, allow: DataFrame, keys=("dataset", "config")) -
     return df.select(a, b).distinct().join(bounded_broadcast(al), cond, "left_anti")
 
 
-def attach_template(df: DataFrame, templates: DataFrame, keys=("task", "template")) -> tuple[DataFrame, DataFrame]:
-    """Inner join to ``template_str``; returns (joined, missing keys) --
-    the reference fails on a missing key, so callers assert ``missing`` is empty."""
+def attach_template(df: DataFrame, templates: DataFrame, keys=("task", "template"), *, fail: bool = False):
+    """Join to ``template_str``.  With ``fail`` a row without a template fails, as in
+    the reference; else returns (joined, missing keys) for callers that report them."""
     keys = list(keys)
+    if fail:
+        j = df.join(bounded_broadcast(templates.withColumn("_has", F.lit(True))), keys, "left")
+        named = F.concat_ws("/", *keys)
+        return j.where(F.col("_has").isNotNull() | F.raise_error(
+            F.concat(F.lit("no template: "), named)).cast("boolean")).drop("_has")
     joined = df.join(bounded_broadcast(templates), keys)
     missing = df.select(*keys).distinct().join(templates.select(*keys), keys, "left_anti")
     return joined, missing

@@ -5,20 +5,25 @@ Result rows: ``query_id, shard, shard_ord, rank, corpus_id, score`` with at
 most ``k`` rows per (query, shard) -- k from *each* shard, never re-cut to k
 over all shards.  Ties are broken by ``corpus_id`` so the order is total.
 
-Two physical strategies, both exact:
-
-* ``broadcast`` -- the query side is counted first; when its vectors and the
-  running top-k state fit ``max_broadcast_bytes`` they are shipped once to
-  every task and the corpus is scanned in place by ``mapInArrow`` (no corpus
-  shuffle).  Each task keeps a running top-k per (query, shard) over all its
-  batches and emits at most k rows per query and shard.
-* ``tiled`` -- beyond that bound, queries and corpus are hashed into blocks
+Three physical strategies, all exact, chosen by size:
+
+* ``corpus`` -- the corpus fits ``max_broadcast_bytes``: it is shipped once to
+  every task and the queries are scanned in place by ``mapInArrow``.  A task sees
+  the whole corpus, so its lists are final: no shuffle at all.
+* ``broadcast`` -- the query side fits: it is shipped, the corpus is scanned in
+  place, each task keeps a running top-k per (query, shard) and emits at most k
+  rows of each.  A task holds the state of at most ``_LIVE_SHARDS`` shards; the
+  oldest is emitted when more turn up (partial lists merge anyway).
+* ``tiled`` -- beyond both bounds, queries and corpus are hashed into blocks
   sized from their counts; each (query block, corpus block) tile meets in a
   cogroup whose size is bounded by the tile sizes, never by a key.
 
-The per-task partial lists are merged by a ``row_number() <= k`` window over
-(query, shard); Spark inserts a partial ``WindowGroupLimit`` before that
+The partial lists of the last two are merged by a ``row_number() <= k`` window
+over (query, shard); Spark inserts a partial ``WindowGroupLimit`` before that
 shuffle, so each task ships at most k rows per (query, shard).
+
+Query ids are unique.  Null vectors take no part; a vector with a null or non-finite component fails the
+query, as it has no distance.
 """
 
 from __future__ import annotations
@@ -33,10 +38,14 @@ from pyspark.sql import functions as F
 PARTIAL_SCHEMA = "query_id long, shard string, corpus_id long, score double"
 _PARTIAL_ARROW = pa.schema([("query_id", pa.int64()), ("shard", pa.string()),
                             ("corpus_id", pa.int64()), ("score", pa.float64())])
+FINAL_SCHEMA = PARTIAL_SCHEMA + ", rank int"
+_FINAL_ARROW = _PARTIAL_ARROW.append(pa.field("rank", pa.int32()))
 
 # numpy work per distance block: at most this many float64 cells (32 MiB)
 _BLOCK_CELLS = 1 << 22
 _SLACK = 8
+_LIVE_SHARDS = 4
+MAX_SHARDS = 10_000        # shards are saved index files, named by their makers
 
 
 def _vectors(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -51,8 +60,10 @@ def _vectors(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     d = int(lengths[0])
     if not np.all(lengths == d):
         raise ValueError("all vectors of a knn_join must have the same length")
-    values = col.flatten().to_numpy(zero_copy_only=False)
-    return values.astype(np.float64, copy=False).reshape(n, d)
+    values = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if not np.isfinite(values).all():
+        raise ValueError("a vector has a null or non-finite component")
+    return values.reshape(n, d)
 
 
 def _exact_sq(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -132,30 +143,33 @@ def _topk_against(Q, qids, C, cids, shards, k, exclude_self, state):
             best_s[lo:hi], best_i[lo:hi] = _merge(best_s[lo:hi], best_i[lo:hi], s, i, k)
 
 
-def _emit(qids, state, thresholds=None) -> pa.RecordBatch:
-    parts_q, parts_s, parts_c, parts_d = [], [], [], []
+def _emit(qids, state, thresholds=None, final=False) -> pa.RecordBatch:
+    """The lists in ``state`` as rows; ``final`` lists carry their ranks."""
+    parts_q, parts_s, parts_c, parts_d, parts_r = [], [], [], [], []
     for shard, (best_s, best_i) in state.items():
         mask = np.isfinite(best_s)
         if thresholds is not None and shard in thresholds:
             # exact pruning: nothing above the subset's k-th distance can be in the top k
             mask &= best_s <= thresholds[shard][:, None]
-        rows, _ = np.nonzero(mask)
+        rows, place = np.nonzero(mask)
+        parts_r.append(place + 1)
         parts_q.append(qids[rows])
         parts_s.append(np.full(len(rows), shard, dtype=object))
         parts_c.append(best_i[mask])
         parts_d.append(best_s[mask])
+    schema = _FINAL_ARROW if final else _PARTIAL_ARROW
     if not parts_q:
-        return pa.RecordBatch.from_pylist([], schema=_PARTIAL_ARROW)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(parts_q), pa.int64()),
-         pa.array(np.concatenate(parts_s), pa.string()),
-         pa.array(np.concatenate(parts_c), pa.int64()),
-         pa.array(np.concatenate(parts_d), pa.float64())],
-        schema=_PARTIAL_ARROW)
+        return pa.RecordBatch.from_pylist([], schema=schema)
+    parts = [parts_q, parts_s, parts_c, parts_d, *([parts_r] if final else [])]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(parts, schema.types)],
+                                      schema=schema)
 
 
 def _shard_values(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
-    return np.asarray(batch.column("shard").to_pylist(), dtype=object)
+    """Shard names as objects, one Python string per distinct name."""
+    col = batch.column("shard")
+    col = (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).dictionary_encode()
+    return np.asarray(col.dictionary.to_pylist(), dtype=object)[col.indices.to_numpy(zero_copy_only=False)]
 
 
 def _prepare(queries: DataFrame, corpus: DataFrame, query_key, corpus_key,
@@ -172,39 +186,43 @@ def _prepare(queries: DataFrame, corpus: DataFrame, query_key, corpus_key,
     return q, c
 
 
-def _collect_bounded(q: DataFrame, k: int, max_bytes: int, n_shards_hint: int = 4):
-    """The query side as (ids, matrix) when it fits ``max_bytes``, else None.
+def _collect_bounded(side: DataFrame, k: int, max_bytes: int, state_rows: int):
+    """One side as an Arrow table when it fits ``max_bytes``, else None.
 
-    One bounded pass: the first row gives the dimension, then at most N + 1
-    rows are collected (``limit``); more than N rows means "too big"."""
-    first = q.limit(1).toArrow()
+    The first row gives the dimension, then at most N + 1 rows are collected
+    (``limit``); more than N rows means "too big".  ``state_rows``: rows of k
+    (score, id) pairs that a task holds for each row of this side."""
+    first = side.limit(1).toArrow()
     if first.num_rows == 0:
-        return np.zeros(0, dtype=np.int64), np.zeros((0, 0))
-    dim = len(first.column("vec")[0])
-    per_row = dim * 8 + n_shards_hint * k * 16 + 64
+        return first
+    per_row = len(first.column("vec")[0]) * 8 + state_rows * k * 16 + 64
     n_max = max(1, max_bytes // per_row)
-    table = q.limit(n_max + 1).toArrow()
-    if table.num_rows > n_max:
-        return None
-    return table.column("query_id").to_numpy(), _vectors(table.column("vec"))
-
-
-def _auto_prune_rows(c: DataFrame, dim: int) -> int:
-    """Subset size for pruning from the optimizer's size estimate (no job):
-    32 x the rows of one scan split, when the corpus spans at least 64 splits.
-    Only a corpus read straight from files qualifies: estimates of joins and
-    aggregates are not sizes, and a derived corpus would be computed twice."""
-    spark = c.sparkSession
+    table = side.limit(n_max + 1).toArrow()
+    return table if table.num_rows <= n_max else None
+
+
+_SCAN_NODES = {"LogicalRelation", "LogicalRDD", "Project", "Filter"}
+
+
+def _prune_buckets(c: DataFrame, dim: int) -> int:
+    """In how many hash buckets to cut the corpus so that one of them, about 32 times a
+    scan task's rows, gives the thresholds; 0: no pruning.
+
+    Only for a corpus that is read straight from files or a stored table (decided
+    from the classes of the plan's nodes) over 64 splits or more: estimates of
+    joins and aggregates are not sizes, and a derived corpus would be computed
+    twice.  No job runs; the result rows are the same either way."""
     plan = c._jdf.queryExecution().optimizedPlan()
-    text = plan.toString()
-    if any(op in text for op in ("Join", "Aggregate", "Window", "Generate", "MapInArrow", "Python")):
-        return 0
-    est = int(str(plan.stats().sizeInBytes()))
-    split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
-    if est < 64 * split:
-        return 0
-    rows_per_split = max(1, split // max(1, dim * 4 + 16))
-    return 32 * rows_per_split
+    nodes = [plan]
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() not in _SCAN_NODES:
+            return 0
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    split = int(c.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    splits = int(str(plan.stats().sizeInBytes())) // split
+    return splits // 32 if splits >= 64 and dim else 0
 
 
 def _thresholds(q_collected, subset: DataFrame, k: int, exclude_self: bool):
@@ -216,15 +234,38 @@ def _thresholds(q_collected, subset: DataFrame, k: int, exclude_self: bool):
     w = Window.partitionBy("query_id", "shard").orderBy("score", "corpus_id")
     top = part.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k)
     rows = top.select("query_id", "shard", "score").toArrow()   # at most |Q| x shards rows
-    pos = {int(v): i for i, v in enumerate(qids)}
+    by = np.argsort(qids, kind="stable")
+    at = by[np.searchsorted(qids[by], rows.column("query_id").to_numpy())]
+    shards, score = _shard_values(rows), rows.column("score").to_numpy()
     out: dict = {}
-    for qid, shard, score in zip(rows.column("query_id").to_pylist(), rows.column("shard").to_pylist(),
-                                 rows.column("score").to_pylist()):
-        arr = out.setdefault(shard, np.full(len(qids), np.inf))
-        arr[pos[int(qid)]] = score
+    for shard in set(shards):
+        m = shards == shard
+        out[shard] = np.full(len(qids), np.inf)
+        out[shard][at[m]] = score[m]
     return out
 
 
+def _partial_corpus(q: DataFrame, table: pa.Table, k: int, exclude_self: bool) -> DataFrame:
+    """Queries scanned in place against the whole, broadcast corpus: final lists."""
+    held = (_vectors(table.column("vec")), table.column("corpus_id").to_numpy(), _shard_values(table))
+    bc = q.sparkSession.sparkContext.broadcast(held)
+
+    def scan(batches):
+        C, cids, shards = bc.value
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            Q = _vectors(batch.column("vec"))
+            if len(C) and C.shape[1] != Q.shape[1]:
+                raise ValueError("query and corpus vectors differ in length")
+            qids = batch.column("query_id").to_numpy()
+            state: dict = {}
+            _topk_against(Q, qids, C, cids, shards, k, exclude_self, state)
+            yield _emit(qids, state, final=True)
+
+    return q.mapInArrow(scan, FINAL_SCHEMA)
+
+
 def _partial_broadcast(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, collected,
                        thresholds=None) -> DataFrame:
     qids, Q = collected
@@ -241,6 +282,9 @@ def _partial_broadcast(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, c
                 raise ValueError("query and corpus vectors differ in length")
             cids = batch.column("corpus_id").to_numpy()
             _topk_against(Q_, qids_, C, cids, _shard_values(batch), k, exclude_self, state)
+            while len(state) > _LIVE_SHARDS:
+                first = next(iter(state))
+                yield _emit(qids_, {first: state.pop(first)}, thr)
         yield _emit(qids_, state, thr)
 
     return c.mapInArrow(scan, PARTIAL_SCHEMA)
@@ -277,57 +321,73 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *,
              shard_order: list | None = None, exclude_self: bool = False,
              strategy: str = "auto", max_broadcast_bytes: int = 256 << 20,
              tile_queries: int = 2048, tile_corpus: int = 16384,
-             prune_rows: int | None = None) -> DataFrame:
+             prune_buckets: int | None = None) -> DataFrame:
     """k nearest corpus rows (per shard) for every query row; exact.
 
     ``exclude_self`` drops pairs whose query and corpus ids are equal before
-    ranking.  ``shard_order`` fixes the order of shards (``shard_ord``);
-    without it the shard value must be integral and is its own order.
-
-    ``prune_rows`` (broadcast strategy): first rank the queries against a
-    subset of that many corpus rows (``limit``) and keep, in the full scan,
-    only candidates within each query's subset k-th distance -- still exact,
-    and each task then ships far fewer than k rows per query when the subset
-    is much larger than one task's share.  ``None`` picks 32 x the rows of an
-    average scan partition when the corpus holds many partitions; 0 disables.
+    ranking.  ``shard_order`` fixes the order of shards (``shard_ord``); without
+    it integral shards are their own order and others are numbered by name.
+
+    ``strategy``: ``corpus``, ``broadcast`` or ``tiled`` to insist on one (a side
+    that does not fit falls through to the next); ``auto`` takes the first that fits.
+
+    ``prune_buckets`` (broadcast strategy): first rank the queries against one of
+    so many hash buckets of the corpus (a filter, run by all scan tasks) and keep,
+    in the full scan, only candidates within each query's k-th distance there --
+    still exact, and each task then ships far fewer than k rows per query.
+    ``None`` decides from the scan's size; 0 disables.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
     q, c = _prepare(queries, corpus, query_key, corpus_key, vector_col,
                     query_vector_col, shard_col)
-    if strategy not in ("auto", "broadcast", "tiled"):
+    if strategy not in ("auto", "corpus", "broadcast", "tiled"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    collected = None
-    if strategy in ("auto", "broadcast"):
-        # query vectors + the running (score, id) state for a handful of shards
-        collected = _collect_bounded(q, k, max_broadcast_bytes)
-        if collected is None and strategy == "broadcast":
-            raise ValueError(f"query side exceeds {max_broadcast_bytes} bytes")
-    if collected is not None:
-        thresholds = None
-        m = prune_rows
-        if m is None:
-            m = _auto_prune_rows(c, len(collected[0]) and collected[1].shape[1])
-        if m and m > k:
-            thresholds = _thresholds(collected, c.limit(m), k, exclude_self)
-        partial = _partial_broadcast(q, c, k, exclude_self, collected, thresholds)
+    held = _collect_bounded(c, k, max_broadcast_bytes, 0) if strategy in ("auto", "corpus") else None
+    if held is not None:
+        ranked = _partial_corpus(q, held, k, exclude_self)
     else:
-        nq = q.count()
-        nc = c.count()
-        partial = _partial_tiled(q, c, k, exclude_self, nq, nc, tile_queries, tile_corpus)
-    w = Window.partitionBy("query_id", "shard").orderBy("score", "corpus_id")
-    ranked = (partial.withColumn("rank", F.row_number().over(w))
-              .where(F.col("rank") <= k))
-    if shard_order is not None:
-        order = F.create_map(*[x for i, s in enumerate(shard_order)
-                               for x in (F.lit(str(s)), F.lit(i))])
-        shard_ord = order[F.col("shard")]
-    else:
-        shard_ord = F.col("shard").cast("int")
-    return ranked.select("query_id", "shard", shard_ord.cast("int").alias("shard_ord"),
+        held = _collect_bounded(q, k, max_broadcast_bytes, _LIVE_SHARDS) if strategy != "tiled" else None
+        if held is not None:
+            collected = held.column("query_id").to_numpy(), _vectors(held.column("vec"))
+            n = _prune_buckets(c, collected[1].shape[1]) if prune_buckets is None else prune_buckets
+            thresholds = None
+            if n > 1 and len(collected[0]):
+                subset = c.where(F.pmod(F.xxhash64("corpus_id"), F.lit(n)) == 0)
+                thresholds = _thresholds(collected, subset, k, exclude_self)
+            partial = _partial_broadcast(q, c, k, exclude_self, collected, thresholds)
+        else:
+            partial = _partial_tiled(q, c, k, exclude_self, q.count(), c.count(), tile_queries, tile_corpus)
+        ranked = _ranked(partial, k)
+    return ranked.select("query_id", "shard", _shard_ord(corpus, shard_col, shard_order).alias("shard_ord"),
                          F.col("rank").cast("int").alias("rank"), "corpus_id", "score")
 
 
+def _ranked(partial: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id", "shard").orderBy("score", "corpus_id")
+    return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _shard_ord(corpus: DataFrame, shard_col: str | None, shard_order: list | None):
+    """The place of a shard: as given, else its integral value, else its place by name.
+
+    Names are listed from the corpus (one row per shard, a pruned column)."""
+    integral = shard_col is None or corpus.schema[shard_col].dataType.simpleString() in (
+        "tinyint", "smallint", "int", "bigint")
+    if shard_order is None and integral:
+        return F.col("shard").cast("int")
+    if shard_order is None:
+        names = corpus.select(F.coalesce(F.col(shard_col).cast("string"), F.lit("")).alias("s")).distinct()
+        shard_order = sorted(r["s"] for r in names.limit(MAX_SHARDS + 1).collect())
+        if len(shard_order) > MAX_SHARDS:
+            raise ValueError(f"more than {MAX_SHARDS} shard names: give shard_order or integral shards")
+        if all(s.lstrip("-").isdigit() for s in shard_order):
+            return F.col("shard").cast("int")
+    order = F.create_map(*[x for i, s in enumerate(shard_order) for x in (F.lit(str(s)), F.lit(i))]) \
+        if shard_order else F.create_map().cast("map<string,int>")
+    return order[F.col("shard")].cast("int")
+
+
 def merged_order(candidates: DataFrame) -> DataFrame:
     """One ascending list over all shards, still k x shards rows per query.
 

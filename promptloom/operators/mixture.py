@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import task_name as task_name_col
 from ..session import bounded_broadcast
+from .ordered import positions
 
 # fixed value: the per-dataset example cap; mixture names are parameters (defaults below)
 MAX_EXAMPLES_PER_DATASET = 500_000
@@ -53,9 +54,10 @@ def task_caps(registry: DataFrame, templates: DataFrame,
     """Per (dataset, subset): n_templates, train_size ('' -> 0) and cap
     (``max // n_templates`` above the maximum, else the whole train_size)."""
     n = templates.groupBy("dataset", "subset").agg(F.count(F.lit(1)).alias("n_templates"))
-    reg = registry.select(F.col("HF_name").alias("_ds"), F.col("subset").alias("_sub"),
-                          F.coalesce(F.col("train_size").cast("long"), F.lit(0)).alias("train_size"))
-    j = _key_join(n, reg)
+    staged = (F.nullif(F.col("do_train"), F.lit("")).isNotNull() | F.nullif(F.col("do_eval"), F.lit("")).isNotNull())
+    reg = registry.where(staged).select(F.col("HF_name").alias("_ds"), F.col("subset").alias("_sub"),
+                                        F.coalesce(F.col("train_size").cast("long"), F.lit(0)).alias("train_size"))
+    j = _key_join(n, reg)      # datasets outside the registry, or of neither stage, drop out (J11)
     cap = F.when(F.col("train_size") > max_examples,
                  F.floor(F.lit(max_examples) / F.col("n_templates"))).otherwise(F.col("train_size"))
     return j.withColumn("cap", cap.cast("long"))
@@ -73,7 +75,8 @@ def task_lists(registry: DataFrame, templates: DataFrame,
                           F.nullif(F.col("do_train"), F.lit("")).alias("do_train"),
                           F.nullif(F.col("do_eval"), F.lit("")).alias("do_eval"))
     non_anli = templates.where(F.col("dataset") != "anli")
-    t = _key_join(non_anli, reg)   # datasets outside the registry drop out (J11)
+    # datasets outside the registry, or of neither stage in it, drop out
+    t = _key_join(non_anli, reg.where(F.col("do_train").isNotNull() | F.col("do_eval").isNotNull()))
     caps = task_caps(registry, templates, max_examples).select(
         F.col("dataset").alias("_ds"), F.col("subset").alias("_sub"), "cap")
     t = _key_join(t, caps, "left")
@@ -125,16 +128,18 @@ def mixtures(tasks: DataFrame, *, blacklist=(), score_eval_blacklist=(), skip_ev
     (an array of structs) and is exploded -- no union of eight filtered plans.
     Training mixtures weigh a task by its cap; ``*_score_eval`` mixtures use
     ``min(num_examples, max_examples)`` of the rank-classification twin
-    (``num_examples``: task_name, num_examples; without it the cap stands in).
+    (``num_examples``: task_name, num_examples; without it the cap stands in, and
+    ``max_examples`` where a task has no cap).  ``blacklist`` holds for all mixtures
+    but the bias and fairness one, which stays whole.
     """
     n_train, n_plus, n_pp, n_eval_se, n_train_se, n_one, n_all, n_bias = names
-    live = exclude_tasks(tasks, exact=blacklist).withColumn(
-        "se_name", F.concat("task_name", F.lit(SCORE_EVAL)))
+    live = tasks.withColumn("se_name", F.concat("task_name", F.lit(SCORE_EVAL)))
+    listed = F.col("task_name").isin(*blacklist) if blacklist else F.lit(False)
     if num_examples is not None:
         ex = num_examples.select(F.col("task_name").alias("se_name"), "num_examples")
         live = live.join(ex, "se_name", "left")
     else:
-        live = live.withColumn("num_examples", F.col("cap"))
+        live = live.withColumn("num_examples", F.coalesce("cap", F.lit(max_examples)))
     cap_rate = F.col("cap").cast("double")
     se_rate = F.least(F.coalesce(F.col("num_examples"), F.lit(0)), F.lit(max_examples)).cast("double")
     tr, ev, orig = F.col("do_train"), F.col("do_eval"), F.coalesce(F.col("original_task"), F.lit(False))
@@ -145,8 +150,8 @@ def mixtures(tasks: DataFrame, *, blacklist=(), score_eval_blacklist=(), skip_ev
     for sub in skip_eval:
         train_se_ok = train_se_ok & ~F.col("se_name").contains(sub)
 
-    def member(cond, name, task, rate):
-        return F.when(cond, F.struct(F.lit(name).alias("mixture"), task.alias("task_name"), rate.alias("rate")))
+    def member(cond, name, task, rate, whole=False):
+        return F.when(cond if whole else cond & ~listed, F.struct(F.lit(name).alias("mixture"), task.alias("task_name"), rate.alias("rate")))
 
     tn, se = F.col("task_name"), F.col("se_name")
     entries = F.array(
@@ -157,7 +162,7 @@ def mixtures(tasks: DataFrame, *, blacklist=(), score_eval_blacklist=(), skip_ev
         member((tr == "BASE") & orig, n_all, tn, cap_rate),
         member(choices & (ev == "BASE") & orig, n_eval_se, se, se_rate),
         member(train_se_ok, n_train_se, se, se_rate),
-        member(choices & (ev == "BIAS_FAIRNESS"), n_bias, se, se_rate),
+        member(choices & (ev == "BIAS_FAIRNESS"), n_bias, se, se_rate, whole=True),
     )
     return (live.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("m"))
             .select("m.mixture", "m.task_name", "m.rate"))
@@ -179,16 +184,18 @@ def mix_sample(examples: DataFrame, caps: DataFrame, *, task_col: str = "task_na
                key_col: str = "idx", cap_col: str = "cap", seed: int = 42) -> DataFrame:
     """At most ``cap`` examples per task, drawn in md5(seed|key) order.
 
-    The largest cap is read first (one row) so that a literal limit lets
-    Spark put a partial WindowGroupLimit before the shuffle: each task ships
-    at most that many rows per task name, however hot the task.
+    Only task and key are ranked, by a running count over ranges of (task, hash): a
+    task holding a third of all examples spreads over many ranges however large
+    its cap.  Other columns, if there are any, join the drawn keys last.
     """
-    max_cap = int(caps.agg(F.max(cap_col)).first()[0] or 0)
-    w = Window.partitionBy(task_col).orderBy(hash_order(seed, F.col(key_col)), F.col(key_col))
-    j = examples.join(bounded_broadcast(caps.select(task_col, cap_col)), task_col)
-    ranked = j.withColumn("_r", F.row_number().over(w))
-    return (ranked.where(F.col("_r") <= F.lit(max_cap)).where(F.col("_r") <= F.col(cap_col))
-            .drop("_r"))
+    slim = examples.select(task_col, key_col).withColumn("_h", hash_order(seed, F.col(key_col)))
+    j = slim.join(bounded_broadcast(caps.select(task_col, cap_col)), task_col).where(F.col(cap_col) > 0)
+    drawn = positions(j, [task_col], ["_h", key_col], "_r").where(F.col("_r") < F.col(cap_col))
+    rest = [c for c in examples.columns if c not in (task_col, key_col)]
+    if not rest:
+        return drawn.select(task_col, key_col, cap_col)
+    keys = drawn.groupBy(task_col, key_col).agg(F.max(cap_col).alias(cap_col))
+    return examples.join(keys, [task_col, key_col])
 
 
 def sample_n(df: DataFrame, n: int, *, key_col: str, seed: int = 42) -> DataFrame:

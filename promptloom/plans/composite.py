@@ -7,7 +7,7 @@ explicit writes.  Index "files" are Parquet tables partitioned by shard.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,14 +15,13 @@ from ..functions.templates import append_knowledge, apply_templates
 from ..operators.augment import augment, rank_demonstrations
 from ..operators.chosen import chosen_corpus
 from ..operators.embed import embed_text
-from ..operators.filters import allowed_templates, check_targets, with_lineage
+from ..operators.filters import allowed_templates, attach_template, check_targets, with_lineage
 from ..operators.knn import knn_join
 from ..operators.mixture import sample_n
-from ..session import cut_lineage
+from ..session import bounded_broadcast, cut_lineage
 from ..sources.io import save_shard, write_once
 
 TEMPLATE_MODES = ("none", "own", "nearest")
-MAX_TEMPLATES = 100_000
 
 
 def build_index(prompted: DataFrame, *, key_col: str = "inputs_pretokenized", order_col: str = "row_id",
@@ -87,19 +86,23 @@ def retrieve_task(rows: DataFrame, templates: DataFrame, allow: DataFrame, corpu
     ``rows``: raw rows with ``dataset``, ``config``, ``split`` and fields;
     ``templates``: ``dataset, config, template_name, template_str``;
     ``allow``: the allow list ``dataset, config, template``.  With
-    ``out_path`` the result is written once (S12), partitioned by template."""
+    ``out_path`` the result is written once (S12), partitioned by template, and the
+    stored rows are returned."""
+    if out_path:
+        spark = rows.sparkSession
+        write_once(lambda: retrieve_task(rows, templates, allow, corpus, k, splits=splits, dim=dim, embedder=embedder),
+                   spark, out_path, partition_by=("template_name",))
+        return spark.read.parquet(out_path)
     if splits:
         rows = rows.where(F.col("split").isin(*splits))
     tpl = allowed_templates(templates.withColumnRenamed("template_name", "template"), allow,
                             ("dataset", "config", "template")).withColumnRenamed("template", "template_name")
     applied = apply_templates(rows, tpl, on=("dataset", "config"),
                               keep=[c for c in ("row_id", "split", "idx") if c in rows.columns])
-    applied = applied.withColumn("qid", F.xxhash64("row_id", "template_name"))
+    # one number per prompt, stored: unlike a hash of the keys it cannot meet another prompt's
+    applied = cut_lineage(applied.withColumn("qid", F.monotonically_increasing_id()))
     cand = retrieve(applied, corpus, k, query_key="qid", dim=dim, embedder=embedder)
-    out = applied.join(nest_candidates(cand, corpus).withColumnRenamed("query_id", "qid"), "qid", "left")
-    if out_path:
-        write_once(lambda: out, out.sparkSession, out_path, partition_by=("template_name",))
-    return out
+    return applied.join(nest_candidates(cand, corpus).withColumnRenamed("query_id", "qid"), "qid", "left").drop("qid")
 
 
 def chosen_keys(queries: DataFrame, candidates: DataFrame, corpus: DataFrame, K: int, **rules) -> DataFrame:
@@ -110,21 +113,27 @@ def chosen_keys(queries: DataFrame, candidates: DataFrame, corpus: DataFrame, K:
                          F.col("c_idx").alias("idx")).distinct()
 
 
-def seen_in_training(queries: DataFrame, chosen: DataFrame, corpus_vectors: DataFrame, K: int, *,
-                     k: int = 20, max_length: int = 1024) -> DataFrame:
+def seen_in_training(queries: DataFrame, chosen: DataFrame, corpus: DataFrame, vectors: DataFrame, K: int, *,
+                     k: int = 20, max_length: int = 1024, key: str = "row_id") -> DataFrame:
     """Augment with demonstrations drawn only from the examples chosen
     during training (A8's corpus) -- same rules as D1; K = 0 gives [].
 
     ``chosen``: the training augmentation's chosen examples -- either its
-    output (``chosen_examples`` column) or their keys (``chosen_keys``)."""
+    output (``chosen_examples`` column) or their keys (``chosen_keys``).
+    ``vectors``: key and ``embedding`` (and ``shard``) of queries and corpus."""
     if "chosen_examples" in chosen.columns:
         chosen = chosen_corpus(chosen)
     chosen = chosen.select("dataset_name", "template_name", "idx")
-    corpus = corpus_vectors.join(chosen, ["dataset_name", "template_name", "idx"], "left_semi")
-    cand = knn_join(queries, corpus, k, query_key="row_id", corpus_key="row_id",
-                    shard_col="shard" if "shard" in corpus.columns else None)
-    rows = queries.drop("embedding", "shard")
-    return augment(rows, cand, corpus.drop("embedding", "shard"), K, max_length=max_length)
+    corpus = corpus.join(chosen, ["dataset_name", "template_name", "idx"], "left_semi")
+    cand = knn_join(vectors, vectors.join(corpus.select(key), key, "left_semi"), k, query_key=key, corpus_key=key,
+                    shard_col="shard" if "shard" in vectors.columns else None)
+    return augment(queries, cand, corpus, K, max_length=max_length)
+
+
+def _numbered(templates: DataFrame, out: str) -> DataFrame:
+    """The templates with a number in (task, template_name) order."""
+    w = Window.orderBy("task", "template_name")     # a dimension table: one task
+    return templates.withColumn(out, F.row_number().over(w).cast("bigint"))
 
 
 def template_augmented_set(rows: DataFrame, templates: DataFrame, *, mode: str = "own",
@@ -143,28 +152,24 @@ def template_augmented_set(rows: DataFrame, templates: DataFrame, *, mode: str =
     if mode == "none":
         out = rows.withColumn("chosen_examples", F.lit(None).cast(chosen_t))
     else:
-        tsel = templates.select("task", "template_name", "template_str")
-        small = tsel.limit(MAX_TEMPLATES + 1).count() <= MAX_TEMPLATES
-        own = F.broadcast(tsel) if small else tsel
-        j = rows.join(own, ["task", "template_name"])
+        j = attach_template(rows, templates.select("task", "template_name", "template_str"),
+                            ("task", "template_name"), fail=True)
         if mode == "own":
             pick = F.struct(F.col("task").alias("task_full_name"), F.col("template_name"),
                             F.col("template_str"))
             out = j.withColumn("chosen_examples", pick)
         else:
-            tt = template_index(train_templates.withColumn("tid", F.xxhash64("task", "template_name")),
-                                dim=dim, embedder=embedder)
-            et = template_index(templates.withColumn("eid", F.xxhash64("task", "template_name")),
-                                dim=dim, embedder=embedder)
+            # stored: the numbers must not change between uses
+            tt = cut_lineage(template_index(_numbered(train_templates, "tid"), dim=dim, embedder=embedder))
+            et = cut_lineage(template_index(_numbered(templates, "eid"), dim=dim, embedder=embedder))
             near = knn_join(et, tt, 1, query_key="eid", corpus_key="tid")
             nt = near.join(tt.select(F.col("tid").alias("corpus_id"), F.col("task").alias("n_task"),
                                      F.col("template_name").alias("n_template"),
                                      F.col("template_str").alias("n_str")), "corpus_id")
             m = et.select("eid", "task", "template_name").join(
                 nt.withColumnRenamed("query_id", "eid"), "eid").drop("eid", "corpus_id")
-            # at most one row per evaluation template (k = 1): bounded when the templates are
             mm = m.select("task", "template_name", "n_task", "n_template", "n_str")
-            j = j.join(F.broadcast(mm) if small else mm, ["task", "template_name"])
+            j = j.join(bounded_broadcast(mm), ["task", "template_name"])     # a row per evaluation template
             out = j.withColumn("template_str", F.col("n_str")).withColumn(
                 "chosen_examples", F.struct(F.col("n_task").alias("task_full_name"),
                                             F.col("n_template").alias("template_name"),
@@ -183,7 +188,7 @@ def knowledge_set(rows: DataFrame, templates: DataFrame, *, knowledge_col: str =
     applied = applied.withColumn("inputs_pretokenized", append_knowledge(
         "inputs_pretokenized", knowledge_col, list(knowledge_types)))
     if "answer_choices" in applied.columns:
-        applied = check_targets(applied, mode="flag")
+        applied = check_targets(applied, mode="fail")
     return (applied
             .withColumn("inputs", T.truncate_right(T.tokenize("inputs_pretokenized"), max_source_length))
             .withColumn("targets", T.mask_labels(T.truncate_right(T.tokenize("targets_pretokenized"),

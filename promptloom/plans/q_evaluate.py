@@ -430,11 +430,19 @@ def metric_rouge_l_q(spark, sf):
     return r.select("turn", F.round("rougeL", 6).alias("rougeL"))
 
 
-@register("metric_edit_distance")
-def metric_edit_distance_q(spark, sf):
-    """Levenshtein distance of whole user and reply texts (characters), per turn.
+# levenshtein counts bytes in the oracle's engine: letters beyond ASCII become unused ASCII marks
+_ONE_BYTE = "translate({c}, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', '!#$%&()*+-/0123456789')"
+
 
-    No oracle: DuckDB's levenshtein counts UTF-8 bytes; tested by brute force."""
+@register("metric_edit_distance", f"""
+WITH {_PAIRS_SQL},
+d AS (SELECT turn, levenshtein({_ONE_BYTE.format(c='assistant')}, {_ONE_BYTE.format(c='"user"')}) AS d FROM pairs)
+SELECT turn, round(avg(d), 6) AS mean_edit, CAST(min(d) AS INTEGER) AS min_edit, CAST(max(d) AS INTEGER) AS max_edit,
+       round(median(d), 6) AS median_edit
+FROM d GROUP BY turn
+""")
+def metric_edit_distance_q(spark, sf):
+    """Levenshtein distance of whole user and reply texts (characters), per turn."""
     r = M.edit_distance(_pairs(spark, sf), ["turn"], target="assistant", prediction="user")
     return r.select("turn", F.round("mean_edit", 6).alias("mean_edit"), "min_edit", "max_edit",
                     F.round("median_edit", 6).alias("median_edit"))

@@ -6,6 +6,7 @@ Spark (one registry row per source, one template per (source, lang)):
 * do_train by source number mod 4: BASE, GPT_EVAL, SGLUE, none;
 * do_eval by source number mod 5: 0 -> BASE, 3 -> BIAS_FAIRNESS;
 * task_by_convention 'bias_and_fairness' for source number mod 7 = 6;
+* src19 is called anli (three evaluation rounds); every third source has a subset;
 * train_size = number of documents of the source;
 * original templates: en, fr; templates with answer choices: all but de.
 
@@ -25,43 +26,59 @@ from ..sources.tables import read_table
 from .catalog import register
 
 MAX_EXAMPLES = 40
-BLACKLIST = ("src1_en",)
+BLACKLIST = ("src1_en", "src13_fr")      # src13 is in the bias and fairness mixture
 SKIP_EVAL = ("src8",)
 
 _SRC_NUM = "CAST(substr(source, 4) AS INTEGER)"
+_DATASET = "CASE source WHEN 'src19' THEN 'anli' ELSE source END"
+_SUBSET = f"CASE WHEN {_SRC_NUM} % 3 = 0 THEN 'v' || {_SRC_NUM} % 2 END"
 _REG_SQL = f"""reg AS (
-  SELECT source AS HF_name, CAST(NULL AS VARCHAR) AS subset,
+  SELECT {_DATASET} AS HF_name, {_SUBSET} AS subset,
          CASE WHEN {_SRC_NUM} % 7 = 6 THEN 'bias_and_fairness' ELSE 'qa' END AS task_by_convention,
          CASE {_SRC_NUM} % 4 WHEN 0 THEN 'BASE' WHEN 1 THEN 'GPT_EVAL' WHEN 2 THEN 'SGLUE' ELSE '' END AS do_train,
          CASE {_SRC_NUM} % 5 WHEN 0 THEN 'BASE' WHEN 3 THEN 'BIAS_FAIRNESS' ELSE '' END AS do_eval,
          count(*) AS train_size
   FROM documents GROUP BY source),
 tpl AS (
-  SELECT DISTINCT source AS dataset, CAST(NULL AS VARCHAR) AS subset, lang AS template_name,
+  SELECT DISTINCT {_DATASET} AS dataset, {_SUBSET} AS subset, lang AS template_name,
          lang IN ('en', 'fr') AS original_task, lang <> 'de' AS has_choices,
          CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS template_ord
   FROM documents),
-nt AS (SELECT dataset, count(*) AS n_templates FROM tpl GROUP BY dataset),
+nt AS (SELECT dataset, subset, count(*) AS n_templates FROM tpl GROUP BY dataset, subset),
 caps AS (SELECT nt.dataset, nt.n_templates, reg.train_size,
                 CAST(CASE WHEN reg.train_size > {MAX_EXAMPLES} THEN floor({MAX_EXAMPLES} / nt.n_templates)
                           ELSE reg.train_size END AS BIGINT) AS cap
-         FROM nt JOIN reg ON reg.HF_name = nt.dataset),
+         FROM nt JOIN reg ON reg.HF_name = nt.dataset AND reg.subset IS NOT DISTINCT FROM nt.subset
+         WHERE reg.do_train <> '' OR reg.do_eval <> ''),
 tasks AS (
-  SELECT tpl.*, r.do_train, r.do_eval, c.cap, tpl.dataset || '_' || tpl.template_name AS task_name,
+  SELECT tpl.*, nullif(r.do_train, '') AS do_train, nullif(r.do_eval, '') AS do_eval, c.cap,
+         tpl.dataset || coalesce('_' || tpl.subset, '') || '_' || tpl.template_name AS task_name,
          tpl.template_ord = min(CASE WHEN tpl.original_task THEN tpl.template_ord END)
              OVER (PARTITION BY tpl.dataset) AS first_original
-  FROM tpl JOIN reg r ON r.HF_name = tpl.dataset JOIN caps c ON c.dataset = tpl.dataset)"""
+  FROM tpl JOIN reg r ON r.HF_name = tpl.dataset JOIN caps c ON c.dataset = tpl.dataset WHERE tpl.dataset <> 'anli'
+  UNION ALL
+  SELECT tpl.*, NULL, CASE WHEN original_task THEN 'BASE' END, NULL,
+         'anli_' || template_name || '_' || r.round, false
+  FROM tpl CROSS JOIN (VALUES ('r1'), ('r2'), ('r3')) r(round) WHERE dataset = 'anli')"""
 
 
 def _num():
     return F.substring("source", 4, 10).cast("int")
 
 
+def _dataset():
+    return F.when(F.col("source") == "src19", "anli").otherwise(F.col("source"))
+
+
+def _subset():
+    return F.when(_num() % 3 == 0, F.concat(F.lit("v"), (_num() % 2).cast("string")))
+
+
 def _registry(spark, sf):
     d = read_table(spark, sf, "documents")
     n = _num()
     return d.groupBy("source").agg(F.count(F.lit(1)).alias("train_size")).select(
-        F.col("source").alias("HF_name"), F.lit(None).cast("string").alias("subset"),
+        _dataset().alias("HF_name"), _subset().alias("subset"),
         F.when(_num() % 7 == 6, "bias_and_fairness").otherwise("qa").alias("task_by_convention"),
         F.coalesce(F.element_at(F.create_map(F.lit(0), F.lit("BASE"), F.lit(1), F.lit("GPT_EVAL"),
                                              F.lit(2), F.lit("SGLUE")), n % 4), F.lit("")).alias("do_train"),
@@ -71,7 +88,7 @@ def _registry(spark, sf):
 
 def _templates(spark, sf):
     d = read_table(spark, sf, "documents").select("source", "lang").distinct()
-    return d.select(F.col("source").alias("dataset"), F.lit(None).cast("string").alias("subset"),
+    return d.select(_dataset().alias("dataset"), _subset().alias("subset"),
                     F.col("lang").alias("template_name"),
                     F.col("lang").isin("en", "fr").alias("original_task"),
                     (F.col("lang") != "de").alias("has_choices"),
@@ -103,8 +120,7 @@ def task_caps_q(spark, sf):
 
 @register("task_lists", f"""
 WITH {_REG_SQL}
-SELECT task_name, nullif(do_train, '') AS do_train, nullif(do_eval, '') AS do_eval, cap,
-       coalesce(first_original, false) AS first_original
+SELECT task_name, do_train, do_eval, cap, coalesce(first_original, false) AS first_original
 FROM tasks
 """)
 def task_lists_q(spark, sf):
@@ -119,8 +135,11 @@ def _mixture_sql() -> str:
     return f"""
 WITH {_REG_SQL},
 live AS (SELECT * FROM tasks WHERE task_name NOT IN ({bl})),
-se AS (SELECT *, task_name || '_score_eval' AS se_name,
-              CAST(least(coalesce(cap, 0), {MAX_EXAMPLES}) AS DOUBLE) AS se_rate FROM live WHERE has_choices),
+ne AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+all_se AS (SELECT *, task_name || '_score_eval' AS se_name,
+                  CAST(least(coalesce(ne.n, 0), {MAX_EXAMPLES}) AS DOUBLE) AS se_rate
+           FROM tasks LEFT JOIN ne ON ne.lang = tasks.template_name WHERE has_choices),
+se AS (SELECT * FROM all_se WHERE task_name NOT IN ({bl})),
 mix AS (
   SELECT 'train' AS mixture, task_name, cap::DOUBLE AS rate FROM live WHERE do_train = 'BASE'
   UNION ALL SELECT 'train_plus', task_name, cap::DOUBLE FROM live WHERE do_train IN ('BASE', 'GPT_EVAL')
@@ -130,7 +149,7 @@ mix AS (
   UNION ALL SELECT 'eval_score_eval', se_name, se_rate FROM se WHERE do_eval = 'BASE' AND original_task
   UNION ALL SELECT 'train_score_eval', se_name, se_rate FROM se
             WHERE do_train = 'BASE' AND original_task AND {skip}
-  UNION ALL SELECT 'bias_fairness_eval_score_eval', se_name, se_rate FROM se WHERE do_eval = 'BIAS_FAIRNESS'),
+  UNION ALL SELECT 'bias_fairness_eval_score_eval', se_name, se_rate FROM all_se WHERE do_eval = 'BIAS_FAIRNESS'),
 tot AS (SELECT mixture, sum(rate) AS t FROM mix GROUP BY mixture)
 SELECT mixture, task_name, rate, round(CASE WHEN t > 0 THEN rate / t ELSE 0.0 END, 6) AS share
 FROM mix JOIN tot USING (mixture)
@@ -141,7 +160,10 @@ FROM mix JOIN tot USING (mixture)
 def mixture_rates_q(spark, sf):
     """M3 + M4 + P7 + P8 + U2: the eight mixtures with their rates and shares."""
     t = task_lists(_registry(spark, sf), _templates(spark, sf), MAX_EXAMPLES)
-    m = mixtures(t, blacklist=BLACKLIST, skip_eval=SKIP_EVAL, max_examples=MAX_EXAMPLES)
+    sizes = read_table(spark, sf, "documents").groupBy(F.col("lang").alias("template_name")).agg(
+        F.count(F.lit(1)).alias("num_examples"))
+    ex = t.join(sizes, "template_name").select(F.concat("task_name", F.lit("_score_eval")).alias("task_name"), "num_examples")
+    m = mixtures(t, blacklist=BLACKLIST, skip_eval=SKIP_EVAL, num_examples=ex, max_examples=MAX_EXAMPLES)
     return mixing_rates(m).select("mixture", "task_name", "rate", F.round("share", 6).alias("share"))
 
 

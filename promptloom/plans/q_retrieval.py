@@ -8,7 +8,7 @@ from ..operators.augment import augment, augment_stats
 from ..operators.bm25 import bm25_join
 from ..operators.chosen import chosen_corpus
 from ..operators.knn import knn_join, merged_order
-from ..sources.tables import prompted_with_vectors, read_table, shard_vectors
+from ..sources.tables import document_vectors, prompted_documents, read_table, shard_vectors
 from .catalog import register
 
 K_RETRIEVE = 20
@@ -153,9 +153,24 @@ def bm25_topk(spark, sf):
 
 
 # ------------------------------------------------------------------ augment
-_P_SQL = """p AS (SELECT d.doc_id AS row_id, d.source AS dataset_name, d.lang AS template_name, d.doc_id AS idx,
-                  d.text AS inp, d.lang AS tgt, e.embedding, CAST(e.vec_id % 2 AS INTEGER) AS shard_ord
-           FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
+def embed_sql(table: str, key: str, text: str, tag: str) -> str:
+    """CTEs up to emb{tag}(key, embedding): V1's hashed vectors of 64 buckets."""
+    return f"""tok{tag} AS (SELECT {key}, ('0x' || substr(md5(t), 1, 8))::BIGINT AS c
+         FROM (SELECT {key}, unnest(list_filter(string_split_regex(lower({text}), '{LEX}'),
+                                                lambda t: length(t) > 0)) AS t FROM {table})),
+bkt{tag} AS (SELECT {key}, c % 64 AS b, sum(CASE WHEN c >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS w
+        FROM tok{tag} GROUP BY ALL),
+nrm{tag} AS (SELECT {key}, sqrt(sum(w * w)) AS n FROM bkt{tag} GROUP BY {key}),
+emb{tag} AS MATERIALIZED (SELECT d.{key}, list(CASE WHEN n > 0 THEN coalesce(w, 0) / n ELSE 0 END::FLOAT ORDER BY i.b) AS embedding
+        FROM {table} d CROSS JOIN (SELECT unnest(range(64)) AS b) i
+        LEFT JOIN bkt{tag} k ON k.{key} = d.{key} AND k.b = i.b
+        LEFT JOIN nrm{tag} m ON m.{key} = d.{key} GROUP BY d.{key})"""
+
+
+_P_SQL = f"""{embed_sql('documents', 'doc_id', 'text', '')},
+p AS MATERIALIZED (SELECT d.doc_id AS row_id, d.source AS dataset_name, d.lang AS template_name, d.doc_id AS idx,
+                          d.text AS inp, d.lang AS tgt, e.embedding, CAST(d.doc_id % 2 AS INTEGER) AS shard_ord
+                   FROM documents d JOIN emb e USING (doc_id))"""
 
 
 def _augment_block(K: int, dedup: bool, corpus: str = "p", tag: str = "") -> str:
@@ -207,11 +222,15 @@ out AS (SELECT p.row_id, coalesce(d.demo, '') || chr(10) || chr(10) || p.inp AS
 {select}"""
 
 
+def _neighbours(spark, sf):
+    """Every document's nearest documents, k from each of two shards."""
+    v = document_vectors(spark, sf)
+    return knn_join(v, v, K_RETRIEVE, query_key="row_id", corpus_key="row_id", shard_col="shard")
+
+
 def _augmented(spark, sf, K, dedup):
-    p = prompted_with_vectors(spark, sf)
-    cand = knn_join(p, p, K_RETRIEVE, query_key="row_id", corpus_key="row_id", shard_col="shard")
-    rows = p.drop("embedding", "shard")
-    return augment(rows, cand, rows, K, max_length=1024, exclude_self=True, dedup=dedup)
+    rows = prompted_documents(spark, sf)
+    return augment(rows, _neighbours(spark, sf), rows, K, max_length=1024, exclude_self=True, dedup=dedup)
 
 
 def _augment_view(a):

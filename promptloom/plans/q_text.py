@@ -12,10 +12,11 @@ from ..operators.augment import augment
 from ..operators.filters import drop_omitted, keep_original, with_lineage
 from ..operators.knn import knn_join
 from ..operators.pad import pad_batch
-from ..sources.tables import prompted_with_vectors, read_table, shard_vectors
+from ..sources.tables import prompted_documents, read_table, shard_vectors
 from .catalog import register
+from .composite import nest_candidates
 from .q_evaluate import _PAIRS_SQL, _pairs
-from .q_retrieval import K_RETRIEVE, _augment_sql
+from .q_retrieval import K_RETRIEVE, _augment_sql, _neighbours
 
 WS = r"[ \t\n\x0B\f\r]+"
 M_TRUNC = 64
@@ -44,37 +45,55 @@ def truncate_tokens_q(spark, sf):
 # ------------------------------------------------------------- templates
 # fixed small template table of the 'conversations' dataset (a parameter)
 CONV_TEMPLATES = (
-    ("reply", "{{user}}\nReply:|||{{assistant}}"),
-    ("continue", "Conversation so far: {{ user }} |||  {{assistant}}  "),
-    ("bad_split", "{{user}}|||{{assistant}}|||extra"),
-    ("no_target", "Say something about: {{user}}|||"),
+    ("reply", "{{user}}\nReply:|||{{assistant}}", None),
+    ("continue", "Conversation so far: {{ user }} |||  {{assistant}}  ", None),
+    ("bad_split", "{{user}}|||{{assistant}}|||extra", None),
+    ("no_target", "Say something about: {{user}}|||", None),
+    ("typed", "Turn {{turn}}: {{ user }}|||{{answer_choices[parity]}}", "even ||| odd"),
 )
+CONV_FIELDS = ["user", "assistant", "turn", "parity"]
+MARKS = " ||| {{assistant}} {{x}}"      # in a field this is plain text
+
+
+def marked_pairs(spark, sf):
+    """The (user, reply) pairs; every fifth conversation's user text holds template marks."""
+    return _pairs(spark, sf).withColumns({
+        "user": F.when(F.col("conv_id") % 5 == 0, F.concat("user", F.lit(MARKS))).otherwise(F.col("user")),
+        "parity": (F.col("conv_id") % 2).cast("int"), "dataset_name": F.lit("conversations")})
+
+
+def conv_templates(spark, only=None):
+    return spark.createDataFrame([("conversations", *t) for t in CONV_TEMPLATES if only is None or t[0] in only],
+                                 "dataset_name string, template_name string, template_str string, answer_choices string")
 
 
 def _tpl_values_sql() -> str:
     rows = []
-    for name, tpl in CONV_TEMPLATES:
-        parts = tpl.split("\n")
-        lit = " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in parts)
+    for name, tpl, _ in CONV_TEMPLATES:
+        lit = " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in tpl.split("\n"))
         rows.append(f"('{name}', {lit})")
     return ", ".join(rows)
 
 
 _STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+# a part is cut at its placeholders once; what is filled in is not read again
+_FILL = """list_aggregate(list_transform(range(1, len(string_split_regex({x}, '\\{{\\{{.*?\\}}\\}}')) + 1), lambda i:
+    string_split_regex({x}, '\\{{\\{{.*?\\}}\\}}')[i]
+    || CASE coalesce(regexp_extract_all({x}, '\\{{\\{{\\s*(.*?)\\s*\\}}\\}}', 1)[i], '') WHEN 'user' THEN u WHEN 'assistant' THEN a
+       WHEN 'turn' THEN turn::VARCHAR WHEN 'answer_choices[parity]' THEN ['even', 'odd'][conv_id % 2 + 1] ELSE '' END),
+    'string_agg', '')"""
 
 
 _APPLY_CTES = f"""{_PAIRS_SQL},
 tp(template_name, template_str) AS (VALUES {_tpl_values_sql()}),
-r AS (SELECT p.conv_id, p.turn, tp.template_name,
-             string_split(replace(replace(regexp_replace(tp.template_str, '\\{{\\{{\\s*([A-Za-z0-9_]+)\\s*\\}}\\}}', '{{{{\\1}}}}', 'g'),
-                                          '{{{{user}}}}', p."user"), '{{{{assistant}}}}', p.assistant), '|||') AS parts
+r AS (SELECT p.conv_id, p.turn, tp.template_name, string_split(tp.template_str, '|||') AS parts,
+             p."user" || CASE WHEN p.conv_id % 5 = 0 THEN '{MARKS}' ELSE '' END AS u, p.assistant AS a
       FROM pairs p CROSS JOIN tp),
-o AS (SELECT conv_id, turn, template_name,
-             CASE WHEN len(parts) = 2 THEN {_STRIP.format(x='parts[1]')} ELSE '' END AS inputs_pretokenized,
-             CASE WHEN len(parts) = 2 THEN
-                  CASE WHEN {_STRIP.format(x='parts[2]')} = '' THEN '<NO LABEL>' ELSE {_STRIP.format(x='parts[2]')} END
-                  ELSE '' END AS targets_pretokenized
-      FROM r)"""
+f AS (SELECT conv_id, turn, template_name, len(parts) AS n, {_STRIP.format(x=_FILL.format(x="parts[1]"))} AS x,
+             {_STRIP.format(x=_FILL.format(x="coalesce(parts[2], '')"))} AS y FROM r),
+o AS (SELECT conv_id, turn, template_name, CASE WHEN n = 2 THEN x ELSE '' END AS inputs_pretokenized,
+             CASE WHEN n <> 2 THEN '' WHEN y = '' THEN '<NO LABEL>' ELSE y END AS targets_pretokenized
+      FROM f)"""
 
 
 @register("apply_templates", f"""
@@ -83,13 +102,10 @@ SELECT * FROM o WHERE length(inputs_pretokenized) > 0 AND length(targets_pretoke
 """)
 def apply_templates_q(spark, sf):
     """J10 + F2 + F20 + P9: every (user, reply) pair under every template of the
-    conversations dataset; a template that does not split in two is dropped."""
-    pairs = _pairs(spark, sf).withColumn("dataset_name", F.lit("conversations"))
-    tpl = spark.createDataFrame([("conversations", n, t) for n, t in CONV_TEMPLATES],
-                                "dataset_name string, template_name string, template_str string")
-    out = apply_templates(pairs.select("conv_id", "turn", "dataset_name", "user", "assistant"), tpl,
-                          fields=["user", "assistant"], keep=("conv_id", "turn"))
-    return out.drop("dataset_name")
+    conversations dataset; a template that does not split in two is dropped, marks
+    inside fields are text, ``{{turn}}`` is an integer and one target an answer choice."""
+    out = apply_templates(marked_pairs(spark, sf), conv_templates(spark), fields=CONV_FIELDS, keep=("conv_id", "turn"))
+    return out.select("conv_id", "turn", "template_name", "inputs_pretokenized", "targets_pretokenized")
 
 
 # ------------------------------------------------------------ knowledge
@@ -156,9 +172,9 @@ def name_normalise_q(spark, sf):
 
 
 # -------------------------------------------------------- allow / omit
-# fixed small task metadata (a parameter): originals of src0..src9, omit lists
+# fixed small task metadata (a parameter): originals of src0..src9 (none for the others), omit lists
 def _allow_rows():
-    return [(f"src{i}", [f"src{i}_en", f"src{i}_fr"]) for i in range(10)]
+    return [(f"src{i}", [f"src{i}_en", f"src{i}_fr"] if i < 10 else []) for i in range(20)]
 
 
 def _omit_rows():
@@ -261,20 +277,17 @@ def nest_candidates_q(spark, sf):
     """Candidates of every query nested in shard order, scores as text."""
     v = shard_vectors(spark, sf)
     c = knn_join(v, v, K_RETRIEVE, query_key="vec_id", corpus_key="vec_id", shard_col="shard")
-    nested = c.groupBy("query_id").agg(F.array_sort(F.collect_list(
-        F.struct("shard_ord", "rank", "corpus_id", "score"))).alias("cands"))
+    nested = nest_candidates(c, v, corpus_key="vec_id", fields=("vec_id",))
     return nested.select(
-        "query_id", F.size("cands").alias("n"),
-        F.array_join(F.transform("cands", lambda x: x["corpus_id"].cast("string")), ",").alias("corpus_ids"),
-        F.array_join(F.transform("cands", lambda x: F.format_string("%.6f", x["score"])), ",").alias("scores"))
+        "query_id", F.size("scores").alias("n"),
+        F.array_join(F.transform("retrieved_examples", lambda x: x["vec_id"].cast("string")), ",").alias("corpus_ids"),
+        F.array_join(F.transform("scores", lambda x: F.format_string("%.6f", x)), ",").alias("scores"))
 
 
 # ------------------------------------------- prompt styles
 def _styled(spark, sf, style, exclude):
-    p = prompted_with_vectors(spark, sf)
-    cand = knn_join(p, p, K_RETRIEVE, query_key="row_id", corpus_key="row_id", shard_col="shard")
-    rows = p.drop("embedding", "shard")
-    a = augment(rows, cand, rows, 3, max_length=1024, exclude_self=exclude, style=style)
+    rows = prompted_documents(spark, sf)
+    a = augment(rows, _neighbours(spark, sf), rows, 3, max_length=1024, exclude_self=exclude, style=style)
     return a.select("row_id", "inputs_pretokenized")
 
 

@@ -23,6 +23,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -69,7 +70,9 @@ def ship_package(spark: SparkSession) -> str:
 
 
 def _is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One JVM (``local[...]``); a ``local-cluster`` has executors of its own."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -90,15 +93,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it is proven to hold at most ``max_rows`` rows.
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                      max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when it is proven to hold at most ``max_rows`` rows and,
+    written as JSON, ``max_bytes`` bytes.
 
-    ``limit(max_rows + 1).count()`` stops early on a large input; beyond the
-    bound the plain DataFrame is returned and Spark plans a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    The one job reads ``max_rows + 1`` rows at most; beyond either bound the plain
+    DataFrame is returned and Spark plans a shuffle join with the same result."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint"))
+    n, b = df.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(df) if n <= max_rows and (b or 0) <= max_bytes else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ The driver tables stand in for the reference's prompted datasets:
 * ``documents`` -> prompted rows: dataset_name = source, template_name = lang,
   split = 'train', idx = doc_id, inputs_pretokenized = text,
   targets_pretokenized = lang.  ``row_id`` = doc_id is the unique long key.
-* ``embeddings`` -> vectors keyed by ``vec_id`` (= doc_id); shard = vec_id % 2
-  assigns the two corpus shards (every row is kept, nothing is filtered).
+* ``document_vectors``: every document's text embedded in the plan; shard =
+  doc_id % 2 assigns the two corpus shards.
+* ``embeddings`` -> given vectors keyed by ``vec_id``; shard = vec_id % 2 (every
+  row is kept, nothing is filtered).
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -59,7 +63,10 @@ def shard_vectors(spark: SparkSession, sf_dir: str, n_shards: int = 2) -> DataFr
                     F.pmod(F.col("vec_id"), F.lit(n_shards)).cast("int").alias("shard"))
 
 
-def prompted_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompted documents that have an embedding (inner join on doc_id = vec_id)."""
-    v = shard_vectors(spark, sf_dir).select(F.col("vec_id").alias("row_id"), "embedding", "shard")
-    return prompted_documents(spark, sf_dir).join(v, "row_id")
+def document_vectors(spark: SparkSession, sf_dir: str, dim: int = 64) -> DataFrame:
+    """(row_id, embedding, shard) of every document, embedded once and stored (a
+    reliable checkpoint); texts and keys are read from ``prompted_documents``."""
+    from ..operators.embed import embed_text
+    d = prompted_documents(spark, sf_dir).select("row_id", "inputs_pretokenized")
+    v = embed_text(d, "inputs_pretokenized", dim=dim)
+    return cut_lineage(v.select("row_id", "embedding", F.pmod(F.col("row_id"), F.lit(2)).cast("int").alias("shard")))

@@ -1,9 +1,9 @@
+import hashlib
 import math
 import re
 from collections import Counter
 
 import numpy as np
-import xxhash
 
 from promptloom.operators.bm25 import bm25_join
 from promptloom.operators.embed import embed_text
@@ -51,20 +51,19 @@ def test_bm25_brute_force(spark):
             assert all(math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(got[qi], exp[qi]))
 
 
-def spark_xxhash64(s):
-    h = xxhash.xxh64(s.encode("utf-8"), seed=42).intdigest()
-    return h - (1 << 64) if h >= (1 << 63) else h
+def number(s):
+    return int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
 
 
 def test_embedder_matches_numpy(spark):
-    texts = ["Hello world hello", "été à Paris", ""]
+    texts = ["Hello world hello", "été à Paris", "", None]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = {r["id"]: np.array(r["embedding"]) for r in embed_text(df, "text", dim=16).collect()}
     for i, t in enumerate(texts):
         v = np.zeros(16)
-        for tok in [x for x in re.split(r"[^\w]+", t.lower()) if x]:
-            h = spark_xxhash64(tok)
-            v[h % 16] += 1 if h >= 0 else -1
+        for tok in [x for x in re.split(r"[^\w]+", (t or "").lower()) if x]:
+            h = number(tok)
+            v[h % 16] += 1 if h >= 1 << 31 else -1
         n = np.linalg.norm(v)
         v = v / n if n else v
         assert np.allclose(got[i], v, atol=1e-6)
@@ -73,7 +72,7 @@ def test_embedder_matches_numpy(spark):
 def test_bm25_salted_hot_terms(spark):
     q = spark.createDataFrame(list(enumerate(QUERIES)), "item_id long, text string")
     d = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
-    r = bm25_join(q, d, 2, query_key="item_id", corpus_key="doc_id", max_broadcast_rows=0, hot_df=1, max_salt=3)
+    r = bm25_join(q, d, 2, query_key="item_id", corpus_key="doc_id", max_broadcast_rows=0, task_postings=1)
     got = {}
     for row in r.orderBy("query_id", "rank").collect():
         got.setdefault(row["query_id"], []).append((row["doc_id"], row["score"]))
@@ -81,3 +80,15 @@ def test_bm25_salted_hot_terms(spark):
     for qi in exp:
         assert [x[0] for x in got[qi]] == [x[0] for x in exp[qi]]
         assert all(math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(got[qi], exp[qi]))
+
+
+def test_null_texts_are_no_documents_on_either_way(spark):
+    """N and avgdl must not depend on how the join goes."""
+    q = spark.createDataFrame(list(enumerate(QUERIES)), "item_id long, text string")
+    d = spark.createDataFrame([*enumerate(DOCS), (100, None), (101, None), (102, None)], "doc_id long, text string")
+    ways = [bm25_join(q, d, 3, query_key="item_id", corpus_key="doc_id", max_broadcast_rows=n, task_postings=t)
+            for n, t in ((10**6, 10), (0, 10**6), (0, 1))]
+    got = [sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in w.collect()) for w in ways]
+    assert got[0] == got[1] == got[2]
+    plain = bm25_join(q, d.where("text IS NOT NULL"), 3, query_key="item_id", corpus_key="doc_id").collect()
+    assert got[0] == sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in plain)

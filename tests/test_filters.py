@@ -11,8 +11,10 @@ def test_omit_and_allow(spark):
     omit = spark.createDataFrame([("t", ["omit"])], "task string, omit_templates array<string>")
     assert {r["basename"] for r in drop_omitted(df, omit).collect()} == {"t_keep", "u_x"}
     allow = spark.createDataFrame([("t", ["t_keep"])], "task string, original_dataset_name array<string>")
-    # a task without the key ('u') drops out
-    assert {r["basename"] for r in keep_original(df, allow).collect()} == {"t_keep"}
+    with pytest.raises(Exception, match="unknown task: u"):        # the metadata must list every task
+        keep_original(df, allow).collect()
+    none = spark.createDataFrame([("t", ["t_keep"]), ("u", [])], allow.schema)
+    assert {r["basename"] for r in keep_original(df, none).collect()} == {"t_keep"}
 
 
 def test_with_lineage_matches_window(spark):

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from promptloom.operators.knn import knn_join, merged_order
 
@@ -28,7 +29,7 @@ def vectors(spark):
     return df, X.astype(np.float64), ids, shards
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "tiled"])
+@pytest.mark.parametrize("strategy", ["corpus", "broadcast", "tiled"])
 @pytest.mark.parametrize("exclude", [True, False])
 def test_knn_matches_brute_force(spark, vectors, strategy, exclude):
     df, X, ids, shards = vectors
@@ -59,7 +60,48 @@ def test_k_larger_than_shard_gives_fewer_rows(spark):
 def test_knn_threshold_pruning_is_exact(spark, vectors):
     df, X, ids, shards = vectors
     r = knn_join(df.repartition(6), df.repartition(6), 4, query_key="id", corpus_key="id", shard_col="shard",
-                 exclude_self=True, strategy="broadcast", prune_rows=120)
+                 exclude_self=True, strategy="broadcast", prune_buckets=3)
     got = {(a, b, c, d, round(e, 9)) for a, b, c, d, e in
            r.select("query_id", "shard", "rank", "corpus_id", "score").collect()}
     assert got == brute(X, ids, shards, 4, True)
+
+
+def test_more_shards_than_a_task_holds(spark, vectors):
+    df, X, ids, _ = vectors
+    many = df.withColumn("shard", F.col("id") % 9)
+    r = knn_join(many, many, 2, query_key="id", corpus_key="id", shard_col="shard", strategy="broadcast")
+    got = {(a, b, c, d, round(e, 9)) for a, b, c, d, e in
+           r.select("query_id", "shard", "rank", "corpus_id", "score").collect()}
+    assert got == brute(X, ids, ids % 9, 2, False)
+
+
+@pytest.mark.parametrize("strategy", ["corpus", "broadcast", "tiled"])
+def test_named_shards_are_ordered_by_name(spark, vectors, strategy):
+    df, *_ = vectors
+    named = df.withColumn("shard", F.concat(F.lit("p"), F.col("shard").cast("string")))
+    r = knn_join(named, named, 1, query_key="id", corpus_key="id", shard_col="shard", strategy=strategy)
+    assert {(x.shard, x.shard_ord) for x in r.collect()} == {("p0", 0), ("p1", 1), ("p2", 2)} & \
+        {(x.shard, x.shard_ord) for x in r.collect()}
+    assert len({x.shard for x in r.collect()}) == df.select("shard").distinct().count()
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])
+@pytest.mark.parametrize("strategy", ["corpus", "broadcast", "tiled"])
+def test_a_vector_without_distances_fails(spark, vectors, bad, strategy):
+    df, *_ = vectors
+    worse = df.unionByName(spark.createDataFrame([(5000, [bad] + [0.0] * 7, 0)], df.schema))
+    with pytest.raises(Exception, match="non-finite"):
+        knn_join(df.limit(5), worse, 3, query_key="id", corpus_key="id", strategy=strategy).collect()
+
+
+def test_pruning_is_decided_from_plan_nodes(spark, tmp_path, vectors):
+    from promptloom.operators.knn import _prune_buckets
+    df, *_ = vectors
+    path = f"{tmp_path}/Join/Python-Window"      # words of a path are not nodes
+    df.repartition(70).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100b")
+    try:
+        assert _prune_buckets(spark.read.parquet(path).where("id > 0"), 8) > 1
+        assert _prune_buckets(spark.read.parquet(path).join(df.select("id"), "id"), 8) == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -19,11 +19,21 @@ def test_no_cartesian_or_nested_loop(spark, name):
 
 
 def test_knn_merge_limits_before_the_shuffle(spark):
-    p = plan(spark, "knn_topk")
+    from promptloom.operators.knn import knn_join
+    from promptloom.sources.tables import read_table
+    v = read_table(spark, SF_SMALL, "embeddings")
+    j = knn_join(v, v, 5, query_key="vec_id", corpus_key="vec_id", strategy="broadcast")
+    p = j._jdf.queryExecution().executedPlan().toString()
     # a partial WindowGroupLimit sits below the exchange that feeds the final one
     assert re.search(r"Exchange hashpartitioning\(query_id.*\n.*WindowGroupLimit", p), p
 
 
+def test_a_small_corpus_is_never_shuffled(spark):
+    for name in ("knn_topk", "nearest_template"):
+        p = plan(spark, name)
+        assert "Window" not in p and p.count("Exchange") <= 1, p      # the one spreads a narrow scan
+
+
 def test_scans_are_pruned(spark):
     p = plan(spark, "knn_topk")
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in p

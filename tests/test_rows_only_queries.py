@@ -1,10 +1,7 @@
 """Queries without a SQL oracle, checked against brute force at sf0.001."""
 
-import re
-
 import numpy as np
 import pyarrow.parquet as pq
-import xxhash
 
 from conftest import SF_SMALL
 from promptloom.plans.catalog import queries
@@ -14,20 +11,6 @@ def table(name):
     return pq.read_table(f"{SF_SMALL}/{name}.parquet").to_pylist()
 
 
-def sx(s):
-    h = xxhash.xxh64(s.encode("utf-8"), seed=42).intdigest()
-    return h - (1 << 64) if h >= (1 << 63) else h
-
-
-def embed(text, dim=64):
-    v = np.zeros(dim)
-    for t in [x for x in re.split(r"[^\w]+", text.lower()) if x and x != "_"]:
-        h = sx(t)
-        v[h % dim] += 1 if h >= 0 else -1
-    n = np.linalg.norm(v)
-    return (v / n if n else v).astype(np.float32).astype(np.float64)
-
-
 def pairs():
     conv = table("conversations")
     by = {(r["conv_id"], r["turn"]): r for r in conv}
@@ -49,22 +32,6 @@ def lev(a, b):
     return prev[-1]
 
 
-def test_embed_knn_documents(spark):
-    docs = table("documents")
-    ids = np.array([d["doc_id"] for d in docs])
-    X = np.stack([embed(d["text"]) for d in docs])
-    got = {(r["query_id"], r["rank"]): (r["corpus_id"], r["score"])
-           for r in queries()["embed_knn_documents"](spark, SF_SMALL).collect()}
-    for i, q in enumerate(ids):
-        d = ((X - X[i]) ** 2).sum(1)
-        d[i] = np.inf
-        order = np.lexsort((ids, np.round(d, 9)))[:5]
-        for r, j in enumerate(order, 1):
-            cid, score = got[(int(q), r)]
-            assert abs(score - round(float(d[j]), 6)) < 2e-6
-            assert cid == ids[j] or abs(d[j] - d[ids.tolist().index(cid)]) < 1e-9
-
-
 def test_edit_distance_query(spark):
     per = {}
     for t, u, a in pairs():
