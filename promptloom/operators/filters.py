@@ -125,13 +125,26 @@ def check_targets(df: DataFrame, *, target_col="targets_pretokenized",
     return df.withColumn("target_in_choices", ok)
 
 
+def audit_key(task, dataset):
+    """The template named by an audit row: the dataset name without its config and
+    dataset prefixes and the score suffix (``ARC-*`` configs are spelled with ``_`` there)."""
+    parts = F.split(task, "/")
+    name, config = F.get(parts, 0), F.get(parts, 1)
+    config = F.regexp_replace(config, "^ARC-(Challenge|Easy)$", "ARC_$1")
+    body = F.when(config.isNotNull(), F.replace(dataset, F.concat(config, F.lit("_")), F.lit(""))).otherwise(dataset)
+    body = F.replace(F.replace(body, F.concat(name, F.lit("_")), F.lit("")), F.lit("_score_eval"), F.lit(""))
+    body = F.regexp_replace(body, "^_+|_+$", "")
+    return F.when(task == "anli", F.regexp_replace(body, "_r[123]", "")).otherwise(body)
+
+
 def audit_templates(tsv: DataFrame, flags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(task, dataset) rows -> original flag; unmatched keys reported.
 
-    ``flags``: (task, template, original_task).  Returns (report, missing)."""
-    renamed = tsv.withColumn("dataset", F.regexp_replace("dataset", "ARC-(Challenge|Easy)", "ARC_$1"))
-    j = renamed.join(flags, ["task", "template"], "left")
-    report = j.select("task", "dataset", F.coalesce("original_task", F.lit(False)).alias("original"))
+    ``flags``: (task, template, original_task), template names normalised (F10).
+    Returns (report, missing)."""
+    j = tsv.withColumn("template", audit_key(F.col("task"), F.col("dataset")))
+    j = j.join(bounded_broadcast(flags.select("task", "template", "original_task")), ["task", "template"], "left")
+    report = j.select("task", "dataset", "template", F.coalesce("original_task", F.lit(False)).alias("original"))
     missing = j.where(F.col("original_task").isNull()).select("task", "template")
     return report, missing
 

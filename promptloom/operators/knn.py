@@ -388,13 +388,15 @@ def _shard_ord(corpus: DataFrame, shard_col: str | None, shard_order: list | Non
     return order[F.col("shard")].cast("int")
 
 
-def merged_order(candidates: DataFrame) -> DataFrame:
-    """One ascending list over all shards, still k x shards rows per query.
+def merged_order(candidates: DataFrame, global_k: int | None = None) -> DataFrame:
+    """One ascending list over all shards, still k x shards rows per query, or
+    with ``global_k`` the first that many of it.
 
     Adds ``pos`` (1-based) ordered by (score, shard_ord, rank).
     """
     w = Window.partitionBy("query_id").orderBy("score", "shard_ord", "rank")
-    return candidates.withColumn("pos", F.row_number().over(w))
+    merged = candidates.withColumn("pos", F.row_number().over(w))
+    return merged if global_k is None else merged.where(F.col("pos") <= global_k)
 
 
 def search(corpus: DataFrame, query_vector, k: int, *, corpus_key: str,

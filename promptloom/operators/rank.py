@@ -65,6 +65,15 @@ def evaluate(choice_logp: DataFrame, targets: DataFrame, *,
     return accuracy(joined, group_cols)
 
 
+def summarise_results(accuracies: DataFrame, group_cols, percentiles=(0.5,)) -> DataFrame:
+    """Over the templates of a group: their number, mean, least, largest accuracy and
+    percentiles (exact, one value per template)."""
+    a = F.col("accuracy")
+    return accuracies.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("n_templates"), F.avg(a).alias("mean_accuracy"), F.min(a).alias("min_accuracy"),
+        F.max(a).alias("max_accuracy"), *[F.percentile(a, p).alias(f"p{round(100 * p)}_accuracy") for p in percentiles])
+
+
 def compare_accuracy(before: DataFrame, after: DataFrame, group_cols) -> DataFrame:
     """Accuracy before and after self-reference side by side."""
     g = list(group_cols)

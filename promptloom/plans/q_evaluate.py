@@ -15,7 +15,7 @@ from ..functions import metrics as M
 from ..functions.text import whitespace_tokens
 from ..operators.perplexity import array_perplexity, template_wins
 from ..operators.rank import (accuracy, choice_scores, confidence, expand_choices,
-                              log_softmax_array, rank_classify, self_reference)
+                              log_softmax_array, rank_classify, self_reference, summarise_results)
 from ..sources.tables import read_table
 from .catalog import register
 
@@ -123,15 +123,15 @@ def evaluate_modes_q(spark, sf):
 
 @register("summarise_results", _MODES_SQL + """
 SELECT prompt_mode, count(*) AS n_templates, round(avg(accuracy), 6) AS mean_accuracy,
-       round(min(accuracy), 6) AS min_accuracy, round(max(accuracy), 6) AS max_accuracy
+       round(min(accuracy), 6) AS min_accuracy, round(max(accuracy), 6) AS max_accuracy,
+       round(quantile_cont(accuracy, 0.25), 6) AS p25_accuracy, round(quantile_cont(accuracy, 0.5), 6) AS p50_accuracy
 FROM acc GROUP BY prompt_mode
 """)
 def summarise_results_q(spark, sf):
     """Mean, min and max accuracy over templates per prompt mode."""
     a = accuracy(_predictions(spark, sf, MODES), ["template_name", "prompt_mode"])
-    return a.groupBy("prompt_mode").agg(
-        F.count(F.lit(1)).alias("n_templates"), F.round(F.avg("accuracy"), 6).alias("mean_accuracy"),
-        F.round(F.min("accuracy"), 6).alias("min_accuracy"), F.round(F.max("accuracy"), 6).alias("max_accuracy"))
+    out = summarise_results(a, ["prompt_mode"], (0.25, 0.5))
+    return out.select("prompt_mode", "n_templates", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
 
 
 @register("self_reference", f"""

@@ -20,14 +20,25 @@ REGISTRY_SCHEMA = ("HF_name string, subset string, task_by_convention string, "
                    "do_train string, do_eval string, train_size string")
 
 
+SPLIT_BY_CONFIG = ("anli",)     # fixed value: its config names a split
+
+
 def read_task(spark: SparkSession, root: str, dataset: str, config: str | None = None,
-              split: str | None = None) -> DataFrame:
-    """One named dataset from the partitioned prompted table (pruned)."""
+              split: str | None = None, *, prefer: str | None = None,
+              split_by_config=SPLIT_BY_CONFIG) -> DataFrame:
+    """One named dataset from the partitioned prompted table (pruned).
+
+    A dataset of ``split_by_config`` takes its config as the split name.  ``prefer``
+    (such as ``validation``): that split if the dataset has it, else all of them."""
     df = spark.read.parquet(root).where(F.col("dataset_name") == dataset)
+    if dataset in split_by_config and config is not None:
+        config, split = None, config
     if "dataset_config_name" in df.columns:
         df = df.where(null_config("dataset_config_name").eqNullSafe(F.lit(config)))
     if split is not None:
         df = df.where(F.col("split") == split)
+    elif prefer is not None and not df.where(F.col("split") == prefer).isEmpty():
+        df = df.where(F.col("split") == prefer)
     return df
 
 
@@ -86,10 +97,13 @@ def discover(manifest: DataFrame, prefixes: DataFrame, *, exact: bool = False,
     ``manifest``: one row per dataset directory; ``prefixes``: column ``task``.
     """
     base = F.element_at(F.split(F.col(path_col), "/"), -1)
-    cond = base.startswith(F.col("task"))
+    named = manifest.withColumn("basename", base)
     if exact:
-        cond = parse_task_path(F.col(path_col))["task"] == F.col("task")
-    return manifest.join(bounded_broadcast(prefixes.select("task")), cond).withColumn("basename", base)
+        named = named.withColumn("task", parse_task_path(F.col(path_col))["task"])
+    else:   # every prefix of a basename is a candidate: an equi-join, not a comparison of all pairs
+        ends = F.when(F.length(base) > 0, F.sequence(F.lit(1), F.length(base)))
+        named = named.withColumn("task", F.explode_outer(F.transform(ends, lambda n: F.substring(base, F.lit(1), n))))
+    return named.join(bounded_broadcast(prefixes.select("task").distinct()), "task")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -148,6 +162,13 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def write_report(results: DataFrame, path: str, *, scores_only: bool = False) -> None:
-    """TSV ``template<TAB>accuracy`` (or the scores alone)."""
+    """TSV ``template<TAB>accuracy`` (or the scores alone), sorted by template.
+
+    One row per template: the range sort's parts keep the order."""
     cols = ["accuracy"] if scores_only else ["template_name", "accuracy"]
-    results.select(*cols).coalesce(1).write.mode("overwrite").option("sep", "\t").csv(path)
+    results.orderBy("template_name").select(*cols).write.mode("overwrite").option("sep", "\t").csv(path)
+
+
+def write_epochs(results: DataFrame, path: str) -> None:
+    """Per-epoch results as CSV with a header, in epoch order."""
+    results.orderBy("epoch").write.mode("overwrite").option("header", True).csv(path)
