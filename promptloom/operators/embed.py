@@ -37,7 +37,8 @@ def dense_vectors(numbers: pa.Array, dim: int) -> pa.Array:
     n = len(numbers)
     flat = numbers.flatten().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(n), np.asarray(numbers.value_lengths().fill_null(0)))
-    v = np.bincount(row * dim + flat % dim, np.where(flat >= TOP_BIT, 1.0, -1.0), n * dim).reshape(n, dim)
+    v = np.bincount(row * dim + flat % dim, np.where(flat >= TOP_BIT, 1.0, -1.0), n * dim)
+    v = v.astype(float).reshape(n, dim)      # of no tokens at all it counts integers
     norm = np.sqrt((v * v).sum(1, keepdims=True))
     out = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype(np.float32)
     return pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(out.ravel()))

@@ -24,6 +24,7 @@ from .catalog import register
 from .composite import chosen_index, knowledge_set, nest_candidates, retrieval_log
 from .q_evaluate import _MODES_SQL, _PAIRS_SQL, MODES, WS, _labelled, _logp, _lp_sql, _pairs, _predictions
 from .q_retrieval import K_RETRIEVE, _augment_sql, _augmented, _dist, _neighbours, embed_sql
+from .q_text import in_conversations
 
 _SPLIT = "CASE WHEN (doc_id // 20) % 5 = 0 THEN 'validation' ELSE 'train' END"
 _CFG = "CASE CAST(substr(source, 4) AS INTEGER) % 3 WHEN 0 THEN 'None' WHEN 1 THEN 'cfg' ELSE '' END"
@@ -225,11 +226,12 @@ WHERE lang <> 'de' GROUP BY task, lang
 """)
 def used_templates_q(spark, sf):
     """Template strings of the mixture paths, keyed by task and template."""
-    p = _paths(spark, sf)
+    # grouped: the path is then a column, not an expression repeated in every use of it
+    p = _paths(spark, sf).groupBy("path", "lang").agg(F.max("doc_id").alias("ordinal"))
     k = N.parse_task_path(F.col("path"))
     tpl = p.where("lang <> 'de'").select(k["task"].alias("task"), F.col("lang").alias("template"),
                                          F.concat(F.lit("Use "), F.col("lang")).alias("template_str")).distinct()
-    return used_templates(p.groupBy("path").agg(F.max("doc_id").alias("ordinal")), tpl).select(
+    return used_templates(p.select("path", "ordinal"), tpl).select(
         "task_template", "task", "template", "template_str")
 
 
@@ -386,7 +388,7 @@ def knowledge_set_q(spark, sf):
     """Template, knowledge block, target check (a target outside the choices fails),
     tokens, masked labels."""
     gloss = F.create_map(F.lit("reply"), F.array(F.struct(F.array("assistant").alias("glosses"))))
-    p = _pairs(spark, sf).select(F.col("pair_id").alias("row_id"), F.lit("conversations").alias("dataset_name"), "user",
+    p = _pairs(spark, sf).select(F.col("pair_id").alias("row_id"), in_conversations("conversations").alias("dataset_name"), "user",
                                  (F.col("conv_id") % 2).cast("int").alias("parity"),
                                  F.to_json(F.struct(F.struct(gloss.alias("gloss")).alias("lexicon"))).alias("knowledge"))
     tpl = spark.createDataFrame([("conversations", "k", "{{user}}|||{{answer_choices[parity]}}", "even|||odd")],

@@ -55,11 +55,17 @@ CONV_FIELDS = ["user", "assistant", "turn", "parity"]
 MARKS = " ||| {{assistant}} {{x}}"      # in a field this is plain text
 
 
+def in_conversations(value):
+    """A column of one value that the optimiser keeps as a join key (a literal would turn
+    the equi-join with the templates into a nested loop)."""
+    return F.when(F.col("conv_id").isNotNull(), F.lit(value))
+
+
 def marked_pairs(spark, sf):
     """The (user, reply) pairs; every fifth conversation's user text holds template marks."""
     return _pairs(spark, sf).withColumns({
         "user": F.when(F.col("conv_id") % 5 == 0, F.concat("user", F.lit(MARKS))).otherwise(F.col("user")),
-        "parity": (F.col("conv_id") % 2).cast("int"), "dataset_name": F.lit("conversations")})
+        "parity": (F.col("conv_id") % 2).cast("int"), "dataset_name": in_conversations("conversations")})
 
 
 def conv_templates(spark, only=None):

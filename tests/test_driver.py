@@ -1,11 +1,16 @@
 """The driver contract: entry() smoke, and every query against its oracle at sf0.001."""
 
 import importlib.util
+import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
 
 from conftest import SF_SMALL
+from promptloom.plans import catalog
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -27,14 +32,25 @@ def test_entry_smoke(spark):
 def test_oracle_keys_subset_of_queries():
     m = load_entry()
     q, o = m.queries(), m.oracle_sql()
-    assert set(o) <= set(q) and len(q) >= 40
+    assert set(o) <= set(q) and len(q) >= 70
 
 
-@pytest.mark.parametrize("name", sorted(load_entry().queries()))
+#: no SQL form that ends in reasonable time; tests/test_metrics.py holds a brute-force version
+ROWS_ONLY = {"metric_rouge_l"}
+
+
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_oracle(spark, name):
     import oracle_harness as H
-    m = load_entry()
-    sql = m.oracle_sql().get(name)
-    con = H.duck(SF_SMALL)
-    info = H.compare(spark, con, name, m.queries()[name], sql, SF_SMALL)
-    assert info["ok"] in (True, None), info
+    sql = catalog.oracle_sql().get(name)
+    info = H.compare(spark, H.duck(SF_SMALL), name, load_entry().queries()[name], sql, SF_SMALL)
+    assert info["ok"] is (None if name in ROWS_ONLY else True), info
+
+
+def test_entry_works_without_the_llm_folder(tmp_path):
+    shutil.copytree(ROOT / "promptloom", tmp_path / "promptloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), sorted(set(e.oracle_sql()) - set(e.queries())))"
+    out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True,
+                         env={**os.environ, "PYTHONPATH": ""})
+    assert out.stdout.split("\n")[0] == f"{len(catalog.queries())} []", out.stderr

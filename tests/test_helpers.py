@@ -1,6 +1,9 @@
 import math
 
 
+import pytest
+from pyspark.sql import functions as F
+
 from promptloom.operators.augment import augment, augment_stats
 from promptloom.operators.filters import keep_original, used_templates
 from promptloom.operators.mixture import map_splits
@@ -43,7 +46,8 @@ def test_used_templates_last_wins(spark):
 def test_alias_and_omit_templates(spark):
     df = spark.createDataFrame([("wiki_hop", "wiki_hop_a")], "task string, basename string")
     allow = spark.createDataFrame([("wiki_hop_original", ["wiki_hop_a"])], "task string, original_dataset_name array<string>")
-    assert keep_original(df, allow).count() == 0
+    with pytest.raises(Exception, match="unknown task"):
+        keep_original(df, allow).collect()
     assert keep_original(df, allow, aliases={"wiki_hop": "wiki_hop_original"}).count() == 1
     co = spark.createDataFrame([(1, "d", "bad", "train", 1, "x", "y"), (2, "d", "good", "train", 2, "u", "v")], PROMPTED)
     q = spark.createDataFrame([(9, "q", "t", "validation", 0, "q", "")], PROMPTED)
@@ -86,7 +90,9 @@ def test_knowledge_and_few_shot_sets(spark):
     tpl = spark.createDataFrame([("ds", "t", "{{q}}|||{{a}}", "yes|||no")],
                                 "dataset_name string, template_name string, template_str string, answer_choices string")
     k = knowledge_set(rows, tpl, fields=["q", "a"]).first()
-    assert k["inputs_pretokenized"] == "Q?\n[KiC]\nbecause\n[KiC]\n" and k["target_in_choices"]
+    assert k["inputs_pretokenized"] == "Q?\n[KiC]\nbecause\n[KiC]\n"
+    with pytest.raises(Exception, match="not in answer choices"):
+        knowledge_set(rows.withColumn("a", F.lit("maybe")), tpl, fields=["q", "a"]).collect()
     assert k["targets"][-1] == 1
     fs = few_shot_set(rows.drop("knowledge"), tpl.drop("answer_choices"), 1, fields=["q", "a"]).first()
     assert fs["labels"][-1] == 1 and len(fs["input_ids"]) == 1
