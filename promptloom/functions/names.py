@@ -71,6 +71,7 @@ def template_from_basename(basename, dataset) -> Column:
 
 def normalise_template_name(col) -> Column:
     """'-', ' ', '/' -> '_'; '___' -> '_'; drop ``[^\\w\\d'\\s_]+``; trim '_'."""
+    # fixed value: the characters that stay in a template name
     c = F.translate(_c(col), "- /", "___")
     c = F.replace(c, F.lit("___"), F.lit("_"))
     c = F.regexp_replace(c, r"(?U)[^\w\d'\s_]+", "")
@@ -83,6 +84,7 @@ def task_name(dataset, subset, template) -> Column:
                    F.when(_c(subset).isNotNull(), F.concat(F.lit("_"), _c(subset), F.lit("_")))
                    .otherwise(F.lit("_")),
                    _c(template))
+    # fixed value: the characters that stay in a task name
     return F.regexp_replace(raw, r"(?U)[^\w\d\._]+", "_")
 
 

@@ -121,7 +121,3 @@ def label_to_class(choices, label) -> Column:
 def no_label(target) -> Column:
     """falsy target -> '<NO LABEL>'."""
     return F.coalesce(F.nullif(_c(target), F.lit("")), F.lit(NO_LABEL))
-
-
-def token_count(col) -> Column:
-    return F.size(whitespace_tokens(col))
