@@ -12,8 +12,8 @@ whole texts.
 
 Rows: a null or letterless text is ``und`` with score 0; ties between languages go to
 the language with more training rows, then the smaller name; a model fitted on no
-rows says ``und`` for all; a null id is held in or out like the empty text; extra
-columns are ignored by ``predict``'s result; repeated rows are predicted each.
+rows says ``und`` for all; a null id is never trained on; extra columns pass through;
+repeated rows are predicted each.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,10 +83,9 @@ def _count(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.R
                 for i in range(len(langs)):
                     keys, n = np.unique(h[lang[word] == i], return_counts=True)
                     if len(keys):
-                        full = len(keys)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(full, order, np.int32)), pa.array(keys.view(np.int64)),
-                             pa.array(np.full(full, i, np.int32)), pa.array(n.astype(np.int64))],
+                            [pa.array(np.full(len(keys), order, np.int32)), pa.array(keys.view(np.int64)),
+                             pa.array(np.full(len(keys), i, np.int32)), pa.array(n.astype(np.int64))],
                             ["o", "h", "l", "n"])
 
 
@@ -106,7 +105,6 @@ def fit(docs: DataFrame, allowed: Column, doc_id: str = "doc_id", text: str = "t
     wide = counts.groupBy("o", "h").agg(*(F.sum(F.when(F.col("l") == i, F.col("n")).otherwise(0)).alias(f"n{i}")
                                           for i in range(len(langs))), F.sum("n").alias("total"))
     wide = wide.filter("total > 1 or o > 0")
-    from pyspark.sql import Window
     best = wide.withColumn("r", F.row_number().over(Window.partitionBy("o").orderBy(F.desc("total"), "h")))
     best = best.filter(F.col("r") <= max_entries).drop("r").toPandas()
     keys, logs = {}, {}

@@ -21,7 +21,7 @@ found, fewer edges than it has fingerprints, and skips node pairs that lie in on
 component already, so a large group of near copies does not become all its pairs.
 
 Components: label rounds over the forests (large-star, small-star), each stored in
-the checkpoint folder, until nothing changes.  Rows that share a fingerprint join
+the checkpoint folder, until all edges are stars.  Rows that share a fingerprint join
 their component through ``attach_facts``, so a fingerprint held by a third of the
 rows is not shuffled into one task.
 
