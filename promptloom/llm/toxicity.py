@@ -33,6 +33,25 @@ from .quality import sample_labelled
 
 WINDOW, STRIDE = 48, 32
 HIDDEN, EMBED, ATTEND, BUCKETS = 8, 8, 8, 4096
+GRAMS = (3,)             # letters
+
+
+def letter_buckets(w: Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram buckets of the picked words, word after word, and the word of each."""
+    parts = [w.grams(n, pick) for n in GRAMS]
+    g, of = (np.concatenate(x) for x in zip(*parts))
+    by = np.argsort(of, kind="stable")
+    return (g[by] & np.uint64(BUCKETS - 1)).astype(np.int32), of[by]
+
+
+def mean_rows(table: np.ndarray, buckets: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The mean row of ``table`` over each word's buckets (zeros where it has none)."""
+    out = np.zeros((len(count), table.shape[1]), np.float32)
+    some = count > 0
+    if some.any():
+        begin = (np.cumsum(count) - count)[some]
+        out[some] = np.add.reduceat(table[buckets], begin) / count[some][:, None]
+    return out
 
 
 def _sigmoid(x):
@@ -114,23 +133,25 @@ class ToxicModel:
         pick = np.zeros(w.n, bool)
         pick[first] = True
         word = self.params["word"][find(h[first], self.vocab)]           # -1: the last row, unknown
-        g, of = w.grams(3, pick)
+        buckets, of = letter_buckets(w, pick)
         rank = np.cumsum(pick) - 1                                       # number among picked, in text order
-        n = int(pick.sum())
-        count = np.bincount(rank[of], minlength=n)
-        vec = np.zeros((n, EMBED), np.float32)
-        if len(g):
-            some = count > 0
-            begin = (np.cumsum(count) - count)[some]
-            vec[some] = np.add.reduceat(self.params["char"][g & np.uint64(BUCKETS - 1)], begin) / count[some][:, None]
-        x = np.concatenate([word, vec[rank[first]]], 1)
-        return np.concatenate([x, np.zeros((1, 2 * EMBED), np.float32)]), number
+        vec = mean_rows(self.params["char"], buckets, np.bincount(rank[of], minlength=int(pick.sum())))
+        return self.padded(word, vec[rank[first]]), number
+
+    @staticmethod
+    def padded(word: np.ndarray, vec: np.ndarray) -> np.ndarray:
+        """The input rows of distinct words, and a last row for padding."""
+        x = np.concatenate([word, vec], 1)
+        return np.concatenate([x, np.zeros((1, 2 * EMBED), np.float32)])
 
     def logits(self, w: Words, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """Per window: its logit. ``index``: word numbers by (time, window)."""
-        p = self.params
         x, number = self.inputs(w) if w.n else (np.zeros((1, 2 * EMBED), np.float32), np.zeros(0, np.int64))
-        number = np.append(number, len(x) - 1)
+        return self.scan(x, np.append(number, len(x) - 1), index, mask)
+
+    def scan(self, x: np.ndarray, number: np.ndarray, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Logits of windows over words whose input rows are ``x[number]``."""
+        p = self.params
         out = np.empty(index.shape[1], np.float32)
         # the logistic of v is (tanh(v / 2) + 1) / 2: the halves go into the weights
         half = np.repeat(np.float32([0.5, 0.5, 1]), HIDDEN)
@@ -261,36 +282,62 @@ def _step(p, batch, y, weight, grads):
 
 
 class _Windows:
-    """The training windows: word numbers of each, and the letters' buckets of each distinct word."""
+    """The training windows: word numbers of each, and the buckets of each distinct word.
+
+    Read in groups of texts, so that only hashes and numbers are kept of all of them."""
 
-    def __init__(self, texts: list[list[str]], max_vocab: int, min_texts: int):
-        flat = [x for t in texts for x in t]
+    def __init__(self, texts: list[list[str]], max_vocab: int, min_texts: int, group: int = 100):
         self.of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        w = Words(flat)
-        self.w, h = w, w.hashes()
-        self.keys, first, self.number = np.unique(h, return_index=True, return_inverse=True)
-        both = np.unique(self.number * len(texts) + self.of[w.text])
-        seen = np.bincount(both // max(1, len(texts)), minlength=len(self.keys))
-        order = np.lexsort((self.keys, -seen))[:max_vocab]
-        self.vocab = np.sort(self.keys[order[seen[order] >= min_texts]])
-        pick = np.zeros(w.n, bool)
-        pick[first] = True
-        g, of = w.grams(3, pick)
-        number = self.number[of]
-        by = np.argsort(number, kind="stable")
-        self.buckets = (g[by] & np.uint64(BUCKETS - 1)).astype(np.int64)
-        self.lens = np.bincount(number, minlength=len(self.keys))
+        hashes, counts, seen, own, spelt = [], [], [], [], []
+        known = np.empty(0, np.uint64)
+        for i in range(0, len(texts), group):
+            w = Words([x for t in texts[i:i + group] for x in t])
+            h = w.hashes()
+            hashes.append(h)
+            n = sum(len(t) for t in texts[i:i + group])
+            counts.append(np.bincount(w.text, minlength=n))
+            keys, first, number = np.unique(h, return_index=True, return_inverse=True)
+            of = np.repeat(np.arange(len(texts[i:i + group])), [len(t) for t in texts[i:i + group]])
+            both = np.unique(number * group + of[w.text]) // group
+            seen.append((keys, np.bincount(both, minlength=len(keys))))
+            pick = np.zeros(w.n, bool)
+            pick[first[find(keys, known) < 0]] = True
+            buckets, word = letter_buckets(w, pick)
+            rank = np.cumsum(pick) - 1
+            own.append(h[pick])
+            spelt.append((buckets, np.bincount(rank[word], minlength=int(pick.sum()))))
+            known = np.union1d(known, keys)
+        self.keys, h = known, np.concatenate(hashes)
+        self.number = np.append(np.searchsorted(known, h), len(known)).astype(np.int32)
+        in_texts = np.zeros(len(known), np.int64)
+        for keys, n in seen:
+            in_texts[np.searchsorted(known, keys)] += n
+        order = np.lexsort((known, -in_texts))[:max_vocab]
+        self.vocab = np.sort(known[order[in_texts[order] >= min_texts]])
+        self.ids = find(known, self.vocab)
+        # buckets in the order of the distinct words
+        met = np.searchsorted(known, np.concatenate(own))
+        lens = np.concatenate([n for _, n in spelt])
+        begin, flat = np.cumsum(lens) - lens, np.concatenate([b for b, _ in spelt])
+        by = np.argsort(met)
+        self.lens = lens[by]
         self.at = np.cumsum(self.lens) - self.lens
-        self.ids = find(self.keys, self.vocab)
-        counts = np.bincount(w.text, minlength=len(flat))
+        self.buckets = flat[np.repeat(begin[by] - self.at, self.lens) + np.arange(len(flat))]
+        counts = np.concatenate(counts)
         begin = np.cumsum(counts) - counts
         inside = np.arange(WINDOW)[:, None]
         self.mask = inside < counts
-        self.index = np.where(self.mask, begin + inside, w.n)
+        self.index = np.where(self.mask, begin + inside, len(h)).astype(np.int32)
+
+    def logits(self, model: ToxicModel) -> np.ndarray:
+        """The logits of all training windows."""
+        p = model.params
+        x = model.padded(p["word"][self.ids], mean_rows(p["char"], self.buckets, self.lens))
+        return model.scan(x, self.number, self.index, self.mask)
 
     def batch(self, pick: np.ndarray):
         m = self.mask[:, pick]
-        number = np.append(self.number, len(self.keys))[self.index[:, pick]]
+        number = self.number[self.index[:, pick]]
         own, index = np.unique(number, return_inverse=True)
         real = own[own < len(self.keys)]
         lens = self.lens[real]
@@ -341,7 +388,7 @@ def fit_network(texts: list[list[str]], y: np.ndarray, rounds: int = 5, batch: i
                     first[k] += 0.1 * (g - first[k])
                     second[k] += 0.01 * (g * g - second[k])
                     p[k] -= lr * first[k] / (1 - 0.9 ** n_steps) / (np.sqrt(second[k] / (1 - 0.99 ** n_steps)) + 1e-7)
-        best = model.logits(data.w, data.index, data.mask)
+        best = data.logits(model)
     top = np.full(len(y), -np.inf)
     np.maximum.at(top, data.of, best)
     n = np.bincount(data.of, minlength=len(y))
@@ -351,15 +398,26 @@ def fit_network(texts: list[list[str]], y: np.ndarray, rounds: int = 5, batch: i
 
 
 def _calibrate(top: np.ndarray, log_n: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps with a small ridge towards the plain logit."""
+    """Logistic regression with a small ridge towards half the plain logit, by Newton steps
+    that are halved until they lower the loss."""
     x = np.stack([top, log_n, np.ones(len(y))], 1)
-    prior, ridge = np.array([1.0, 0.0, 0.0]), np.array([1.0, 1.0, 0.1])
+    prior, ridge = np.array([0.5, 0.0, 0.0]), np.array([4.0, 4.0, 0.1])
+
+    def loss(v):
+        z = np.where(y > 0, -(x @ v), x @ v)
+        return np.logaddexp(0, z).sum() + (ridge * (v - prior) ** 2).sum() / 2
+
     v = prior.copy()
-    for _ in range(30):
-        q = _sigmoid(x @ v)
+    for _ in range(50):
+        q = _sigmoid(np.clip(x @ v, -30, 30))
         grad = x.T @ (q - y) + ridge * (v - prior)
         hess = (x * (q * (1 - q))[:, None]).T @ x + np.diag(ridge)
-        v = v - np.clip(np.linalg.solve(hess, grad), -2, 2)
+        step, t = np.linalg.solve(hess, grad), 1.0
+        while t > 1e-4 and loss(v - t * step) > loss(v):
+            t /= 2
+        v = v - t * step
+        if np.abs(t * step).max() < 1e-6:
+            break
     return tuple(float(a) for a in v)
 
 
