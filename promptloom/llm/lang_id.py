@@ -20,15 +20,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .codepoints import Words, find, groups, sums
-from .common import free_name, slices
+from .common import cut_lineage, free_name, slices
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
@@ -104,9 +105,10 @@ def fit(docs: DataFrame, allowed: Column, doc_id: str = "doc_id", text: str = "t
     counts = rows.mapInArrow(lambda bs: _count(bs, langs), "o int, h bigint, l int, n bigint")
     wide = counts.groupBy("o", "h").agg(*(F.sum(F.when(F.col("l") == i, F.col("n")).otherwise(0)).alias(f"n{i}")
                                           for i in range(len(langs))), F.sum("n").alias("total"))
-    wide = wide.filter("total > 1 or o > 0")
-    best = wide.withColumn("r", F.row_number().over(Window.partitionBy("o").orderBy(F.desc("total"), "h")))
-    best = best.filter(F.col("r") <= max_entries).drop("r").toPandas()
+    wide = cut_lineage(wide.filter("total > 1 or o > 0"))
+    # the best of each order by its own limit: every task sends its best, no order is one task's rows
+    best = [wide.filter(F.col("o") == o).orderBy(F.desc("total"), "h").limit(max_entries) for o in (0, *ORDERS)]
+    best = reduce(DataFrame.unionByName, best).toPandas()
     keys, logs = {}, {}
     for order in (0, *ORDERS):
         part = best[best["o"] == order]
