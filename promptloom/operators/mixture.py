@@ -54,9 +54,11 @@ def task_caps(registry: DataFrame, templates: DataFrame,
     """Per (dataset, subset): n_templates, train_size ('' -> 0) and cap
     (``max // n_templates`` above the maximum, else the whole train_size)."""
     n = templates.groupBy("dataset", "subset").agg(F.count(F.lit(1)).alias("n_templates"))
-    staged = (F.nullif(F.col("do_train"), F.lit("")).isNotNull() | F.nullif(F.col("do_eval"), F.lit("")).isNotNull())
-    reg = registry.where(staged).select(F.col("HF_name").alias("_ds"), F.col("subset").alias("_sub"),
-                                        F.coalesce(F.col("train_size").cast("long"), F.lit(0)).alias("train_size"))
+    if {"do_train", "do_eval"} <= set(registry.columns):     # a bare size table has no stages
+        registry = registry.where(F.nullif(F.col("do_train"), F.lit("")).isNotNull() |
+                                  F.nullif(F.col("do_eval"), F.lit("")).isNotNull())
+    reg = registry.select(F.col("HF_name").alias("_ds"), F.col("subset").alias("_sub"),
+                          F.coalesce(F.col("train_size").cast("long"), F.lit(0)).alias("train_size"))
     j = _key_join(n, reg)      # datasets outside the registry, or of neither stage, drop out (J11)
     cap = F.when(F.col("train_size") > max_examples,
                  F.floor(F.lit(max_examples) / F.col("n_templates"))).otherwise(F.col("train_size"))
