@@ -6,10 +6,11 @@ and the mean vector of its letter trigrams.  A gated recurrent layer reads the w
 in both directions, attention pools the states, and a logistic unit gives the window's
 logit.  A text's score comes from its largest window logit and its number of windows.
 
-``fit`` trains on a bounded sample of labelled rows (``max_docs``), with at most
-``max_windows`` evenly spread windows of each, on the driver; in every round the
-windows that now score highest stand for their texts.  A fifth of the sample is kept
-for the final calibration.  ``score`` reads all windows of every whole text.
+``fit`` trains on a bounded sample of labelled rows (``max_docs``).  In every round Spark
+reads all windows of each sampled text and sends the driver the one that now scores
+highest, which stands for its text, and one picked at random.  A fifth of the sample is
+kept for the final calibration, on the highest of all windows and their number.
+``score`` reads all windows of every whole text.
 
 Rows: a null, empty or letterless text has one empty window and is scored like any
 other; a model fitted on no rows scores 0; null labels are not learned from; repeated
@@ -27,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .codepoints import STEP, Words, find
-from .common import free_name, slices
+from .codepoints import STEP, Words, find, mixed
+from .common import cut_lineage, free_name, slices
 from .quality import sample_labelled
 
 WINDOW, STRIDE = 48, 32
@@ -286,7 +287,8 @@ class _Windows:
 
     Read in groups of texts, so that only hashes and numbers are kept of all of them."""
 
-    def __init__(self, texts: list[list[str]], max_vocab: int, min_texts: int, group: int = 100):
+    def __init__(self, texts: list[list[str]], max_vocab: int = 0, min_texts: int = 1, group: int = 100,
+                 vocab: np.ndarray | None = None):
         self.of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         hashes, counts, seen, own, spelt = [], [], [], [], []
         known = np.empty(0, np.uint64)
@@ -313,7 +315,7 @@ class _Windows:
         for keys, n in seen:
             in_texts[np.searchsorted(known, keys)] += n
         order = np.lexsort((known, -in_texts))[:max_vocab]
-        self.vocab = np.sort(known[order[in_texts[order] >= min_texts]])
+        self.vocab = np.sort(known[order[in_texts[order] >= min_texts]]) if vocab is None else vocab
         self.ids = find(known, self.vocab)
         # buckets in the order of the distinct words
         met = np.searchsorted(known, np.concatenate(own))
@@ -329,12 +331,6 @@ class _Windows:
         self.mask = inside < counts
         self.index = np.where(self.mask, begin + inside, len(h)).astype(np.int32)
 
-    def logits(self, model: ToxicModel) -> np.ndarray:
-        """The logits of all training windows."""
-        p = model.params
-        x = model.padded(p["word"][self.ids], mean_rows(p["char"], self.buckets, self.lens))
-        return model.scan(x, self.number, self.index, self.mask)
-
     def batch(self, pick: np.ndarray):
         m = self.mask[:, pick]
         number = self.number[self.index[:, pick]]
@@ -346,38 +342,102 @@ class _Windows:
         return np.append(self.ids[real], pad - 1), chars, np.append(lens, pad), index.reshape(number.shape), m
 
 
-def fit_network(texts: list[list[str]], y: np.ndarray, rounds: int = 5, batch: int = 192, rate: float = 0.012,
+def chance(key: np.ndarray, number: np.ndarray | int, salt: int) -> np.ndarray:
+    """Numbers from 0 to 1 that depend on key, number and salt alone."""
+    odd = 0x9E3779B97F4A7C15
+    h = mixed(np.asarray(key).view(np.uint64) + np.uint64((salt + 1) * odd % 2 ** 64))
+    return (mixed(mixed(h + np.asarray(number, np.uint64) * np.uint64(odd))) >> np.uint64(11)) * 2.0 ** -53
+
+
+def _searched(batches: Iterator[pa.RecordBatch], model: ToxicModel | None, turn: int) -> Iterator[pa.RecordBatch]:
+    """Per sampled text, over all its windows: their number, the highest logit, its window
+    and one picked at random (both are random without a model)."""
+    for b in slices(batches, "text"):
+        key = b.column("key").to_numpy(zero_copy_only=False)
+        n = np.zeros(b.num_rows, np.int64)
+        best = {c: np.full(b.num_rows, -np.inf) for c in ("top", "other")}
+        words = {c: [""] * b.num_rows for c in best}
+        for rows, held in parts(b.column("text").to_pylist()):
+            w = Words(held)
+            index, mask, of = windows(np.bincount(w.text, minlength=len(held)))
+            at = np.asarray(rows)[of]                                  # in row order
+            start = np.flatnonzero(np.diff(at, prepend=-1))
+            count = np.diff(start, append=len(at))
+            number = np.arange(len(at)) - np.repeat(start, count) + n[at]
+            other = chance(key[at], number, 2 * turn)
+            top = chance(key[at], number, 2 * turn + 1) if model is None else model.logits(w, index, mask)
+            for c, rank in (("top", top), ("other", other)):
+                for j in np.lexsort((rank, at))[start + count - 1].tolist():
+                    if rank[j] > best[c][at[j]]:
+                        best[c][at[j]], words[c][at[j]] = rank[j], _spelled(w, index[mask[:, j], j])
+            n[at[start]] += count
+        yield pa.RecordBatch.from_arrays(
+            [b.column("key"), b.column("y"), pa.array(n), pa.array(best["top"]), *(pa.array(words[c], pa.string()) for c in words)],
+            ["key", "y", "n", "best", "top", "other"])
+
+
+def _spelled(w: Words, numbers: np.ndarray) -> str:
+    """Some successive words of ``w`` as a text."""
+    if not len(numbers):
+        return ""
+    offset, length = w.offset[numbers], w.length[numbers]
+    plain = w.letters[offset[0]:offset[-1] + length[-1]].astype(np.uint32).tobytes().decode("utf-32-le")
+    return " ".join(plain[a:a + n] for a, n in zip((offset - offset[0]).tolist(), length.tolist()))
+
+
+def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word hash, number of texts that have it), summed over each batch."""
+    for b in slices(batches, "text"):
+        seen = []
+        for rows, held in parts(b.column("text").to_pylist()):
+            w = Words(held)
+            seen.append(np.unique(np.stack([np.asarray(rows, np.uint64)[w.text], w.hashes()]), axis=1))
+        both = np.unique(np.concatenate(seen, 1), axis=1)              # pieces of one text share words
+        h, n = np.unique(both[1], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+
+def fit_network(sample: DataFrame, rounds: int = 5, batch: int = 192, rate: float = 0.012,
                 max_vocab: int = 8192, min_texts: int = 3, seed: int = 7) -> ToxicModel:
-    """``texts``: the windows of each sampled text, as texts of their words."""
+    """``sample``: (key, y, text) of each sampled text, stored; rows of one key are equal."""
     rng = np.random.default_rng(seed)
-    if not len(y) or y.min() == y.max():
-        line = (0.0, 0.0, 30.0 if len(y) and y.min() > 0 else -30.0)
+    classes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    if len(classes) < 2:
+        line = (0.0, 0.0, 30.0 if classes and min(classes) > 0 else -30.0)
         return ToxicModel(np.empty(0, np.uint64), new_params(0, rng), line, False)
-    data = _Windows(texts, max_vocab, min_texts)
-    p = new_params(len(data.vocab), rng)
-    model = ToxicModel(data.vocab, p, (1.0, 0.0, 0.0))
-    held = rng.random(len(y)) < 0.2
+    counts = sample.mapInArrow(_text_counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    known = counts.filter(F.col("n") >= min_texts).orderBy(F.desc("n"), "h").limit(max_vocab).collect()
+    vocab = np.sort(np.array([r["h"] for r in known], np.int64).view(np.uint64))
+
+    def search(model: ToxicModel | None, turn: int) -> list:
+        shared = sample.sparkSession.sparkContext.broadcast(model)    # under 1 MB
+        got = sample.mapInArrow(lambda bs: _searched(bs, shared.value, turn),
+                                "key bigint, y double, n bigint, best double, top string, other string").collect()
+        shared.unpersist()
+        return sorted(got, key=lambda r: r["key"])
+
+    p = new_params(len(vocab), rng)
+    model = ToxicModel(vocab, p, (1.0, 0.0, 0.0))
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    balance = min(4.0, ((y == 0).sum() / max(1, (y == 1).sum())) ** 0.5)
-    best = np.zeros(len(data.of), np.float32)
-    n_steps, batch = 0, min(batch, max(16, len(y) // 8))
-    train = ~held[data.of]
+    balance = min(4.0, (classes.get(0.0, 0) / max(1, classes.get(1.0, 0))) ** 0.5)
+    n_steps, batch = 0, min(batch, max(16, sum(classes.values()) // 8))
     for turn in range(rounds):
         # each text by its highest window, and by another one picked at random if it is clean
-        order = np.lexsort((best, data.of)) if turn else np.lexsort((rng.random(len(best)), data.of))
-        top = order[np.append(np.flatnonzero(np.diff(data.of[order])), len(order) - 1)]
-        some = rng.permutation(len(best))
-        other = some[np.unique(data.of[some], return_index=True)[1]]
-        pick = np.concatenate([top, other[(y[data.of[other]] == 0) | (turn < 2)]])
-        pick = pick[train[pick]]
-        if not len(pick):
+        found = search(model if turn else None, turn)
+        y = np.array([r["y"] for r in found])
+        held = chance(np.array([r["key"] for r in found], np.int64), 0, seed) < 0.2
+        own = np.flatnonzero(~held)
+        more = own[(y[own] == 0) | (turn < 2)]
+        if not len(own):
             break
+        data = _Windows([[found[i]["top"]] for i in own] + [[found[i]["other"]] for i in more], vocab=vocab)
+        label, pick = y[np.concatenate([own, more])], np.arange(len(own) + len(more))
         passes = max(2, -(-60 * batch // len(pick)))      # a small sample is passed more often
         for _ in range(min(passes, 40)):
             pick = rng.permutation(pick)
             for i in range(0, len(pick), batch):
                 b = pick[i:i + batch]
-                target = y[data.of[b]].astype(np.float32)
+                target = label[b].astype(np.float32)
                 grads = {k: np.zeros_like(v) for k, v in p.items()}
                 _step(p, data.batch(b), target, np.where(target > 0, balance, 1).astype(np.float32), grads)
                 n_steps += 1
@@ -388,10 +448,8 @@ def fit_network(texts: list[list[str]], y: np.ndarray, rounds: int = 5, batch: i
                     first[k] += 0.1 * (g - first[k])
                     second[k] += 0.01 * (g * g - second[k])
                     p[k] -= lr * first[k] / (1 - 0.9 ** n_steps) / (np.sqrt(second[k] / (1 - 0.99 ** n_steps)) + 1e-7)
-        best = data.logits(model)
-    top = np.full(len(y), -np.inf)
-    np.maximum.at(top, data.of, best)
-    n = np.bincount(data.of, minlength=len(y))
+    found = search(model, rounds)
+    y, top, n = (np.array([r[c] for r in found], float) for c in ("y", "best", "n"))
     use = held if min((y[held] == 0).sum(), (y[held] == 1).sum()) >= 8 else np.ones(len(y), bool)
     model.line = _calibrate(top[use], np.log(n[use]), y[use])
     return model
@@ -422,33 +480,12 @@ def _calibrate(top: np.ndarray, log_n: np.ndarray, y: np.ndarray) -> tuple[float
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, doc_id: str = "doc_id", text: str = "text",
-        label: str = "toxic", max_docs: int = 4_000, max_windows: int = 48, **options) -> ToxicModel:
-    """A model from the label rows where ``allowed`` (over ``_id``); the driver gets
-    ``max_docs`` * ``max_windows`` windows at most."""
+        label: str = "toxic", max_docs: int = 4_000, **options) -> ToxicModel:
+    """A model from the label rows where ``allowed`` (over ``_id``); the sampled texts are
+    stored, and the driver gets two windows of each in every round."""
     rows = sample_labelled(docs, labels, allowed, doc_id, label, text, max_docs)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            out = []
-            for t in b.column("text").to_pylist():
-                words = _spelled(t)
-                starts = range(0, max(1, len(words) - WINDOW + STRIDE), STRIDE)
-                at = np.unique(np.linspace(0, len(starts) - 1, min(len(starts), max_windows)).astype(int))
-                out.append([" ".join(words[starts[i]:starts[i] + WINDOW]) for i in at])
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("y"), pa.array(out, pa.list_(pa.string()))],
-                                             ["_id", "y", "w"])
-
-    id_type = rows.schema["_id"].dataType.simpleString()
-    got = rows.mapInArrow(each, f"_id {id_type}, y double, w array<string>").collect()
-    got.sort(key=lambda r: (r["_id"], r["y"], r["w"]))
-    return fit_network([r["w"] for r in got], np.array([r["y"] for r in got]), **options)
-
-
-def _spelled(text: str) -> list[str]:
-    """The words of a text as strings, as ``Words`` finds them."""
-    w = Words([text])
-    plain = w.letters.astype(np.uint32).tobytes().decode("utf-32-le")
-    return [plain[a:a + n] for a, n in zip(w.offset.tolist(), w.length.tolist())]
+    rows = rows.select(F.xxhash64("_id", "y", "text").alias("key"), "y", "text")
+    return fit_network(cut_lineage(rows.repartition(docs.sparkSession.sparkContext.defaultParallelism, "key")), **options)
 
 
 def score(docs: DataFrame, model: ToxicModel, text: str = "text", keep: list[str] | None = None,

@@ -154,6 +154,36 @@ def test_toxicity_of_held_out_texts(spark):
     assert clean < 0.5 <= foul
 
 
+def test_toxicity_reads_every_window_of_long_training_texts(spark):
+    # one short passage far inside texts of 95 to 190 windows: 48 spread windows miss most of them
+    rng = random.Random(11)
+    data = toxic_texts(300, 2)
+    for i in range(160):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(3_000, 6_000))]
+        at = rng.randrange(len(words))
+        data.append((" ".join([*words[:at], *(["idiot", "moron", "idiot"] if i % 2 else []), *words[at:]]), float(i % 2)))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, (_, y) in enumerate(data)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.col("_id") % 4 > 1)
+    got = {r.doc_id: r.score for r in toxicity.score(docs.filter("doc_id % 4 < 2"), model).collect()}
+    held = [(s, data[i][1]) for i, s in got.items() if i >= 300]
+    assert len(held) == 80 and np.mean([(s >= 0.5) == (y > 0) for s, y in held]) > 0.95
+
+
+def test_toxicity_search_reads_whole_texts():
+    import pyarrow as pa
+    texts = [" ".join(WORDS[i % 7] + WORDS[i % 9] for i in range(n)) for n in (20_000, 30, 0, 700)]
+    model = toxicity.ToxicModel(np.empty(0, np.uint64), toxicity.new_params(0, np.random.default_rng(3)), (1, 0, 0))
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7, 8]), pa.array([1.0] * 4), pa.array(texts)], ["key", "y", "text"])
+    (got,) = toxicity._searched(iter([batch]), model, 1)
+    for text, r in zip(texts, got.to_pylist()):
+        logits, _ = toxicity.window_logits(model, [text])
+        words = text.split()
+        k = [" ".join(words[i * 32:i * 32 + 48]) for i in range(len(logits))]
+        assert r["n"] == len(k) and r["best"] == pytest.approx(logits.max(), abs=1e-5) and r["other"] in k
+        assert logits[[i for i, x in enumerate(k) if x == r["top"]]].max() == pytest.approx(r["best"], abs=1e-5)
+
+
 def test_toxicity_edges(spark):
     docs = edge_docs(spark)
     labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
