@@ -6,7 +6,8 @@ and the mean vector of its letter trigrams.  A gated recurrent layer reads the w
 in both directions, attention pools the states, and a logistic unit gives the window's
 logit.  A text's score comes from its largest window logit and its number of windows.
 
-``fit`` trains on a bounded sample of labelled rows (``max_docs``).  In every round Spark
+``fit`` trains on a bounded sample of labelled rows (``max_docs``, half of each label where
+both have as many; the score's constant undoes the changed share).  In every round Spark
 reads all windows of each sampled text and sends the driver the one that now scores
 highest, which stands for its text, and one picked at random.  A fifth of the sample is
 kept for the final calibration, on the highest of all windows and their number.
@@ -30,7 +31,6 @@ from pyspark.sql import types as T
 
 from .codepoints import STEP, Words, find, mixed
 from .common import cut_lineage, free_name, slices
-from .quality import sample_labelled
 
 WINDOW, STRIDE = 48, 32
 HIDDEN, EMBED, ATTEND, BUCKETS = 8, 8, 8, 4096
@@ -398,8 +398,9 @@ def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_network(sample: DataFrame, rounds: int = 5, batch: int = 192, rate: float = 0.012,
-                max_vocab: int = 8192, min_texts: int = 3, seed: int = 7) -> ToxicModel:
-    """``sample``: (key, y, text) of each sampled text, stored; rows of one key are equal."""
+                max_vocab: int = 8192, min_texts: int = 3, seed: int = 7, prior: float = 0.0) -> ToxicModel:
+    """``sample``: (key, y, text) of each sampled text, stored; rows of one key are equal.
+    ``prior``: log odds of being toxic among all rows less those in the sample."""
     rng = np.random.default_rng(seed)
     classes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if len(classes) < 2:
@@ -451,7 +452,8 @@ def fit_network(sample: DataFrame, rounds: int = 5, batch: int = 192, rate: floa
     found = search(model, rounds)
     y, top, n = (np.array([r[c] for r in found], float) for c in ("y", "best", "n"))
     use = held if min((y[held] == 0).sum(), (y[held] == 1).sum()) >= 8 else np.ones(len(y), bool)
-    model.line = _calibrate(top[use], np.log(n[use]), y[use])
+    a, b, c = _calibrate(top[use], np.log(n[use]), y[use])
+    model.line = (a, b, c + prior)
     return model
 
 
@@ -479,13 +481,31 @@ def _calibrate(top: np.ndarray, log_n: np.ndarray, y: np.ndarray) -> tuple[float
     return tuple(float(a) for a in v)
 
 
+def sample_by_label(docs: DataFrame, labels: DataFrame, allowed: Column, doc_id: str, label: str,
+                    text: str, max_docs: int) -> tuple[DataFrame, float]:
+    """(_id, text, y) of at most ``max_docs`` label rows, of each label those of smallest id
+    hash: half of each, more of one where the other has fewer.  And the log odds of being
+    toxic among all label rows less those in the sample."""
+    rows = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("y"))
+    rows = rows.filter(F.col("_id").isNotNull() & F.col("y").isNotNull()).filter(allowed)
+    toxic = F.col("y") > 0
+    n = {r[0]: r[1] for r in rows.groupBy(toxic).count().collect()}
+    n, half = {t: n.get(t, 0) for t in (True, False)}, max_docs // 2
+    take = {t: min(n[t], max(half, max_docs - n[not t])) for t in n}
+    clean, foul = (rows.filter(toxic == t).orderBy(F.xxhash64("_id"), "_id", "y").limit(take[t]) for t in (False, True))
+    src = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    prior = np.log(n[True] / take[True]) - np.log(n[False] / take[False]) if all(take.values()) else 0.0
+    return src.join(F.broadcast(clean.unionByName(foul)), "_id"), float(prior)     # max_docs rows of 16 bytes
+
+
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, doc_id: str = "doc_id", text: str = "text",
         label: str = "toxic", max_docs: int = 4_000, **options) -> ToxicModel:
     """A model from the label rows where ``allowed`` (over ``_id``); the sampled texts are
     stored, and the driver gets two windows of each in every round."""
-    rows = sample_labelled(docs, labels, allowed, doc_id, label, text, max_docs)
+    rows, prior = sample_by_label(docs, labels, allowed, doc_id, label, text, max_docs)
     rows = rows.select(F.xxhash64("_id", "y", "text").alias("key"), "y", "text")
-    return fit_network(cut_lineage(rows.repartition(docs.sparkSession.sparkContext.defaultParallelism, "key")), **options)
+    rows = rows.repartition(docs.sparkSession.sparkContext.defaultParallelism, "key")
+    return fit_network(cut_lineage(rows), prior=prior, **options)
 
 
 def score(docs: DataFrame, model: ToxicModel, text: str = "text", keep: list[str] | None = None,

@@ -170,6 +170,40 @@ def test_toxicity_reads_every_window_of_long_training_texts(spark):
     assert len(held) == 80 and np.mean([(s >= 0.5) == (y > 0) for s, y in held]) > 0.95
 
 
+def test_toxicity_sample_holds_the_rare_label(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 50 == 0)) for i in range(2000)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+
+    def sample(max_docs, allowed=F.lit(True)):
+        rows, prior = toxicity.sample_by_label(docs, labels, allowed, "doc_id", "toxic", "text", max_docs)
+        y = [r.y for r in rows.collect()]
+        return len(y), sum(y), prior
+    assert sample(100) == (100, 40, pytest.approx(math.log(40 / 40) - math.log(1960 / 60)))
+    assert sample(40) == (40, 20, pytest.approx(math.log(40 / 20) - math.log(1960 / 20)))
+    assert sample(5000) == (2000, 40, 0.0)
+    assert sample(100, F.col("_id") % 50 != 0) == (100, 0, 0.0)
+
+
+def test_toxicity_is_fitted_on_half_of_each_label(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 50 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit_network", lambda sample, **options: sample)
+    y = [r.y for r in toxicity.fit(docs, labels, F.lit(True), max_docs=60).collect()]
+    assert (len(y), sum(y)) == (60, 30)                                # 2 % of the labels are toxic
+
+
+def test_toxicity_of_a_rare_label(spark):
+    plain, foul = [x for x in toxic_texts(3000, 4) if not x[1]], [x for x in toxic_texts(300, 5) if x[1]]
+    data = plain + foul                                                # 5 % toxic
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, (_, y) in enumerate(data)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.col("_id") % 4 != 0, max_docs=200)
+    got = toxicity.score(docs.filter("doc_id % 4 = 0"), model).collect()
+    hit = [r.score >= 0.5 for r in got if data[r.doc_id][1]]
+    flagged = [r.score >= 0.5 for r in got if not data[r.doc_id][1]]
+    assert np.mean(hit) > 0.8 and np.mean(flagged) < 0.02
+
+
 def test_toxicity_search_reads_whole_texts():
     import pyarrow as pa
     texts = [" ".join(WORDS[i % 7] + WORDS[i % 9] for i in range(n)) for n in (20_000, 30, 0, 700)]
