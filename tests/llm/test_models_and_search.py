@@ -392,6 +392,60 @@ def test_pipeline_stages(spark):
     assert sorted(map(str, whole)) == sorted(map(str, packed))
 
 
+def slow_language(model, text):
+    """(language, posterior) of a text, word by word in plain Python over the fitted tables."""
+    import unicodedata
+    full, odd = 2 ** 64 - 1, 0x9E3779B97F4A7C15
+
+    def mix(h):
+        h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 & full
+        return h ^ h >> 29
+
+    def powered(x):
+        return sum(ord(c) * pow(odd, i + 1, 2 ** 64) for i, c in enumerate(x)) & full
+    table = {n: dict(zip(model.keys[n].tolist(), model.logs[n].tolist())) for n in model.keys}
+    words, letter = [], False
+    for c in (text or "") + " ":
+        kind = unicodedata.category(c)[0]
+        letter |= kind == "L"
+        if kind not in "LM":
+            words.append("")
+        else:
+            words = words or [""]
+            words[-1] += c.lower() if len(c.lower()) == 1 else c
+    if not letter:
+        return lang_id.UNKNOWN, 0.0
+    total = [0.0] * len(model.langs)
+    for x in filter(None, words):
+        got = table[0].get(mix(powered(x) ^ len(x) << 44))
+        for n in (5, 4, 3, 2, 1) if got is None else ():
+            hits = [table[n].get(mix(n + powered(x[i:i + n]) & full)) for i in range(len(x) - n + 1)]
+            hits = [h for h in hits if h is not None]
+            if hits:
+                got = [sum(v) / len(hits) * n / (n + 1) for v in zip(*hits)]
+                break
+        total = [a + b for a, b in zip(total, got or [0.0] * len(total))]
+    best = max(total)
+    return model.langs[total.index(best)], 1 / sum(math.exp(v - best) for v in total)
+
+
+def test_language_stage_against_plain_python(spark, tmp_path):
+    import corpus_pipeline as P
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(10 ** 6 + i, t, "en") for i, t in enumerate([None, "", "12 + 3", "\u0301\u0302", "漢字 かな", "q", "zu", "xk vv", "ABC"])]
+    docs = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = lang_id.fit(docs, label_split("doc_id", 4) != 2)
+    slow = {r.doc_id: slow_language(model, r.text) for r in docs.collect()}
+    want = {i for i, (lang, p) in slow.items() if lang != lang_id.UNKNOWN and p >= 0.5}
+    got = P.language_stage(spark, docs, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r.doc_id for r in got} == want
+    assert 0 < len(want) < len(slow)
+    fast = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.predict(docs, model).collect()}
+    assert all(fast[i][0] == lang and fast[i][1] == pytest.approx(p, abs=1e-6) for i, (lang, p) in slow.items())
+
+
 def test_pipeline_with_nulls_and_extra_columns(spark, tmp_path):
     import corpus_pipeline as P
     rows = [(1, "the same words here", "en"), (2, "the same words here", "en"), (3, None, None), (4, "", "en"), (None, "other words there", "de")]
