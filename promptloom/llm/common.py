@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from promptloom.session import cut_lineage, ensure_checkpoint_dir
 
 __all__ = ["attach_facts", "cut_lineage", "fold", "free_name", "label_split", "log2_parts",
-           "read_docs", "shared_folder", "slices"]
+           "read_docs", "shared_folder", "slices", "stored"]
 
 
 def read_docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -94,3 +94,10 @@ def attach_facts(rows: DataFrame, facts: DataFrame, key: str, n_col: str, total:
     by_map = rows.join(F.broadcast(hot), key)
     by_shuffle = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left")
     return by_map.select(*by_shuffle.columns).unionByName(by_shuffle)
+
+
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """df written as Parquet below the shared folder and read back: its lineage ends there."""
+    path = shared_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, lang_id, packing, quality, simhash, topk_search, toxicity, warc
-from .common import label_split, read_docs
+from . import (byte_bpe, chat_format, divergence, exact_dedup, lang_id, merkle, packing, quality, segment_bpe, simhash,
+               topk_search, toxicity, warc)
+from .common import fold, label_split, read_docs
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 #: A conversation whose texts hold control strings of the template.
 TRICKY = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -87,9 +89,35 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(rows, F.col("id") % 20 == 0, 20)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_docs(spark, sf_dir), min_docs=3, top=200)
+
+
+def op12_segment_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    path = public_tokenizers.path(TOKENIZER)
+    ids = segment_bpe.encode(read_docs(spark, sf_dir).select("doc_id", "text"), path, keep=["doc_id"])
+    back = segment_bpe.decode(ids, path)
+    return back.select("doc_id", F.floor(F.length("ids") / 4).cast("bigint").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and a check of every proof against it with a text changed in a fifth of the rows."""
+    docs = read_docs(spark, sf_dir)
+    *rest, text = (F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    changed = F.when(text.isNotNull(), fold(text))
+    tampered = F.when(F.col("doc_id").isNotNull() & (label_split("doc_id", 5) == 0), merkle.leaf_digest([*rest, changed]))
+    out = merkle.manifest(docs, merkle.leaf_digest([*rest, text]), carry={"tampered": tampered})
+    leaf, subroot, root = (F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root"))
+    out = out.select("doc_id", leaf, subroot, root, merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+                     merkle.folded(F.lower(F.hex(F.coalesce("tampered", "leaf"))), F.col("steps")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_chat_format, op2_warc, op3_byte_bpe, op4_lang_id, op5_quality, op6_toxicity, op7_simhash, op8_best_fit,
-    op9_exact_dedup, op10_topk_search)}
+    op9_exact_dedup, op10_topk_search, op11_divergence, op12_segment_bpe, op13_merkle)}
 
 ORACLE_SQL = {
     "op1_chat_format": r"""
@@ -135,6 +163,85 @@ ORACLE_SQL = {
             FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op11_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents),
+        o AS (SELECT doc, lang, source, unnest(terms) AS term FROM d),
+        k AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT doc) >= 3),
+        c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        g AS (
+            SELECT lang, source, coalesce(sum(n), 0) AS total, (SELECT count(*) FROM k WHERE k.lang = x.lang) AS kept
+            FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        p AS (
+            SELECT lang, source, term, coalesce(n, 0) AS n,
+                1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1)::HUGEINT // (total + kept)::HUGEINT AS p
+            FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+        q AS (
+            SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 1)::HUGEINT
+                // (any_value(kept) + (SELECT sum(total) FROM g WHERE g.lang = c.lang))::HUGEINT AS q
+            FROM c JOIN (SELECT DISTINCT lang, kept FROM g) USING (lang) GROUP BY lang, term),
+        v AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN (
+                SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+                FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+            ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT
+            FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+        FROM v QUALIFY part = 'pair' OR rank <= 200""",
+    "op13_merkle": """
+        WITH RECURSIVE crc AS (
+            SELECT list(v ORDER BY i) AS tab FROM (
+                SELECT i, list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+                    i) AS v FROM range(256) r(i))),
+        d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS k, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                CASE WHEN doc_id IS NOT NULL AND xor(4294967295, list_reduce(
+                        list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                        lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295)) % 5 = 0
+                    THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                        'abcdefghijklmnopqrstuvwxyz'), '-')) END AS tampered
+            FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source) || ':' || source, '-')
+                || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-') AS head
+                FROM documents), crc),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                count(*) OVER (PARTITION BY k) AS n FROM d),
+        t AS (
+            SELECT k, 0 AS lvl, pos, n, leaf AS digest FROM leaves
+            UNION ALL
+            SELECT k, lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE n > 1
+            GROUP BY k, lvl, n, pos // 16),
+        subroots AS (
+            SELECT k, digest, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+        u AS (
+            SELECT 'top' AS k, 0 AS lvl, pos, n, digest FROM subroots
+            UNION ALL
+            SELECT k, lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE n > 1
+            GROUP BY k, lvl, n, pos // 16),
+        runs AS (
+            SELECT k, lvl, pos // 16 AS run, n, list(digest ORDER BY pos) AS l
+            FROM (SELECT * FROM t UNION ALL SELECT * FROM u) WHERE n > 1 GROUP BY ALL),
+        climb AS (
+            SELECT r, CASE WHEN leaves.n = 1 THEN 'top' ELSE leaves.k END AS k, 0 AS lvl,
+                CASE WHEN leaves.n = 1 THEN s.pos ELSE leaves.pos END AS pos, s.pos AS tree, coalesce(tampered, leaf) AS x, '' AS proof
+            FROM leaves JOIN subroots s ON s.k = leaves.k
+            UNION ALL
+            SELECT r, CASE WHEN n <= 16 THEN 'top' ELSE k END, CASE WHEN n <= 16 AND k <> 'top' THEN 0 ELSE lvl + 1 END,
+                CASE WHEN n <= 16 AND k <> 'top' THEN tree ELSE pos // 16 END, tree,
+                sha256(array_to_string(l[:pos % 16], '') || x || array_to_string(l[pos % 16 + 2:], '')),
+                proof || array_to_string(l[:pos % 16], '') || array_to_string(l[pos % 16 + 2:], '')
+            FROM (SELECT climb.*, runs.n, runs.l FROM climb JOIN runs ON runs.k = climb.k AND runs.lvl = climb.lvl AND runs.run = climb.pos // 16)),
+        ends AS (SELECT r, arg_max(x, length(proof)) AS folded_root, max_by(proof, length(proof)) AS proof FROM climb GROUP BY r)
+        SELECT doc_id, leaf, s.digest AS subroot, (SELECT digest FROM u WHERE n = 1) AS root, sha256(proof) AS proof_sha256,
+            folded_root, folded_root = (SELECT digest FROM u WHERE n = 1) AS verified
+        FROM leaves JOIN subroots s ON s.k = leaves.k JOIN ends USING (r)""",
 }
 
 
