@@ -104,8 +104,8 @@ def simple_pattern(pattern: str) -> re.Pattern | None:
             out += known if inside else f"[{known}]"
         elif part == r"\S" and not inside:
             out += f"[^{SIMPLE_SPACES}]"
-        elif part[0] == "\\" and part[1:].isalnum():
-            return None
+        elif part[0] == "\\" and part[1].isalnum():
+            return None                     # a class, an anchor or a reference: the other matcher knows it
         else:
             out += part
     return re.compile(out)

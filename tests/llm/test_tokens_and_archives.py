@@ -48,6 +48,16 @@ def test_simple_pattern_only_where_classes_are_known():
     assert byte_bpe.simple_pattern(r"\w+|\s+") is None and byte_bpe.simple_pattern(r"\p{Lu}+") is None
 
 
+@pytest.mark.parametrize("pattern", [r"\p{Lu}+|\s+|.", r" ?[\p{L}\p{M}]+|\p{N}{1,3}|\s+|[^\s\p{L}\p{M}\p{N}]+", r"\P{L}+|\p{L}+",
+                                     r" ?\p{L}+|\d+|\s+|[^\s\p{L}\d]+"])
+def test_patterns_with_other_classes(pattern):
+    ranks = byte_bpe.load_ranks(PATH)
+    own = byte_bpe.ByteBpe(ranks, pattern)
+    other = tiktoken.Encoding("p", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for text in ("ABC def ÀÉ 12345 x", "e\u0301te\u0301 漢字 Ünï\n\nA1", "Hello World  "):
+        assert own.encode(text) == other.encode_ordinary(text)
+
+
 def test_encode_and_decode_tables(spark, library):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(2, TEXTS[2], "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
