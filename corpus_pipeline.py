@@ -3,12 +3,13 @@
 Each stage takes (spark, docs, sf_dir), where docs is what its predecessor kept (the
 first gets the table ``documents``), and returns the rows it keeps with the columns of
 ``documents``; the last returns the packing.  Between stages the rows are written as
-Parquet and read again.  Ids are those of ``documents``; rows of a null id pass
-through every stage that does not reject their text.
+Parquet and read again.  Ids are those of ``documents``, and need not be unique: every
+stage decides by row.
 
 Rows: null texts are empty; quality rejects by its score, language ID rejects texts without a
-recognised language, exact dedup keeps one row of equal texts (the largest id), near
-dedup the smallest id of each group, and packing gives a document without text no
+recognised language, exact dedup keeps one row of equal texts (the largest id; a null id is
+the smallest), near dedup one row of each group (the smallest id; a null id is the largest; of
+one id the text of the smaller digest), and packing gives a document without text no
 bin.  A table without labels rejects nothing for quality, one without languages
 nothing for language; an empty table gives an empty packing; extra columns are kept up
 to the last stage.
@@ -52,10 +53,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies, and rows without an id."""
-    found = simhash.near_duplicates(docs, words=3, max_bits=3)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Keeps one row of each group of near copies, that of the smallest id."""
+    return simhash.drop_near_duplicates(docs, words=3, max_bits=3)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.session import cut_lineage, ensure_checkpoint_dir
+from promptloom.session import bounded_broadcast, cut_lineage, ensure_checkpoint_dir
 
 __all__ = ["attach_facts", "cut_lineage", "fold", "free_name", "label_split", "log2_parts",
-           "read_docs", "shared_folder", "slices", "stored"]
+           "read_docs", "shared_folder", "slices", "stored", "without"]
 
 
 def read_docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -101,3 +101,24 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     path = shared_folder(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def without(docs: DataFrame, key: Column, found: DataFrame, total: int, parts: int = 10_000) -> DataFrame:
+    """docs without some rows, found by a key of their content.
+
+    ``found``: stored rows (key, n: rows of docs that have it, kept), one per key; where ``kept``,
+    one row of the key stays, else none.  Keys that are not in it stay as they are.  Rows
+    do not move while ``found`` is small enough to be broadcast; of a larger one, the fewer
+    than ``parts`` keys of more than ``total / parts`` rows still are, and only then the others
+    shuffle docs.  Of equal keys any one row stays, by an aggregate with map-side combine."""
+    name = free_name(docs.columns, "_key")
+    own = docs.withColumn(name, key)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    found = found.filter("not kept or n > 1").withColumnRenamed("key", name)
+    hot, cold = (found.filter(c).select(name) for c in (F.col("n") > total // parts, F.col("n") <= total // parts))
+    rest = own.join(F.broadcast(hot), name, "left_anti").join(bounded_broadcast(cold), name, "left_anti").select(*columns)
+    repeated = found.filter("kept").select(name)
+    if repeated.isEmpty():
+        return rest
+    twice = own.join(bounded_broadcast(repeated), name, "left_semi").groupBy(name).agg(F.any_value(F.struct(*columns)).alias("row"))
+    return rest.unionByName(twice.select("row.*"))

@@ -1,8 +1,8 @@
 """Best-fit packing into bins of several permitted capacities.
 
 Documents longer than the largest capacity are cut into pieces of it; pieces are dealt
-evenly to shards of about ``shard_pieces`` (by a hash of id, piece number and length, so no
-key can fill one), and every shard is packed longest piece first.  A piece goes into
+evenly to shards of about ``shard_pieces`` (by a hash of row number and piece number, so that
+neither an id nor rows that are equal can fill one), and every shard is packed longest piece first.  A piece goes into
 the open bin that it leaves least room in; where none fits, a bin is opened at the
 capacity of least cost per token it is expected to hold: cost(c) over the piece plus a
 fraction ``fill`` of the room beyond it.  Several fractions are tried and the
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 CAPACITIES = (1024, 2048, 4096, 8192)
 PACKED = "piece bigint, start bigint, length bigint, shard bigint, bin bigint, capacity bigint, offset bigint"
 
@@ -84,19 +86,21 @@ def pack(docs: DataFrame, length: Column, doc_id: str = "doc_id", capacities: Se
     top = capacities[-1]
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(length, F.lit(0)).cast("bigint").alias("n"))
     sized = sized.withColumn("n", F.when(F.col("n") < 0, F.raise_error("a length is negative").cast("bigint")).otherwise(F.col("n")))
+    # stored with a number: rows of one id and length are told apart, and a task that runs again deals them alike
+    sized = cut_lineage(sized.withColumn("row", F.monotonically_increasing_id()))
     total = sized.agg(F.sum(F.ceil(F.col("n") / top))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_pieces))
     count = F.greatest(F.lit(1), F.ceil(F.col("n") / top).cast("bigint"))
-    pieces = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", (F.col("piece") * top).alias("start"),
+    pieces = sized.select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("piece"))
+    pieces = pieces.select("doc_id", "row", "piece", (F.col("piece") * top).alias("start"),
                            F.least(F.lit(top), F.col("n") - F.col("piece") * top).cast("bigint").alias("length"))
     empty = pieces.filter("length = 0")
     dealt = pieces.filter("length > 0").withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards)))
+        "shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def each(table: pa.Table) -> pa.Table:
-        t = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        t = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("row", "ascending")])
         where, offsets, sizes, _ = pack_shard(t.column("length").to_pylist(), capacities, cost, fills)
         add = {"bin": where, "capacity": [sizes[b] for b in where], "offset": offsets}
         for name, values in add.items():

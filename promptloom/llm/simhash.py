@@ -38,10 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_facts, cut_lineage, log2_parts, slices
+from .common import attach_facts, cut_lineage, log2_parts, slices, without
+from .exact_dedup import content_key
 
 SEED = 42
 PIECE = 1 << 17           # shingles or node pairs handled at once
@@ -67,16 +68,19 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed 64-bit integer."""
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3,
+                 key: Column | None = None) -> DataFrame:
+    """(doc_id, fp) of every row, and ``key`` where given; fp is the fingerprint as a signed 64-bit integer."""
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([key.alias("key")] if key is not None else []))
+    kept = [f for f in src.schema.fields if f.name != "text"]
+    names = [f.name for f in kept]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             fp = np.array([fingerprint(t, words) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    return src.mapInArrow(each, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return src.mapInArrow(each, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", fp bigint")
 
 
 # ---- the walk inside a task
@@ -321,15 +325,33 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3,
-                    max_bits: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) per row: the smallest doc_id its fingerprint reaches."""
-    rows = cut_lineage(fingerprints(docs, doc_id, text, words))
+                    max_bits: int = 3, key: Column | None = None) -> DataFrame:
+    """(doc_id, fp, component_id, root) per row: the smallest doc_id its fingerprint reaches, and the
+    smallest fingerprint, which names the component also where ids are null or repeated.
+    ``key``: a column of docs to carry along as ``key``."""
+    rows = cut_lineage(fingerprints(docs, doc_id, text, words, key))
     facts = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     root = components(links(facts.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     rooted = facts.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = cut_lineage(rooted)
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("g"))
     n = facts.count()
-    by_fp = attach_facts(rooted, cut_lineage(groups), "root", "g", n).select("fp", "n", "component_id")
+    by_fp = attach_facts(rooted, cut_lineage(groups), "root", "g", n).select("fp", "n", "component_id", "root")
     total = rows.count()
-    return attach_facts(rows, cut_lineage(by_fp), "fp", "n", total).select("doc_id", "fp", "component_id")
+    out = attach_facts(rows, cut_lineage(by_fp), "fp", "n", total)
+    return out.select("doc_id", "fp", "component_id", "root", *(["key"] if key is not None else []))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3,
+                         max_bits: int = 3) -> DataFrame:
+    """docs with one row of each component: that of the smallest id (a null id is the largest),
+    of equal ids that of the smallest text digest.  Texts do not move."""
+    key = content_key(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
+    found = near_duplicates(docs, doc_id, text, words, max_bits, key)
+    rows = cut_lineage(found.groupBy("root", "key", "doc_id").agg(F.count(F.lit(1)).alias("n")))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("best")
+    groups = cut_lineage(rows.groupBy("root").agg(best, F.count(F.lit(1)).alias("g")))
+    total = rows.count()
+    keys = attach_facts(rows, groups, "root", "g", total).filter("g > 1 or n > 1")
+    keys = keys.select("key", "n", (F.col("key") == F.col("best")).alias("kept"))
+    return without(docs, key, cut_lineage(keys), total)

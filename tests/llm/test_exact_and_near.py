@@ -226,3 +226,62 @@ def test_pack(spark):
     assert len({r.shard for r in got if r.bin is not None}) > 1
     again = packing.pack(df, F.length("text"), capacities=(16, 32, 64), shard_pieces=100).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_equal_rows_spread_over_the_shards(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    got = packing.pack(rows, F.length("text"), shard_pieces=1000)
+    sizes = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 20_000 and max(sizes) < 1500
+
+
+REPEATED = [(1, "alpha beta gamma"), (2, "alpha beta gamma"), (2, "quite another text"), (None, "Alpha beta gamma"),
+            (None, "only here"), (None, "only here"), (3, "only there"), (3, "only there"), (4, "ONLY THERE"), (5, None), (None, "")]
+
+
+def test_rows_of_repeated_and_null_ids(spark):
+    df = docs(spark, REPEATED * 30)
+    kept = exact_dedup.drop_duplicates(df)
+    assert kept.columns == df.columns
+    want = [(2, "alpha beta gamma"), (2, "quite another text"), (None, "only here"), (4, "ONLY THERE"), (5, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    near = simhash.drop_near_duplicates(df)
+    assert near.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in near.collect()), key=str)
+    want = [(1, "alpha beta gamma"), (2, "quite another text"), (None, "only here"), (3, "only there"), (5, None)]
+    assert got == sorted(want, key=str)
+    assert exact_dedup.drop_duplicates(df.limit(0)).collect() == simhash.drop_near_duplicates(df.limit(0)).collect() == []
+
+
+def test_near_stage_loses_no_text_of_its_own(spark):
+    """Any rows, ids repeated and null: one row of every component, and only rows of the input."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    base = [" ".join(rng.choices(words, k=60)) for _ in range(25)]
+    rows = []
+    for t in base:
+        for _ in range(rng.randint(1, 4)):
+            x = t.split()
+            if rng.random() < 0.5:
+                x[rng.randrange(60)] = "changed"
+            rows.append((rng.choice([None, 1, 2, 3, 50, 60]), " ".join(x)))
+    rows += rng.choices(rows, k=20)
+    got = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()]
+    parts = slow_components([(i, slow_fingerprint(t)) for i, (_, t) in enumerate(rows)])
+    root = {i: c for i, _, c in parts}
+    groups = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(root[i], []).append(row)
+    best = [min(g, key=lambda r: (r[0] is None, r[0] or 0, bytes.fromhex(hashlib.sha256(f"{'' if r[0] is None else r[0]}:{r[1]}".encode()).hexdigest())))
+            for g in groups.values()]
+    assert sorted(map(str, got)) == sorted(map(str, best))
+
+
+def test_many_equal_rows_of_no_id(spark):
+    """A text that a third of the rows hold under no id is decided by aggregates and a broadcast."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"),
+                                  F.when(F.col("id") % 3 == 0, "often").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    kept = exact_dedup.drop_duplicates(df)
+    assert kept.count() == 2001 and kept.filter("doc_id is null").count() == 1
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Python" not in plan and "Arrow" not in plan
