@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,75 +47,105 @@ STRIPE = "lang string, term string, docs bigint, sources array<string>, counts a
 PART = "lang string, source string, part string, item string, value bigint"
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-    names = [c.split()[0] for c in STRIPE.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-
-def _spilled(table: dict[str, dict[str, list]]) -> Iterator[pa.RecordBatch]:
-    """All stripes of a partition; the table is empty afterwards."""
-    rows = []
-    for lang, terms in table.items():
-        for term, (docs, counts) in terms.items():
-            rows.append((lang, term, docs, list(counts), list(counts.values())))
-            if len(rows) == ROWS:
-                yield _batch(rows)
-                rows = []
-    table.clear()
-    if rows:
-        yield _batch(rows)
+def _batch(lang: pa.Array, term: pa.Array, docs: np.ndarray, offsets: np.ndarray, sources: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """Stripes from flat columns; ``offsets`` cut the counts and their sources into stripes."""
+    at = pa.array(offsets.astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [lang, term, pa.array(docs, pa.int64()), pa.ListArray.from_arrays(at, sources),
+         pa.ListArray.from_arrays(at, pa.array(counts, pa.int64()))], [c.split()[0] for c in STRIPE.split(", ")])
+
+
+class Stripes:
+    """The hash stripes of one partition: per language the documents of each term, and per
+    (language, source) its occurrences."""
+
+    def __init__(self):
+        self.docs: dict[str, Counter] = {}
+        self.counts: dict[str, dict[str, Counter]] = {}
+        self.held = 0
+
+    def add(self, lang: str, source: str, terms: list[str]) -> None:
+        own = self.counts.setdefault(lang, {}).setdefault(source, Counter())
+        self.held -= len(own)
+        own.update(terms)
+        self.held += len(own)
+        self.docs.setdefault(lang, Counter()).update(set(terms))
+
+    def spill(self) -> Iterator[pa.RecordBatch]:
+        """All stripes, term by term; the tables are empty afterwards."""
+        for lang, docs in self.docs.items():
+            number = {t: i for i, t in enumerate(docs)}
+            names, of = list(self.counts[lang]), list(self.counts[lang].values())
+            term = np.concatenate([np.fromiter(map(number.__getitem__, c), np.int64, len(c)) for c in of])
+            source = np.repeat(np.arange(len(of), dtype=np.int32), [len(c) for c in of])
+            n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in of])
+            by = np.argsort(term, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(docs)))])
+            terms, seen = list(docs), np.fromiter(docs.values(), np.int64, len(docs))
+            for i in range(0, len(terms), ROWS):
+                j = min(i + ROWS, len(terms))
+                part = by[ends[i]:ends[j]]
+                own = pa.DictionaryArray.from_arrays(pa.array(source[part]), pa.array(names, pa.string())).cast(pa.string())
+                yield _batch(pa.array([lang] * (j - i), pa.string()), pa.array(terms[i:j], pa.string()), seen[i:j],
+                             ends[i:j + 1] - ends[i], own, n[part])
+        self.__init__()
 
 
 def fold_documents(batches: Iterator[pa.RecordBatch], spill: int = SPILL) -> Iterator[pa.RecordBatch]:
     """Stripes of the documents (lang, source, text) of one partition."""
-    table: dict[str, dict[str, list]] = {}
-    held = 0
+    table = Stripes()
     for b in slices(batches, "text"):
         for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            terms = table.setdefault(lang, {})
-            for term, n in Counter(TERM.findall(text)).items():
-                stripe = terms.get(term)
-                if stripe is None:
-                    terms[term] = [1, {source: n}]
-                    held += 1
-                    continue
-                stripe[0] += 1
-                counts = stripe[1]
-                if source in counts:
-                    counts[source] += n
-                else:
-                    counts[source] = n
-                    held += 1
-            if held >= spill:
-                yield from _spilled(table)
-                held = 0
-    yield from _spilled(table)
+            table.add(lang, source, TERM.findall(text))
+            if table.held >= spill:
+                yield from table.spill()
+    yield from table.spill()
+
+
+def merged(b: pa.RecordBatch, min_docs: int) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+    """The stripes of rows sorted by (lang, term), one per term: all but the last that are in
+    ``min_docs`` documents, and the last, which may go on."""
+    lang, term = b.column("lang"), b.column("term")
+    change = np.ones(b.num_rows, bool)
+    for k, c in enumerate((lang, term)):
+        differ = pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        change[1:] = differ if k == 0 else change[1:] | differ
+    start = np.flatnonzero(change)
+    docs = np.add.reduceat(b.column("docs").to_numpy(), start)
+    keep = docs >= min_docs
+    keep[-1] = True
+    number = np.cumsum(keep) - 1                                   # of the kept stripes
+    row = np.cumsum(change) - 1
+    lens = np.diff(b.column("sources").offsets.to_numpy())
+    of = np.repeat(row, lens)
+    live = keep[of]
+    codes = b.column("sources").flatten().dictionary_encode()
+    names = codes.dictionary
+    at = number[of[live]] * len(names) + codes.indices.to_numpy()[live]
+    n = b.column("counts").flatten().to_numpy()[live]
+    by = np.argsort(at, kind="stable")
+    at = at[by]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    own, n = at[first], np.add.reduceat(n[by], first)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(own // len(names), minlength=int(keep.sum())))])
+    pick = pa.array(start[keep])
+    out = _batch(lang.take(pick), term.take(pick), docs[keep], ends, names.take(pa.array(own % len(names))), n)
+    return out.slice(0, out.num_rows - 1), out.slice(out.num_rows - 1)
 
 
 def merge_sorted(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.RecordBatch]:
     """One stripe per (lang, term) from rows sorted by them; those of ``min_docs`` documents or more."""
-    rows, key, docs, counts = [], None, 0, {}
-
-    def close():
-        if key is not None and docs >= min_docs:
-            names = sorted(counts)
-            rows.append((*key, docs, names, [counts[s] for s in names]))
-
+    last = None
     for b in batches:
-        for lang, term, n, sources, values in zip(*(c.to_pylist() for c in b.columns)):
-            if (lang, term) != key:
-                close()
-                key, docs, counts = (lang, term), 0, {}
-                if len(rows) >= ROWS:
-                    yield _batch(rows)
-                    rows.clear()
-            docs += n
-            for s, v in zip(sources, values):
-                counts[s] = counts.get(s, 0) + v
-    close()
-    if rows:
-        yield _batch(rows)
+        if not b.num_rows:
+            continue
+        if last is not None:
+            b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+        done, last = merged(b, min_docs)
+        if done.num_rows:
+            yield done
+    if last is not None and last.column("docs")[0].as_py() >= min_docs:
+        yield last
 
 
 def stripes(docs: DataFrame, min_docs: int = 3, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -179,21 +179,25 @@ def test_audit_spills_blocks_and_cut(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"lang": [r[1] or "" for r in rows], "source": [r[2] or "" for r in rows],
                                         "text": [(r[0] or "").translate(FOLD) for r in rows]})
 
-    def merged(spill):
-        got = [r for b in divergence.fold_documents([batch], spill) for r in zip(*(c.to_pylist() for c in b.columns))]
-        got.sort(key=lambda r: (r[0], r[1]))
-        halves = [divergence._batch(got[i:i + 7]) for i in range(0, len(got), 7)]
-        return [b.to_pylist() for b in divergence.merge_sorted(halves, 3)], len(got)
-
-    (one, n_one), (many, n_many) = merged(10 ** 9), merged(10)
+    def merged(spill, step):
+        got = pa.Table.from_batches(divergence.fold_documents([batch], spill)).sort_by([("lang", "ascending"), ("term", "ascending")])
+        parts = [b for i in range(0, got.num_rows, step) for b in got.slice(i, step).combine_chunks().to_batches()]
+        rows = [r for b in divergence.merge_sorted(parts, 3) for r in b.to_pylist()]
+        for r in rows:
+            assert len(set(r["sources"])) == len(r["sources"])
+            pairs = sorted(zip(r["sources"], r["counts"]))
+            r["sources"], r["counts"] = [s for s, _ in pairs], [n for _, n in pairs]
+        return rows, got.num_rows
+
+    (one, n_one), (many, n_many) = merged(10 ** 9, 10 ** 9), merged(10, 7)
     assert one == many and n_many > n_one
     monkeypatch.setattr(divergence, "CELLS", 3)
     groups = Counter()
-    for r in one[0]:
+    for r in one:
         for s, c in zip(r["sources"], r["counts"]):
             groups[r["lang"], s] += c
-    totals = divergence.Totals([(*g, n) for g, n in groups.items()], Counter(r["lang"] for r in one[0]))
-    stripes = divergence._batch([tuple(r.values()) for r in one[0]])
+    totals = divergence.Totals([(*g, n) for g, n in groups.items()], Counter(r["lang"] for r in one))
+    stripes = pa.RecordBatch.from_pylist(one)
     sums, parts = Counter(), 0
     for b in divergence.emit([stripes], totals):
         for r in b.to_pylist():
