@@ -10,6 +10,8 @@ grouped counts + an equi-join on (pair, n-gram).
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -171,6 +173,29 @@ def squad(df, group_cols, id_col: str, answers="answers", prediction="prediction
     return per.groupBy(*g).agg(F.avg("em").alias("exact_match"), F.avg("f1").alias("f1"))
 
 
+def span_tokens(col) -> Column:
+    """The tokens that spans count: what is no letter, digit or underscore parts them."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.array_remove(F.split(c, r"(?U)\W+"), "")
+
+
+def span_text(context, start, end) -> Column:
+    """Tokens ``start`` to ``end`` (0-based, both included) of a context, joined by blanks; no tokens
+    where a position is null or negative, or the span ends before it starts."""
+    start, end = (F.col(c) if isinstance(c, str) else c for c in (start, end))
+    good = (start >= 0) & (end >= start)
+    cut = F.slice(span_tokens(context), F.when(good, start + 1).otherwise(1).cast("int"),
+                  F.when(good, end - start + 1).otherwise(0).cast("int"))
+    return F.array_join(F.coalesce(cut, F.array().cast("array<string>")), " ")
+
+
+def span_squad(df, group_cols, id_col: str, answers="answers", context="context", start="start", end="end") -> DataFrame:
+    """E8, span form: the prediction is a pair of token positions in a context; its text is cut from
+    the context's tokens, so it holds no punctuation, and then scored as ``squad``."""
+    cut = df.withColumn("_span", span_text(context, start, end))
+    return squad(cut, group_cols, id_col, answers, "_span")
+
+
 def ngram_items(tokens, n: int) -> Column:
     t = F.col(tokens) if isinstance(tokens, str) else tokens
     return F.when(F.size(t) >= n, F.transform(
@@ -299,6 +324,63 @@ def rouge_l(df, group_cols, target="target", prediction="prediction") -> DataFra
     return x.groupBy(*g).agg(F.avg(f).alias("rougeL"))
 
 
+def union_lcs_hits(reference: list[list[str]], summary: list[list[str]]) -> int:
+    """Summary-level matches: per reference sentence the union of its common subsequences with
+    every summary sentence; a token counts as often as both sides hold it."""
+    left_r, left_s = (Counter(t for x in side for t in x) for side in (reference, summary))
+    hits = 0
+    for r in reference:
+        found = set()
+        for s in summary:
+            found.update(_common_places(r, s))
+        for i in sorted(found):
+            if left_r[r[i]] > 0 and left_s[r[i]] > 0:
+                left_r[r[i]] -= 1
+                left_s[r[i]] -= 1
+                hits += 1
+    return hits
+
+
+def _common_places(a: list[str], b: list[str]) -> list[int]:
+    """The places in ``a`` of one longest common subsequence with ``b``, walked from the end: where two
+    ways are as long, ``a`` is shortened."""
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        last, row = rows[-1], [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        rows.append(row)
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.append(i)
+        elif rows[i][j - 1] > rows[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+@F.arrow_udf(T.LongType())
+def union_lcs(reference: pa.Array, summary: pa.Array) -> pa.Array:
+    return pa.array([union_lcs_hits(r or [], s or []) for r, s in zip(reference.to_pylist(), summary.to_pylist())], pa.int64())
+
+
+def rouge_l_sum(df, group_cols, target="target", prediction="prediction") -> DataFrame:
+    """E12, summary level: mean F-measure of the union of common subsequences over the sentences
+    (lines) of a text."""
+    g = _g(group_cols)
+
+    def sentences(c):
+        return F.filter(F.transform(F.split(c, "\\n"), rouge_tokens), lambda t: F.size(t) > 0)
+
+    x = df.select(*g, sentences(prediction).alias("h"), sentences(target).alias("r"))
+    x = x.withColumn("_l", union_lcs(F.col("r"), F.col("h")))
+    p, r = F.try_divide(F.col("_l"), F.size(F.flatten("h"))), F.try_divide(F.col("_l"), F.size(F.flatten("r")))
+    return x.groupBy(*g).agg(F.avg(F.when(F.col("_l") == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r))).alias("rougeLsum"))
+
+
 def trivia_qa(df, group_cols, id_col: str, answers="answers", prediction="prediction") -> DataFrame:
     """As ``squad`` with TriviaQA's own normaliser."""
     return squad(df, group_cols, id_col, answers, prediction, normalise=trivia_tokens)
@@ -308,7 +390,7 @@ REGISTRY = {
     "Accuracy": accuracy, "Other": accuracy, "Sequence Accuracy": sequence_accuracy,
     "Pearson Correlation": pearson, "Spearman Correlation": spearman,
     "MultiRC": f1_binary, "AUC": auc, "Edit Distance": edit_distance,
-    "Squad": squad, "Span Squad": squad, "Trivia QA": trivia_qa, "COQA F1": squad, "BLEU": bleu,
+    "Squad": squad, "Span Squad": span_squad, "Trivia QA": trivia_qa, "COQA F1": squad, "BLEU": bleu,
     "ROUGE": rouge_n, "F1": f1_binary, "Mean Multiclass F1": mean_multiclass_f1,
 }
 # fixed values: subsets whose own post-processing is not done, scored by plain accuracy

@@ -66,26 +66,6 @@ def tokenize(col, tokenizer: Callable[[Column], Column] | None = None,
     return hashed_ids(whitespace_tokens(col), vocab_size)
 
 
-def hf_tokenizer(path: str, add_special_tokens: bool = False):
-    """a sub-word tokenizer (``tokenizers`` JSON file) as an Arrow
-    ``pandas_udf`` -- loaded once per Python worker, batches encoded at once.
-    Pass the result as ``tokenizer=`` to ``tokenize`` / ``augment``."""
-    import pandas as pd
-    from pyspark.sql import types as Ty
-
-    state = {}
-
-    @F.pandas_udf(Ty.ArrayType(Ty.IntegerType()))
-    def encode(texts: pd.Series) -> pd.Series:
-        if "tok" not in state:
-            from tokenizers import Tokenizer  # optional dependency
-            state["tok"] = Tokenizer.from_file(path)
-        enc = state["tok"].encode_batch(texts.fillna("").tolist(), add_special_tokens=add_special_tokens)
-        return pd.Series([e.ids for e in enc])
-
-    return encode
-
-
 def truncate_left(arr, max_length: int, special: bool = False) -> Column:
     """keep the last ``max_length`` items; ``special`` keeps the first item
     plus the last ``max_length - 1``.  A fitting array is returned unchanged."""

@@ -203,3 +203,50 @@ def mix_sample(examples: DataFrame, caps: DataFrame, *, task_col: str = "task_na
 def sample_n(df: DataFrame, n: int, *, key_col: str, seed: int = 42) -> DataFrame:
     """N rows without replacement in md5(seed|key) order (a top-n)."""
     return df.orderBy(hash_order(seed, F.col(key_col)), F.col(key_col)).limit(n)
+
+
+def quotas(mix: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
+    """M4: how many of ``n`` draws each task of a mixture gets: ``n * rate / sum(rate)`` rounded down,
+    and one more for the largest remainders (ties by name) until they add up to ``n``.
+
+    ``sizes``: task_name, size.  Tasks without rate or examples get none, as nothing can be
+    drawn from them; a mixture of such tasks only has no rows.  One row per task."""
+    live = mix.join(sizes.select("task_name", "size"), "task_name").where((F.col("rate") > 0) & (F.col("size") > 0))
+    total = live.groupBy("mixture").agg(F.sum("rate").alias("_total"))
+    exact = live.join(total, "mixture").withColumn("_x", F.lit(float(n)) * F.col("rate") / F.col("_total"))
+    exact = exact.withColumn("_base", F.floor("_x").cast("long"))
+    left = exact.groupBy("mixture").agg((F.lit(n) - F.sum("_base")).alias("_left"))
+    w = Window.partitionBy("mixture").orderBy(F.desc(F.col("_x") - F.col("_base")), "task_name")     # a task a row
+    return (exact.join(left, "mixture").withColumn("_r", F.row_number().over(w))
+            .withColumn("quota", F.col("_base") + F.when(F.col("_r") <= F.col("_left"), 1).otherwise(0))
+            .where(F.col("quota") > 0).select("mixture", "task_name", "rate", "size", "quota"))
+
+
+def draw(examples: DataFrame, mix: DataFrame, n: int, *, task_col: str = "task_name", key_col: str = "idx",
+         seed: int = 42) -> DataFrame:
+    """M4: exactly ``n`` examples per mixture, drawn in proportion to its rates and interleaved.
+
+    A task whose quota exceeds its examples is passed several times: every epoch goes through all of
+    them, the last one as far as the quota reaches, each from another place of the
+    seeded hash order.  Draw number t of a task with quota q is placed at (t + 1/2) / q of the
+    whole, so that every stretch of the result holds the tasks in proportion; equal places
+    go by a hash.  Gives mixture, place (0 to n - 1), task, epoch and key; join the texts by key.
+
+    Examples are numbered by ranges of (task, hash), so a task that holds a third of them is many
+    tasks' work; a mixture is numbered in the same way."""
+    slim = examples.select(F.col(task_col).alias("task_name"), F.col(key_col).alias("key"))
+    sizes = slim.groupBy("task_name").agg(F.count(F.lit(1)).alias("size"))
+    q = quotas(mix, sizes, n)
+    wanted = slim.join(bounded_broadcast(q.select("task_name").distinct()), "task_name", "left_semi")
+    ranked = positions(wanted.withColumn("_h", hash_order(seed, F.col("key"))), ["task_name"], ["_h", "key"], "_pos")
+    drawn = ranked.join(bounded_broadcast(q.select("mixture", "task_name", "size", "quota")), "task_name")
+    last = F.floor((F.col("quota") - 1) / F.col("size"))
+    drawn = drawn.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    # an epoch starts at a place of its own and goes round
+    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "task_name", "epoch")), 1, 8), 16, 10).cast("long")
+    drawn = drawn.withColumn("t", F.col("epoch") * F.col("size") + F.pmod(F.col("_pos") + start, F.col("size"))).where("t < quota")
+    at = (F.col("t") + 0.5) / F.col("quota")
+    tie = F.md5(F.concat_ws("|", F.lit(seed), "mixture", "task_name", "t"))
+    placed = drawn.select("mixture", "task_name", "epoch", "key", at.alias("_at"), tie.alias("_tie"))
+    placed = positions(placed, ["mixture"], ["_at", "_tie"], "place")
+    return placed.select("mixture", "place", "task_name", "epoch", "key")

@@ -42,6 +42,14 @@ def rank_classify(scores: DataFrame, keys, *, choice_col: str = "choice_idx") ->
                                      F.min("score").alias("worst_score"))
 
 
+def second_scores(scores: DataFrame, predictions: DataFrame, keys, *, choice_col: str = "choice_idx") -> DataFrame:
+    """predictions plus ``second_score``, the best score among the other choices (null where
+    there is none): a maximum over what the first pass left, merged like the first."""
+    keys = list(keys)
+    left = scores.join(predictions.select(*keys, "prediction"), keys).where(F.col(choice_col) != F.col("prediction"))
+    return predictions.join(left.groupBy(*keys).agg(F.max("score").alias("second_score")), keys, "left")
+
+
 def accuracy(df: DataFrame, group_cols, *, prediction: str = "prediction",
              target: str = "target_idx") -> DataFrame:
     """Mean of (prediction == target) per group."""
@@ -110,7 +118,7 @@ def log_softmax_long(logits: DataFrame, keys, *, token_col: str = "token",
 
 def confidence(predictions: DataFrame, order: str = "ratio") -> DataFrame:
     """Best / worst sequence log-prob (``ratio``) or best minus
-    second best (``margin``, needs a ``second_score`` column)."""
+    second best (``margin``, over ``second_scores``; one choice only: null, the least confident)."""
     if order == "ratio":
         return predictions.withColumn("confidence", F.try_divide(F.col("best_score"), F.col("worst_score")))
     return predictions.withColumn("confidence", F.col("best_score") - F.col("second_score"))

@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all():
     # the query modules register themselves on import
-    from . import q_retrieval, q_evaluate, q_text, q_mixture, q_composite, q_rules  # noqa: F401
+    from . import q_retrieval, q_evaluate, q_text, q_mixture, q_composite, q_rules, q_stored  # noqa: F401

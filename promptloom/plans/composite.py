@@ -15,11 +15,14 @@ from ..functions.templates import append_knowledge, apply_templates
 from ..operators.augment import augment, rank_demonstrations
 from ..operators.chosen import chosen_corpus
 from ..operators.embed import embed_text
-from ..operators.filters import allowed_templates, attach_template, check_targets, with_lineage
+from ..operators.filters import (allowed_templates, attach_template, check_targets, keep_original, train_or_all,
+                                 with_lineage)
 from ..operators.knn import knn_join
 from ..operators.mixture import sample_n
 from ..session import bounded_broadcast, cut_lineage
-from ..sources.io import save_shard, write_once
+from ..functions.names import parse_task_path
+from ..sources.discovery import folder_paths, list_folders, read_folders
+from ..sources.io import load_shard, save_shard, write_once
 
 TEMPLATE_MODES = ("none", "own", "nearest")
 
@@ -46,10 +49,33 @@ def save_index(index: DataFrame, root: str, shard: str, *, key_name: str = "inpu
     return save_shard(index, root, shard, key_name=key_name, dataset_paths=dataset_paths)
 
 
+def index_folders(spark, root: str, tasks, out_root: str, shard: str, *, schema: str, order_col: str,
+                  key_col: str = "inputs_pretokenized", metadata: DataFrame | None = None, aliases: dict | None = None,
+                  depth: int = 2, first: int | None = None, dim: int = 64, embedder=None) -> DataFrame:
+    """D3 in one call: stored dataset folders to a stored, named shard, which is read back.
+
+    Folders are found by task prefix (S7) and, with ``metadata``, cut to the originals it lists
+    (P5); every folder's schema is checked before anything runs; all are read in one scan
+    (U1), their train rows or else all (S14); rows carry dataset, template and position (P1, P2);
+    ``key_col`` is embedded (V1) and the shard committed with the list of its sources (S13)."""
+    found = list_folders(spark, root, tasks, depth=depth, first=first)
+    if metadata is not None:
+        found = keep_original(found, metadata, aliases=aliases)
+    paths = folder_paths(found)
+    rows = train_or_all(read_folders(spark, paths, schema), "path")
+    name = parse_task_path(F.regexp_replace("path", "(^|/)[^/=]+=", "$1"))
+    rows = rows.withColumns({"dataset_name": name["task"], "template_name": name["template"]}).drop("path")
+    index = build_index(rows, key_col=key_col, order_col=order_col, dim=dim, embedder=embedder, add_lineage=True)
+    save_shard(index, out_root, shard, key_name=key_col, dataset_paths=paths)
+    return load_shard(spark, out_root, shard)[0]
+
+
 def chosen_index(augmented: DataFrame, *, order_cols=("row_id",), dim: int = 64, embedder=None) -> DataFrame:
-    """The distinct chosen examples become a new, smaller corpus with vectors."""
+    """The distinct chosen examples become a new, smaller corpus with vectors.
+
+    Stored: a search reads a corpus several times, and this one is a whole augmentation."""
     cc = chosen_corpus(augmented, order_cols=order_cols)
-    return embed_text(cc, "inputs_pretokenized", dim=dim, embedder=embedder)
+    return cut_lineage(embed_text(cc, "inputs_pretokenized", dim=dim, embedder=embedder))
 
 
 def template_index(templates: DataFrame, *, dim: int = 64, embedder=None) -> DataFrame:

@@ -423,9 +423,20 @@ def metric_rouge_q(spark, sf):
     return r.select("turn", F.round("rouge1", 6).alias("rouge1"), F.round("rouge2", 6).alias("rouge2"))
 
 
-@register("metric_rouge_l")
+ROUGE_L_SQL = f"""
+WITH {_PAIRS_SQL},
+t AS (SELECT turn, {_ROUGE_TOK.format(c='"user"')} AS h, {_ROUGE_TOK.format(c='assistant')} AS r FROM pairs),
+l AS (SELECT turn, h, r, list_reduce(h, lambda last, x: list_reduce(range(1, len(r) + 1), lambda row, i: list_append(row,
+          CASE WHEN r[i] = x THEN last[i] + 1 ELSE greatest(last[i + 1], row[len(row)]) END), [0::BIGINT]),
+          list_transform(range(len(r) + 1), lambda i: 0::BIGINT))[len(r) + 1] AS l FROM t)
+SELECT turn, round(avg(CASE WHEN l = 0 THEN 0.0 ELSE 2.0 * (l / len(h)) * (l / len(r)) / (l / len(h) + l / len(r)) END), 6) AS "rougeL"
+FROM l GROUP BY turn
+"""
+
+
+@register("metric_rouge_l", ROUGE_L_SQL)
 def metric_rouge_l_q(spark, sf):
-    """Mean ROUGE-L F-measure per turn (LCS; no SQL form, brute-force tested)."""
+    """Mean ROUGE-L F-measure per turn (longest common subsequences)."""
     r = M.rouge_l(_pairs(spark, sf), ["turn"], target="assistant", prediction="user")
     return r.select("turn", F.round("rougeL", 6).alias("rougeL"))
 

@@ -30,14 +30,17 @@ def _round(c="score"):
 
 
 # --------------------------------------------------------------------- k-NN
-@register("knn_topk", f"""
+KNN_SQL = f"""
 WITH e AS {_E},
 d AS (SELECT q.vec_id AS query_id, c.vec_id AS corpus_id, {_dist('q.embedding', 'c.embedding')} AS score
       FROM e q JOIN e c ON q.vec_id <> c.vec_id)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, corpus_id, round(score, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, corpus_id) AS rank FROM d)
 WHERE rank <= {K_RETRIEVE}
-""")
+"""
+
+
+@register("knn_topk", KNN_SQL)
 def knn_topk(spark, sf):
     """J1 + J4 + W2: every vector's 20 nearest others (flat squared L2)."""
     v = read_table(spark, sf, "embeddings")
@@ -45,14 +48,17 @@ def knn_topk(spark, sf):
     return r.select("query_id", "rank", "corpus_id", _round())
 
 
-@register("knn_multi_shard", f"""
+SHARDS_SQL = f"""
 WITH e AS {_E},
 d AS (SELECT q.vec_id AS query_id, c.shard, c.vec_id AS corpus_id, {_dist('q.embedding', 'c.embedding')} AS score
       FROM e q JOIN e c ON TRUE)
 SELECT query_id, shard, CAST(rank AS INTEGER) AS rank, corpus_id, round(score, 6) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, shard ORDER BY score, corpus_id) AS rank FROM d)
 WHERE rank <= {K_RETRIEVE}
-""")
+"""
+
+
+@register("knn_multi_shard", SHARDS_SQL)
 def knn_multi_shard(spark, sf):
     """K from each of two shards, lists kept per shard (2k rows per query)."""
     v = shard_vectors(spark, sf)

@@ -26,6 +26,7 @@ from .q_evaluate import _MODES_SQL, _PAIRS_SQL, MODES, WS, _labelled, _logp, _lp
 from .q_retrieval import K_RETRIEVE, _augment_sql, _augmented, _dist, _neighbours, embed_sql
 from .q_text import in_conversations
 
+WRITERS = 8        # tasks that a written dataset is dealt to at most
 _SPLIT = "CASE WHEN (doc_id // 20) % 5 = 0 THEN 'validation' ELSE 'train' END"
 _CFG = "CASE CAST(substr(source, 4) AS INTEGER) % 3 WHEN 0 THEN 'None' WHEN 1 THEN 'cfg' ELSE '' END"
 # a mixture directory for every document: .../{ds}__{cfg}__k/{task}_{template}[_score_eval]
@@ -66,7 +67,8 @@ def read_task_q(spark, sf):
     root = _folder(spark, "prompted")
     name = F.when(F.col("source") == "src2", "anli").otherwise(F.col("source")).alias("dataset_name")
     _docs(spark, sf).select("doc_id", name, F.when(F.col("source") == "src2", "").otherwise(F.col("cfg")).alias("dataset_config_name"),
-                            "split").repartition("dataset_name").write.partitionBy("dataset_name").parquet(root)
+                            "split") \
+        .repartition(F.col("dataset_name"), F.pmod(F.xxhash64("doc_id"), F.lit(WRITERS))).write.partitionBy("dataset_name").parquet(root)
     reads = (("plain", io.read_task(spark, root, "src1", "cfg", "train")),
              ("prefer", io.read_task(spark, root, "src3", prefer="validation")),
              ("prefer_absent", io.read_task(spark, root, "src4", "cfg", prefer="test")),
@@ -86,10 +88,10 @@ def json_sources_q(spark, sf):
     root = _folder(spark, "json")
     d = read_table(spark, sf, "documents")
     d.select("doc_id", "source", "lang").write.json(f"{root}/rows")
-    meta = d.groupBy("source").agg(F.collect_set("lang").alias("l")).select(F.struct(
-        F.col("source").alias("key"), F.struct(F.col("l").alias("original_dataset_name"),
-                                               F.array().cast("array<string>").alias("omit_templates")).alias("value")).alias("e"))
-    meta.agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).write.text(f"{root}/meta")
+    meta = d.groupBy("source").agg(F.collect_set("lang").alias("l")).select(F.create_map(
+        F.col("source"), F.struct(F.col("l").alias("original_dataset_name"),
+                                  F.array().cast("array<string>").alias("omit_templates"))).alias("m"))
+    meta.select(F.to_json("m").alias("value")).write.text(f"{root}/meta")      # an object a line
     tasks = io.task_metadata(spark, f"{root}/meta").select("task", F.size("original_dataset_name").cast("bigint").alias("n_original"))
     rows = io.read_jsonl(spark, f"{root}/rows", "doc_id bigint, source string, lang string")
     return rows.groupBy(F.col("source").alias("task")).agg(F.count(F.lit(1)).alias("n")).join(tasks, "task")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import null_config, parse_task_path, result_name as result_name_col
 from ..session import bounded_broadcast
+from .commit import require_committed, write_committed
 
 REGISTRY_SCHEMA = ("HF_name string, subset string, task_by_convention string, "
                    "do_train string, do_eval string, train_size string")
@@ -79,8 +80,14 @@ def read_json_object(spark: SparkSession, path: str, schema: str | None = None)
 
 def task_metadata(spark: SparkSession, path: str) -> DataFrame:
     """``{task: {original_dataset_name: [...], omit_templates: [...]}}`` ->
-    rows (task, original_dataset_name, omit_templates)."""
-    raw = spark.read.option("multiLine", True).text(path, wholetext=True)
+    rows (task, original_dataset_name, omit_templates).
+
+    A file holds one object over any number of lines, or, as Spark writes them, an object in
+    every line."""
+    raw = spark.read.text(path, wholetext=True)
+    lines = F.filter(F.split("value", r"\n"), lambda x: F.length(F.trim(x)) > 0)
+    each = F.forall(lines, lambda x: F.startswith(x, F.lit("{")) & F.endswith(F.rtrim(x), F.lit("}")))
+    raw = raw.select(F.explode(F.when(each, lines).otherwise(F.array("value"))).alias("value"))
     m = F.from_json("value", "map<string,struct<original_dataset_name:array<string>,"
                              "omit_templates:array<string>>>")
     return raw.select(F.explode(m).alias("task", "meta")).select(
@@ -106,41 +113,37 @@ def discover(manifest: DataFrame, prefixes: DataFrame, *, exact: bool = False,
     return named.join(bounded_broadcast(prefixes.select("task").distinct()), "task")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
 def write_once(df_fn, spark: SparkSession, path: str, *, fmt: str = "parquet",
                partition_by=(), **options) -> bool:
-    """Skip the work when the output exists.  ``df_fn`` builds the plan only
-    when needed.  Returns True when it wrote."""
-    if _exists(spark, path):
-        return False
-    w = df_fn().write.mode("errorifexists").format(fmt).options(**options)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.save(path)
-    return True
+    """Skip the work when the output is there and whole.  ``df_fn`` builds the plan only
+    when needed; an interrupted write is done again.  Returns True when it wrote."""
+    def fill(folder: str) -> None:
+        w = df_fn().write.format(fmt).options(**options)
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.save(folder)
+
+    return write_committed(spark, path, fill)
 
 
 def save_shard(df: DataFrame, root: str, shard: str, *, key_name: str,
                dataset_paths: list[str] | None = None, extra: dict | None = None) -> str:
-    """Write vectors + rows as a named shard and its config (a JSON row)."""
+    """Write vectors + rows as a named shard and its config (a JSON row), both or neither."""
     path = f"{root.rstrip('/')}/{shard}"
-    df.write.mode("overwrite").parquet(f"{path}/data")
     spark = df.sparkSession
-    conf = {"key_name": key_name, "dataset_paths": dataset_paths or []}
-    conf.update(extra or {})
-    spark.createDataFrame([(json.dumps(conf),)], "config string").coalesce(1) \
-        .write.mode("overwrite").text(f"{path}/config")
+    conf = {"key_name": key_name, "dataset_paths": dataset_paths or [], **(extra or {})}
+
+    def fill(folder: str) -> None:
+        df.write.parquet(f"{folder}/data")
+        spark.createDataFrame([(json.dumps(conf),)], "config string").coalesce(1).write.text(f"{folder}/config")
+
+    write_committed(spark, path, fill, replace=True)
     return path
 
 
 def load_shard(spark: SparkSession, root: str, shard: str) -> tuple[DataFrame, dict]:
-    path = f"{root.rstrip('/')}/{shard}"
+    """A shard by name; one whose write was not finished fails."""
+    path = require_committed(spark, f"{root.rstrip('/')}/{shard}")
     conf = json.loads(spark.read.text(f"{path}/config").first()[0])
     return spark.read.parquet(f"{path}/data").withColumn("shard", F.lit(shard)), conf
 
