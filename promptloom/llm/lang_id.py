@@ -5,26 +5,31 @@ scored by its known n-grams of the longest order at which it has any (5 letters
 to 1): the mean of their log frequencies, times the order's share of a word.  The
 text's language has the largest sum; its score is the posterior over all sums.
 
-``fit`` counts words and n-grams in Spark over a bounded sample of labelled rows
-(``max_docs``, the rows of smallest id hash) and keeps the most frequent entries of
-each order, so the model's size is bounded by its parameters.  ``predict`` reads
-whole texts.
-
-Rows: a null or letterless text is ``und`` with score 0; ties between languages go to
-the language with more training rows, then the smaller name; a model fitted on no
-rows says ``und`` for all; a null id is never trained on; extra columns pass through;
-repeated rows are predicted each.
+``fit`` counts words and n-grams in Spark over a bounded sample of the labelled rows of each
+language (about ``per_lang``, by a hash of the id; all of a language that has fewer), and keeps of
+every order the most frequent entries of each language, as many for a rare one as for a
+common one.  No language is left out.  What a language never showed has the same small
+frequency in all of them, so that one learned from little text is not favoured.  A fifth of
+the sample is not counted but scored: all but one in a thousand of a language's own texts
+have a mean log frequency a word above its ``floor``.  ``predict`` reads whole texts; ``fit``
+there is that mean less the floor, a measure that does not grow with the length of a
+text, where the posterior nears 1 for whichever language is best.
+
+Rows: a null or letterless text is ``und`` with score 0 (and no fit); ties between languages go to
+the language with more labelled rows, then the smaller name; a model fitted on no
+rows, or an empty table, says ``und`` for all; a null id or language is never trained on;
+repeated rows of one id and text are trained on once and predicted each; extra columns pass
+through; very long texts are read in pieces cut between words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,11 +42,14 @@ ORDERS = (5, 4, 3, 2, 1)
 
 @dataclass
 class LangModel:
-    """Sorted hashes and log frequencies (entries x languages) by order; 0 is words."""
+    """Sorted hashes and log frequencies (entries x languages) by order; 0 is words.
+
+    ``floor``: by language, the mean log frequency a word that its own texts reach."""
 
     langs: list[str]
     keys: dict[int, np.ndarray]
     logs: dict[int, np.ndarray]
+    floor: np.ndarray | None = None
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per text: sums of log frequencies by language, and its number of words."""
@@ -65,10 +73,20 @@ class LangModel:
         return sums(by_word, w.text, len(texts)), np.bincount(w.text, minlength=len(texts))
 
 
-def training_rows(docs: DataFrame, allowed: Column, doc_id: str, lang: str, max_docs: int) -> DataFrame:
-    """At most ``max_docs`` labelled ids: those of smallest hash (and then id)."""
-    ids = docs.filter(allowed & F.col(lang).isNotNull()).select(F.col(doc_id).alias("_id"))
-    return ids.orderBy(F.xxhash64("_id"), "_id").limit(max_docs).distinct()
+def training_rows(docs: DataFrame, allowed: Column, doc_id: str, text: str, lang: str, per_lang: int) -> tuple[DataFrame, list[str]]:
+    """(lang, text, held) of about ``per_lang`` labelled rows of each language, chosen where they lie by
+    a hash of the id, and the languages by number of labelled rows."""
+    rows = docs.filter(allowed & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(
+        F.col(doc_id).alias("_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    n = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    langs = sorted(n, key=lambda x: (-n[x], x))
+    if not langs:
+        return rows.select("lang", "text", F.lit(False).alias("held")), langs
+    share = F.element_at(F.create_map(*(F.lit(v) for x in langs for v in (x, min(1.0, per_lang / n[x])))), F.col("lang"))
+    rows = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share * (1 << 30))
+    # one row of an id and text, however often it is repeated
+    rows = rows.groupBy("_id", "lang", F.xxhash64("text").alias("_t")).agg(F.any_value("text").alias("text"))
+    return rows.select("lang", "text", (F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(5)) == 0).alias("held")), langs
 
 
 def _count(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.RecordBatch]:
@@ -90,51 +108,71 @@ def _count(batches: Iterator[pa.RecordBatch], langs: list[str]) -> Iterator[pa.R
                             ["o", "h", "l", "n"])
 
 
+def _best_entries(counts: DataFrame, per: int) -> DataFrame:
+    """(o, h) of about the ``per`` most frequent entries of each (order, language).
+
+    How often each frequency occurs tells the least one that still has room, so no ranking of
+    entries is needed; of those at that frequency the share that fits is taken by hash."""
+    by_n = counts.groupBy("o", "l", "n").agg(F.count(F.lit(1)).alias("c"))       # few frequencies each
+    w = Window.partitionBy("o", "l").orderBy(F.desc("n"))
+    cut = by_n.withColumn("upto", F.sum("c").over(w)).filter(F.col("upto") - F.col("c") < per)
+    cut = cut.groupBy("o", "l").agg(F.min("n").alias("least"), F.max("upto").alias("upto"), F.min_by("c", "n").alias("c"))
+    room = (F.col("c") - F.greatest(F.col("upto") - per, F.lit(0))) / F.col("c")
+    met = counts.join(F.broadcast(cut.select("o", "l", "least", room.alias("room"))), ["o", "l"])   # one row a language and order
+    keep = (F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & (F.pmod("h", F.lit(1 << 30)) < F.col("room") * (1 << 30)))
+    return met.filter(keep).select("o", "h").distinct()
+
+
 def fit(docs: DataFrame, allowed: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-        max_docs: int = 6_000, max_entries: int = 20_000, max_langs: int = 200) -> LangModel:
-    """A model from the sampled rows where ``allowed``; at most ``max_entries`` words and
-    as many n-grams of each order, the most frequent ones; the ``max_langs`` most
-    frequent languages of the sample.  Both limits bound what the driver gets."""
-    ids = training_rows(docs, allowed, doc_id, lang, max_docs)
-    src = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = src.filter(F.col("lang").isNotNull()).join(F.broadcast(ids), "_id").drop("_id")
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+        per_lang: int = 1_500, max_entries: int = 20_000, min_entries: int = 500) -> LangModel:
+    """A model from the sampled rows where ``allowed``.
+
+    The driver gets the entries of the languages: of each order ``max_entries`` dealt evenly to them, or
+    ``min_entries`` each where they are many, with four bytes a language and entry."""
+    rows, langs = training_rows(docs, allowed, doc_id, text, lang, per_lang)
     if not langs:
         return LangModel([], {}, {})
-    rows = rows.filter(F.col("lang").isin(langs))
-    counts = rows.mapInArrow(lambda bs: _count(bs, langs), "o int, h bigint, l int, n bigint")
-    wide = counts.groupBy("o", "h").agg(*(F.sum(F.when(F.col("l") == i, F.col("n")).otherwise(0)).alias(f"n{i}")
-                                          for i in range(len(langs))), F.sum("n").alias("total"))
-    wide = cut_lineage(wide.filter("total > 1 or o > 0"))
-    # the best of each order by its own limit: every task sends its best, no order is one task's rows
-    best = [wide.filter(F.col("o") == o).orderBy(F.desc("total"), "h").limit(max_entries) for o in (0, *ORDERS)]
-    best = reduce(DataFrame.unionByName, best).toPandas()
+    rows = cut_lineage(rows)
+    per = max(min_entries, max_entries // len(langs))
+    counts = rows.filter("not held").mapInArrow(lambda bs: _count(bs, langs), "o int, h bigint, l int, n bigint")
+    counts = cut_lineage(counts.groupBy("o", "h", "l").agg(F.sum("n").alias("n")))
+    total = {(r[0], r[1]): r[2] for r in counts.groupBy("o", "l").agg(F.sum("n")).collect()}
+    best = counts.join(_best_entries(counts, per), ["o", "h"]).toPandas()
     keys, logs = {}, {}
     for order in (0, *ORDERS):
         part = best[best["o"] == order]
-        h = part["h"].to_numpy(np.int64).view(np.uint64)
-        n = part[[f"n{i}" for i in range(len(langs))]].to_numpy(float)
-        p = (n + 0.1) / (n.sum(0) + 0.1 * (len(n) + 1))
-        by = np.argsort(h)
-        keys[order], logs[order] = h[by], np.log(p[by])
-    return LangModel(langs, keys, logs)
+        h, row = np.unique(part["h"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+        n = np.zeros((len(h), len(langs)))
+        n[row, part["l"].to_numpy(int)] = part["n"].to_numpy(float)
+        size = np.array([total.get((order, i), 1) for i in range(len(langs))], float)
+        keys[order], logs[order] = h, np.log(n / size + 0.1 / size.max()).astype(np.float32)
+    model = LangModel(langs, keys, logs)
+    # the least mean that all but one in a thousand of a language's own held texts reach
+    own = predict(rows.filter("held"), model, pred="p", score="s", fit="f").filter("p = lang")
+    found = own.groupBy("lang").agg(F.percentile_approx("f", 0.001).alias("f"), F.count(F.lit(1)).alias("n")).collect()
+    floor = {r["lang"]: r["f"] for r in found if r["n"] >= 20}
+    model.floor = np.array([floor.get(x, -np.inf) for x in langs])
+    return model
 
 
 def predict(docs: DataFrame, model: LangModel, text: str = "text", keep: list[str] | None = None,
-            pred: str = "lang_pred", score: str = "score") -> DataFrame:
+            pred: str = "lang_pred", score: str = "score", fit: str | None = None) -> DataFrame:
     """docs (its columns ``keep``; all) plus the predicted language and its posterior,
-    from the whole text alone."""
+    from the whole text alone; ``fit`` adds a column of that name, the mean log frequency a
+    word less the language's floor (null for ``und``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_entries
     keep = docs.columns if keep is None else keep
     pred = free_name(docs.columns, pred)
     score = free_name([*docs.columns, pred], score)
-    letters = free_name([*docs.columns, pred, score], "_letters")
+    more = [] if fit is None else [T.StructField(free_name([*docs.columns, pred, score], fit), T.DoubleType())]
+    letters = free_name([*docs.columns, pred, score, *(f.name for f in more)], "_letters")
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(pred, T.StringType()),
-                           T.StructField(score, T.DoubleType())])
+                           T.StructField(score, T.DoubleType()), *more])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         k = len(m.langs)
+        floor = np.zeros(k) if m.floor is None else m.floor
         for b in slices(batches, text):
             total, words = np.zeros((b.num_rows, k)), np.zeros(b.num_rows, np.int64)
             for rows, held in groups(b.column(text).to_pylist()) if k else ():
@@ -145,10 +183,12 @@ def predict(docs: DataFrame, model: LangModel, text: str = "text", keep: list[st
             if k:
                 best = total.argmax(1)
                 p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in keep),
-                 pa.array([m.langs[best[i]] if some[i] else UNKNOWN for i in range(b.num_rows)], pa.string()),
-                 pa.array([float(p[i]) if some[i] else 0.0 for i in range(b.num_rows)], pa.float64())], schema.names)
+                mean = total.max(1) / np.maximum(words, 1)
+            out = [pa.array([m.langs[best[i]] if some[i] else UNKNOWN for i in range(b.num_rows)], pa.string()),
+                   pa.array([float(p[i]) if some[i] else 0.0 for i in range(b.num_rows)], pa.float64())]
+            if more:
+                out.append(pa.array([float(mean[i] - floor[best[i]]) if some[i] else None for i in range(b.num_rows)], pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], schema.names)
 
     # words may consist of marks alone; a language needs a letter
     return docs.withColumn(letters, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).mapInArrow(each, schema)

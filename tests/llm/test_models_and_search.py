@@ -414,7 +414,7 @@ def slow_language(model, text):
             words = words or [""]
             words[-1] += c.lower() if len(c.lower()) == 1 else c
     if not letter:
-        return lang_id.UNKNOWN, 0.0
+        return lang_id.UNKNOWN, 0.0, None
     total = [0.0] * len(model.langs)
     for x in filter(None, words):
         got = table[0].get(mix(powered(x) ^ len(x) << 44))
@@ -426,7 +426,8 @@ def slow_language(model, text):
                 break
         total = [a + b for a, b in zip(total, got or [0.0] * len(total))]
     best = max(total)
-    return model.langs[total.index(best)], 1 / sum(math.exp(v - best) for v in total)
+    i = total.index(best)
+    return model.langs[i], 1 / sum(math.exp(v - best) for v in total), best / len([x for x in words if x]) - model.floor[i]
 
 
 def test_language_stage_against_plain_python(spark, tmp_path):
@@ -438,12 +439,42 @@ def test_language_stage_against_plain_python(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     model = lang_id.fit(docs, label_split("doc_id", 4) != 2)
     slow = {r.doc_id: slow_language(model, r.text) for r in docs.collect()}
-    want = {i for i, (lang, p) in slow.items() if lang != lang_id.UNKNOWN and p >= 0.5}
+    want = {i for i, (lang, p, fit) in slow.items() if lang != lang_id.UNKNOWN and p >= 0.5 and fit >= -P.FIT_MARGIN}
     got = P.language_stage(spark, docs, str(tmp_path)).collect()
     assert len(got) == len(want) and {r.doc_id for r in got} == want
     assert 0 < len(want) < len(slow)
-    fast = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.predict(docs, model).collect()}
-    assert all(fast[i][0] == lang and fast[i][1] == pytest.approx(p, abs=1e-6) for i, (lang, p) in slow.items())
+    fast = {r.doc_id: (r.lang_pred, r.score, r.fit) for r in lang_id.predict(docs, model, fit="fit").collect()}
+    for i, (lang, p, fit) in slow.items():
+        assert fast[i][0] == lang and fast[i][1] == pytest.approx(p, abs=1e-5)
+        assert fast[i][2] == (fit if fit is None or math.isinf(fit) else pytest.approx(fit, abs=1e-4))
+
+
+def test_a_rare_language_is_learned(spark):
+    """One row in 20,000; many languages; repeated rows and null ids, which take no place."""
+    common = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("the cat and dog number "), F.element_at(F.array(*map(F.lit, ["runs", "eats", "sleeps", "walks"])), (F.col("id") % 4 + 1).cast("int")),
+        F.lit(" near the house of ours")).alias("text"), F.when(F.col("id") % 3 > 0, "en").otherwise("en2").alias("lang"))
+    common = common.unionByName(spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("zzz qqq").alias("text"), F.lit("null").alias("lang")))
+    common = common.unionByName(spark.range(500).select(F.lit(77_000).cast("long").alias("doc_id"), F.lit("jeden dwa trzy").alias("text"), F.lit("pl").alias("lang")))
+    rare = [(30_000 + i, t, lang) for i, (t, lang) in enumerate([("mitakuye oyasin wakan tanka unci maka", "lkt")])]
+    rare += [(40_000 + i, f"wort{chr(97 + i % 26) * 3}ein noch{chr(97 + i % 26) * (2 + i // 26)}mal", f"x{i}") for i in range(30)]
+    docs = common.unionByName(spark.createDataFrame(rare, common.schema))
+    model = lang_id.fit(docs, F.lit(True))
+    assert {"lkt", "pl", *(f"x{i}" for i in range(30))} <= set(model.langs) and "null" not in model.langs and model.langs[0] == "en"
+    asked = spark.createDataFrame([(1, "wakan tanka oyasin"), (2, "the dog sleeps near the house"), (3, "worthhhein nochhhmal"), (4, "trzy jeden")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in lang_id.predict(asked, model).collect()}
+    assert got[1] == "lkt" and got[2] in ("en", "en2") and got[3] == "x7" and got[4] == "pl"
+
+
+def test_language_fit_does_not_grow_with_length(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = lang_id.fit(docs, label_split("doc_id", 4) != 2)
+    own = docs.filter("lang = 'en'").orderBy("doc_id").first().text
+    noise = " ".join(f"xq{chr(97 + i % 26)}zvk{chr(97 + i % 7)}jj" for i in range(400))
+    df = spark.createDataFrame([(1, own), (2, own * 20), (3, noise), (4, noise * 20)], "doc_id long, text string")
+    got = {r.doc_id: (r.score, r.fit) for r in lang_id.predict(df, model, fit="fit").collect()}
+    assert got[1][1] == pytest.approx(got[2][1], abs=0.1) and got[3][1] == pytest.approx(got[4][1], abs=0.1)
+    assert got[4][0] > 0.5 and got[3][1] < got[1][1] - 1            # the posterior is sure of noise, the fit is not
 
 
 def test_pipeline_with_nulls_and_extra_columns(spark, tmp_path):
