@@ -10,7 +10,8 @@ logit.  A text's score comes from its largest window logit and its number of win
 both have as many; the score's constant undoes the changed share).  In every round Spark
 reads all windows of each sampled text and sends the driver the one that now scores
 highest, which stands for its text, and one picked at random.  A fifth of the sample is
-kept for the final calibration, on the highest of all windows and their number.
+kept to choose the round whose net is used (each a running mean of the steps) and for the final
+calibration, on the highest of all windows and their number.
 ``score`` reads all windows of every whole text.
 
 Rows: a null, empty or letterless text has one empty window and is scored like any
@@ -35,6 +36,7 @@ from .common import cut_lineage, free_name, slices
 WINDOW, STRIDE = 48, 32
 HIDDEN, EMBED, ATTEND, BUCKETS = 8, 8, 8, 4096
 GRAMS = (3,)             # letters
+INIT = 0.1               # scale of the first input vectors: what was not learned says little
 
 
 def letter_buckets(w: Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +65,7 @@ def new_params(vocab: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
     def w(*shape, scale=None):
         return (rng.standard_normal(shape) * (scale or shape[0] ** -0.5)).astype(np.float32)
 
-    p = {"word": w(vocab + 1, EMBED, scale=0.3), "char": w(BUCKETS, EMBED, scale=0.3),
+    p = {"word": w(vocab + 1, EMBED, scale=INIT), "char": w(BUCKETS, EMBED, scale=INIT),
          "att": w(2 * HIDDEN, ATTEND), "att_v": w(ATTEND), "out": w(2 * HIDDEN), "out_b": np.zeros(1, np.float32)}
     for d in "fb":
         p |= {f"{d}W": w(2 * EMBED, 3 * HIDDEN), f"{d}U": w(HIDDEN, 3 * HIDDEN), f"{d}b": np.zeros(3 * HIDDEN, np.float32)}
@@ -386,28 +388,37 @@ def _spelled(w: Words, numbers: np.ndarray) -> str:
 
 
 def _text_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word hash, number of texts that have it), summed over each batch."""
+    """(word hash, number of texts that have it, of toxic ones), summed over each batch."""
     for b in slices(batches, "text"):
         seen = []
         for rows, held in parts(b.column("text").to_pylist()):
             w = Words(held)
             seen.append(np.unique(np.stack([np.asarray(rows, np.uint64)[w.text], w.hashes()]), axis=1))
         both = np.unique(np.concatenate(seen, 1), axis=1)              # pieces of one text share words
-        h, n = np.unique(both[1], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+        h, number, n = np.unique(both[1], return_inverse=True, return_counts=True)
+        toxic = b.column("y").to_numpy(zero_copy_only=False)[both[0].astype(np.int64)] > 0
+        foul = np.bincount(number, toxic, len(h)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(foul)], ["h", "n", "t"])
 
 
-def fit_network(sample: DataFrame, rounds: int = 5, batch: int = 192, rate: float = 0.012,
-                max_vocab: int = 8192, min_texts: int = 3, seed: int = 7, prior: float = 0.0) -> ToxicModel:
+def fit_network(sample: DataFrame, rounds: int = 4, batch: int = 192, rate: float = 0.012,
+                max_vocab: int = 2048, min_texts: int = 3, seed: int = 7, prior: float = 0.0,
+                drop: float = 0.1, decay: float = 0.02) -> ToxicModel:
     """``sample``: (key, y, text) of each sampled text, stored; rows of one key are equal.
-    ``prior``: log odds of being toxic among all rows less those in the sample."""
+    ``prior``: log odds of being toxic among all rows less those in the sample.  ``max_vocab`` words of
+    at least ``min_texts`` sampled texts get a vector of their own, those whose texts' labels differ most from
+    the sample's; all other words are read by their spelling.  ``drop``: the share of known words that a
+    step reads by spelling too.  ``decay`` draws input vectors to zero."""
     rng = np.random.default_rng(seed)
     classes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if len(classes) < 2:
         line = (0.0, 0.0, 30.0 if classes and min(classes) > 0 else -30.0)
         return ToxicModel(np.empty(0, np.uint64), new_params(0, rng), line, False)
-    counts = sample.mapInArrow(_text_counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    known = counts.filter(F.col("n") >= min_texts).orderBy(F.desc("n"), "h").limit(max_vocab).collect()
+    counts = sample.mapInArrow(_text_counts, "h bigint, n bigint, t bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    # the words whose texts' labels differ most from the sample's share, in standard deviations
+    share = classes.get(1.0, 0) / sum(classes.values())
+    odd = F.abs(F.col("t") - share * F.col("n")) / F.sqrt(F.col("n"))
+    known = counts.filter(F.col("n") >= min_texts).orderBy(F.desc(F.round(odd, 9)), F.desc("n"), "h").limit(max_vocab).collect()
     vocab = np.sort(np.array([r["h"] for r in known], np.int64).view(np.uint64))
 
     def search(model: ToxicModel | None, turn: int) -> list:
@@ -422,11 +433,14 @@ def fit_network(sample: DataFrame, rounds: int = 5, batch: int = 192, rate: floa
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     balance = min(4.0, (classes.get(0.0, 0) / max(1, classes.get(1.0, 0))) ** 0.5)
     n_steps, batch = 0, min(batch, max(16, sum(classes.values()) // 8))
+    best, mean, weight = (-np.inf, model.params), {k: np.zeros_like(v) for k, v in p.items()}, 0
     for turn in range(rounds):
         # each text by its highest window, and by another one picked at random if it is clean
         found = search(model if turn else None, turn)
         y = np.array([r["y"] for r in found])
         held = chance(np.array([r["key"] for r in found], np.int64), 0, seed) < 0.2
+        if turn:
+            best = max(best, (_order(found, y, held), model.params), key=lambda x: x[0])
         own = np.flatnonzero(~held)
         more = own[(y[own] == 0) | (turn < 2)]
         if not len(own):
@@ -440,7 +454,9 @@ def fit_network(sample: DataFrame, rounds: int = 5, batch: int = 192, rate: floa
                 b = pick[i:i + batch]
                 target = label[b].astype(np.float32)
                 grads = {k: np.zeros_like(v) for k, v in p.items()}
-                _step(p, data.batch(b), target, np.where(target > 0, balance, 1).astype(np.float32), grads)
+                words, *rest = data.batch(b)
+                words = np.where(rng.random(len(words)) < drop, -1, words)      # at times only the spelling is there
+                _step(p, (words, *rest), target, np.where(target > 0, balance, 1).astype(np.float32), grads)
                 n_steps += 1
                 lr = rate * min(1, n_steps / 20) * (1 - 0.8 * turn / rounds)
                 norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
@@ -449,7 +465,17 @@ def fit_network(sample: DataFrame, rounds: int = 5, batch: int = 192, rate: floa
                     first[k] += 0.1 * (g - first[k])
                     second[k] += 0.01 * (g * g - second[k])
                     p[k] -= lr * first[k] / (1 - 0.9 ** n_steps) / (np.sqrt(second[k] / (1 - 0.99 ** n_steps)) + 1e-7)
+                    if k in ("word", "char"):
+                        p[k] *= 1 - lr * decay
+                weight = 0.98 * weight + 0.02
+                for k in p:
+                    mean[k] += 0.02 * (p[k] - mean[k])
+        # what is searched and kept is the running mean of the steps, which swings less
+        model = ToxicModel(vocab, {k: (v / weight).astype(np.float32) for k, v in mean.items()}, (1.0, 0.0, 0.0))
     found = search(model, rounds)
+    if (last := _order(found, np.array([r["y"] for r in found]), held)) < best[0]:
+        model = ToxicModel(vocab, best[1], (1.0, 0.0, 0.0))
+        found = search(model, rounds)
     y, top, n = (np.array([r[c] for r in found], float) for c in ("y", "best", "n"))
     use = held if min((y[held] == 0).sum(), (y[held] == 1).sum()) >= 8 else np.ones(len(y), bool)
     a, b, c = _calibrate(top[use], np.log(n[use]), y[use])
@@ -457,6 +483,17 @@ def fit_network(sample: DataFrame, rounds: int = 5, batch: int = 192, rate: floa
     return model
 
 
+def _order(found: list, y: np.ndarray, held: np.ndarray) -> float:
+    """The share of (toxic, clean) pairs of held texts that the highest logits put in order; the
+    later round wins a tie."""
+    use = held if min((y[held] == 0).sum(), (y[held] == 1).sum()) >= 8 else np.ones(len(y), bool)
+    top = np.array([r["best"] for r in found], float)[use]
+    rank = np.empty(len(top))
+    rank[np.argsort(top, kind="stable")] = np.arange(1, len(top) + 1)
+    n = y[use].sum()
+    return float((rank[y[use] > 0].sum() - n * (n + 1) / 2) / max(1, n * (len(top) - n)))
+
+
 def _calibrate(top: np.ndarray, log_n: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """Logistic regression with a small ridge towards half the plain logit, by Newton steps
     that are halved until they lower the loss."""
