@@ -38,9 +38,9 @@ def _trim_underscores(col: Column) -> Column:
 def parse_task_path(path, strip_anli_round: bool = True) -> Column:
     """``.../{ds}__{cfg}__.../{task}_{template}[_score_eval]`` -> struct(task, template).
 
-    The task is ``ds`` or ``ds_cfg`` from the directory; the template is the
-    basename minus the ``{task}_`` prefix and the ``_score_eval`` suffix,
-    trimmed of ``_``; for ``anli`` the ``_r1/_r2/_r3`` round is dropped too.
+    The task is ``ds`` or ``ds_cfg`` from the directory; the template is the basename without
+    ``{task}_`` and ``_score_eval``, wherever they stand in it, trimmed of ``_``; for ``anli`` the
+    rounds ``_r1``, ``_r2`` and ``_r3`` go too.  ``audit_key`` has the same rule.
     """
     p = _c(path)
     parts = F.split(p, "/")
@@ -51,11 +51,11 @@ def parse_task_path(path, strip_anli_round: bool = True) -> Column:
     ds = F.get(dir_parts, 0)
     cfg = F.get(dir_parts, 1)
     task = task_full_name(ds, cfg)
-    body = F.regexp_replace(basename, SCORE_EVAL_SUFFIX + "$", "")
-    template = _strip_prefix(body, task)
+    body = F.replace(F.replace(basename, F.concat(task, F.lit("_")), F.lit("")), F.lit(SCORE_EVAL_SUFFIX), F.lit(""))
+    template = _trim_underscores(body)
     if strip_anli_round:
-        template = F.when(ds == "anli", F.regexp_replace(template, r"_r[123]$", "")).otherwise(template)
-    return F.struct(task.alias("task"), _trim_underscores(template).alias("template"))
+        template = F.when(ds == "anli", F.regexp_replace(template, r"_r[123]", "")).otherwise(template)
+    return F.struct(task.alias("task"), template.alias("template"))
 
 
 def _strip_prefix(col: Column, prefix: Column) -> Column:

@@ -77,6 +77,13 @@ def truncate_left(arr, max_length: int, special: bool = False) -> Column:
     return F.when(n <= max_length, a).otherwise(F.concat(F.slice(a, 1, 1), tail))
 
 
+def last_ids(col, max_length: int, tokenizer: Callable[[Column], Column] | None = None) -> Column:
+    """the ids of the last ``max_length`` tokens; the default hashes no others."""
+    if tokenizer is not None:
+        return truncate_left(tokenize(col, tokenizer), max_length)
+    return hashed_ids(truncate_left(whitespace_tokens(col), max_length))
+
+
 def truncate_right(arr, max_length: int) -> Column:
     """F8: keep the first ``max_length`` items."""
     return F.slice(_c(arr), 1, max_length)

@@ -150,15 +150,16 @@ def audit_templates(tsv: DataFrame, flags: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def used_templates(paths: DataFrame, templates: DataFrame, *, path_col: str = "path",
-                   ordinal_col: str = "ordinal") -> DataFrame:
+                   ordinal_col: str = "ordinal", fail: bool = True) -> DataFrame:
     """Training mixture paths -> (task, template) keys (P2) -> template string
     (J8), keyed by ``task_template``; the later path wins (A7).
 
-    ``templates``: task, template (normalised, F10), template_str."""
+    ``templates``: task, template (normalised, F10), template_str.  A path without a template
+    fails; with ``fail=False`` it comes with a null ``template_str``."""
     from ..functions.names import normalise_template_name, parse_task_path
     keys = paths.select(ordinal_col, parse_task_path(F.col(path_col)).alias("k")).select(
         ordinal_col, F.col("k.task").alias("task"), normalise_template_name(F.col("k.template")).alias("template"))
-    j = keys.join(bounded_broadcast(templates), ["task", "template"])
+    j = attach_template(keys, templates, fail=True) if fail else keys.join(bounded_broadcast(templates), ["task", "template"], "left")
     j = j.withColumn("task_template", F.concat_ws("_", "task", "template"))
     return j.groupBy("task_template").agg(F.max_by(F.struct("task", "template", "template_str"),
                                                      F.col(ordinal_col)).alias("v")).select("task_template", "v.*")

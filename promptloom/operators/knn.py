@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 PARTIAL_SCHEMA = "query_id long, shard string, corpus_id long, score double"
 _PARTIAL_ARROW = pa.schema([("query_id", pa.int64()), ("shard", pa.string()),
                             ("corpus_id", pa.int64()), ("score", pa.float64())])
@@ -245,11 +247,31 @@ def _thresholds(q_collected, subset: DataFrame, k: int, exclude_self: bool):
     return out
 
 
-def _partial_corpus(q: DataFrame, table: pa.Table, k: int, exclude_self: bool) -> DataFrame:
-    """Queries scanned in place against the whole, broadcast corpus: final lists."""
-    held = (_vectors(table.column("vec")), table.column("corpus_id").to_numpy(), _shard_values(table))
-    bc = q.sparkSession.sparkContext.broadcast(held)
+def _shipped(spark, table: pa.Table):
+    """A whole corpus, bounded by ``_collect_bounded``, as a broadcast of arrays."""
+    return spark.sparkContext.broadcast((_vectors(table.column("vec")), table.column("corpus_id").to_numpy(), _shard_values(table)))
+
+
+class HeldCorpus:
+    """A corpus for many searches: stored, and shipped to the executors once if it fits.
+
+    Pass it to ``knn_join`` in the corpus's place; ``release`` lets the copies go."""
 
+    def __init__(self, corpus: DataFrame, *, corpus_key: str, vector_col: str = "embedding", shard_col: str | None = None,
+                 shard_order: list | None = None, max_broadcast_bytes: int = 256 << 20):
+        _, c = _prepare(corpus, corpus, corpus_key, corpus_key, vector_col, None, shard_col)
+        self.rows = cut_lineage(c)
+        self.shard_ord = _shard_ord(corpus, shard_col, shard_order)
+        table = _collect_bounded(self.rows, 1, max_broadcast_bytes, 0)
+        self.shipped = None if table is None else _shipped(corpus.sparkSession, table)
+
+    def release(self) -> None:
+        if self.shipped is not None:
+            self.shipped.unpersist()
+
+
+def _partial_corpus(q: DataFrame, bc, k: int, exclude_self: bool) -> DataFrame:
+    """Queries scanned in place against the whole, broadcast corpus: final lists."""
     def scan(batches):
         C, cids, shards = bc.value
         for batch in batches:
@@ -315,8 +337,8 @@ def _partial_tiled(q: DataFrame, c: DataFrame, k: int, exclude_self: bool,
             .applyInArrow(tile, PARTIAL_SCHEMA))
 
 
-def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *,
-             query_key: str, corpus_key: str, vector_col: str = "embedding",
+def knn_join(queries: DataFrame, corpus: DataFrame | HeldCorpus, k: int, *,
+             query_key: str, corpus_key: str | None = None, vector_col: str = "embedding",
              query_vector_col: str | None = None, shard_col: str | None = None,
              shard_order: list | None = None, exclude_self: bool = False,
              strategy: str = "auto", max_broadcast_bytes: int = 256 << 20,
@@ -325,7 +347,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *,
     """k nearest corpus rows (per shard) for every query row; exact.
 
     ``exclude_self`` drops pairs whose query and corpus ids are equal before
-    ranking.  ``shard_order`` fixes the order of shards (``shard_ord``); without
+    ranking.  ``corpus`` may be a ``HeldCorpus``, whose own key and shards then hold.  ``shard_order`` fixes the order of shards (``shard_ord``); without
     it integral shards are their own order and others are numbered by name.
 
     ``strategy``: ``corpus``, ``broadcast`` or ``tiled`` to insist on one (a side
@@ -339,13 +361,19 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *,
     """
     if k < 1:
         raise ValueError("k must be >= 1")
-    q, c = _prepare(queries, corpus, query_key, corpus_key, vector_col,
-                    query_vector_col, shard_col)
     if strategy not in ("auto", "corpus", "broadcast", "tiled"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    held = _collect_bounded(c, k, max_broadcast_bytes, 0) if strategy in ("auto", "corpus") else None
-    if held is not None:
-        ranked = _partial_corpus(q, held, k, exclude_self)
+    if isinstance(corpus, HeldCorpus):
+        q, _ = _prepare(queries, queries, query_key, query_key, query_vector_col or vector_col, None, None)
+        c, shard_ord, shipped = corpus.rows, corpus.shard_ord, corpus.shipped
+    else:
+        q, c = _prepare(queries, corpus, query_key, corpus_key, vector_col,
+                        query_vector_col, shard_col)
+        shard_ord = _shard_ord(corpus, shard_col, shard_order)
+        held = _collect_bounded(c, k, max_broadcast_bytes, 0) if strategy in ("auto", "corpus") else None
+        shipped = None if held is None else _shipped(q.sparkSession, held)
+    if shipped is not None:
+        ranked = _partial_corpus(q, shipped, k, exclude_self)
     else:
         held = _collect_bounded(q, k, max_broadcast_bytes, _LIVE_SHARDS) if strategy != "tiled" else None
         if held is not None:
@@ -359,7 +387,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, *,
         else:
             partial = _partial_tiled(q, c, k, exclude_self, q.count(), c.count(), tile_queries, tile_corpus)
         ranked = _ranked(partial, k)
-    return ranked.select("query_id", "shard", _shard_ord(corpus, shard_col, shard_order).alias("shard_ord"),
+    return ranked.select("query_id", "shard", shard_ord.alias("shard_ord"),
                          F.col("rank").cast("int").alias("rank"), "corpus_id", "score")
 
 

@@ -228,15 +228,15 @@ out AS (SELECT p.row_id, coalesce(d.demo, '') || chr(10) || chr(10) || p.inp AS
 {select}"""
 
 
-def _neighbours(spark, sf):
+def _neighbours(spark, sf, v=None):
     """Every document's nearest documents, k from each of two shards."""
-    v = document_vectors(spark, sf)
+    v = document_vectors(spark, sf) if v is None else v
     return knn_join(v, v, K_RETRIEVE, query_key="row_id", corpus_key="row_id", shard_col="shard")
 
 
-def _augmented(spark, sf, K, dedup):
+def _augmented(spark, sf, K, dedup, v=None):
     rows = prompted_documents(spark, sf)
-    return augment(rows, _neighbours(spark, sf), rows, K, max_length=1024, exclude_self=True, dedup=dedup)
+    return augment(rows, _neighbours(spark, sf, v), rows, K, max_length=1024, exclude_self=True, dedup=dedup)
 
 
 def _augment_view(a):

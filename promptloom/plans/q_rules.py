@@ -168,7 +168,7 @@ def train_or_all_q(spark, sf):
 
 # -------------------------------------------------------------------- names
 @register("parse_task_path", f"""
-SELECT doc_id, source || coalesce('_' || nullif(nullif({_CFG}, 'None'), ''), '') AS task, lang AS template,
+SELECT doc_id, source || coalesce('_' || nullif(nullif({_CFG}, 'None'), ''), '') AS task, lang AS template, lang || '_x' AS inside,
        coalesce('_' || nullif(nullif({_CFG}, 'None'), ''), '') || '_' || lang || CASE WHEN doc_id % 2 = 0 THEN '_score_eval' ELSE '' END AS from_basename,
        source || '__' || coalesce(nullif(nullif({_CFG}, 'None'), ''), 'none') || '__root__k-20' AS output_name
 FROM documents
@@ -178,7 +178,9 @@ def parse_task_path_q(spark, sf):
     p = _paths(spark, sf)
     # a directory spells a missing config 'none', which is the null config
     k = N.parse_task_path(F.col("path"))
-    return p.select("doc_id", k["task"].alias("task"), k["template"].alias("template"),
+    # the suffix and the task inside a name go as well
+    inside = N.parse_task_path(F.concat("path", F.lit("_score_eval_"), k["task"], F.lit("_x")))
+    return p.select("doc_id", k["task"].alias("task"), k["template"].alias("template"), inside["template"].alias("inside"),
                     N.template_from_basename(F.element_at(F.split("path", "/"), -1), "source").alias("from_basename"),
                     N.output_name("source", "cfg", "root", 20).alias("output_name"))
 
@@ -223,17 +225,17 @@ def slice_rows_q(spark, sf):
 # ------------------------------------------------------------------ lookups
 @register("used_templates", f"""
 WITH d AS (SELECT doc_id, source || coalesce('_' || nullif(nullif({_CFG}, 'None'), ''), '') AS task, lang FROM documents)
-SELECT task || '_' || lang AS task_template, task, lang AS template, 'Use ' || lang AS template_str FROM d
-WHERE lang <> 'de' GROUP BY task, lang
+SELECT task || '_' || lang AS task_template, task, lang AS template, CASE WHEN lang <> 'de' THEN 'Use ' || lang END AS template_str FROM d
+GROUP BY task, lang
 """)
 def used_templates_q(spark, sf):
-    """Template strings of the mixture paths, keyed by task and template."""
+    """Template strings of the mixture paths, keyed by task and template; German ones have none."""
     # grouped: the path is then a column, not an expression repeated in every use of it
     p = _paths(spark, sf).groupBy("path", "lang").agg(F.max("doc_id").alias("ordinal"))
     k = N.parse_task_path(F.col("path"))
     tpl = p.where("lang <> 'de'").select(k["task"].alias("task"), F.col("lang").alias("template"),
                                          F.concat(F.lit("Use "), F.col("lang")).alias("template_str")).distinct()
-    return used_templates(p.select("path", "ordinal"), tpl).select(
+    return used_templates(p.select("path", "ordinal"), tpl, fail=False).select(
         "task_template", "task", "template", "template_str")
 
 
@@ -361,8 +363,9 @@ SELECT row_id, chosen_idx FROM near"""))
 def chosen_index_q(spark, sf):
     """The chosen examples of the K = 3 augmentation as a corpus of their own; every
     document's nearest of them."""
-    index = chosen_index(_augmented(spark, sf, 3, True))
-    r = knn_join(document_vectors(spark, sf), index, 1, query_key="row_id", corpus_key="idx")
+    v = document_vectors(spark, sf)
+    index = chosen_index(_augmented(spark, sf, 3, True, v))
+    r = knn_join(v, index, 1, query_key="row_id", corpus_key="idx")
     return r.select(F.col("query_id").alias("row_id"), F.col("corpus_id").alias("chosen_idx"))
 
 

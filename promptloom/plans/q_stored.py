@@ -22,10 +22,11 @@ from ..sources.commit import Folder
 from ..sources.discovery import list_folders, read_folders
 from ..sources.tables import prompted_documents, read_table, shard_vectors
 from .catalog import register
-from .composite import index_folders
+from ..streaming.online import folder_version, online_augment, prompt_stream
+from .composite import build_index, index_folders, save_index
 from .q_evaluate import _PAIRS_SQL, CHOICES, WS, _logp, _lp_sql, _pairs
 from .q_mixture import BLACKLIST, MAX_EXAMPLES, _mixture_sql, _registry, _templates
-from .q_retrieval import K_RETRIEVE, KNN_SQL, SHARDS_SQL, _BM25_SQL, _augment_sql, _augment_tail, _neighbours, _round, _TOKS, embed_sql
+from .q_retrieval import K_RETRIEVE, KNN_SQL, SHARDS_SQL, _BM25_SQL, _augment_sql, _augment_tail, _neighbours, _dist, _round, _TOKS, embed_sql
 from .q_rules import _CFG, _SPLIT, _docs
 
 SHARDS = 16
@@ -306,3 +307,30 @@ def metric_rouge_l_sum_q(spark, sf):
     p = _pairs(spark, sf).select("turn", *[F.regexp_replace(c, "[.!?] ", ".\n").alias(c) for c in ("user", "assistant")])
     r = M.rouge_l_sum(p, ["turn"], target="assistant", prediction="user")
     return r.select("turn", F.round("rougeLsum", 6).alias("rougeLsum"))
+
+
+# ------------------------------------------------------------------- streaming
+@register("retrieve_stream", f"""
+WITH {embed_sql('documents', 'doc_id', 'text', '')},
+{embed_sql('benchmark', 'item_id', 'text', '_b')},
+near AS (SELECT b.item_id, e.doc_id FROM emb_b b CROSS JOIN emb e
+         QUALIFY row_number() OVER (PARTITION BY b.item_id ORDER BY {_dist('b.embedding', 'e.embedding')}, e.doc_id) = 1)
+SELECT b.item_id, n.doc_id AS chosen_idx, md5(rtrim(d.text || d.lang, chr(10)) || chr(10) || chr(10) || b.text) AS prompt_md5
+FROM benchmark b JOIN near n USING (item_id) JOIN documents d ON d.doc_id = n.doc_id
+""")
+def retrieve_stream_q(spark, sf):
+    """The benchmark's items as a stream of files, each micro-batch retrieving from the documents'
+    stored shard, which all of them share; what the stream has stored."""
+    root = _root(spark, "stream")
+    items = read_table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("row_id"), F.lit("benchmark").alias("dataset_name"), F.lit("item").alias("template_name"),
+        F.col("item_id").alias("idx"), F.col("text").alias("inputs_pretokenized"), F.lit("").alias("targets_pretokenized"))
+    items.repartition(4, "row_id").write.parquet(f"{root}/in")
+    save_index(build_index(prompted_documents(spark, sf)), root, "corpus")
+    stream = prompt_stream(spark, f"{root}/in", items.schema, max_files_per_trigger=1)
+    query = online_augment(stream, lambda s: io.load_shard(s, root, "corpus")[0].drop("shard"), f"{root}/out", f"{root}/state",
+                           version=folder_version(f"{root}/corpus"))
+    query.awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    return out.select(F.col("row_id").alias("item_id"), F.get("chosen_examples", F.lit(0))["idx"].alias("chosen_idx"),
+                      F.md5("inputs_pretokenized").alias("prompt_md5"))

@@ -37,6 +37,10 @@ class Folder:
     def committed(self) -> bool:
         return self.fs.exists(self._at(f"{self.path}/{MARK}"))
 
+    def marked_at(self) -> int | None:
+        """When the folder was committed, in milliseconds."""
+        return self.fs.getFileStatus(self._at(f"{self.path}/{MARK}")).getModificationTime() if self.committed() else None
+
     def delete(self, path: str | None = None) -> None:
         self.fs.delete(self._at(path or self.path), True)
 

@@ -11,6 +11,8 @@ def test_parse_task_path(spark):
     assert (r["task"], r["template"]) == ("cos_e_v1.11", "rationale")
     r = one(spark, N.parse_task_path("p"), p="x/anli__none__p/anli_can_we_infer_r2_score_eval")
     assert (r["task"], r["template"]) == ("anli", "can_we_infer")
+    r = one(spark, N.parse_task_path("p"), p="x/anli__none__p/anli_can_r1_we_score_eval_infer_anli_r3_x")
+    assert (r["task"], r["template"]) == ("anli", "can_we_infer_x")
 
 
 def test_null_config(spark):

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from promptloom.operators.embed import embed_text
 from promptloom.sources.tables import prompted_documents, read_table
-from promptloom.streaming.online import augment_batch, online_augment, prompt_stream, write_batch
+from promptloom.operators.knn import HeldCorpus, knn_join
+from promptloom.sources import io
+from promptloom.streaming.online import (CorpusCache, augment_batch, folder_version, online_augment, prompt_stream,
+                                         write_batch)
 
 
 def test_online_stream_equals_batch(spark):
@@ -39,3 +42,35 @@ def test_replayed_batch_is_idempotent(spark):
     write_batch(b, 1, f"{scratch}/out")          # the same micro-batch again after a failure
     got = sorted(r["row_id"] for r in spark.read.parquet(f"{scratch}/out").collect())
     assert got == list(range(8))
+
+
+def test_corpus_is_loaded_once_a_version(spark, tmp_path):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0], f"t{i}") for i in range(6)], "row_id long, embedding array<float>, inputs_pretokenized string")
+    calls = []
+
+    def load(s):
+        calls.append(1)
+        return io.load_shard(s, str(tmp_path), "c")[0].drop("shard")
+
+    cache = CorpusCache(load, folder_version(f"{tmp_path}/c"), "row_id")
+    io.save_shard(vectors, str(tmp_path), "c", key_name="x")
+    for _ in range(3):
+        rows, held = cache.get(spark)
+    assert len(calls) == cache.loads == 1 and rows.count() == 6
+    q = vectors.where("row_id < 2")
+    a = knn_join(q, held, 2, query_key="row_id")
+    b = knn_join(q, vectors, 2, query_key="row_id", corpus_key="row_id")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    import time
+    time.sleep(1.1)                                   # marks are told apart by their time
+    io.save_shard(vectors.where("row_id <> 1"), str(tmp_path), "c", key_name="x")
+    assert cache.get(spark)[0].count() == 5 and len(calls) == 2
+
+
+def test_held_corpus_too_large_to_ship(spark):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i)], f"s{i % 2}") for i in range(60)], "id long, embedding array<float>, shard string")
+    held = HeldCorpus(v, corpus_key="id", shard_col="shard", max_broadcast_bytes=100)
+    assert held.shipped is None
+    a = knn_join(v, held, 3, query_key="id", exclude_self=True)
+    b = knn_join(v, v, 3, query_key="id", corpus_key="id", shard_col="shard", exclude_self=True)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
