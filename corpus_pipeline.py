@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from promptloom.llm import exact_dedup, lang_id, packing, quality, simhash
 from promptloom.llm.common import free_name, label_split, shared_folder
 
-FIT_MARGIN = 0.5     # nats a word below what 999 of 1,000 texts of a language reach
+FIT_MARGIN = 0.1     # share of known words below what 999 of 1,000 texts of a language reach
 ORACLE_SQL = None    # the classifiers are trained; tests/llm holds a brute-force version
 
 
@@ -38,8 +38,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents of a recognised language: a posterior of 0.5 or more, and words as likely in it
-    as those of its own texts (one in a thousand of which are not); learns as op4 does."""
+    """Keeps the documents of a recognised language: a posterior of 0.5 or more and, in a text of 20 words
+    or more, about the share of known words that its own texts have; learns as op4 does."""
     model = lang_id.fit(docs, label_split("doc_id", 4) != 2)
     if not model.langs:
         return docs
@@ -47,7 +47,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     score = free_name([*docs.columns, pred], "score")
     fit = free_name([*docs.columns, pred, score], "fit")
     out = lang_id.predict(docs, model, pred=pred, score=score, fit=fit)
-    good = (F.col(pred) != lang_id.UNKNOWN) & (F.col(score) >= 0.5) & (F.col(fit) >= -FIT_MARGIN)
+    good = (F.col(pred) != lang_id.UNKNOWN) & (F.col(score) >= 0.5) & F.coalesce(F.col(fit) >= -FIT_MARGIN, F.lit(True))
     return out.filter(good).select(*docs.columns)
 
 

@@ -10,10 +10,11 @@ language (about ``per_lang``, by a hash of the id; all of a language that has fe
 every order the most frequent entries of each language, as many for a rare one as for a
 common one.  No language is left out.  What a language never showed has the same small
 frequency in all of them, so that one learned from little text is not favoured.  A fifth of
-the sample is not counted but scored: all but one in a thousand of a language's own texts
-have a mean log frequency a word above its ``floor``.  ``predict`` reads whole texts; ``fit``
-there is that mean less the floor, a measure that does not grow with the length of a
-text, where the posterior nears 1 for whichever language is best.
+the sample is not counted but scored: in all but one in a thousand of a language's own texts the
+share of words that it is known to have is above its ``floor``.  ``predict`` reads whole texts;
+``fit`` there is that share less the floor, a measure that does not grow with the length of a
+text, where the posterior nears 1 for whichever language is best.  It is given for texts of
+``FIT_WORDS`` words or more; a share of fewer says little.
 
 Rows: a null or letterless text is ``und`` with score 0 (and no fit); ties between languages go to
 the language with more labelled rows, then the smaller name; a model fitted on no
@@ -38,26 +39,36 @@ from .common import cut_lineage, free_name, slices
 
 UNKNOWN = "und"
 ORDERS = (5, 4, 3, 2, 1)
+FIT_WORDS = 20
 
 
 @dataclass
 class LangModel:
     """Sorted hashes and log frequencies (entries x languages) by order; 0 is words.
 
-    ``floor``: by language, the mean log frequency a word that its own texts reach."""
+    ``unseen``: the log frequency of a word that a language never showed.  ``floor``: by language,
+    the share of known words that its own texts reach."""
 
     langs: list[str]
     keys: dict[int, np.ndarray]
     logs: dict[int, np.ndarray]
+    unseen: float = 0.0
     floor: np.ndarray | None = None
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per text: sums of log frequencies by language, and its number of words."""
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: sums of log frequencies by language, its number of words, and how many of
+        them each language is known to have."""
         w = Words(texts)
         k = len(self.langs)
         by_word = np.zeros((w.n, k))
         at = find(w.hashes(), self.keys[0])
         by_word[at >= 0] = self.logs[0][at[at >= 0]]
+        known = by_word > self.unseen + 1e-3
+        known[at < 0] = False
         open_ = at < 0
         for n in ORDERS:
             if not open_.any():
@@ -70,7 +81,7 @@ class LangModel:
             got = sums(self.logs[n][h], of, w.n)[done] / hits[done, None]
             by_word[done] = got * (n / (n + 1))
             open_ &= ~done
-        return sums(by_word, w.text, len(texts)), np.bincount(w.text, minlength=len(texts))
+        return sums(by_word, w.text, len(texts)), np.bincount(w.text, minlength=len(texts)), sums(known.astype(float), w.text, len(texts))
 
 
 def training_rows(docs: DataFrame, allowed: Column, doc_id: str, text: str, lang: str, per_lang: int) -> tuple[DataFrame, list[str]]:
@@ -138,7 +149,7 @@ def fit(docs: DataFrame, allowed: Column, doc_id: str = "doc_id", text: str = "t
     counts = cut_lineage(counts.groupBy("o", "h", "l").agg(F.sum("n").alias("n")))
     total = {(r[0], r[1]): r[2] for r in counts.groupBy("o", "l").agg(F.sum("n")).collect()}
     best = counts.join(_best_entries(counts, per), ["o", "h"]).toPandas()
-    keys, logs = {}, {}
+    keys, logs, unseen = {}, {}, 0.0
     for order in (0, *ORDERS):
         part = best[best["o"] == order]
         h, row = np.unique(part["h"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
@@ -146,9 +157,10 @@ def fit(docs: DataFrame, allowed: Column, doc_id: str = "doc_id", text: str = "t
         n[row, part["l"].to_numpy(int)] = part["n"].to_numpy(float)
         size = np.array([total.get((order, i), 1) for i in range(len(langs))], float)
         keys[order], logs[order] = h, np.log(n / size + 0.1 / size.max()).astype(np.float32)
-    model = LangModel(langs, keys, logs)
-    # the least mean that all but one in a thousand of a language's own held texts reach
-    own = predict(rows.filter("held"), model, pred="p", score="s", fit="f").filter("p = lang")
+        unseen = unseen if order else float(np.float32(np.log(0.1 / size.max())))
+    model = LangModel(langs, keys, logs, unseen)
+    # the least share that all but one in a thousand of a language's own held texts reach
+    own = predict(rows.filter("held"), model, pred="p", score="s", fit="f").filter("p = lang and f is not null")
     found = own.groupBy("lang").agg(F.percentile_approx("f", 0.001).alias("f"), F.count(F.lit(1)).alias("n")).collect()
     floor = {r["lang"]: r["f"] for r in found if r["n"] >= 20}
     model.floor = np.array([floor.get(x, -np.inf) for x in langs])
@@ -158,8 +170,8 @@ def fit(docs: DataFrame, allowed: Column, doc_id: str = "doc_id", text: str = "t
 def predict(docs: DataFrame, model: LangModel, text: str = "text", keep: list[str] | None = None,
             pred: str = "lang_pred", score: str = "score", fit: str | None = None) -> DataFrame:
     """docs (its columns ``keep``; all) plus the predicted language and its posterior,
-    from the whole text alone; ``fit`` adds a column of that name, the mean log frequency a
-    word less the language's floor (null for ``und``)."""
+    from the whole text alone; ``fit`` adds a column of that name, the share of known words less
+    the language's floor (null for ``und`` and for texts of fewer than ``FIT_WORDS`` words)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_entries
     keep = docs.columns if keep is None else keep
     pred = free_name(docs.columns, pred)
@@ -174,20 +186,22 @@ def predict(docs: DataFrame, model: LangModel, text: str = "text", keep: list[st
         k = len(m.langs)
         floor = np.zeros(k) if m.floor is None else m.floor
         for b in slices(batches, text):
-            total, words = np.zeros((b.num_rows, k)), np.zeros(b.num_rows, np.int64)
+            total, words, known = np.zeros((b.num_rows, k)), np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, k))
             for rows, held in groups(b.column(text).to_pylist()) if k else ():
-                got, n = m.scores(held)
+                got, n, own = m.judged(held)
                 np.add.at(total, rows, got)
                 np.add.at(words, rows, n)
+                np.add.at(known, rows, own)
             some = (words > 0) & b.column(letters).to_numpy(zero_copy_only=False)
             if k:
                 best = total.argmax(1)
                 p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                mean = total.max(1) / np.maximum(words, 1)
+                share = known[np.arange(b.num_rows), best] / np.maximum(words, 1)
             out = [pa.array([m.langs[best[i]] if some[i] else UNKNOWN for i in range(b.num_rows)], pa.string()),
                    pa.array([float(p[i]) if some[i] else 0.0 for i in range(b.num_rows)], pa.float64())]
             if more:
-                out.append(pa.array([float(mean[i] - floor[best[i]]) if some[i] else None for i in range(b.num_rows)], pa.float64()))
+                out.append(pa.array([float(share[i] - floor[best[i]]) if some[i] and words[i] >= FIT_WORDS else None
+                                     for i in range(b.num_rows)], pa.float64()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *out], schema.names)
 
     # words may consist of marks alone; a language needs a letter

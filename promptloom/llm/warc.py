@@ -1,8 +1,8 @@
 """WARC archives as a chunked record table.
 
 ``choose_records`` decides which rows of equal payload are stored and which
-revisit them; ``write_archives`` streams every record into gzip members, payload
-pieces of ``CHUNK`` bytes at a time, in files of the shared folder; ``read_chunks``
+revisit them; ``record_chunks`` cuts payloads into rows of at most ``CHUNK`` bytes, and
+``write_archives`` streams these rows into gzip members, in files of the shared folder; ``read_chunks``
 reads them back as rows (record_id, chunk_no, ...) of at most ``CHUNK`` payload
 bytes that carry the SHA-1 of the payload so far, so that the last chunk of a
 record has its full digest and no reader holds a whole record; ``read_records``
@@ -77,23 +77,34 @@ def choose_records(pages: DataFrame, key: str = "page_id", payload: str = "html"
     return rows.join(revisits, ["k", "no_key", "digest"], "left").select("key", "uri", "payload", "refers_to")
 
 
-def _record(key, uri, payload: memoryview, refers_to) -> Iterator[bytes]:
-    """The bytes of one record, payload in pieces."""
-    digest = hashlib.sha1(payload)
-    kind, size = ("response", len(payload)) if refers_to is None else ("revisit", 0)
+def record_chunks(records: DataFrame, chunk: int | None = None) -> DataFrame:
+    """(key, uri, refers_to, bytes, digest, no, last, chunk) of (key, uri, payload, refers_to) rows: the
+    payload of a response in rows of at most ``chunk`` bytes, which lie one after the other; one
+    row without bytes for a revisit or an empty payload.  No task outside the JVM gets more of a
+    record at once."""
+    chunk = chunk or CHUNK
+    body = records.select("key", "uri", "refers_to", F.col("payload").cast("binary").alias("payload"))
+    sized = body.select("*", F.length("payload").cast("bigint").alias("bytes"), F.sha1("payload").alias("digest"))
+    held = F.when(F.col("refers_to").isNull(), F.col("bytes")).otherwise(0)
+    top = F.greatest(F.ceil(held / chunk).cast("bigint") - 1, F.lit(0).cast("bigint"))
+    rows = sized.select("*", held.alias("held"), top.alias("top"), F.explode(F.sequence(F.lit(0).cast("bigint"), top)).alias("no"))
+    piece = F.substr("payload", (F.col("no") * chunk + 1).cast("int"), F.least(F.lit(chunk), F.col("held") - F.col("no") * chunk).cast("int"))
+    return rows.select("key", "uri", "refers_to", "bytes", "digest", "no", (F.col("no") == F.col("top")).alias("last"), piece.alias("chunk"))
+
+
+def _head(key, uri, refers_to, size: int, digest: str) -> bytes:
+    """The header of a record; its payload's digest and size are known beforehand."""
+    kind, held = ("response", size) if refers_to is None else ("revisit", 0)
     uri = " ".join((uri or "").split())
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:record:{'-' if key is None else key}>",
         f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}",
-        f"WARC-Payload-Digest: sha1:{base32(digest.digest())}", f"X-Payload-Length: {len(payload)}",
-        "Content-Type: application/http;msgtype=response", f"Content-Length: {len(HTTP) + size}",
+        f"WARC-Payload-Digest: sha1:{base32(bytes.fromhex(digest))}", f"X-Payload-Length: {size}",
+        "Content-Type: application/http;msgtype=response", f"Content-Length: {len(HTTP) + held}",
     ]
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:record:{refers_to}>", f"WARC-Profile: {PROFILE}"]
-    yield "\r\n".join([*head, "", ""]).encode() + HTTP
-    for i in range(0, size, CHUNK):
-        yield payload[i:i + CHUNK]
-    yield b"\r\n\r\n"
+    return "\r\n".join([*head, "", ""]).encode() + HTTP
 
 
 def open_folder(folder: str):
@@ -102,30 +113,42 @@ def open_folder(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def write_archives(records: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes (key, uri, payload, refers_to) rows; returns the stored table of blocks.
+def write_archives(records: DataFrame, folder: str | None = None, chunk: int | None = None) -> DataFrame:
+    """Writes (key, uri, payload, refers_to) rows, chunk by chunk; returns the stored table of blocks.
 
-    The table is written as Parquet beside the archives, so the archives are written once."""
+    The running SHA-1 of a record's chunks must end at the digest in its header.  The table is
+    written as Parquet beside the archives, so the archives are written once."""
     folder = folder or shared_folder(records.sparkSession, "warc")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_folder(folder)
         out, blocks, at, since, n = None, [], 0, 0, 0
+        gz = sha = None
         name = f"{uuid.uuid4().hex}.warc.gz"
-        for b in slices(batches, "payload"):
-            raw = b.column("payload").cast(pa.binary())
-            rest = (b.column(c).to_pylist() for c in ("key", "uri", "refers_to"))
-            for payload, key, uri, refers_to in zip(raw, *rest):
+
+        def put(data: bytes) -> int:
+            if data:
+                out.write(data)
+            return len(data)
+
+        for b in slices(batches, "chunk"):
+            rest = (b.column(c).to_pylist() for c in ("key", "uri", "refers_to", "bytes", "digest", "no", "last"))
+            for piece, key, uri, refers_to, size, digest, no, last in zip(b.column("chunk"), *rest):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
-                gz = zlib.compressobj(1, zlib.DEFLATED, 31)  # a gzip member for each record
-                for piece in _record(key, uri, memoryview(payload.as_buffer()), refers_to):
-                    if data := gz.compress(piece):
-                        out.write(data)
-                        at += len(data)
-                out.write(data := gz.flush())
-                at, n = at + len(data), n + 1
+                if no == 0:
+                    gz, sha = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha1()    # a gzip member for each record
+                    at += put(gz.compress(_head(key, uri, refers_to, size, digest)))
+                data = memoryview(piece.as_buffer())
+                sha.update(data)
+                at += put(gz.compress(data))
+                if not last:
+                    continue
+                if refers_to is None and sha.hexdigest() != digest:
+                    raise ValueError(f"record {key}: its chunks have digest {sha.hexdigest()}, not {digest}")
+                at += put(gz.compress(b"\r\n\r\n") + gz.flush())
+                n += 1
                 if at - since >= BLOCK:
                     blocks.append((name, since, at - since, n))
                     since, n = at, 0
@@ -137,8 +160,7 @@ def write_archives(records: DataFrame, folder: str | None = None) -> DataFrame:
                                              ["file", "start", "length", "records"])
 
     table = f"{folder}/blocks.parquet"
-    records.select("key", "uri", "payload", "refers_to").mapInArrow(each, BLOCKS) \
-        .withColumn("folder", F.lit(folder)).write.parquet(table)
+    record_chunks(records, chunk).mapInArrow(each, BLOCKS).withColumn("folder", F.lit(folder)).write.parquet(table)
     return records.sparkSession.read.parquet(table)
 
 
@@ -182,8 +204,9 @@ def _id(value: str | None) -> int | None:
     return int(x) if value and (x := value.rpartition(":")[2].strip(">")) != "-" else None
 
 
-def _chunks(stream: _Unzip) -> Iterator[tuple]:
+def _chunks(stream: _Unzip, chunk: int | None = None) -> Iterator[tuple]:
     """The chunk rows of a block's records."""
+    chunk = chunk or CHUNK
     while head := stream.until(b"\r\n\r\n"):
         fields = dict(x.split(": ", 1) for x in head.decode().strip().split("\r\n")[1:])
         left = int(fields["Content-Length"]) - len(stream.until(b"\r\n\r\n"))
@@ -192,7 +215,7 @@ def _chunks(stream: _Unzip) -> Iterator[tuple]:
         about = (kind, _id(fields.get("WARC-Refers-To")), fields["WARC-Target-URI"])
         record, state, no, at = _id(fields["WARC-Record-ID"]), hashlib.sha1(), 0, 0
         while True:
-            data = stream.take(min(CHUNK, left))
+            data = stream.take(min(chunk, left))
             if left and not data:
                 raise ValueError(f"record {record}: the archive ends inside its payload")
             left -= len(data)
@@ -209,10 +232,11 @@ def _chunks(stream: _Unzip) -> Iterator[tuple]:
         stream.take(4)
 
 
-def read_chunks(blocks: DataFrame, with_payload: bool = True) -> DataFrame:
+def read_chunks(blocks: DataFrame, with_payload: bool = True, chunk: int | None = None) -> DataFrame:
     """The chunk rows of all archives listed in ``blocks``; a revisit is one chunk of no bytes.
 
     ``with_payload=False`` leaves ``chunk`` null where only digests are wanted."""
+    chunk = chunk or CHUNK
     names = [x.strip().split()[0] for x in CHUNKS.split(",")]
     schema = pa.schema([("record_id", pa.int64()), ("chunk_no", pa.int64()), ("chunk_start", pa.int64()),
                         ("chunk", pa.binary()), ("sha1_so_far", pa.binary()), ("is_last", pa.bool_()),
@@ -226,10 +250,10 @@ def read_chunks(blocks: DataFrame, with_payload: bool = True) -> DataFrame:
                 with store.open_input_file(f"{root}/{row['file']}") as f:
                     f.seek(row["start"])
                     rows, size = [], 0
-                    for x in _chunks(_Unzip(f, row["length"])):
+                    for x in _chunks(_Unzip(f, row["length"]), chunk):
                         rows.append(x if with_payload else (*x[:3], None, *x[4:]))
                         size += len(x[3])
-                        if size >= 4 * CHUNK or len(rows) >= 10_000:
+                        if size >= 4 * chunk or len(rows) >= 10_000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], names)
                             rows, size = [], 0
                     if rows:
@@ -240,11 +264,15 @@ def read_chunks(blocks: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def read_records(chunks: DataFrame) -> DataFrame:
-    """One row per record, from its last chunk: sizes, digest, type and reference."""
-    return chunks.filter("is_last").select("record_id", "payload_bytes", "payload_digest", "record_type",
-                                           "refers_to", "uri", (F.col("chunk_no") + 1).alias("n_chunks"))
+    """One row per record, from its last chunk: sizes, digest, type and reference.
+
+    Where chunks carry their bytes, a response's last one must end where its payload does."""
+    ends = F.col("chunk").isNull() | (F.col("record_type") == "revisit") | (F.col("chunk_start") + F.length("chunk") == F.col("payload_bytes"))
+    whole = F.when(ends, True).otherwise(F.raise_error(F.concat(F.lit("a record's chunks do not add up: "), F.col("record_id").cast("string"))).cast("boolean"))
+    return chunks.filter("is_last").filter(whole).select("record_id", "payload_bytes", "payload_digest", "record_type",
+                                                         "refers_to", "uri", (F.col("chunk_no") + 1).alias("n_chunks"))
 
 
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
     """Chooses, writes and reads back: one row per page."""
-    return read_records(read_chunks(write_archives(choose_records(pages, **options), folder), with_payload=False))
+    return read_records(read_chunks(write_archives(choose_records(pages, **options), folder)))

@@ -228,6 +228,33 @@ def test_pack(spark):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_packing_query_against_plain_best_fit(spark):
+    """The whole table: every shard's bins cost what the cheapest of the plain packings costs."""
+    from conftest import SF_SMALL
+
+    from promptloom.llm import queries
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+    got = queries.op8_best_fit(spark, SF_SMALL).collect()
+    size, shards = {}, {}
+    for r in got:
+        size[r.doc_id] = size.get(r.doc_id, 0) + r.length
+        if r.length:
+            shards.setdefault(r.shard, []).append(r)
+    assert size == {i: len(t.encode()) + 1 if t else 0 for i, t in texts.items()}
+    for rows in shards.values():
+        lengths = sorted((r.length for r in rows), reverse=True)
+        cost = packing.sequence_cost
+        best = min(sum(map(cost, slow_best_fit(lengths, packing.CAPACITIES, cost, f)[1])) for f in (0.0, 0.5, 0.9, 1.0))
+        bins = {}
+        for r in rows:
+            bins.setdefault(r.bin, []).append(r)
+        assert sum(cost(held[0].capacity) for held in bins.values()) == pytest.approx(best)
+        for held in bins.values():
+            held.sort(key=lambda r: r.offset)
+            assert [r.offset for r in held] == [sum(x.length for x in held[:i]) for i in range(len(held))]
+            assert held[0].capacity == min(c for c in packing.CAPACITIES if c >= sum(x.length for x in held))
+
+
 def test_equal_rows_spread_over_the_shards(spark):
     rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
     got = packing.pack(rows, F.length("text"), shard_pieces=1000)

@@ -163,6 +163,28 @@ def test_chunks_carry_running_digests(spark, monkeypatch):
                     assert last == (no == 5)
 
 
+def test_records_of_several_chunks_come_back_byte_by_byte(spark):
+    """Written from chunk rows and read as chunk rows, both through Spark, of unlike sizes."""
+    rng = __import__("random").Random(3)
+    texts = {i: "".join(rng.choices("abé漢 \r\n", k=n)) for i, n in enumerate([0, 1, 99, 100, 101, 5000, 70_000, 250])}
+    rows = [(i, f"u{i}", t, None) for i, t in texts.items()] + [(50, "v", texts[5], 5), (None, "n", "null id " * 40, None)]
+    df = spark.createDataFrame(rows, "key long, uri string, payload string, refers_to long")
+    cut = warc.record_chunks(df, 100)
+    assert cut.filter("length(chunk) > 100").count() == 0 and cut.filter("key = 5").count() == -(-len(texts[5].encode()) // 100)
+    chunks = warc.read_chunks(warc.write_archives(df, chunk=100), chunk=64)
+    assert chunks.filter("length(chunk) > 64").count() == 0
+    got = {}
+    for r in sorted(chunks.filter("record_id is not null").collect(), key=lambda r: (r.record_id, r.chunk_no)):
+        data, n = got.setdefault(r.record_id, (hashlib.sha1(), bytearray()))
+        assert r.chunk_start == len(n)
+        data.update(bytes(r.chunk))
+        n += bytes(r.chunk)
+        assert bytes(r.sha1_so_far) == data.digest()
+    assert {i: bytes(n).decode() for i, (_, n) in got.items()} == {**texts, 50: ""}
+    ends = {r.record_id: (r.payload_bytes, r.n_chunks) for r in warc.read_records(chunks).collect()}
+    assert ends[6] == (len(texts[6].encode()), -(-len(texts[6].encode()) // 64)) and ends[50] == (len(texts[5].encode()), 1)
+
+
 def test_archives_are_plain_gzip_members(spark):
     df = spark.createDataFrame([(1, "u", "x", None), (2, "v", "y", None)], "key long, uri string, payload string, refers_to long")
     blocks = warc.write_archives(df.coalesce(1)).collect()
@@ -187,7 +209,9 @@ def test_a_damaged_archive_is_noticed(spark):
             out, self.data = self.data[:n], self.data[n:]
             return out
 
-    raw = b"".join(warc._record(1, "u", memoryview(b"payload"), None))
+    raw = warc._head(1, "u", None, 7, hashlib.sha1(b"payload").hexdigest()) + b"payload\r\n\r\n"
+    good = gzip.compress(raw)
+    assert [x[3] for x in warc._chunks(warc._Unzip(Source(good), len(good)))] == [b"payload"]
     for bad in (raw.replace(b"payload", b"pay1oad"), raw[:-8]):
         data = gzip.compress(bad)
         with pytest.raises(ValueError):
