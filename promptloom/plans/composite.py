@@ -7,20 +7,22 @@ explicit writes.  Index "files" are Parquet tables partitioned by shard.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.templates import append_knowledge, apply_templates
 from ..operators.augment import augment, rank_demonstrations
 from ..operators.chosen import chosen_corpus
 from ..operators.embed import embed_text
-from ..operators.filters import (allowed_templates, attach_template, check_targets, keep_original, train_or_all,
+from ..operators.filters import (allowed_templates, attach_template, check_targets, drop_omitted, keep_original, train_or_all,
                                  with_lineage)
 from ..operators.knn import knn_join
 from ..operators.mixture import sample_n
 from ..session import bounded_broadcast, cut_lineage
 from ..functions.names import parse_task_path
+from ..sources.commit import require_committed, write_committed
 from ..sources.discovery import folder_paths, list_folders, read_folders
 from ..sources.io import load_shard, save_shard, write_once
 
@@ -205,6 +207,61 @@ def template_augmented_set(rows: DataFrame, templates: DataFrame, *, mode: str =
     return out.withColumn("inputs", T.truncate_left(T.tokenize("inputs_pretokenized"), max_length))
 
 
+OUTPUT_SUFFIX = {"none": "no_demo", "own": "template_augmented_use_original", "nearest": "template_augmented_use_retrieved"}
+
+
+def template_augmented_folders(spark, root: str, out_root: str, templates: DataFrame, *, schema: str, metadata: DataFrame,
+                               tasks=None, mode: str = "own", train_templates: DataFrame | None = None,
+                               max_length: int = 1024, depth: int = 2, dim: int = 64,
+                               embedder=None) -> tuple[DataFrame, DataFrame]:
+    """D8 from stored folders to a stored set: (its rows, the log of the run that wrote them), both read back.
+
+    The folders of ``tasks`` (None: all) below ``root`` are found, those whose name contains one of their
+    task's ``omit_templates`` are left out (P6), task and template are parsed from the path (P2), and the
+    rows, read in one scan, get their template (J8 or J5, F6) and tokens (F7).  They are written as
+    ``out_root/rows/output_name=../basename=../split=..``; the log has a row with the folders found and left out,
+    the rows, and those that reach ``max_length`` (A6, counted while they are written).
+
+    ``metadata`` is (task, omit_templates): a task it lacks fails, as does a template that ``templates`` lacks.
+    A set that is whole is not written again.  Without a folder the set has no rows and the log zeros."""
+    found = list_folders(spark, root, tasks, depth=depth, exact=tasks is not None).select("path", "basename")
+    plain = F.regexp_replace("path", "(^|/)[^/=]+=", "$1")
+    found = found.withColumn("_k", parse_task_path(plain)).withColumn("_dir", F.element_at(F.split(plain, "/"), -2))
+    suffix = F.lit(f"__{root.rstrip('/').rsplit('/', 1)[-1]}__{OUTPUT_SUFFIX[mode]}")
+    found = found.select("path", "basename", F.col("_k.task").alias("task"), F.col("_k.template").alias("template_name"),
+                         F.concat(F.array_join(F.slice(F.split("_dir", "__"), 1, 2), "__"), suffix).alias("output_name"))
+    known = metadata.select("task", "omit_templates").withColumn("_known", F.lit(True))
+    found = found.join(bounded_broadcast(known), "task", "left").where(
+        F.col("_known").isNotNull() | F.raise_error(F.concat(F.lit("unseen task: "), "task")).cast("boolean"))
+    found = found.drop("_known", "omit_templates").distinct()
+
+    def fill(folder: str) -> None:
+        folders = cut_lineage(found)
+        kept = cut_lineage(drop_omitted(folders, metadata))
+        rows = read_folders(spark, folder_paths(kept), schema).join(bounded_broadcast(kept), "path").drop("path")
+        out = template_augmented_set(rows, templates, mode=mode, train_templates=train_templates,
+                                     max_length=max_length, dim=dim, embedder=embedder)
+        seen = Observation("template set")
+        out = out.observe(seen, F.count(F.lit(1)).alias("n_rows"),
+                          F.count_if(F.size("inputs") == max_length).alias("n_exceed_max_length"))
+        out.write.partitionBy("output_name", "basename", "split").parquet(f"{folder}/rows")
+        n, left = folders.count(), kept.count()
+        log = (n, n - left, seen.get.get("n_rows", 0), seen.get.get("n_exceed_max_length", 0))
+        spark.createDataFrame([log], "n_folders bigint, n_omitted bigint, n_rows bigint, n_exceed_max_length bigint") \
+            .write.parquet(f"{folder}/log")
+
+    write_committed(spark, out_root, fill)
+    where = require_committed(spark, out_root)
+    return spark.read.schema(template_schema(schema)).parquet(f"{where}/rows"), spark.read.parquet(f"{where}/log")
+
+
+def template_schema(schema: str) -> StructType:
+    """The columns of a stored template-augmented set made of rows of ``schema``."""
+    return StructType.fromDDL(
+        schema + ", task string, template_name string, template_str string, chosen_examples struct<task_full_name: string, "
+        "template_name: string, template_str: string>, inputs array<int>, output_name string, basename string, split string")
+
+
 def knowledge_set(rows: DataFrame, templates: DataFrame, *, knowledge_col: str = "knowledge",
                   knowledge_types=("lexicon", "causal"), on=("dataset_name",), fields=None,
                   max_source_length: int = 1024, max_target_length: int = 256) -> DataFrame:

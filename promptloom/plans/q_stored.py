@@ -23,7 +23,7 @@ from ..sources.discovery import list_folders, read_folders
 from ..sources.tables import prompted_documents, read_table, shard_vectors
 from .catalog import register
 from ..streaming.online import folder_version, online_augment, prompt_stream
-from .composite import build_index, index_folders, save_index
+from .composite import build_index, index_folders, save_index, template_augmented_folders
 from .q_evaluate import _PAIRS_SQL, CHOICES, WS, _logp, _lp_sql, _pairs
 from .q_mixture import BLACKLIST, MAX_EXAMPLES, _mixture_sql, _registry, _templates
 from .q_retrieval import K_RETRIEVE, KNN_SQL, SHARDS_SQL, _BM25_SQL, _augment_sql, _augment_tail, _neighbours, _dist, _round, _TOKS, embed_sql
@@ -334,3 +334,43 @@ def retrieve_stream_q(spark, sf):
     out = spark.read.parquet(f"{root}/out")
     return out.select(F.col("row_id").alias("item_id"), F.get("chosen_examples", F.lit(0))["idx"].alias("chosen_idx"),
                       F.md5("inputs_pretokenized").alias("prompt_md5"))
+
+
+# ------------------------------------------------------- template-augmented folders
+_SET_SQL = f"""
+WITH d AS (SELECT *, {_TASK} AS task, {_SPLIT} AS split FROM documents),
+x AS (SELECT doc_id, task, lang AS template_name, split,
+             'Write ' || lang || ' prose for ' || task || '.' || chr(10) || chr(10) || text AS x
+      FROM d WHERE NOT (lang = 'fr' AND starts_with(source, 'src1'))),
+n AS (SELECT *, least(len(list_filter(string_split_regex(x, '{WS}'), lambda s: length(s) > 0)), 64) AS n FROM x)"""
+
+
+def _template_set(spark, sf):
+    root = _folders(spark, sf)
+    c = F.when(F.col("cfg").isin("None", ""), None).otherwise(F.col("cfg"))
+    t = _docs(spark, sf).select(F.concat_ws("_", "source", c).alias("task"), F.col("lang").alias("template_name")).distinct()
+    templates = t.withColumn("template_str", F.concat(F.lit("Write "), "template_name", F.lit(" prose for "), "task", F.lit(".")))
+    omit = F.when(F.startswith("task", F.lit("src1")), F.array(F.lit("_fr"))).otherwise(F.array().cast("array<string>"))
+    meta = t.select("task").distinct().withColumn("omit_templates", omit)
+    return template_augmented_folders(spark, root, _root(spark, "template-set"), templates, schema=_FOLDER_SCHEMA,
+                                      metadata=meta, max_length=64)
+
+
+@register("template_augmented_folders", f"""{_SET_SQL}
+SELECT doc_id, task, template_name, split, md5(x) AS input_md5, CAST(n AS INTEGER) AS n_inputs FROM n
+""")
+def template_augmented_folders_q(spark, sf):
+    """Stored folders, some omitted, to a stored template-augmented set that is read back."""
+    out = _template_set(spark, sf)[0]
+    return out.select("doc_id", "task", "template_name", "split", F.md5("inputs_pretokenized").alias("input_md5"),
+                      F.size("inputs").alias("n_inputs"))
+
+
+@register("template_augmented_log", f"""{_SET_SQL},
+f AS (SELECT count(DISTINCT task || '_' || lang) AS n_folders,
+             count(DISTINCT task || '_' || lang) FILTER (lang = 'fr' AND starts_with(source, 'src1')) AS n_omitted FROM d)
+SELECT n_folders, n_omitted, count(*) AS n_rows, count(*) FILTER (n = 64) AS n_exceed_max_length FROM n, f GROUP BY ALL
+""")
+def template_augmented_log_q(spark, sf):
+    """A6 of D8: folders found and left out, rows, and rows at the length limit, of that one run."""
+    return _template_set(spark, sf)[1]

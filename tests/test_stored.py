@@ -334,3 +334,59 @@ def test_summary_level_rouge(spark):
     assert got[1] == pytest.approx(2 * 0.8 * 0.4 / 1.2) and got[2] == 0.0
     one = spark.createDataFrame([(1, "a b c d", "a c d e")], "g int, target string, prediction string")
     assert M.rouge_l_sum(one, []).first()[0] == pytest.approx(M.rouge_l(one, []).first()[0])
+
+
+# ------------------------------------------------------- template-augmented folders
+SET_SCHEMA = "id bigint, inputs_pretokenized string, targets_pretokenized string"
+
+
+def _stored_set(spark, tmp_path, rows):
+    root = str(tmp_path / "p3")
+    for ds, name, split, i, text in rows:
+        spark.createDataFrame([(i, text, "y")], SET_SCHEMA).write.mode("append").parquet(f"{root}/{ds}/{name}/split={split}")
+    return root
+
+
+def test_template_set_of_folders(spark, tmp_path):
+    from promptloom.plans.composite import template_augmented_folders
+    root = _stored_set(spark, tmp_path, [
+        ("anli__none__k-1", "anli_ask_r1_score_eval", "train", 1, "a b"), ("anli__none__k-1", "anli_ask_r2", "validation", 2, "c"),
+        ("anli__none__k-1", "anli_left_out", "train", 3, "d"), ("glue__mrpc__k-1", "glue_mrpc_same", "train", 4, None)])
+    tpl = spark.createDataFrame([("anli", "ask", "A ?"), ("glue_mrpc", "same", "S")], "task string, template_name string, template_str string")
+    meta = spark.createDataFrame([("anli", ["left"]), ("glue_mrpc", None)], "task string, omit_templates array<string>")
+    out, log = template_augmented_folders(spark, root, str(tmp_path / "own"), tpl, schema=SET_SCHEMA, metadata=meta, max_length=4)
+    got = {r["id"]: r for r in out.collect()}
+    assert set(got) == {1, 2, 4}
+    assert got[1]["inputs_pretokenized"] == "A ?\n\na b" and len(got[1]["inputs"]) == 4
+    assert got[1]["chosen_examples"].asDict() == {"task_full_name": "anli", "template_name": "ask", "template_str": "A ?"}
+    assert (got[2]["basename"], got[2]["split"]) == ("anli_ask_r2", "validation")
+    assert got[4]["output_name"] == "glue__mrpc__p3__template_augmented_use_original" and got[4]["inputs_pretokenized"] is None
+    assert log.collect() == [(4, 1, 3, 1)]
+    # a whole set is not written again, whatever the folders hold by then
+    again, log = template_augmented_folders(spark, str(tmp_path / "p3"), str(tmp_path / "own"), tpl, schema=SET_SCHEMA,
+                                            metadata=meta, tasks=["anli"])
+    assert again.count() == 3 and log.first()["n_folders"] == 4
+    # inputs as they are
+    out, log = template_augmented_folders(spark, root, str(tmp_path / "none"), tpl, schema=SET_SCHEMA, metadata=meta,
+                                          tasks=["anli"], mode="none")
+    assert sorted((r["id"], r["inputs_pretokenized"], r["chosen_examples"]) for r in out.collect()) == [(1, "a b", None), (2, "c", None)]
+    assert log.collect() == [(3, 1, 2, 0)]
+    # the nearest training template
+    train = spark.createDataFrame([("t", "x", "S S"), ("t", "y", "other words")], tpl.schema)
+    out, _ = template_augmented_folders(spark, root, str(tmp_path / "near"), tpl, schema=SET_SCHEMA, metadata=meta,
+                                        tasks=["glue_mrpc"], mode="nearest", train_templates=train)
+    assert [r["chosen_examples"]["template_name"] for r in out.collect()] == ["x"]
+
+
+def test_template_set_fails_or_is_empty(spark, tmp_path):
+    from promptloom.plans.composite import template_augmented_folders
+    root = _stored_set(spark, tmp_path, [("a__none__k", "a_t", "train", 1, "x")])
+    tpl = spark.createDataFrame([("a", "u", "A")], "task string, template_name string, template_str string")
+    meta = spark.createDataFrame([("a", [])], "task string, omit_templates array<string>")
+    with pytest.raises(Exception, match="no template: a/t"):
+        template_augmented_folders(spark, root, str(tmp_path / "o1"), tpl, schema=SET_SCHEMA, metadata=meta)
+    with pytest.raises(Exception, match="unseen task: a"):
+        template_augmented_folders(spark, root, str(tmp_path / "o2"), tpl, schema=SET_SCHEMA, metadata=meta.where("task = 'b'"))
+    assert not (tmp_path / "o1").exists() and not (tmp_path / "o2").exists()
+    out, log = template_augmented_folders(spark, root, str(tmp_path / "o3"), tpl, schema=SET_SCHEMA, metadata=meta, tasks=["b"])
+    assert out.count() == 0 and log.collect() == [(0, 0, 0, 0)]
