@@ -104,3 +104,37 @@ def test_pruning_is_decided_from_plan_nodes(spark, tmp_path, vectors):
         assert _prune_buckets(spark.read.parquet(path).join(df.select("id"), "id"), 8) == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_tiled_lists_are_final(spark, vectors):
+    """The corpus streams past blocks of queries: no cogroup of tiles, no merge of partial lists by query."""
+    df, *_ = vectors
+    r = knn_join(df, df, 3, query_key="id", corpus_key="id", shard_col="shard", strategy="tiled", tile_queries=100)
+    p = r._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in p and "Window [row_number" not in p, p
+
+
+def test_as_many_blocks_as_cores_whatever_the_size():
+    from promptloom.operators.knn import _tiles
+    assert [_tiles(n, 1 << 17, 12) for n in (100, 50_000, 500_000, 1_500_000)] == [1, 12, 12, 12]
+    assert _tiles(3_000_000, 1 << 17, 12) == 23
+
+
+@pytest.mark.parametrize("strategy", ["corpus", "broadcast", "tiled"])
+def test_large_groups_of_copies(spark, strategy):
+    rows = [(i, [1.0, float(i % 2)]) for i in range(400)] + [(i, [1e6 + i, 1e6]) for i in range(400, 420)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    X = np.array([x for _, x in rows], np.float32).astype(float)
+    r = knn_join(df, df, 4, query_key="id", corpus_key="id", exclude_self=True, strategy=strategy, tile_queries=50)
+    got = {(a, str(b), c, d, round(e, 9)) for a, b, c, d, e in r.select("query_id", "shard", "rank", "corpus_id", "score").collect()}
+    ids = np.arange(420)
+    assert got == brute(X, ids, np.zeros(420, int), 4, True)
+
+
+def test_copies_that_no_list_can_reach_are_left_out(spark):
+    from promptloom.operators.knn import _distinct_enough, _spread_equals
+    rows = [(i % 50, "s", [0.0, 1.0]) for i in range(100)] + [(7, "t", [0.0, 1.0])]
+    c = spark.createDataFrame(rows, "corpus_id long, shard string, vec array<float>")
+    assert _distinct_enough(c, 2).count() == 3 * 2 + 1
+    left = _spread_equals(np.array([r[2] for r in rows], np.float32), np.array([r[0] for r in rows]), np.array([r[1] for r in rows], object), 2)
+    assert len(left) == 7
