@@ -13,7 +13,8 @@ Plan: document tokens are exploded and narrowed to the query vocabulary by
 a semi join before the ``(doc, term, tf)`` aggregation.  When the query side is small (its term rows are
 counted and checked against ``max_broadcast_rows``) it is broadcast: the
 postings are probed in place, so a term present in a third of all documents
-never lands in one task.  Otherwise the join is a shuffle join on ``term``
+never lands in one task, and the postings lie by document, so that the scores of all
+(query, document) pairs are summed where they are made.  Otherwise the join is a shuffle join on ``term``
 whose hot terms (more than ``task_postings`` documents) are salted across
 tasks, with AQE's skew split as a second line.  Pair scores are summed with
 a map-side partial aggregate and ranked with ``row_number() <= k`` (partial
@@ -110,7 +111,10 @@ def bm25_join(queries: DataFrame, corpus: DataFrame, k: int, *, query_key: str,
     qw = (qterms.join(df_terms, "term")
           .select("query_id", "term", (F.col("qtf") * idf).alias("w")))
     if small:
-        pairs = post.join(F.broadcast(qw), "term")
+        # a document's postings in one place, before queries multiply them: its scores are summed there,
+        # and only the k best a query and task are shuffled.  A fixed number: pairs are many times the bytes seen
+        n = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = post.repartition(n, "doc_id").join(F.broadcast(qw), "term")
     else:
         pairs = _salted_term_join(post, qw, df_terms, task_postings)
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl else 1.0))

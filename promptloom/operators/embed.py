@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from .bm25 import lexical_tokens
 
 TOP_BIT = 1 << 31
+PIECE_TOKENS = 1 << 18
 
 
 def token_numbers(text_col, max_tokens: int | None = None) -> Column:
@@ -32,15 +33,23 @@ def token_numbers(text_col, max_tokens: int | None = None) -> Column:
     return F.transform(toks, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"))
 
 
-def dense_vectors(numbers: pa.Array, dim: int) -> pa.Array:
-    """Normalised signed bucket counts of every row (null or empty: zeros)."""
+def dense_vectors(numbers: pa.Array, dim: int, most: int = PIECE_TOKENS) -> pa.Array:
+    """Normalised signed bucket counts of every row (null or empty: zeros), at most about ``most``
+    tokens (a row at least) at a time."""
     n = len(numbers)
-    flat = numbers.flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(n), np.asarray(numbers.value_lengths().fill_null(0)))
-    v = np.bincount(row * dim + flat % dim, np.where(flat >= TOP_BIT, 1.0, -1.0), n * dim)
-    v = v.astype(float).reshape(n, dim)      # of no tokens at all it counts integers
-    norm = np.sqrt((v * v).sum(1, keepdims=True))
-    out = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype(np.float32)
+    lengths = np.asarray(numbers.value_lengths().fill_null(0), dtype=np.int64)
+    out = np.zeros((n, dim), np.float32)
+    ends = np.cumsum(lengths)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        flat = numbers.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False)
+        at = np.repeat(np.arange(hi - lo) * dim, lengths[lo:hi]) + flat % dim
+        v = np.bincount(at, np.where(flat >= TOP_BIT, 1.0, -1.0), (hi - lo) * dim)
+        v = v.astype(float).reshape(hi - lo, dim)      # of no tokens at all it counts integers
+        norm = np.sqrt((v * v).sum(1, keepdims=True))
+        out[lo:hi] = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+        lo = hi
     return pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(out.ravel()))
 
 

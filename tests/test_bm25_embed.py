@@ -92,3 +92,23 @@ def test_null_texts_are_no_documents_on_either_way(spark):
     assert got[0] == got[1] == got[2]
     plain = bm25_join(q, d.where("text IS NOT NULL"), 3, query_key="item_id", corpus_key="doc_id").collect()
     assert got[0] == sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in plain)
+
+
+def test_scores_are_summed_where_the_postings_lie(spark):
+    """What is shuffled after the join with the queries is k rows a query and task, not every (query, document) pair."""
+    q = spark.createDataFrame(list(enumerate(QUERIES)), "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string")
+    p = bm25_join(q, d, 2, query_key="item_id", corpus_key="doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in p and not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", p), p
+
+
+def test_embedding_of_a_batch_in_bounded_pieces():
+    import pyarrow as pa
+
+    from promptloom.operators import embed
+    rng = np.random.default_rng(3)
+    rows = [[int(x) for x in rng.integers(0, 1 << 32, n)] for n in (3, 0, 500, 1, 40)] + [None]
+    numbers = pa.array(rows, pa.list_(pa.int64()))
+    whole = embed.dense_vectors(numbers, 8).to_pylist()
+    assert len(whole) == 6 and embed.dense_vectors(numbers, 8, most=64).to_pylist() == whole
+    assert embed.dense_vectors(numbers.slice(1, 3), 8, most=2).to_pylist() == whole[1:4]
