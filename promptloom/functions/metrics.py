@@ -203,23 +203,33 @@ def ngram_items(tokens, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def _ngram_rows(df: DataFrame, keys, tokens: str, ns) -> DataFrame:
-    """One row per (keys, n, n-gram) for every order in ``ns`` -- a single explode."""
-    def tag(n):  # a one-argument lambda: two arguments would mean (element, index)
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("item"))
-    arr = F.flatten(F.array(*[F.transform(ngram_items(tokens, n), tag(n)) for n in ns]))
-    # explode_outer keeps Catalyst from pushing an inferred size(arr) > 0
-    # (the whole n-gram build) below joins and exchanges into the scan
-    return (df.select(*keys, F.explode_outer(arr).alias("_x")).where(F.col("_x").isNotNull())
-            .select(*keys, "_x.n", "_x.item"))
+PART_BYTES = 2 << 20
+
+
+def _ngram_overlap(base: DataFrame, keys, id_col: str, ns) -> DataFrame:
+    """(keys, n, common): the n-grams that ``h`` and ``r`` of a key have in common, each as often as both have it.
+
+    Tokens are dealt by ``id_col``, one of the keys, ``PART_BYTES`` of them a part, before they multiply; n-grams are made, counted and
+    compared there, and none is shuffled.  A null key has nothing in common."""
+    size = base.agg(F.sum(F.octet_length(F.array_join("h", " ")) + F.octet_length(F.array_join("r", " ")))).first()[0] or 0
+    least = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = base.dropna(subset=keys).repartition(max(least, -(-size // PART_BYTES)), id_col)
+
+    def tag(n, side):
+        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("item"), F.lit(side).alias("side"))
+    arr = F.flatten(F.array(*[F.transform(ngram_items(c, n), tag(n, i)) for n in ns for i, c in enumerate(("h", "r"))]))
+    x = dealt.select(*keys, F.explode_outer(arr).alias("_x")).where(F.col("_x").isNotNull()).select(*keys, "_x.*")
+    both = x.groupBy(*keys, "n", "item").agg(F.count_if(F.col("side") == 0).alias("_a"), F.count_if(F.col("side") == 1).alias("_b"))
+    both = both.where((F.col("_a") > 0) & (F.col("_b") > 0))
+    return both.groupBy(*keys, "n").agg(F.sum(F.least("_a", "_b")).alias("common"))
 
 
 def bleu(df, group_cols, id_col: str, target="target", prediction="prediction",
          max_n: int = 4) -> DataFrame:
     """Corpus BLEU (whitespace tokens, no smoothing, x100).
 
-    All n-gram orders go through one explode, one count per side and one
-    overlap join; lengths and overlaps then meet in a union + aggregate."""
+    All n-gram orders go through one explode and one count where a pair's tokens
+    lie; lengths and overlaps then meet in a union + aggregate."""
     g = _g(group_cols)
     if not g:  # one corpus: a constant group key
         df, g = df.withColumn("_corpus", F.lit(1)), ["_corpus"]
@@ -227,7 +237,7 @@ def bleu(df, group_cols, id_col: str, target="target", prediction="prediction",
     base = df.select(*g, id_col, whitespace_tokens(prediction).alias("h"),
                      whitespace_tokens(target).alias("r"))
     keys = g + [id_col]
-    common = _bag_overlap(_ngram_rows(base, keys, "h", ns), _ngram_rows(base, keys, "r", ns), keys + ["n"])
+    common = _ngram_overlap(base, keys, id_col, ns)
     # per-pair lengths and per-order overlaps meet in one union + aggregate
     zero = F.lit(0).cast("long")
     lens = base.select(*g, F.size("h").cast("long").alias("hyp_len"), F.size("r").cast("long").alias("ref_len"),
@@ -262,7 +272,7 @@ def rouge_n(df, group_cols, id_col: str, target="target", prediction="prediction
     ns = list(ns)
     base = df.select(*g, id_col, rouge_tokens(prediction).alias("h"), rouge_tokens(target).alias("r"))
     keys = g + [id_col]
-    common = _bag_overlap(_ngram_rows(base, keys, "h", ns), _ngram_rows(base, keys, "r", ns), keys + ["n"])
+    common = _ngram_overlap(base, keys, id_col, ns)
     c = common.groupBy(*keys).pivot("n", ns).agg(F.first("common"))
     per = base.join(c, keys, "left")
     cols = []
