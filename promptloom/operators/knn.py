@@ -518,7 +518,10 @@ def knn_join(queries: DataFrame, corpus: DataFrame | HeldCorpus, k: int, *,
             partial = _partial_broadcast(q, c, k, exclude_self, collected, thresholds)
             ranked = _ranked(partial, k)
         else:
-            ranked = _tiled(q, c, k, exclude_self, q.count(), tile_queries, tile_corpus)
+            nq, ids = q.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
+            ranked = _tiled(q, c, k, exclude_self, nq, tile_queries, tile_corpus)
+            if ids < nq:        # rows of one id share a list
+                ranked = _ranked(ranked.drop("rank"), k)
     return ranked.select("query_id", "shard", shard_ord.alias("shard_ord"),
                          F.col("rank").cast("int").alias("rank"), "corpus_id", "score")
 

@@ -5,13 +5,16 @@ stored and joined by ``encode`` and ``decode``, so equal texts have equal ids in
 ids give their tokens back, which hashed ids cannot.  Ids 0, 1 and 2 are padding, end and the
 unknown token.
 
-Tokens are exploded, joined and gathered again per row.  A vocabulary within the bounds of
-``bounded_broadcast`` is probed in place; of a larger one the most frequent tokens still are
-(they are the ones that would meet in one task), and the rest goes through a shuffle.
+The most frequent entries, ``HOT_TOKENS`` and ``HOT_BYTES`` at most, are shipped to every task, which looks
+tokens up batch by batch where the rows lie: no token is exploded or shuffled.  Only the tokens of a
+larger vocabulary's rest are: they go through a join and back into the places they left.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,8 @@ from .ordered import positions
 PAD, EOS, UNKNOWN = 0, 1, 2
 FIRST = 3
 UNKNOWN_TOKEN = "<unk>"
-HOT_TOKENS = 100_000
+HOT_TOKENS = 200_000
+HOT_BYTES = 16 << 20
 
 
 def build_vocab(df: DataFrame, col: str, *, min_count: int = 1, max_size: int | None = None, tokens=whitespace_tokens) -> DataFrame:
@@ -33,35 +37,89 @@ def build_vocab(df: DataFrame, col: str, *, min_count: int = 1, max_size: int |
     return ranked if max_size is None else ranked.where(F.col("id") < FIRST + max_size)
 
 
-def _looked_up(rows: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    vocab = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
-    hot = vocab.where(F.col("_id") < FIRST + HOT_TOKENS)
-    cold = vocab.where(F.col("_id") >= FIRST + HOT_TOKENS)
-    if cold.isEmpty():
-        return rows.join(bounded_broadcast(vocab), key, "left")
-    by_map = rows.join(F.broadcast(hot), key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(bounded_broadcast(cold), key, "left")
-    return by_map.select(*rest.columns).unionByName(rest)
+def _hot(vocab: DataFrame) -> tuple[pa.Table, int | None]:
+    """The entries of smallest id within the bounds, and the first id beyond them (None: these are all)."""
+    t = vocab.select("id", "token").where(F.col("token").isNotNull()).orderBy("id").limit(HOT_TOKENS + 1).toArrow().combine_chunks()
+    sizes = np.cumsum(np.asarray(pc.binary_length(t["token"]), dtype=np.int64))
+    n = min(HOT_TOKENS, int(np.searchsorted(sizes, HOT_BYTES, side="right")))
+    return t.slice(0, n), None if n == t.num_rows else t["id"][n].as_py()
+
+
+def _one(a: pa.ChunkedArray | pa.Array) -> pa.Array:
+    return a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
+
+
+def _lists(a: pa.Array, values: pa.Array) -> pa.Array:
+    """``values`` in place of the list array's own; a null list is an empty one."""
+    ends = np.cumsum(np.asarray(a.value_lengths().fill_null(0)), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), values)
+
+
+def _replaced(df: DataFrame, vocab: DataFrame, key: str, given: Column, source: str, target: str, kind: str, unknown) -> DataFrame:
+    """df plus ``_all``: for every item of the array ``given`` (entries' ``source``) its ``target``, or ``unknown``."""
+    hot, rest = _hot(vocab)
+    given = F.when(F.col(key).isNotNull(), given)        # a row without a key has no items
+    bc = df.sparkSession.sparkContext.broadcast((_one(hot[source]), _one(hot[target])))
+
+    @F.arrow_udf(f"array<{kind}>")
+    def look_up(items: pa.Array) -> pa.Array:
+        known, values = bc.value
+        return _lists(items, values.take(pc.index_in(items.flatten().cast(known.type), value_set=known)))
+
+    @F.arrow_udf(f"array<{kind}>")
+    def fill(found: pa.Array, late: pa.Array) -> pa.Array:
+        flat = found.flatten()
+        return _lists(found, pc.replace_with_mask(flat, pc.is_null(flat), late.flatten().cast(flat.type)))
+
+    def known(items):
+        return F.transform(items, lambda x: F.coalesce(x, F.lit(unknown).cast(kind)))
+
+    if rest is None:
+        return df.withColumn("_all", known(look_up(given)))
+    df = df.withColumn("_given", given).withColumn("_found", look_up("_given"))
+    # the items left open, in order, by row
+    left = F.filter(F.transform(F.arrays_zip(F.col("_given").alias("g"), F.col("_found").alias("f")),
+                                lambda x, i: F.struct(i.alias("_pos"), x["g"].alias("_item"), x["f"].isNull().alias("_open"))), lambda x: x["_open"])
+    late = df.select(key, F.explode_outer(left).alias("_x")).where(F.col("_x").isNotNull()).select(key, "_x._pos", "_x._item")
+    cold = vocab.where(F.col("id") >= rest).select(F.col(source).alias("_item"), F.col(target).alias("_value"))
+    late = late.join(bounded_broadcast(cold), "_item", "left").withColumn("_value", F.coalesce("_value", F.lit(unknown).cast(kind)))
+    late = late.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_value"))).alias("_late"))
+    late = late.select(key, F.transform("_late", lambda x: x["_value"]).alias("_late"))
+    out = df.join(late, key, "left").withColumn("_all", fill("_found", F.coalesce("_late", F.array().cast(f"array<{kind}>"))))
+    return out.drop("_given", "_found", "_late")
+
+
+def _repeats(df: DataFrame, key: str) -> bool:
+    return not df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).isEmpty()
+
+
+def _gathered(df: DataFrame, vocab: DataFrame, key: str, items: DataFrame, source: str, target: str, kind: str, unknown) -> DataFrame:
+    """``_replaced`` where keys repeat: rows of one key share the items (key, _pos, _item) of all of them."""
+    known = vocab.select(F.col(source).alias("_item"), F.col(target).alias("_value"))
+    t = items.join(bounded_broadcast(known), "_item", "left").withColumn("_value", F.coalesce("_value", F.lit(unknown)).cast(kind))
+    one = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_value"))).alias("_all"))
+    one = one.select(key, F.transform("_all", lambda x: x["_value"]).alias("_all"))
+    return df.join(one, key, "left").withColumn("_all", F.coalesce("_all", F.array().cast(f"array<{kind}>")))
 
 
 def encode(df: DataFrame, vocab: DataFrame, *, key: str, col: str, out: str = "ids", tokens=whitespace_tokens,
            eos: bool = False) -> DataFrame:
-    """df plus ``out``, the ids of the text's tokens; ``key`` is unique.  A null text has no ids."""
-    t = df.select(F.col(key), F.posexplode(tokens(col)).alias("_pos", "_token"))
-    t = _looked_up(t, vocab, "_token").withColumn("_id", F.coalesce("_id", F.lit(UNKNOWN)).cast("long"))
-    return _gathered(df, t, key, "_id", out, F.array(F.lit(EOS).cast("long")) if eos else None)
+    """df plus ``out``, the ids of the text's tokens; rows of one ``key`` share theirs.  A null text has no ids."""
+    how = "token", "id", "bigint", UNKNOWN
+    if _repeats(df, key):
+        found = _gathered(df, vocab, key, df.select(key, F.posexplode(tokens(col)).alias("_pos", "_item")), *how)
+    else:
+        found = _replaced(df, vocab, key, tokens(col), *how)
+    ids = F.concat("_all", F.array(F.lit(EOS).cast("long"))) if eos else F.col("_all")
+    return found.withColumn(out, ids).drop("_all")
 
 
 def decode(df: DataFrame, vocab: DataFrame, *, key: str, ids: str = "ids", out: str = "tokens") -> DataFrame:
     """df plus ``out``, the tokens of the ids; padding and end go, an id without a token is the unknown one."""
-    t = df.select(F.col(key), F.posexplode(ids).alias("_pos", "_id")).where(~F.col("_id").isin(PAD, EOS))
-    t = _looked_up(t, vocab, "_id").withColumn("_token", F.coalesce("_token", F.lit(UNKNOWN_TOKEN)))
-    return _gathered(df, t, key, "_token", out, None)
-
-
-def _gathered(df: DataFrame, t: DataFrame, key: str, value: str, out: str, tail: Column | None) -> DataFrame:
-    kind = t.schema[value].dataType.simpleString()
-    one = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", value))).alias("_all"))
-    one = one.select(key, F.transform("_all", lambda x: x[value]).alias("_all"))
-    found = F.coalesce("_all", F.array().cast(f"array<{kind}>"))
-    return df.join(one, key, "left").withColumn(out, F.concat(found, tail) if tail is not None else found).drop("_all")
+    how = "id", "token", "string", UNKNOWN_TOKEN
+    if _repeats(df, key):
+        items = df.select(key, F.posexplode(ids).alias("_pos", "_item")).where(~F.col("_item").isin(PAD, EOS))
+        found = _gathered(df, vocab, key, items, *how)
+    else:
+        found = _replaced(df, vocab, key, F.filter(ids, lambda i: ~i.isin(PAD, EOS)), *how)
+    return found.withColumn(out, F.col("_all")).drop("_all")

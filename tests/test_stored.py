@@ -195,6 +195,14 @@ def test_vector_index_stores_no_pairs_of_query_and_part(spark):
     assert "CoGroup" not in p and "Window [row_number" not in p, p
 
 
+def test_rows_of_one_query_id_share_a_list(spark):
+    v = spark.createDataFrame([(i, [float(i), 0.0]) for i in (1, 2, 3, 4, 5)] + [(1, [1.0, 0.0])], "id long, embedding array<float>")
+    r = vector_index.indexed_join(v, v, 5, query_key="id", corpus_key="id", exclude_self=True).where("query_id = 1").orderBy("rank").collect()
+    assert [x.corpus_id for x in r] == [2, 2, 2, 2, 3]
+    t = knn_join(v, v, 3, query_key="id", corpus_key="id", exclude_self=True, strategy="tiled").where("query_id = 1").orderBy("rank").collect()
+    assert [x.corpus_id for x in t] == [2, 2, 3]
+
+
 # ---- drawing in proportion
 
 def plain_draw(examples, mix, n, seed=42):
@@ -272,6 +280,18 @@ def test_every_document_comes_back(spark):
     assert out.count() == df.count()
 
 
+def test_tokens_are_looked_up_where_they_lie(spark, monkeypatch):
+    """No token is shuffled while the vocabulary is within the bounds; rows of one key share their ids."""
+    df = spark.createDataFrame([(1, "a b a"), (2, None), (None, "a")], "id long, text string")
+    v = vocab.build_vocab(df, "text")
+    ids = vocab.encode(df, v, key="id", col="text")
+    p = ids._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in p and "Generate" not in p, p
+    assert {r.id: r.ids for r in ids.collect()} == {1: [3, 4, 3], 2: [], None: []}
+    twice = df.unionByName(spark.createDataFrame([(1, "b")], df.schema))
+    assert [r.ids for r in vocab.encode(twice, v, key="id", col="text").where("id = 1").collect()] == [[3, 4, 4, 3]] * 2
+
+
 # ---- counters
 
 def test_log_of_the_run_itself(spark):
