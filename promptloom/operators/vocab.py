@@ -25,8 +25,8 @@ from .ordered import positions
 PAD, EOS, UNKNOWN = 0, 1, 2
 FIRST = 3
 UNKNOWN_TOKEN = "<unk>"
-HOT_TOKENS = 200_000
-HOT_BYTES = 16 << 20
+HOT_TOKENS = 1_000_000
+HOT_BYTES = 32 << 20
 
 
 def build_vocab(df: DataFrame, col: str, *, min_count: int = 1, max_size: int | None = None, tokens=whitespace_tokens) -> DataFrame:
