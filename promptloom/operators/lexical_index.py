@@ -5,21 +5,20 @@ Layout (``build``; one committed folder, read back by ``search`` in any session)
 * ``postings/shard=...``: one row per (shard, block, term) with the documents of the block that
   hold the term, their counts and lengths, and ``bound``, the largest term weight
   ``tf / (tf + norm)`` among them.  A block is about ``block_docs`` documents of one shard
-  that follow each other in length, so their norms are alike and the bound is close;
+  that follow each other in length, so their norms are alike and the bound is close.  A block
+  is made and written by one task, and its rows follow each other in a file;
 * ``terms``: per term its document frequency and the largest bound of any block;
 * ``stats``: number of documents, mean length, the parameters.
 
-Search, all of it joins and aggregates over equal keys:
+Search, all of it joins and aggregates over equal keys.  A small query side is broadcast and the
+postings are read where they lie, so that what a block or a document gets is summed there; what is
+shuffled are sums per (query, block) and (query, document), never pairs of query terms and postings:
 
 1. *A floor.*  Each query's few blocks of largest bound over its rarest terms are scored; the
    k-th score found is a floor of the final k-th score.
-2. *Terms that matter.*  A query's terms from the least weight up whose largest contributions
-   together stay below the floor cannot lift a document over it alone: a block without any of
-   the other terms is never looked at, so the postings of common words mostly are not.
-3. *Blocks that can win.*  What the remaining terms' bounds give a block, plus the most that
-   the light terms can add, must reach the floor; then once more with the light terms' own
-   bounds in that block.
-4. Blocks that are left are scored exactly and ranked.
+2. *Blocks that can win.*  What the bounds of a query's terms in a block give together must reach the
+   floor.  One pass over the bounds decides it; no document is looked at.
+3. Blocks that are left are scored exactly and ranked.
 
 Every step drops only what is proven to lie below the floor, so the ranking is that of
 ``bm25.bm25_join`` over the same tokens; ``pair_rows`` counts both ways.
@@ -27,17 +26,20 @@ Every step drops only what is proven to lie below the floor, so the ranking is t
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import bounded_broadcast, cut_lineage
 from ..sources.commit import require_committed, write_committed
 from .bm25 import lexical_tokens
-from .ordered import positions
 
-POSTINGS = ("block int, term string, n int, bound double, docs array<struct<doc_id:bigint,tf:int,dl:int>>, "
+POSTINGS = ("block bigint, term string, n int, bound double, docs array<struct<doc_id:bigint,tf:int,dl:int>>, "
             "shard int")
 SLACK = 1e-9            # sums in another order differ in their last bits
+ROUNDED = 1e-8          # scores closer than this may be equal when rounded for the ranking
+TASK_TOKENS = 4_000_000  # tokens whose postings one task of the build makes
 
 
 def build(corpus: DataFrame, root: str, *, corpus_key: str, corpus_text: str = "text", shards: int = 16,
@@ -51,23 +53,27 @@ def build(corpus: DataFrame, root: str, *, corpus_key: str, corpus_text: str = "
         toks = corpus.where(F.col(corpus_text).isNotNull()).select(
             F.col(corpus_key).cast("long").alias("doc_id"), lexical_tokens(corpus_text, stop_words).alias("toks"))
         docs = toks.select("doc_id", F.size("toks").alias("dl"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "toks")
-        # the one shuffle of tokens: ranges of (shard, length), stored, numbered where they lie
-        placed = positions(docs, ["shard"], ["dl", "doc_id"], "pos").withColumn("block", F.floor(F.col("pos") / block_docs).cast("int"))
-        placed = placed.withColumn("doc", F.col("pos") % block_docs)
+        # ranges of (shard, length), stored, as their bounds come from a sample; numbered where they lie
+        n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        placed = cut_lineage(docs.repartitionByRange(n_ranges, "shard", "dl", "doc_id").sortWithinPartitions("shard", "dl", "doc_id")
+                             .withColumn("at", F.monotonically_increasing_id()))
+        row = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))       # the upper bits are the range
+        placed = placed.withColumns({"block": F.shiftright("at", 33) * F.lit(1 << 33) + F.floor(row / block_docs), "doc": row % block_docs})
         stats = placed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).withColumns(
             {"k1": F.lit(float(k1)), "b": F.lit(float(b)), "shards": F.lit(shards), "block_docs": F.lit(block_docs)})
         stats.write.parquet(f"{path}/stats")
-        avgdl = spark.read.parquet(f"{path}/stats").first()["avgdl"]
-        tf = placed.select("shard", "block", "doc", "doc_id", "dl", F.explode_outer("toks").alias("term")).where(F.col("term").isNotNull())
+        total = spark.read.parquet(f"{path}/stats").first()
+        avgdl = total["avgdl"]
+        # a block's documents in one task before their tokens are: nothing after this is shuffled
+        tasks = max(n_ranges, ceil(total["n"] * avgdl / TASK_TOKENS))
+        tf = placed.repartition(tasks, "shard", "block").select("shard", "block", "doc", "doc_id", "dl", F.explode_outer("toks").alias("term")).where(F.col("term").isNotNull())
         tf = tf.groupBy("shard", "block", "term", "doc").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("doc_id").alias("doc_id"),
                                                              F.first("dl").alias("dl"))
         weight = F.col("tf") / (F.col("tf") + _norm(F.col("dl"), avgdl, k1, b))
         post = tf.groupBy("shard", "block", "term").agg(
             F.count(F.lit(1)).cast("int").alias("n"), F.max(weight).alias("bound"),
             F.collect_list(F.struct("doc_id", "tf", "dl")).alias("docs"))
-        # terms lie together in a shard's files: a reader passes over row groups without its terms
-        post.repartition(F.col("shard"), F.pmod(F.xxhash64("term"), F.lit(16))).sortWithinPartitions("shard", "term", "block") \
-            .write.partitionBy("shard").parquet(f"{path}/postings")
+        post.write.partitionBy("shard").parquet(f"{path}/postings")
         post = spark.read.schema(POSTINGS).parquet(f"{path}/postings")
         post.groupBy("term").agg(F.sum("n").alias("df"), F.max("bound").alias("most")).write.parquet(f"{path}/terms")
 
@@ -103,9 +109,11 @@ class LexicalIndex:
 
     def scores(self, blocks: DataFrame, weights: DataFrame) -> DataFrame:
         """(query_id, doc_id, score): the exact scores of all documents of some (query_id, shard, block)."""
-        wanted = blocks.join(weights.select("query_id", "term", "w"), "query_id")
-        hit = self.postings.join(bounded_broadcast(wanted), ["shard", "block", "term"])
-        hit = hit.select("query_id", "shard", "block", "w", F.explode("docs").alias("d"))
+        # one row a block with the queries that want it: it grows with the blocks, not with queries x terms
+        asked = blocks.groupBy("shard", "block").agg(F.collect_list("query_id").alias("asked"))
+        hit = self.postings.join(bounded_broadcast(asked), ["shard", "block"])
+        hit = hit.join(bounded_broadcast(weights.select("query_id", "term", "w")), "term").where(F.array_contains("asked", F.col("query_id")))
+        hit = hit.select("query_id", "w", F.explode("docs").alias("d"))
         part = F.col("w") * F.col("d.tf") / (F.col("d.tf") + _norm(F.col("d.dl"), self.stats["avgdl"], self.stats["k1"], self.stats["b"]))
         return hit.groupBy("query_id", F.col("d.doc_id").alias("doc_id")).agg(F.sum(part).alias("score"))
 
@@ -123,28 +131,18 @@ class LexicalIndex:
 
     def candidates(self, weights: DataFrame, floors: DataFrame) -> DataFrame:
         """(query_id, shard, block): the blocks that can hold a document of the floor's score, stored."""
+        gains = self.heads(weights).groupBy("query_id", "shard", "block").agg(F.sum("gain").alias("gain"))
         floor = F.coalesce("floor", F.lit(0.0)) * (1 - SLACK)
-        light = Window.partitionBy("query_id").orderBy(F.col("w") * F.col("most"), "term").rowsBetween(Window.unboundedPreceding, 0)
-        split = weights.join(floors, "query_id", "left").withColumn("floor", floor)
-        split = split.withColumn("_sum", F.sum(F.col("w") * F.col("most")).over(light)).withColumn("light", F.col("_sum") < F.col("floor"))
-        split = cut_lineage(split.drop("_sum"))
-        rest = split.groupBy("query_id").agg(F.max("floor").alias("floor"),
-                                             F.sum(F.when(F.col("light"), F.col("w") * F.col("most")).otherwise(0.0)).alias("rest"))
-        heavy = self.heads(split.where("not light")).groupBy("query_id", "shard", "block").agg(F.sum("gain").alias("gain"))
-        some = cut_lineage(heavy.join(bounded_broadcast(rest), "query_id").where(F.col("gain") + F.col("rest") >= F.col("floor")))
-        # the light terms' own bounds, for these blocks only
-        asked = some.select("query_id", "shard", "block").join(split.where("light").select("query_id", "term", "w"), "query_id")
-        own = self.postings.select("shard", "block", "term", "bound").join(bounded_broadcast(asked), ["shard", "block", "term"])
-        own = own.groupBy("query_id", "shard", "block").agg(F.sum(F.col("w") * F.col("bound")).alias("more"))
-        both = some.join(own, ["query_id", "shard", "block"], "left")
-        return cut_lineage(both.where(F.col("gain") + F.coalesce("more", F.lit(0.0)) >= F.col("floor")).select("query_id", "shard", "block"))
+        return cut_lineage(gains.where(F.col("query_id").isNotNull()).join(bounded_broadcast(floors), "query_id", "left")
+                           .where(F.col("gain") >= floor).select("query_id", "shard", "block"))
 
     def search(self, queries: DataFrame, k: int, *, query_key: str, query_text: str = "text", stop_words=None,
                seed_terms: int = 4, seed_blocks: int | None = None) -> DataFrame:
         """Top-k documents per query: ``query_id, rank, doc_id, score``; ties to the smaller doc_id."""
         weights = self.weights(queries, query_key, query_text, stop_words)
         floors = cut_lineage(self.floors(weights, k, seed_terms, seed_blocks or k))
-        scored = self.scores(self.candidates(weights, floors), weights)
+        scored = self.scores(self.candidates(weights, floors), weights).join(bounded_broadcast(floors), "query_id", "left")
+        scored = scored.where(F.col("score") >= F.coalesce("floor", F.lit(0.0)) - ROUNDED)     # fewer rows to rank
         w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.asc("doc_id"))
         return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                 .select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))

@@ -18,6 +18,7 @@ from promptloom.operators.bm25 import ENGLISH_STOP_WORDS, bm25_join
 from promptloom.operators.knn import knn_join
 from promptloom.operators.mixture import draw, quotas
 from promptloom.operators.rank import confidence, rank_classify, second_scores
+from promptloom.session import bounded_broadcast
 from promptloom.sources import discovery, io
 from promptloom.sources.commit import MARK, Folder, is_committed
 from promptloom.sources.tables import read_table
@@ -156,6 +157,36 @@ def test_index_of_nothing(spark, tmp_path):
         lexical_index.LexicalIndex(spark, f"{tmp_path}/none")
 
 
+def test_index_blocks_lie_together_and_are_scored_in_place(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.choice([3, 20])))) for i in range(400)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, " ".join(rng.choices(words, k=20))) for i in range(20)], "q long, text string")
+    lexical_index.build(docs, f"{tmp_path}/ix", corpus_key="doc_id", shards=3, block_docs=4)
+    index = lexical_index.LexicalIndex(spark, f"{tmp_path}/ix")
+    lies = index.postings.withColumn("file", F.input_file_name()).groupBy("shard", "block").agg(F.countDistinct("file").alias("files"))
+    assert {r.files for r in lies.collect()} == {1}
+    # a bound that terms and blocks keep, but not a row for every query, block and term
+    monkeypatch.setattr(lexical_index, "bounded_broadcast", lambda df: bounded_broadcast(df, max_rows=1000))
+    weights = index.weights(queries, "q", "text")
+    blocks = index.candidates(weights, index.floors(weights, 5, 4, 5))
+    assert weights.count() <= 1000 < blocks.join(weights, "query_id").count()
+    plan = index.scores(blocks, weights)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan, plan
+    same_ranking(index.search(queries, 5, query_key="q"), bm25_join(queries, docs, 5, query_key="q", corpus_key="doc_id"))
+
+
+def test_index_ranks_alike_beyond_every_broadcast(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c{i % 7}" * (1 + i % 2)) for i in range(60)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "a b1 c2"), (2, "c3 c4"), (None, "a")], "q long, text string")
+    lexical_index.build(docs, f"{tmp_path}/ix", corpus_key="doc_id", shards=2, block_docs=4)
+    index = lexical_index.LexicalIndex(spark, f"{tmp_path}/ix")
+    near = sorted(map(tuple, index.search(queries, 4, query_key="q").collect()))
+    monkeypatch.setattr(lexical_index, "bounded_broadcast", lambda df: df)
+    far = sorted(map(tuple, index.search(queries, 4, query_key="q").collect()))
+    assert [r[:3] for r in near] == [r[:3] for r in far] and len(near) == 8
+
+
 # ---- vector index
 
 def vectors(spark, n, dim=8, seed=1, clusters=20):
