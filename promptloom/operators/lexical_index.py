@@ -8,11 +8,13 @@ Layout (``build``; one committed folder, read back by ``search`` in any session)
   that follow each other in length, so their norms are alike and the bound is close.  A block
   is made and written by one task, and its rows follow each other in a file;
 * ``terms``: per term its document frequency and the largest bound of any block;
+* ``parted``: keys that are not unique and lie in several blocks;
 * ``stats``: number of documents, mean length, the parameters.
 
 Search, all of it joins and aggregates over equal keys.  A small query side is broadcast and the
-postings are read where they lie, so that what a block or a document gets is summed there; what is
-shuffled are sums per (query, block) and (query, document), never pairs of query terms and postings:
+bounds are read where they lie; the postings of query terms come block by block into one task before
+queries multiply them, so that a document's score is summed there and dropped there if it is below the
+floor.  Pairs of query terms and postings are never shuffled:
 
 1. *A floor.*  Each query's few blocks of largest bound over its rarest terms are scored; the
    k-th score found is a floor of the final k-th score.
@@ -34,11 +36,13 @@ from pyspark.sql import functions as F
 from ..session import bounded_broadcast, cut_lineage
 from ..sources.commit import require_committed, write_committed
 from .bm25 import lexical_tokens
+from .ordered import positions
 
 POSTINGS = ("block bigint, term string, n int, bound double, docs array<struct<doc_id:bigint,tf:int,dl:int>>, "
             "shard int")
 SLACK = 1e-9            # sums in another order differ in their last bits
 ROUNDED = 1e-8          # scores closer than this may be equal when rounded for the ranking
+MOST_WORDS = 512         # of 64 bits, for the queries that want a block
 TASK_TOKENS = 4_000_000  # tokens whose postings one task of the build makes
 
 
@@ -57,11 +61,19 @@ def build(corpus: DataFrame, root: str, *, corpus_key: str, corpus_text: str = "
         n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
         placed = cut_lineage(docs.repartitionByRange(n_ranges, "shard", "dl", "doc_id").sortWithinPartitions("shard", "dl", "doc_id")
                              .withColumn("at", F.monotonically_increasing_id()))
-        row = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))       # the upper bits are the range
-        placed = placed.withColumns({"block": F.shiftright("at", 33) * F.lit(1 << 33) + F.floor(row / block_docs), "doc": row % block_docs})
+        # a row's place in its shard: its place in the range and what the shard has in earlier ranges, one row a range and shard
+        part = placed.groupBy(F.shiftright("at", 33).alias("range"), "shard").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+        earlier = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        shift = part.select("range", "shard", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+        placed = placed.withColumn("range", F.shiftright("at", 33)).join(F.broadcast(shift), ["range", "shard"])
+        pos = F.col("at") + F.col("shift")
+        placed = placed.withColumns({"block": F.floor(pos / block_docs), "doc": pos % block_docs})
         stats = placed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).withColumns(
             {"k1": F.lit(float(k1)), "b": F.lit(float(b)), "shards": F.lit(shards), "block_docs": F.lit(block_docs)})
         stats.write.parquet(f"{path}/stats")
+        # keys that came more than once, with rows in several blocks
+        placed.groupBy(F.col("doc_id").alias("part_id")).agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a < b").select(
+            "part_id").write.parquet(f"{path}/parted")
         total = spark.read.parquet(f"{path}/stats").first()
         avgdl = total["avgdl"]
         # a block's documents in one task before their tokens are: nothing after this is shuffled
@@ -91,31 +103,57 @@ class LexicalIndex:
         require_committed(spark, root)
         self.postings = spark.read.schema(POSTINGS).parquet(f"{root}/postings")
         self.terms = spark.read.parquet(f"{root}/terms")
+        self.parted = spark.read.parquet(f"{root}/parted")
         self.stats = spark.read.parquet(f"{root}/stats").first()
 
     def weights(self, queries: DataFrame, query_key: str, query_text: str, stop_words=None) -> DataFrame:
-        """(query_id, term, w, most, df): the weight of every indexed term of every query, stored."""
+        """(query_id, no, term, w, most, df): the weight of every indexed term of every query, stored;
+        queries are numbered, those without an id left out."""
         terms = (queries.select(F.col(query_key).cast("long").alias("query_id"),
                                 F.explode_outer(lexical_tokens(query_text, stop_words)).alias("term"))
                  .where(F.col("term").isNotNull()).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
         idf = F.ln(F.lit(1.0) + (F.lit(float(self.stats["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        numbered = positions(terms.select("query_id").distinct(), [], ["query_id"], "no")
+        terms = terms.join(bounded_broadcast(numbered), "query_id")
         return cut_lineage(self.terms.join(bounded_broadcast(terms), "term").select(
-            "query_id", "term", (F.col("qtf") * idf).alias("w"), "most", "df"))
+            "query_id", "no", "term", (F.col("qtf") * idf).alias("w"), "most", "df"))
 
     def heads(self, weights: DataFrame) -> DataFrame:
         """(query_id, shard, block, term, gain): what a term can add at most to a block's documents."""
         return self.postings.select("shard", "block", "term", "bound").join(bounded_broadcast(weights), "term").select(
             "query_id", "shard", "block", "term", (F.col("w") * F.col("bound")).alias("gain"))
 
-    def scores(self, blocks: DataFrame, weights: DataFrame) -> DataFrame:
-        """(query_id, doc_id, score): the exact scores of all documents of some (query_id, shard, block)."""
-        # one row a block with the queries that want it: it grows with the blocks, not with queries x terms
-        asked = blocks.groupBy("shard", "block").agg(F.collect_list("query_id").alias("asked"))
-        hit = self.postings.join(bounded_broadcast(asked), ["shard", "block"])
-        hit = hit.join(bounded_broadcast(weights.select("query_id", "term", "w")), "term").where(F.array_contains("asked", F.col("query_id")))
-        hit = hit.select("query_id", "w", F.explode("docs").alias("d"))
+    def scores(self, blocks: DataFrame, weights: DataFrame, floors: DataFrame | None = None) -> DataFrame:
+        """(query_id, doc_id, score): the exact scores of all documents of some (query_id, shard, block), and
+        maybe of others; with ``floors``, not of documents below their query's."""
+        # one row a block, with a bit for each query that wants it: it does not grow with queries x terms.  Beyond
+        # 64 x MOST_WORDS queries some share a bit: a block is scored for each of them, which is only more work
+        n_words = min(MOST_WORDS, (weights.agg(F.max("no")).first()[0] or 0) // 64 + 1)
+        bit = (F.col("no") % (64 * n_words)).cast("int")
+        numbers = weights.select("query_id", "no").distinct()
+        marks = blocks.join(bounded_broadcast(numbers), "query_id").withColumn("_bit", bit).select(
+            "shard", "block", F.shiftright("_bit", 6).alias("word"), F.expr("shiftleft(1L, _bit & 63)").alias("mark"))
+        words = marks.groupBy("shard", "block", "word").agg(F.bit_or("mark").alias("mark")).groupBy("shard", "block").agg(
+            F.map_from_entries(F.collect_list(F.struct("word", "mark"))).alias("marks"))
+        words = words.select("shard", "block", F.transform(F.sequence(F.lit(0), F.lit(n_words - 1)), lambda i: F.coalesce(
+            F.col("marks")[i], F.lit(0).cast("long"))).alias("words"))
+        asks = weights.withColumn("_bit", bit).select("query_id", "term", "w", "_bit")
+        near = self.postings.join(bounded_broadcast(words), ["shard", "block"]).join(
+            bounded_broadcast(weights.select("term").distinct()), "term", "left_semi")
+        # a block's postings of query terms in one task, before queries multiply them
+        n = max(int(self.postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(self.stats["n"] * self.stats["avgdl"] / TASK_TOKENS))
+        hit = near.repartition(n, "shard", "block").join(bounded_broadcast(asks), "term")
+        hit = hit.where(F.expr("shiftright(words[shiftright(_bit, 6)], _bit & 63) & 1 = 1"))
+        hit = hit.select("query_id", "shard", "block", "w", F.explode("docs").alias("d"))
         part = F.col("w") * F.col("d.tf") / (F.col("d.tf") + _norm(F.col("d.dl"), self.stats["avgdl"], self.stats["k1"], self.stats["b"]))
-        return hit.groupBy("query_id", F.col("d.doc_id").alias("doc_id")).agg(F.sum(part).alias("score"))
+        found = hit.groupBy("shard", "block", "query_id", F.col("d.doc_id").alias("doc_id")).agg(F.sum(part).alias("score"))
+        if floors is not None:
+            # a key that lies in several blocks has its score only when these are added
+            parted = self.parted.withColumn("parted", F.lit(True))
+            found = found.join(bounded_broadcast(floors), "query_id", "left").join(
+                bounded_broadcast(parted), found["doc_id"].eqNullSafe(parted["part_id"]), "left")
+            found = found.where((F.col("score") >= F.coalesce("floor", F.lit(0.0)) - ROUNDED) | F.col("parted"))
+        return found.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
 
     def floors(self, weights: DataFrame, k: int, seed_terms: int, seed_blocks: int) -> DataFrame:
         """(query_id, floor): a proven lower bound of each query's k-th score; none for a query that
@@ -133,7 +171,7 @@ class LexicalIndex:
         """(query_id, shard, block): the blocks that can hold a document of the floor's score, stored."""
         gains = self.heads(weights).groupBy("query_id", "shard", "block").agg(F.sum("gain").alias("gain"))
         floor = F.coalesce("floor", F.lit(0.0)) * (1 - SLACK)
-        return cut_lineage(gains.where(F.col("query_id").isNotNull()).join(bounded_broadcast(floors), "query_id", "left")
+        return cut_lineage(gains.join(bounded_broadcast(floors), "query_id", "left")
                            .where(F.col("gain") >= floor).select("query_id", "shard", "block"))
 
     def search(self, queries: DataFrame, k: int, *, query_key: str, query_text: str = "text", stop_words=None,
@@ -141,8 +179,7 @@ class LexicalIndex:
         """Top-k documents per query: ``query_id, rank, doc_id, score``; ties to the smaller doc_id."""
         weights = self.weights(queries, query_key, query_text, stop_words)
         floors = cut_lineage(self.floors(weights, k, seed_terms, seed_blocks or k))
-        scored = self.scores(self.candidates(weights, floors), weights).join(bounded_broadcast(floors), "query_id", "left")
-        scored = scored.where(F.col("score") >= F.coalesce("floor", F.lit(0.0)) - ROUNDED)     # fewer rows to rank
+        scored = self.scores(self.candidates(weights, floors), weights, floors)
         w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.asc("doc_id"))
         return (scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                 .select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
