@@ -138,3 +138,41 @@ def test_copies_that_no_list_can_reach_are_left_out(spark):
     assert _distinct_enough(c, 2).count() == 3 * 2 + 1
     left = _spread_equals(np.array([r[2] for r in rows], np.float32), np.array([r[0] for r in rows]), np.array([r[1] for r in rows], object), 2)
     assert len(left) == 7
+
+
+def test_runs_out_of_reach_are_left_out(spark):
+    """Queries are not compared with a run of the corpus that its bound keeps out of their reach."""
+    from promptloom.operators.knn import _Lists, _Pivots
+    rng = np.random.default_rng(3)
+    for offset in (0.0, 1e6):        # far from the origin distances are known less well, and bounds give way
+        groups = [rng.normal(size=(200, 6)) + offset + 1000.0 * g for g in range(4)]
+        X = np.concatenate(groups)
+        pivots = _Pivots(X, 16)
+        own, r = pivots.place(X)
+        order = np.lexsort((r, own))
+        lists = _Lists(X, np.arange(len(X)), 5, False)
+        pivots.hold(lists)
+        lists.bound(X[::4])
+        met = 0
+        for p in np.unique(own):
+            at = order[own[order] == p]
+            left = pivots.left(lists, p, r[at[0]], r[at[-1]])
+            met += len(left) * len(at)
+            lists.fold(X[at], at, left)
+        lists.merge()
+        assert met < 0.35 * len(X) ** 2      # of four groups far apart, three are out of reach
+        d = ((X[:, None] - X[None]) ** 2).sum(2)
+        for i in range(len(X)):
+            assert list(lists.ids[i]) == list(np.lexsort((np.arange(len(X)), d[i]))[:5])
+
+
+def test_tiled_limits_hold_where_a_shard_has_few_rows(spark):
+    """A sample with fewer than k rows of a shard bounds nothing; rows of one id share a list."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.normal(size=4)], 0 if i < 290 else 1) for i in range(296)]
+    df = spark.createDataFrame(rows + rows[:3], "id long, embedding array<float>, shard int")
+    a, b = (sorted(map(tuple, knn_join(df, df, 10, query_key="id", corpus_key="id", shard_col="shard", exclude_self=True,
+                                       strategy=s, tile_queries=100).select("query_id", "shard", "rank", "corpus_id", F.round("score", 9)).collect()))
+            for s in ("broadcast", "tiled"))
+    assert len(b) == 296 * 10 + 287 * 6 + 3 * 10 + 6 * 5
+    assert len(a) == len(b) and [x[:3] for x in a] == [x[:3] for x in b]
